@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, langid, packing, pii, secrets, toxicity
+from weftline.llm import decontaminate, html_text, langid, packing, pii, secrets, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing}
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(_table(spark, sf_dir, "pages"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_topk": op8_topk}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,5 +70,15 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op8_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
