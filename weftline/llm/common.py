@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 
@@ -165,3 +166,82 @@ def window_rows(row_words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarra
 
 def list_array(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+# ---------------------------------------------------------------- bitmaps and groups
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+    """A Bloom filter (two places a hash) of a column of 64-bit hashes, as 64-bit words.
+
+    Its size is fixed by ``bits``, whatever the column's. It only ever thins out what later, exact steps decide on: if it
+    fills up at a larger scale, more rows go through, and results stay the same.
+    """
+    mask = (1 << bits) - 1
+    low = F.expr(f"{column} & {mask}L")
+    high = F.expr(f"shiftrightunsigned({column}, 32) & {mask}L")
+    places = hashes.select(F.explode(F.array(low, high)).alias("at"))
+    words = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    mask = np.uint64(len(words) * 64 - 1)
+    found = np.ones(len(hashes), bool)
+    for at in (hashes & mask, (hashes >> np.uint64(32)) & mask):
+        found &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def map_groups(df: DataFrame, key: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``fn`` over all rows of each value of the long column ``key`` together; groups must be small.
+
+    Cheaper than a grouped pandas function where there are very many groups: rows are brought together and sorted by
+    Spark, and runs are found on whole Arrow batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if held and held[-1].column(key)[0].as_py() != keys[a]:
+                    if (out := fn(_one(held))) is not None:
+                        yield out
+                    held = []
+                held.append(part)
+        if held and (out := fn(_one(held))) is not None:
+            yield out
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes of ``edges`` (a, b): the label is one node of the connected component.
+
+    Every node is merged into its smallest neighbour's smallest neighbour, and edges between what is left are merged
+    again, until none is left. Nodes are hashes, so that chains of ever smaller neighbours are short. Nothing comes to
+    the driver.
+    """
+    current = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    found = None
+    while not current.isEmpty():
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "merge")
+        up = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        step = materialize(least.join(up, "label").select("node", F.col("next").alias("label")), "merge")
+        left, right = step.select(F.col("node").alias("a"), F.col("label").alias("x")), step.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        current = materialize(current.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        further = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        found = step if found is None else materialize(found.join(further, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+    return current.select(F.col("a").alias("node"), F.col("b").alias("label")) if found is None else found

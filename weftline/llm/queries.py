@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, html_text, langid, packing, pii, secrets, topk, toxicity
+from weftline.llm import decontaminate, html_text, jaccard_join, langid, packing, pii, secrets, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +50,14 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_topk": op8_topk}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_topk": op8_topk, "op9_jaccard_join": op9_jaccard_join}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TOKEN = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -80,5 +85,18 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op9_jaccard_join": f"""
+WITH RECURSIVE word AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_TOKEN}'), []) AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM word),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT edge.b, reach.r FROM reach JOIN edge ON edge.a = reach.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """,
 }
