@@ -1,8 +1,69 @@
-"""The corpus pipeline (stages are added below)."""
+"""The corpus pipeline: toxic documents go, one of each group of near duplicates stays, benchmark passages are cut out,
+personal data is redacted, and what is left is packed into training sequences.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents. SQL can't express the stages, so tests hold them against
+brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import decontaminate, jaccard_join, packing, pii, toxicity
+from weftline.llm.common import materialize
+from weftline.llm.queries import tokenizer_path
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """n_chars, where there is such a column, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't predict to be toxic. It learns from the labels of the documents given."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each component of 5-word Jaccard links of 0.8 or more."""
+    return jaccard_join.keep_one(docs, 5, 80)
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without spans of benchmark items; those that consist of such spans for the most part go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _counted(decontaminate.remove_spans(docs, benchmark), docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return _counted(pii.redact(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its sequence and offset."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", remove_benchmarks),
+    ("pii", redact_pii),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for at, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN_DIR: list[str] = []
 
@@ -31,7 +32,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weftline_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` from which everything needed has been written elsewhere."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.weftline_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -42,7 +52,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str | StructType, rows: int = 1024) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows, so that a batch of long texts stays small in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,9 @@
 Windows of ``size`` consecutive words are the edges of a de Bruijn graph. Only edges that may recur matter: those whose
 minimizer (the smallest hash of the shorter word runs in the window) occurs in several documents. Consecutive edges of a
 document that share a minimizer are compacted into one path; equal contents give equal paths, whatever stands around
-them. Paths are joined first: a path whose content a smaller doc_id also has is covered whole. What is left, i.e. the
-first occurrence of each path and the odd ends where documents branch off, is joined edge by edge. Both joins compare
+them. Paths are joined first: a path whose content a smaller doc_id also has is covered whole. Where all paths of a
+minimizer have one content the graph doesn't branch, and that is all. Where it branches, the edges of paths that aren't
+covered, i.e. the first occurrence of each content, are joined one by one. Both joins compare
 96 bits of hash from two polynomials, of which the second verifies the coordinates that the first has found. Covered
 stretches of each document are merged, and their words removed.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, bitmap, in_bitmap, list_array, map_arrow, materialize, text_bytes, window_hashes, window_rows, word_hashes, word_spans
+from weftline.llm.common import SPACE, bitmap, discard, in_bitmap, map_arrow, materialize, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
 
 _PART = 6  # words of the runs among which a window's minimizer is chosen
 
@@ -61,34 +62,58 @@ def _candidates(size: int):
     return fn
 
 
+def _compacted(batch: pa.RecordBatch, size: int, words_map: np.ndarray) -> dict:
+    """The paths of candidate edges of a batch of texts: rows, places, minimizers and hashes, and their edges."""
+    words, rows = _words(batch.column("text"))
+    starts, offsets = window_rows(rows, size)
+    least = _minimizers(words, size)[starts]
+    keep = np.flatnonzero(in_bitmap(words_map, least))
+    row = np.searchsorted(offsets, keep, "right") - 1
+    at, least = starts[keep], least[keep]
+    edge, check = window_hashes(words, size), window_hashes(words, size, seed=99)
+    edge, check = edge[at] if len(at) else edge[:0], (check[at] >> np.uint64(33)).astype(np.int32) if len(at) else np.zeros(0, np.int32)
+    # A path ends where the row, the minimizer or the run of kept edges ends.
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    bounds = np.append(first, len(at))
+    count = np.diff(bounds)
+    place = (np.arange(len(at)) - np.repeat(first, count)).astype(np.uint64)
+    spread = (place * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    path = np.add.reduceat((edge ^ spread) * (spread | np.uint64(1)), first) + count.astype(np.uint64) if len(first) else edge[:0]
+    path_check = np.add.reduceat(check.astype(np.int64) * (place.astype(np.int64) * 2 + 3), first) & 0x7FFFFFFF if len(first) else np.zeros(0, np.int64)
+    return {"row": row[first], "start": (at[first] - rows[row[first]]).astype(np.int32), "m": least[first], "path": path, "path_check": path_check.astype(np.int32), "count": count, "place": place, "edge": edge, "check": check}
+
+
 def _paths(size: int, shared):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, rows = _words(batch.column("text"))
-        starts, offsets = window_rows(rows, size)
-        least = _minimizers(words, size)[starts]
-        keep = np.flatnonzero(in_bitmap(shared.value, least))
-        row = np.searchsorted(offsets, keep, "right") - 1
-        at, least = starts[keep], least[keep]
-        edge = window_hashes(words, size)[at] if len(at) else np.zeros(0, np.uint64)
-        check = (window_hashes(words, size, seed=99)[at] >> np.uint64(33)).astype(np.int32) if len(at) else np.zeros(0, np.int32)
-        # A path ends where the row, the minimizer or the run of kept edges ends.
-        new = np.ones(len(at), bool)
-        new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(new)
-        bounds = np.append(first, len(at))
-        place = (np.arange(len(at)) - np.repeat(first, np.diff(bounds))).astype(np.uint64)
-        spread = (place * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        path = np.add.reduceat((edge ^ spread) * (spread | np.uint64(1)), first) if len(first) else np.zeros(0, np.uint64)
-        path_check = np.add.reduceat(check.astype(np.int64) * (place.astype(np.int64) * 2 + 3), first) & 0x7FFFFFFF if len(first) else np.zeros(0, np.int64)
-        owner = pa.array(row[first])
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").take(owner), batch.column("key").take(owner), pa.array((at[first] - rows[row[first]]).astype(np.int32)),
-                pa.array((path + np.diff(bounds).astype(np.uint64)).view(np.int64)), pa.array(path_check.astype(np.int32)),
-                list_array(bounds, pa.array(edge.view(np.int64))), list_array(bounds, pa.array(check)),
-            ],
-            names=["doc_id", "key", "start", "path", "path_check", "edges", "checks"],
-        )
+        x = _compacted(batch, size, shared.value)
+        owner = pa.array(x["row"])
+        columns = [batch.column("doc_id").take(owner), batch.column("key").take(owner), *[pa.array(v) for v in (x["m"].view(np.int64), x["start"], x["count"].astype(np.int32), x["path"].view(np.int64), x["path_check"])]]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "m", "start", "count", "path", "path_check"])
+
+    return fn
+
+
+def _open_key(path: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return mix(path ^ mix(doc_id.astype(np.int64).view(np.uint64)))
+
+
+def _open_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+    keys = _open_key(batch.column("path").to_numpy().view(np.uint64), batch.column("doc_id").to_numpy())
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["k"])
+
+
+def _edges(size: int, shared, opened):
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = _compacted(batch, size, shared.value)
+        ids = batch.column("doc_id").to_numpy()
+        chosen = np.repeat(in_bitmap(opened.value, _open_key(x["path"], ids[x["row"]])), x["count"])
+        row = np.repeat(x["row"], x["count"])[chosen]
+        start = (np.repeat(x["start"], x["count"]) + x["place"].astype(np.int32))[chosen]
+        owner = pa.array(row)
+        columns = [batch.column("doc_id").take(owner), batch.column("key").take(owner), pa.array(start.astype(np.int32)), pa.array(x["edge"][chosen].view(np.int64)), pa.array(x["check"][chosen])]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "start", "edge", "check"])
 
     return fn
 
@@ -96,22 +121,29 @@ def _paths(size: int, shared):
 def covered_spans(documents: DataFrame, size: int = 13) -> DataFrame:
     """(doc_id, key, spans) of the documents with words to remove: spans are array<struct<start, end>> of word places
     (unsorted, may overlap), key is the hash of the text."""
-    texts = documents.select("doc_id", "text")
+    texts = documents.select("text")
     spark = documents.sparkSession
-    counted = map_arrow(texts.select("text"), _candidates(size), "m long", 512).groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
+    counted = map_arrow(texts, _candidates(size), "m long", 512).groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     shared = spark.sparkContext.broadcast(bitmap(materialize(counted, "minimizers"), "m"))
     keyed = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    schema = "doc_id long, key long, start int, path long, path_check int, edges array<long>, checks array<int>"
-    paths = map_arrow(keyed, _paths(size, shared), schema, 512)
+    paths = map_arrow(keyed, _paths(size, shared), "doc_id long, key long, m long, start int, count int, path long, path_check int", 512)
     paths = materialize(paths, "paths")
     least = paths.groupBy("path", "path_check").agg(F.min("doc_id").alias("source"))
-    placed = materialize(paths.join(least, ["path", "path_check"]).select("doc_id", "key", "start", "edges", "checks", (F.col("source") < F.col("doc_id")).alias("whole")), "placed")
-    whole = placed.where("whole").select("doc_id", "key", "start", (F.col("start") + F.size("edges") + size - 1).alias("end"))
-    ends = placed.where(~F.col("whole")).select("doc_id", "key", "start", F.posexplode(F.arrays_zip("edges", "checks")).alias("at", "e"))
-    ends = ends.select("doc_id", "key", (F.col("start") + F.col("at")).alias("start"), F.col("e.edges").alias("edge"), F.col("e.checks").alias("check"))
+    placed = paths.join(least, ["path", "path_check"]).select("doc_id", "key", "m", "start", "count", "path", (F.col("source") < F.col("doc_id")).alias("whole"))
+    placed = materialize(placed, "placed")
+    contents = paths.groupBy("m").agg(F.min("path").alias("a"), F.max("path").alias("b"), F.min("path_check").alias("c"), F.max("path_check").alias("d"))
+    branching = contents.where("a <> b or c <> d").select("m")
+    todo = placed.where(~F.col("whole")).select("m", "path", "doc_id").join(branching, "m", "left_semi")
+    opened = spark.sparkContext.broadcast(bitmap(map_arrow(todo.select("path", "doc_id"), _open_keys, "k long", 1 << 16), "k"))
+    discard(paths)
+    ends = materialize(map_arrow(keyed, _edges(size, shared, opened), "doc_id long, key long, start int, edge long, check int", 512), "edges")
     first = ends.groupBy("edge", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("edge", "check", "source")
     single = ends.join(first, ["edge", "check"]).where(F.col("source") < F.col("doc_id")).select("doc_id", "key", "start", (F.col("start") + size).alias("end"))
-    return materialize(whole.unionByName(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "covered")
+    whole = placed.where("whole").select("doc_id", "key", "start", (F.col("start") + F.col("count") + size - 1).alias("end"))
+    covered = materialize(whole.unionByName(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "covered")
+    discard(placed)
+    discard(ends)
+    return covered
 
 
 def _kept(size: int, texts: bool):

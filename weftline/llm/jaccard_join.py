@@ -5,9 +5,11 @@ sparse that almost all pairs have the distance 1; general pivots would tell noth
 that share a rare shingle with others. In short:
 
 * Rows with equal shingle sets are one class; classes are the nodes from there on.
-* Shingles are ordered, rare ones first (those that many documents have go last, the rest by hash). Two sets with
-  J >= t share a shingle among the first n - ceil(t n) + 1 of each. Everything that has a given shingle there lies in
-  one region; the smallest class of it is the pivot. So linked classes always meet in a region.
+* Shingles are ordered, rare ones first: those that occur once go before those that occur more often, and these before
+  frequent ones, with ties by hash. Two sets with J >= t share a shingle among the first n - ceil(t n) + 1 of each.
+  Everything that has a given shingle there lies in one region; the smallest class of it is the pivot. So linked
+  classes always meet in a region, and a text that is mostly its own lies in none. Occurrences are counted in a third
+  of the hash space and told by bitmaps of fixed size: any fixed order is right, a better one only prunes more.
 * First round: a class belongs to the Voronoi cell of the pivot that it shares most shingles with; its distance to that
   pivot gives a link or not. Links are merged to components.
 * Second round: only regions that are still in several components go on. What isn't in a region's largest component
@@ -31,11 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.llm.common import LOWER, SPACE, bitmap, components, in_bitmap, list_array, map_arrow, map_groups, materialize, mix, text_bytes, window_hashes, word_hashes, word_spans
 
-_LOW = np.uint64(1 << 62)  # hashes below this are counted: a quarter, somewhat more than a prefix for t = 0.8 has
+_LOW = np.uint64((1 << 64) // 3)  # hashes below this are counted: more than a prefix for t = 0.8 has
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -88,15 +89,16 @@ def _low(size: int):
 
 def _signed(size: int, percent: int, shared):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, heavy = shared.value
+        often, frequent, all_counted = shared.value
         sets, hits = shingle_sets(batch.column("text"), size), []
         for s in sets:
-            late = np.zeros(len(s), bool)
-            if len(heavy) and len(s):
-                at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                late = heavy[at] == s
-            first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)] if len(s) else s
-            hits.append(first[(first >= _LOW) | in_bitmap(words, first)])
+            counted = s[: int(np.searchsorted(s, _LOW))]
+            level = np.zeros(len(s), np.int8)
+            level[: len(counted)] = in_bitmap(often, counted)
+            level[: len(counted)][level[: len(counted)] > 0] += in_bitmap(frequent, counted[level[: len(counted)] > 0])
+            order = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)] if len(s) else np.zeros(0, np.int64)
+            first = s[order]
+            hits.append(first[(first >= _LOW) | (level[order] > 0)] if all_counted else first)
         offsets = np.cumsum([0, *[len(h) for h in hits]])
         values = pa.array(np.concatenate([*hits, np.zeros(0, np.uint64)]).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), _binary16(class_ids(sets)), pa.array([len(s) for s in sets], pa.int64()), list_array(offsets, values)], names=["doc_id", "c", "n", "hits"])
@@ -243,7 +245,7 @@ def _joined(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_groups(rows, "g", _link(percent), "a binary, b binary")
 
 
-def links(documents: DataFrame, size: int = 5, percent: int = 80, heavy_at: int = 64, most_heavy: int = 1 << 20, block: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(documents: DataFrame, size: int = 5, percent: int = 80, most_shared: int = 1 << 26, block: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed, classes, labels): signed has doc_id, class c and set size n of every row, classes the smallest doc_id of
     each class, labels a component label for every class that is linked with another."""
     spark = documents.sparkSession
@@ -251,11 +253,12 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, heavy_at: int
     # How often shingles occur: those of a quarter of the hash space, where the prefixes lie.
     counted = map_arrow(texts.select("text"), _low(size), "s long", 512).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     counted = materialize(counted, "shared-shingles")
-    limit = heavy_at
-    while (heavy := counted.where(F.col("n") >= limit)).count() > most_heavy:
-        limit *= 2
-    late = np.sort(heavy.select("s").toArrow().column("s").to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((bitmap(counted, "s"), late))
+    limit = 2
+    while counted.where(F.col("n") >= limit).count() > most_shared:
+        limit *= 2  # so that the bitmap stays selective
+    often = bitmap(counted.where(F.col("n") >= limit), "s", 27)
+    frequent = bitmap(counted.where(F.col("n") >= max(16, 2 * limit)), "s", 25)
+    shared = spark.sparkContext.broadcast((often, frequent, limit == 2))
     signed = materialize(map_arrow(texts, _signed(size, percent, shared), "doc_id long, c binary, n long, hits array<long>", 512), "signed")
     classes = materialize(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     # The hits of one row of each class.

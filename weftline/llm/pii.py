@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import map_arrow, materialize
+from weftline.llm.common import bitmap, in_bitmap, map_arrow, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -184,16 +186,33 @@ def report(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _redacted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = []
+    for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+        parts, done = [], 0
+        for span in spans or ():
+            if span["start"] >= done:
+                parts += [text[done : span["start"]], f"[{KINDS[span['kind']].upper()}]"]
+                done = span["end"]
+        texts.append(text if not spans else "".join([*parts, text[done:]]))
+    keep = [(n, batch.column(n)) for n in batch.schema.names if n != "__spans"]
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else c for n, c in keep], names=[n for n, _ in keep])
+
+
 def redact(documents: DataFrame) -> DataFrame:
-    """Documents with every span replaced by its kind in brackets; all columns and rows stay."""
-    found = extract(documents).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "spans").where(F.size("spans") > 0).dropDuplicates(["__id", "__key"])
-    joined = documents.join(found, documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key")), "left")
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    # The text up to each span that starts at or after the end of what is already replaced, then the kind.
-    empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
-    step = lambda acc, x: F.when(x["start"] < acc["done"], acc).otherwise(
-        F.struct(F.concat(acc["out"], F.substring(documents["text"], acc["done"] + 1, x["start"] - acc["done"]), F.get(names, x["kind"])).alias("out"), x["end"].alias("done"))
-    )
-    done = F.aggregate("spans", empty, step, lambda acc: F.concat(acc["out"], F.substring(documents["text"], acc["done"] + 1, F.length(documents["text"]))))
-    text = F.when(F.col("spans").isNull(), documents["text"]).otherwise(done)
-    return joined.select(*[text.alias("text") if c == "text" else documents[c] for c in documents.columns])
+    """Documents with every span replaced by its kind in brackets; of overlapping spans the first decides. All columns
+    and rows stay. Only texts that have spans move: a bitmap of fixed size tells most of the others."""
+    spark, columns = documents.sparkSession, documents.columns
+    found = extract(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    found = materialize(found.dropDuplicates(["__id", "__key"]), "pii-spans")
+    some = spark.sparkContext.broadcast(bitmap(found.select(F.xxhash64("__id", "__key").alias("k")), "k", 24))
+
+    def flag(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hit = in_bitmap(some.value, batch.column("__k").to_numpy().view(np.uint64))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "__hit"])
+
+    keyed = documents.withColumn("__k", F.xxhash64("doc_id", F.xxhash64("text")))
+    marked = map_arrow(keyed, flag, T.StructType([*keyed.schema.fields, T.StructField("__hit", T.BooleanType())]), 4096)
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    hit = marked.where("__hit").join(found, on, "left").select(*columns, "__spans")
+    return marked.where(~F.col("__hit")).select(*columns).unionByName(map_arrow(hit, _redacted, documents.schema, 512))
