@@ -52,8 +52,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str | StructType, rows: int = 1024) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows, so that a batch of long texts stays small in memory."""
+    """``mapInArrow`` over slices of at most ``rows`` rows, so that a batch of long texts stays small in memory.
+
+    For the same reason the session's Arrow batches are set to at most 1024 rows.
+    """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +84,7 @@ LOWER[65:91] += 32
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-_BLOCK = 1 << 20  # bytes hashed at a time
+_BLOCK = 1 << 18  # bytes hashed at a time
 _POWERS: list[np.ndarray] = []
 
 
@@ -229,6 +239,7 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pa.RecordBatch], pa.Record
         if held and (out := fn(_one(held))) is not None:
             yield out
 
+    small_batches(df.sparkSession)
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
