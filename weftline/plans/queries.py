@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import feed_queries
+from weftline.plans import feed_queries, web_queries
 
-_MODULES = (feed_queries,)
+_MODULES = (feed_queries, web_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
