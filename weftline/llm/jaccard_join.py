@@ -9,7 +9,8 @@ that share a rare shingle with others. In short:
   frequent ones, with ties by hash. Two sets with J >= t share a shingle among the first n - ceil(t n) + 1 of each.
   Everything that has a given shingle there lies in one region; the smallest class of it is the pivot. So linked
   classes always meet in a region, and a text that is mostly its own lies in none. Occurrences are counted in a third
-  of the hash space and told by bitmaps of fixed size: any fixed order is right, a better one only prunes more.
+  of the hash space, beyond it common shingles are told by their recurrence in a batch, and bitmaps of fixed size hold
+  both: any fixed order is right, a better one only prunes more.
 * First round: a class belongs to the Voronoi cell of the pivot that it shares most shingles with; its distance to that
   pivot gives a link or not. Links are merged to components.
 * Second round: only regions that are still in several components go on. What isn't in a region's largest component
@@ -79,10 +80,15 @@ def prefix_length(n: int, percent: int) -> int:
     return n + 1 - -(-percent * n // 100)
 
 
-def _low(size: int):
+def _counted(size: int):
+    """Shingles to count: all below _LOW, and above it those that several texts of the batch have, i.e. common ones."""
+
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s[: int(np.searchsorted(s, _LOW))] for s in shingle_sets(batch.column("text"), size)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["s"])
+        sets = shingle_sets(batch.column("text"), size)
+        cuts = [int(np.searchsorted(s, _LOW)) for s in sets]
+        high, times = np.unique(np.concatenate([s[c:] for s, c in zip(sets, cuts, strict=True)]), return_counts=True)
+        common = np.repeat(high[times > 1], times[times > 1])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*[s[:c] for s, c in zip(sets, cuts, strict=True)], common]).view(np.int64))], names=["s"])
 
     return fn
 
@@ -92,10 +98,11 @@ def _signed(size: int, percent: int, shared):
         often, frequent, all_counted = shared.value
         sets, hits = shingle_sets(batch.column("text"), size), []
         for s in sets:
-            counted = s[: int(np.searchsorted(s, _LOW))]
+            cut = int(np.searchsorted(s, _LOW))
             level = np.zeros(len(s), np.int8)
-            level[: len(counted)] = in_bitmap(often, counted)
-            level[: len(counted)][level[: len(counted)] > 0] += in_bitmap(frequent, counted[level[: len(counted)] > 0])
+            level[:cut] = in_bitmap(often, s[:cut])
+            maybe = np.flatnonzero((level > 0) | (s >= _LOW))
+            level[maybe[in_bitmap(frequent, s[maybe])]] = 2
             order = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)] if len(s) else np.zeros(0, np.int64)
             first = s[order]
             hits.append(first[(first >= _LOW) | (level[order] > 0)] if all_counted else first)
@@ -219,17 +226,17 @@ class Region:
 
 
 def _link(percent: int):
-    """Edges of a block: role 0 is the pivot or compared with all, role 1 is compared with role 0 only."""
+    """Edges of a block: members of role 2 are compared with those of role 1; a member can have both (3)."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if batch.num_rows < 2:
             return None
         ids = batch.column("c").to_pylist()
         first = {}
-        index = np.array([first.setdefault(c, i) for i, c in enumerate(ids)])  # a class can be there in both roles
+        index = np.array([first.setdefault(c, i) for i, c in enumerate(ids)])  # several rows can have the set of a class
         region = Region(batch.column("items"), percent)
         role = batch.column("role").to_numpy()
-        left, right = np.unique(index[role == 0]), np.unique(index[role == 1])
+        left, right = np.unique(index[role & 2 > 0]), np.unique(index[role & 1 > 0])
         if not len(left) or not len(right):
             return None
         region.join(left, right)
@@ -241,23 +248,24 @@ def _link(percent: int):
 
 def _joined(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """blocks: (g, c, role). Edges found in all blocks."""
-    rows = blocks.join(sets, "c").select("g", "c", "role", "items")
+    rows = blocks.groupBy("g", "c").agg(F.bit_or("role").alias("role")).join(sets, "c").select("g", "c", "role", "items")
     return map_groups(rows, "g", _link(percent), "a binary, b binary")
 
 
-def links(documents: DataFrame, size: int = 5, percent: int = 80, most_shared: int = 1 << 26, block: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(documents: DataFrame, size: int = 5, percent: int = 80, most_shared: int = 1 << 26, block: int = 128) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed, classes, labels): signed has doc_id, class c and set size n of every row, classes the smallest doc_id of
     each class, labels a component label for every class that is linked with another."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
     # How often shingles occur: those of a quarter of the hash space, where the prefixes lie.
-    counted = map_arrow(texts.select("text"), _low(size), "s long", 512).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    counted = map_arrow(texts.select("text"), _counted(size), "s long", 1024).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     counted = materialize(counted, "shared-shingles")
+    low = F.col("s").between(0, int(_LOW) - 1)  # as a signed number: below a third of the hash space
     limit = 2
-    while counted.where(F.col("n") >= limit).count() > most_shared:
+    while counted.where(low & (F.col("n") >= limit)).count() > most_shared:
         limit *= 2  # so that the bitmap stays selective
-    often = bitmap(counted.where(F.col("n") >= limit), "s", 27)
-    frequent = bitmap(counted.where(F.col("n") >= max(16, 2 * limit)), "s", 25)
+    often = bitmap(counted.where(low & (F.col("n") >= limit)), "s", 27)
+    frequent = bitmap(counted.where(F.when(low, F.col("n") >= max(16, 2 * limit)).otherwise(F.col("n") >= 8)), "s", 25)
     shared = spark.sparkContext.broadcast((often, frequent, limit == 2))
     signed = materialize(map_arrow(texts, _signed(size, percent, shared), "doc_id long, c binary, n long, hits array<long>", 512), "signed")
     classes = materialize(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
@@ -277,28 +285,35 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, most_shared: i
     chosen = spark.sparkContext.broadcast(bitmap(map_arrow(wanted, keys, "k long", 1 << 16), "k"))
     sets = materialize(map_arrow(texts, _sets(size, chosen), "c binary, items array<long>", 512), "sets")
 
-    # First round: each class and the pivot that it shares most shingles with.
-    cell = members.where("p <> c").groupBy("c").agg(F.max_by("p", F.struct("votes", "p")).alias("p"))
+    # First round: each class and the pivot that it shares most shingles with, if sizes allow a link.
+    sizes = classes.select("c", "n")
+    members = members.join(sizes, "c").join(sizes.select(F.col("c").alias("p"), F.col("n").alias("pn")), "p")
+    members = materialize(members, "regions")
+    alike = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    cell = members.where("p <> c").where(alike).groupBy("c").agg(F.max_by("p", F.struct("votes", "p")).alias("p"))
     cell = materialize(cell.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(1 << 20))), "cells")
     chunks = cell.groupBy("p").agg(F.ceil(F.count("*") / block).alias("chunks"))
     placed = cell.join(chunks, "p").select("p", "c", (F.col("chunk") % F.col("chunks")).alias("chunk"))
     group = F.xxhash64("p", "chunk")
-    blocks = placed.select(group.alias("g"), "c", F.lit(1).alias("role")).unionByName(placed.select(group.alias("g"), F.col("p").alias("c"), F.lit(0).alias("role")).distinct())
+    blocks = placed.select(group.alias("g"), "c", F.lit(1).alias("role")).unionByName(placed.select(group.alias("g"), F.col("p").alias("c"), F.lit(2).alias("role")).distinct())
     edges = materialize(_joined(blocks, sets, percent), "links")
     labels = components(edges)
 
-    # Second round: regions that are in several components.
-    named = members.select("p", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").select("p", "c", F.coalesce("label", "c").alias("label"))
+    # Second round: parts of regions that are in several components. Sizes of linked sets differ by 1 / t at most (the
+    # triangle inequality with the empty set), so a part holds the sizes of a band and of the next.
+    band = F.floor(F.log("n") / max(float(np.log(100 / percent)) * 1.001, 1e-9))
+    named = members.select("p", "c", band.alias("band")).join(labels.withColumnRenamed("node", "c"), "c", "left")
+    named = named.select("p", "c", F.coalesce("label", "c").alias("label"), "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("k"))
     named = materialize(named, "named")
-    parts = named.groupBy("p", "label").agg(F.count("*").alias("k"))
-    most = parts.groupBy("p").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    most = most.select("p", F.col("most.label").alias("main"), F.ceil(F.col("all") / block).alias("cores"), F.ceil((F.col("all") - F.col("most.k")) / block).alias("lefts"))
-    mixed = named.join(most, "p").withColumn("i", F.pmod(F.xxhash64("c", F.lit(1)), "cores")).withColumn("j", F.pmod(F.xxhash64("c", F.lit(2)), "lefts"))
+    parts = named.groupBy("p", "k", "label").agg(F.count("*").alias("m"), F.max(F.col("band") == F.col("k")).alias("own"))
+    most = parts.groupBy("p", "k").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("labels"), F.max("own").alias("own")).where("labels > 1 and own")
+    most = most.select("p", "k", F.col("most.label").alias("main"), F.ceil(F.col("all") / block).alias("cores"), F.ceil((F.col("all") - F.col("most.m")) / block).alias("lefts"))
+    mixed = named.join(most, ["p", "k"]).withColumn("i", F.pmod(F.xxhash64("c", F.lit(1)), "cores")).withColumn("j", F.pmod(F.xxhash64("c", F.lit(2)), "lefts"))
     mixed = materialize(mixed, "mixed")
     each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    core = mixed.select("p", "c", "i", F.explode(each("lefts")).alias("j"), F.lit(1).alias("role"))
-    left = mixed.where("label <> main").select("p", "c", F.explode(each("cores")).alias("i"), "j", F.lit(0).alias("role"))
-    blocks = core.unionByName(left).select(F.xxhash64("p", "i", "j").alias("g"), "c", "role")
+    core = mixed.select("p", "k", "c", "i", F.explode(each("lefts")).alias("j"), F.lit(1).alias("role"))
+    left = mixed.where("label <> main").select("p", "k", "c", F.explode(each("cores")).alias("i"), "j", F.lit(2).alias("role"))
+    blocks = core.unionByName(left).select(F.xxhash64("p", "k", "i", "j").alias("g"), "c", "role")
     more = materialize(_joined(blocks, sets, percent), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
