@@ -44,8 +44,9 @@ def limited(calls: DataFrame, limit: int = 60, seconds: float = 60.0) -> DataFra
     return ordered.mapInPandas(run, DECIDED)
 
 
-def limited_stream(calls: DataFrame, limit: int = 60, seconds: float = 60.0) -> DataFrame:
-    """The same on a stream; the state of a user is the times of admitted calls, and goes when no calls come."""
+def limited_stream(calls: DataFrame, limit: int = 60, seconds: float = 60.0, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream; the state of a user is the times of admitted calls, and goes when the watermark has passed
+    them. Calls that come later than ``late`` are dropped by the watermark."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -55,10 +56,11 @@ def limited_stream(calls: DataFrame, limit: int = 60, seconds: float = 60.0) ->
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         rows["admitted"] = admit((rows["ts"].astype("int64") / 1e9).tolist(), recent, limit, seconds)
         state.update((list(recent),))
-        state.setTimeoutDuration(int(seconds * 2000))
+        state.setTimeoutTimestamp(int((rows["ts"].astype("int64") / 1e6).max() + seconds * 1000) + 1)
         yield rows[["event_id", "user_id", "ts", "admitted"]]
 
-    return calls.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandasWithState(step, DECIDED, "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = calls.select("event_id", "user_id", "ts").withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(step, DECIDED, "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def spacing(requests: DataFrame, delay: float = 1.0) -> DataFrame:
@@ -77,5 +79,7 @@ def windowed(calls: DataFrame, size: str = "60 seconds", late: str = "10 minutes
 def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Process what there is of a stream and return the result table; for checks on bounded input."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
+    if not query.awaitTermination(600):
+        query.stop()
+        raise TimeoutError(name)
     return stream.sparkSession.table(name)
