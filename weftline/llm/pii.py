@@ -182,7 +182,9 @@ def extract(documents: DataFrame, rounds: int = 3, min_support: int = 8, min_con
 def report(documents: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans as text."""
     found = extract(documents)
-    count = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    # A parameter more would be the index in the array: the kind is bound outside.
+    of_kind = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
+    count = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
