@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, bitmap, discard, in_bitmap, map_arrow, materialize, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
+from weftline.llm.common import SPACE, bitmap, discard, in_bitmap, map_arrow, materialize, mix, small_batches, text_bytes, window_hashes, window_rows, word_hashes, word_spans
 
 _PART = 6  # words of the runs among which a window's minimizer is chosen
 
@@ -192,6 +192,7 @@ def deduplicate(documents: DataFrame, size: int = 13, texts: bool = True) -> Dat
     kind = "array<struct<start:int,end:int>>"
     keyed = documents.select("doc_id", F.xxhash64("text").alias("key"), "text").withColumn("k", F.xxhash64("doc_id", "key"))
     marked = keyed.mapInArrow(flag, "doc_id long, key long, text string, k long, hit boolean")
+    small_batches(documents.sparkSession)
     clean = marked.where(~F.col("hit")).select("doc_id", "text", F.lit(None).cast(kind).alias("spans"))
     touched = marked.where("hit").select("doc_id", "key", "text").join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
     # Null ids never join; they come through the left join without spans.

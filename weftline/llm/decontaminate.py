@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, small_batches
 
 #: ASCII bytes that are not digits or letters become spaces, upper case becomes lower case, other bytes stay.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -181,6 +181,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-2 * total // shard_chars)) if total > shard_chars else 1
     current = documents.select("doc_id", "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    small_batches(documents.sparkSession)
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
         automaton = spark.sparkContext.broadcast(SuffixAutomaton([(r.item, words_of(r.text)) for r in part.collect()], window))
@@ -233,6 +234,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, m
     # A shard at a time: hits are gathered in a side column, so that one pass sees every earlier pass's hits.
     current = current.withColumn("__spans", F.array().cast("array<int>"))
     schema = current.schema
+    small_batches(documents.sparkSession)
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
         automaton = spark.sparkContext.broadcast(SuffixAutomaton([(r.item, words_of(r.text)) for r in part.collect()], window))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_bytes
+from weftline.llm.common import small_batches, text_bytes
 
 WIDTHS = (2, 3, 4)
 WINDOW = 256
@@ -221,4 +221,5 @@ def identify(documents: DataFrame, model: ByteCNN | None = None, sample_rows: in
             names, scores = predict_texts(scorer, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
+    small_batches(documents.sparkSession)
     return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(apply, "doc_id long, held_out boolean, lang_pred string, score double")

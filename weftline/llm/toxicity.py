@@ -12,14 +12,16 @@ ignored; without labelled rows of both kinds every score is 0; a null doc_id is
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import small_batches
 from weftline.llm.decontaminate import words_of
 from weftline.llm.langid import held_out
 
@@ -98,30 +100,30 @@ class Classifier:
         labels = np.asarray(labels, float)
         if not len(labels) or labels.min() == labels.max():
             return None
-        sets, before, by_class = [], defaultdict(set), (Counter(), Counter())
+        # Per feature: how many texts of each class have it, and 64 marks for the words seen before it.
+        before, by_class = defaultdict(int), (Counter(), Counter())
         for text, label in zip(texts, labels, strict=True):
             words = words_of(text)
             for left, word in zip([b"", *words], words, strict=False):
+                mark = 1 << (zlib.crc32(left) & 63)
                 for feature in (word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) >= n]):
-                    if len(seen := before[feature]) < 64:
-                        seen.add(left)
-            sets.append(features(words))
-            by_class[int(label)].update(sets[-1])
+                    before[feature] |= mark
+            by_class[int(label)].update(features(words))
         n = max(1, (labels == 0).sum()), max(1, (labels == 1).sum())
         identity = {w.encode() for g in IDENTITY_GROUPS for w in g}
         # Evidence: how surely a feature is commoner in toxic texts, if its surroundings vary enough.
         gain = {}
         for word, seen in before.items():
             a, b = by_class[1][word], by_class[0][word]
-            varied = len(seen) / min(64, a + b)
-            if len(seen) >= support and (varied >= 0.5 or word in identity):
+            varied = seen.bit_count() / min(64, a + b)
+            if seen.bit_count() >= support and (varied >= 0.5 or word in identity):
                 p, q = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
                 z = (p - q) / np.sqrt(p * (1 - p) / (n[1] + 1) + q * (1 - q) / (n[0] + 1))
                 if z >= significance or word in identity:
                     gain[word] = z
         vocabulary = {w: i for i, w in enumerate(sorted(sorted(gain, key=gain.get, reverse=True)[:most_words]))}
-        pack = lambda rows: _Rows([[vocabulary[w] for w in r if w in vocabulary] for r in rows], len(vocabulary))
-        x = pack(sets)
+        pack = lambda rows: _Rows(([vocabulary[w] for w in r if w in vocabulary] for r in rows), len(vocabulary))
+        x = pack(features(words_of(t)) for t in texts)
         pairs = counterfactuals(texts)
         one, two = pack([features([*a]) for a, _ in pairs]), pack([features([*b]) for _, b in pairs])
         weight = np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean()))
@@ -151,7 +153,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class _Rows:
     """Sparse 0/1 rows."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: Iterable[list[int]], width: int):
+        rows = list(rows)
         self.width, self.n = width, len(rows)
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         self.col = np.array([c for r in rows for c in sorted(r)], np.int64)
@@ -176,13 +179,14 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, most
     quota = sample_rows // 2
     share = F.when(F.col("toxic") == 1, min(1.0, (1.3 * quota + 30) / counts[1])).otherwise(min(1.0, (1.3 * quota + 30) / counts[0]))
     u = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = learn.withColumn("u", u).where(F.col("u") < share).orderBy("u", "doc_id").limit(2 * sample_rows)  # a bounded table
+    chosen = learn.withColumn("u", u).where(F.col("u") < share).orderBy("u", "doc_id").limit(sample_rows + sample_rows // 2)  # a bounded table
     start = F.greatest(F.lit(1), ((F.length("text") - most_chars) / 2).cast("int"))
     rows = (
         documents.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
         .select("u", "doc_id", "toxic", F.substring(F.col("text"), start, F.lit(most_chars)).alias("text"))
-        .orderBy("u", "doc_id", "text").limit(2 * sample_rows).collect()
+        .groupBy("u", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     )
+    rows.sort(key=lambda r: (r["u"], r["doc_id"]))
     taken, texts, truth, seen = Counter(), [], [], set()
     for r in rows:
         if taken[r["toxic"]] < quota and r["text"] not in seen:
@@ -204,6 +208,7 @@ def score(documents: DataFrame, model: Classifier | None) -> DataFrame:
             predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted], names=["doc_id", "held_out", "score", "predicted"])
 
+    small_batches(documents.sparkSession)
     return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -217,6 +222,7 @@ def keep_clean(documents: DataFrame, model: Classifier | None) -> DataFrame:
             keep = [model is None or model.score(t) < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    small_batches(documents.sparkSession)
     return documents.mapInArrow(apply, schema)
 
 
