@@ -2,8 +2,8 @@
 
 A logistic model over the presence of words and word beginnings, fitted in numpy on the driver. Besides the labels, it learns from pairs of labelled
 sentences that differ only in an identity term: the difference of their scores is penalised, so that the mention of a
-group does not by itself raise a score. A word enters the vocabulary by the number of different words that stand before
-it, not by how often it occurs, so that a passage copied into many documents doesn't pass for evidence.
+group does not by itself raise a score. A word enters the vocabulary by the number of different words around it, not
+by how often it occurs, so that a passage copied into many documents doesn't pass for evidence.
 
 Defined cases: a null or empty text gets the score of no words; repeated rows give repeated results; other columns are
 ignored; without labelled rows of both kinds every score is 0; a null doc_id is held out.
@@ -100,12 +100,12 @@ class Classifier:
         labels = np.asarray(labels, float)
         if not len(labels) or labels.min() == labels.max():
             return None
-        # Per feature: how many texts of each class have it, and 64 marks for the words seen before it.
+        # Per feature: how many texts of each class have it, and 64 marks for the pairs of words seen around it.
         before, by_class = defaultdict(int), (Counter(), Counter())
         for text, label in zip(texts, labels, strict=True):
             words = words_of(text)
-            for left, word in zip([b"", *words], words, strict=False):
-                mark = 1 << (zlib.crc32(left) & 63)
+            for left, word, right in zip([b"", *words], words, [*words[1:], b""], strict=False):
+                mark = 1 << (zlib.crc32(left + b" " + right) & 63)
                 for feature in (word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) >= n]):
                     before[feature] |= mark
             by_class[int(label)].update(features(words))
