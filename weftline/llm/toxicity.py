@@ -119,7 +119,8 @@ class Classifier:
             if seen.bit_count() >= support and (varied >= 0.5 or word in identity):
                 p, q = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
                 z = (p - q) / np.sqrt(p * (1 - p) / (n[1] + 1) + q * (1 - q) / (n[0] + 1))
-                if z >= significance or word in identity:
+                # A beginning stands for words that weren't seen; only one that is hardly ever clean may.
+                if z >= significance and (not word.endswith(b"*") or p >= 0.8 * (p + q)) or word in identity:
                     gain[word] = z
         vocabulary = {w: i for i, w in enumerate(sorted(sorted(gain, key=gain.get, reverse=True)[:most_words]))}
         pack = lambda rows: _Rows(([vocabulary[w] for w in r if w in vocabulary] for r in rows), len(vocabulary))
