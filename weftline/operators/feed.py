@@ -27,12 +27,11 @@ _ABSOLUTE = r"(?U)^\d{1,2} \w{3} \d{4} - \d{1,2}:\d{2}(?i:[AP]M)$"
 
 def with_profile(pages: DataFrame, profiles: DataFrame) -> DataFrame:
     """Pages with ``profile``; unknown and missing names get the generic one. The dimension has a row per source."""
-    known = profiles.select(F.col("name").alias("__name"), F.struct(*profiles.columns).alias("__p"))
-    generic = profiles.where(F.col("name") == GENERIC).select(F.struct(*profiles.columns).alias("__g"))
-    joined = pages.join(known, F.col("source_profile_name") == F.col("__name"), "left").crossJoin(F.broadcast(generic))
-    profile = F.coalesce("__p", "__g")
-    pattern = F.concat(F.lit("(?iuU)"), F.array_join(F.transform(profile["date_patterns"], lambda x: F.concat(F.lit("(?:"), x, F.lit(")"))), "|"))
-    return joined.withColumn("profile", profile).withColumn("date_pattern", pattern).drop("__name", "__p", "__g")
+    names = profiles.select(F.col("name").alias("__name"))
+    rows = profiles.select(F.col("name").alias("__key"), F.struct(*profiles.columns).alias("profile"))
+    named = pages.join(names, F.col("source_profile_name") == F.col("__name"), "left").withColumn("__key", F.coalesce("__name", F.lit(GENERIC)))
+    pattern = F.concat(F.lit("(?iuU)"), F.array_join(F.transform("profile.date_patterns", lambda x: F.concat(F.lit("(?:"), x, F.lit(")"))), "|"))
+    return named.join(rows, "__key").withColumn("date_pattern", pattern).drop("__name", "__key")
 
 
 def cleaned_lines(pages: DataFrame) -> DataFrame:
