@@ -12,7 +12,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -170,22 +169,26 @@ def _scan(shard, final: bool):
     return run
 
 
+def _automata(benchmark: DataFrame, window: int, shard_chars: int) -> Iterator[tuple]:
+    """(broadcast automaton, whether it is the last) of shards of the items with about ``shard_chars`` characters each."""
+    spark = benchmark.sparkSession
+    small_batches(spark)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.length("text") > 0)
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = -(-2 * total // shard_chars) if total > shard_chars else 1
+    for k in range(shards):
+        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
+        yield spark.sparkContext.broadcast(SuffixAutomaton([(r.item, words_of(r.text)) for r in part.collect()], window)), k == shards - 1
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_chars: int = 8_000_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, spans (word starts and ends, flat) and items (sorted names).
 
     ``shard_chars`` bounds the items in one automaton, hence what is sent to executors at a time. A larger benchmark
     is worked off in several passes over the documents, each adding its hits; nothing is left out.
     """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.length("text") > 0)
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-2 * total // shard_chars)) if total > shard_chars else 1
     current = documents.select("doc_id", "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    small_batches(documents.sparkSession)
-    for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton([(r.item, words_of(r.text)) for r in part.collect()], window))
-        final = k == shards - 1
+    for automaton, final in _automata(benchmark, window, shard_chars):
         schema = "doc_id long, n_words long, n_hit long, spans array<int>, items array<string>" if final else "doc_id long, text string, spans array<int>, items array<string>"
         current = current.mapInArrow(_scan(automaton, final), schema)
         if not final:
@@ -226,22 +229,14 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, m
     A document of which a hit span exceeds ``max_span`` words, or whose hit words exceed ``max_coverage`` of its words,
     is removed whole; in others the hit spans are cut out of the text. Documents without hits stay as they are.
     """
-    spark, columns = documents.sparkSession, documents.columns
-    items = benchmark.select("text", F.col("item_id").cast("string").alias("item")).where(F.length("text") > 0)
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-2 * total // shard_chars)) if total > shard_chars else 1
-    current = documents
-    # A shard at a time: hits are gathered in a side column, so that one pass sees every earlier pass's hits.
-    current = current.withColumn("__spans", F.array().cast("array<int>"))
+    # Hits are gathered in a side column, so that the last pass sees those of all shards.
+    current = documents.withColumn("__spans", F.array().cast("array<int>"))
     schema = current.schema
-    small_batches(documents.sparkSession)
-    for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton([(r.item, words_of(r.text)) for r in part.collect()], window))
-        current = current.mapInArrow(_filter(automaton, k == shards - 1, max_span, max_coverage), schema)
-        if k < shards - 1:
+    for automaton, final in _automata(benchmark, window, shard_chars):
+        current = current.mapInArrow(_filter(automaton, final, max_span, max_coverage), schema)
+        if not final:
             current = materialize(current, "decontaminate")
-    return current.select(*columns)
+    return current.select(*documents.columns)
 
 
 def _filter(shard, final: bool, max_span: int, max_coverage: float):
