@@ -64,7 +64,7 @@ ROBOTS = "User-agent: *\nDisallow: /a\nAllow: /a/b$\nCrawl-delay: x\nDisallow:\n
 def test_robots(spark, agent, url, allowed):
     found = robots.groups(robots.parse(spark.createDataFrame([("h", ROBOTS)], "host string, body string")))
     urls = spark.createDataFrame([("h", url), ("none", url)], "host string, url string")
-    r = {x.host: x for x in robots.check(urls, robots.agent_groups(urls, found, agent)).collect()}
+    r = {x.host: x for x in robots.check(urls, robots.agent_groups(found, agent)).collect()}
     assert r["h"].allowed is allowed and r["none"].allowed is True
     assert r["h"].crawl_delay == (5.0 if agent in ("one", "two-more") else None)
 

@@ -80,7 +80,7 @@ def path_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), quoted, F.when(pattern.endswith("$"), "$").otherwise(""))
 
 
-def agent_groups(pages: DataFrame, found: DataFrame, agent: str) -> DataFrame:
+def agent_groups(found: DataFrame, agent: str) -> DataFrame:
     """For each host the group for an agent: the exact name, else the first prefix in file order, else *."""
     name = F.lower("agent")
     wanted = F.lit(agent.lower())

@@ -221,12 +221,12 @@ def _rules_sql(rules: list[tuple[str, str, int, bool]], agent_hosts: str = "%.co
 
 @_query(_rules_sql([("^/fr/", "", 4, False), ("^/fr/1", "", 5, True), (r"^/.*\.html$", "", 7, False), ("^/.*ref=", "", 6, False)]).replace("DELAY", "2.0::DOUBLE"))
 def robots_match(spark, sf_dir):
-    return robots.check(_hosts(spark, sf_dir), robots.agent_groups(_hosts(spark, sf_dir), _found(spark, sf_dir), "*")).select("page_id", "allowed", "crawl_delay")
+    return robots.check(_hosts(spark, sf_dir), robots.agent_groups(_found(spark, sf_dir), "*")).select("page_id", "allowed", "crawl_delay")
 
 
 @_query(_rules_sql([("^/en/", "", 4, False), ("^/en/.*5", "", 6, True)]).replace("DELAY", "NULL::DOUBLE"))
 def robots_agent(spark, sf_dir):
-    return robots.check(_hosts(spark, sf_dir), robots.agent_groups(_hosts(spark, sf_dir), _found(spark, sf_dir), "botnet")).select("page_id", "allowed", "crawl_delay")
+    return robots.check(_hosts(spark, sf_dir), robots.agent_groups(_found(spark, sf_dir), "botnet")).select("page_id", "allowed", "crawl_delay")
 
 
 @_query("""WITH a AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 172 WHEN 2 THEN 192 ELSE 8 END AS x, CASE c_custkey % 4 WHEN 2 THEN 160 + c_custkey % 17 ELSE c_custkey % 64 END AS y FROM customer)
