@@ -52,6 +52,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What an operator keeps in a Python worker between tasks. Others drop it when they run there, so that it doesn't stay
+#: in memory beside theirs.
+WORKER_CACHES: dict = {}
+
+
+def drop_caches() -> None:
+    """A function, since a closure that is sent to a worker would bring a copy of the dict along."""
+    WORKER_CACHES.clear()
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -66,6 +76,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | lis
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))
@@ -223,6 +234,7 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pa.RecordBatch], pa.Record
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:

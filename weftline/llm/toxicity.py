@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches
+from weftline.llm.common import drop_caches, small_batches
 from weftline.llm.decontaminate import words_of
 from weftline.llm.langid import held_out
 
@@ -218,6 +218,7 @@ def keep_clean(documents: DataFrame, model: Classifier | None) -> DataFrame:
     shared, schema = documents.sparkSession.sparkContext.broadcast(model), documents.schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         model = shared.value
         for batch in batches:
             keep = [model is None or model.score(t) < 0.5 for t in batch.column("text").to_pylist()]
