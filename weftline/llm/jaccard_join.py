@@ -265,7 +265,7 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, most_shared: i
     while counted.where(low & (F.col("n") >= limit)).count() > most_shared:
         limit *= 2  # so that the bitmap stays selective
     often = bitmap(counted.where(low & (F.col("n") >= limit)), "s", 27)
-    frequent = bitmap(counted.where(F.when(low, F.col("n") >= max(16, 2 * limit)).otherwise(F.col("n") >= 8)), "s", 25)
+    frequent = bitmap(counted.where(F.when(low, F.col("n") >= max(8, 2 * limit)).otherwise(F.lit(True))), "s", 25)
     shared = spark.sparkContext.broadcast((often, frequent, limit == 2))
     signed = materialize(map_arrow(texts, _signed(size, percent, shared), "doc_id long, c binary, n long, hits array<long>", 512), "signed")
     classes = materialize(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
