@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without spans of benchmark items; those that consist of such spans for the most part go."""
+    """Documents without spans of benchmark items; those of which no word is left go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _counted(decontaminate.remove_spans(docs, benchmark), docs.columns)
 

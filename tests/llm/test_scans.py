@@ -132,3 +132,13 @@ def test_contamination_report_and_cut(spark, docs, clashing):
     assert kept[1] == "before " * 60 + " after" and kept[4] == "w " * 200 + ", ! end"
     assert decontaminate.report(docs([]), b).count() == 0
     assert decontaminate.report(docs(texts), b.limit(0)).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("shard_chars", [8_000_000, 60])
+def test_cut_keeps_the_rest_of_documents(spark, docs, shard_chars):
+    long = " ".join(f"long{i}" for i in range(60))
+    short = " ".join(f"short{i}" for i in range(12))
+    b = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    texts = [f"{'before ' * 500}{long} after", f"one two {short} three", f"{long} last", f"{short}, {long}.", f"{short} x {long}"]
+    kept = {r.doc_id: r.text for r in decontaminate.remove_spans(docs(texts), b, shard_chars=shard_chars).collect()}
+    assert kept == {0: "before " * 500 + " after", 1: "one two  three", 2: " last", 4: " x "}

@@ -223,23 +223,23 @@ def _cut(text: str | None, spans: list[int]) -> str | None:
     return b"".join([*kept, data[done:]]).decode()
 
 
-def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_span: int = 50, max_coverage: float = 0.2, shard_chars: int = 8_000_000) -> DataFrame:
+def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_chars: int = 8_000_000) -> DataFrame:
     """Documents without their contaminated spans, with all their columns.
 
-    A document of which a hit span exceeds ``max_span`` words, or whose hit words exceed ``max_coverage`` of its words,
-    is removed whole; in others the hit spans are cut out of the text. Documents without hits stay as they are.
+    Every hit span is cut out of the text, however long it is or however much of the document is hit; the rest stays.
+    Only a document of which no word is left is removed. Documents without hits stay as they are.
     """
     # Hits are gathered in a side column, so that the last pass sees those of all shards.
     current = documents.withColumn("__spans", F.array().cast("array<int>"))
     schema = current.schema
     for automaton, final in _automata(benchmark, window, shard_chars):
-        current = current.mapInArrow(_filter(automaton, final, max_span, max_coverage), schema)
+        current = current.mapInArrow(_filter(automaton, final), schema)
         if not final:
             current = materialize(current, "decontaminate")
     return current.select(*documents.columns)
 
 
-def _filter(shard, final: bool, max_span: int, max_coverage: float):
+def _filter(shard, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shard.value
         for batch in batches:
@@ -251,7 +251,7 @@ def _filter(shard, final: bool, max_span: int, max_coverage: float):
                 spans = _merged([[flat[k], flat[k + 1]] for k in range(0, len(flat), 2)] + [[s, e] for s, e, _ in automaton.matches(words)])
                 flat = [x for span in spans for x in span]
                 if final and flat:
-                    if max(e - s for s, e in spans) > max_span or sum(e - s for s, e in spans) > max_coverage * len(words):
+                    if sum(e - s for s, e in spans) == len(words):
                         continue
                     texts.append(_cut(batch.column("text")[i].as_py(), flat))
                 else:
