@@ -1,5 +1,6 @@
 """Packing: exact ids, gapless places, few sequences."""
 
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -80,6 +81,22 @@ def test_combinations_fill_exactly():
     assert check_plan(counts, 2048) <= 1.001 * sum(n * c for n, c in counts.items()) / 2048 + 1
 
 
+def test_no_exact_combination_is_left():
+    r = np.random.default_rng(0)
+    for capacity, n, low, high in ((60, 40, 1, 60), (60, 300, 8, 25), (97, 500, 15, 35), (200, 2000, 35, 70)):
+        plan = packing.Plan(Counter(r.integers(low, high, n).tolist()), capacity)
+        plan.exact()
+        left = sorted(plan.left)
+        for k in range(1, 5):
+            for lengths in itertools.combinations_with_replacement(left, k):
+                assert sum(lengths) != capacity or any(lengths.count(x) > plan.left[x] for x in lengths)
+
+
+def test_narrow_lengths_fill_sequences():
+    counts = Counter(np.random.default_rng(1).normal(500, 50, 200_000).round().astype(int).tolist())
+    assert check_plan(counts, 2048) <= 50_100
+
+
 def test_pack(spark, docs, tokenizer, clashing):
     r = random.Random(4)
     texts = [None, "", *ODD, *[" ".join(r.choice(["the", "Of,", "mountain.", "x"]) for _ in range(r.choice([3, 30, 300, 3000]))) for _ in range(60)], "the of", "the of"]

@@ -1,11 +1,11 @@
 """Best-fit packing of documents into sequences of fixed capacity, by exact-complement hashing.
 
 Only the histogram of piece lengths is needed to plan a packing, and it has at most ``capacity`` entries however many
-documents there are. The driver plans on it: single lengths, sums of pairs and sums of triples are indexed, combinations
-that fill the gap beside a length exactly are consumed as often as the counts allow, and the rest goes by best fit, in
-decreasing length. A plan is a list of ranges: "the i-th to j-th piece of this length go to sequences s, s+1, ... at this
-offset". Spark numbers the pieces of each length (in salted buckets, so that a length that a third of all pieces have is
-no hot key) and every piece looks its place up in the plan.
+documents there are. The driver plans on it: the exact complements of single lengths, of pairs and of triples are looked
+up among the lengths that are left, every combination of up to four that fills a sequence is consumed as often as the
+counts allow, and the rest goes by best fit, in decreasing length. A plan is a list of ranges: "the i-th to j-th piece of
+this length go to sequences s, s+1, ... at this offset". Spark numbers the pieces of each length (in salted buckets, so
+that a length that a third of all pieces have is no hot key) and every piece looks its place up in the plan.
 
 Defined cases: a null text is empty and gives one piece with the end id alone; repeated rows are packed each; other
 columns are ignored; an empty table gives an empty result.
@@ -183,7 +183,7 @@ class Plan:
         """Consume combinations of one to four lengths that fill a sequence: a length with a single, a pair and a triple.
 
         Every combination is taken until a length of it runs out, so a length is left with at most as many pieces as
-        a combination needs of it. Indexes of sums hold lengths that are still available.
+        a combination needs of it. No combination of lengths that are still available is missed.
         """
         c = self.capacity
         if c in self.left:
@@ -202,24 +202,22 @@ class Plan:
 
     def _triples(self) -> None:
         c = self.capacity
-        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        live = sorted(self.left)
-        for i, x in enumerate(live):
-            for y in live[i:]:
-                if x + y > c:
+        live = np.zeros(c + 1, bool)
+        live[[*self.left]] = True
+        lengths = sorted(self.left, reverse=True)
+        for i, a in enumerate(lengths):
+            for b in lengths[i:]:  # a >= b >= y >= x
+                gap = c - a - b
+                if not live[a] or gap > 2 * b:
                     break
-                if len(pairs[x + y]) < 8:  # an index of some pairs by sum; what it misses is left for the best fit
-                    pairs[x + y].append((x, y))
-        for a in sorted(self.left, reverse=True):
-            for b in sorted((n for n in self.left if n < c - a), reverse=True):
-                if a not in self.left:
-                    break
-                if b not in self.left:
+                if gap < 2 or not live[b]:
                     continue
-                for x, y in pairs.get(c - a - b, ()):
-                    if x in self.left and y in self.left:
-                        self.combination((a, b, y, x))
-                        if a not in self.left or b not in self.left:
+                low, high = max(1, gap - b), gap // 2
+                for x in (np.flatnonzero(live[low : high + 1] & live[gap - high : gap - low + 1][::-1]) + low).tolist():
+                    if live[x] and live[gap - x]:
+                        self.combination((a, b, gap - x, x))
+                        live[[n for n in (a, b, gap - x, x) if n not in self.left]] = False
+                        if not (live[a] and live[b]):
                             break
 
     def best_fit(self) -> None:
