@@ -44,6 +44,29 @@ def test_hosts_tell_boilerplate(spark):
     assert all(got[i] == f"{line} own {i}" for i in range(5))
 
 
+def test_boilerplate_on_part_of_a_large_host(spark):
+    line = "the spring sale of garden chairs ends on the last day of may"
+    own = [f"<div>page {i} tells a story of its own about {i} things</div><div>more {i}</div>" for i in range(320)]
+    pages = [(f"http://h/{i}", own[i] + (f"<div>{line}</div><div>Read on</div>" if i % 32 == 0 else "")) for i in range(320)]
+    got = texts(spark, pages)
+    assert all(got[i] == f"page {i} tells a story of its own about {i} things more {i}" for i in range(320))
+    assert got == texts(spark, pages, shard_pages=1000)
+    # On two pages of the host it is no boilerplate, in whatever shards they are.
+    got = texts(spark, [(u, h if i in (32, 288) else own[i]) for i, (u, h) in enumerate(pages)], shard_pages=8)
+    assert all(got[i].endswith(f"{line} Read on") == (i in (32, 288)) for i in range(320))
+
+
+def test_run_counts():
+    rng = np.random.default_rng(3)
+    pages = [[[str(x) for x in rng.integers(0, 2, rng.integers(1, 9))] for _ in range(3)] for _ in range(12)]
+    want = {}
+    for page, found in enumerate(pages):
+        for words in found:
+            for run in [words] if len(words) < 4 else [words[i : i + 4] for i in range(len(words) - 3)]:
+                want.setdefault(html_text._digest(run), set()).add(page)
+    assert html_text.run_counts(pages, 4) == {k: len(v) for k, v in want.items()}
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(0)
     for depth in (1, 2, 3, 5, 8):

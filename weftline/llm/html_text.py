@@ -3,17 +3,20 @@
 A page is parsed into blocks. Markup alone settles most: what stands in menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or comments is boilerplate, and paragraphs of an article are text, however often a site
 repeats them (an article may be published twice). What markup leaves open, i.e. loose blocks inside an article and all
-blocks of a page without one, is decided by the host: the token streams of all its pages' loose and boilerplate blocks
-are concatenated, a suffix array groups equal substrings of ``min_tokens`` tokens, and those on ``min_pages`` distinct
-pages are boilerplate. Covered runs go, unique runs stay. A large host is dealt into shards of ``shard_pages`` pages:
-what a site repeats on its pages recurs in each shard, and no task gets a whole large host.
+blocks of a page without one, is decided by the host: the token streams of its pages' loose and boilerplate blocks are
+concatenated, a suffix array groups equal substrings of ``min_tokens`` tokens, and those on ``min_pages`` distinct pages
+of the host are boilerplate. Covered runs go, unique runs stay. A large host is dealt into shards of about
+``shard_pages`` distinct pages, so that no task gets a whole large host: each shard counts the pages of its runs by a
+suffix array of its own, the counts are added up by host, and every shard marks what the whole host has often.
 
 Defined cases: null or empty html gives an empty text; a null or odd url counts as one host of that spelling; repeated
-rows count as one page; other columns are ignored; unclosed and truncated markup is closed at the end.
+rows count as one page; other columns are ignored; unclosed and truncated markup
+is closed at the end.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 
@@ -155,21 +158,22 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-_PARSED = "page_id long, url string, host string, key long, loose boolean, article boolean, texts array<string>, kinds array<int>"
+_PARSED = "page_id long, url string, host string, content binary, loose boolean, article boolean, texts array<string>, kinds array<int>"
 
 
 def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-    loose, article, texts, kinds = [], [], [], []
-    for page in batch.column("html").to_pylist():
+    content, loose, article, texts, kinds = [], [], [], [], []
+    for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
         found = blocks(page or "")
         undecided = any(k == LOOSE for _, k in found)
+        content.append(hashlib.blake2b(repr((page_id, url, found)).encode(), digest_size=16).digest())
         loose.append(undecided)
         article.append(any(k == MAIN for _, k in found))
         texts.append([t for t, _ in found])
         kinds.append([k for _, k in found])
-    columns = [batch.column(c) for c in ("page_id", "url", "host", "key")]
-    made = [pa.array(loose, pa.bool_()), pa.array(article, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays([*columns, *made], names=["page_id", "url", "host", "key", "loose", "article", "texts", "kinds"])
+    columns = [batch.column(c) for c in ("page_id", "url", "host")]
+    made = [pa.array(content, pa.binary()), pa.array(loose, pa.bool_()), pa.array(article, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays([*columns, *made], names=["page_id", "url", "host", "content", "loose", "article", "texts", "kinds"])
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,61 +189,85 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def covered(streams: list[list[list[str]]], min_tokens: int, min_pages: int) -> list[list[np.ndarray]]:
-    """For each page and block, which tokens lie in a substring of ``min_tokens`` tokens, or in a whole block, that at
-    least ``min_pages`` distinct pages have."""
+def _streams(group: pd.DataFrame) -> list[list[list[str]]]:
+    return [[t.split() for t, k in zip(texts, kinds, strict=True) if k != MAIN] for texts, kinds in zip(group["texts"], group["kinds"], strict=True)]
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
+def run_counts(streams: list[list[list[str]]], min_tokens: int) -> dict[bytes, int]:
+    """The number of pages that have each run: a substring of ``min_tokens`` tokens, or a whole block of fewer."""
     ids: dict[str, int] = {}
-    tokens, page_of, at = [], [], []
+    words_of, tokens, page_of = [], [], []
+    short: dict[bytes, set] = {}
     for page, found in enumerate(streams):
-        at.append([])
         for words in found:
-            at[-1].append(len(tokens))
-            tokens += [ids.setdefault(w, len(ids)) for w in words]
-            tokens.append(-1)
+            if len(words) < min_tokens:
+                short.setdefault(_digest(words), set()).add(page)
+                continue
+            words_of += [*words, ""]
+            tokens += [*(ids.setdefault(w, len(ids)) for w in words), -1]
             page_of += [page] * (len(words) + 1)
-    if not tokens:
-        return [[] for _ in streams]
-    stream, pages = np.array(tokens), np.array(page_of)
-    # A separator equals no other, so that no substring goes beyond its block.
-    stream[stream < 0] = len(ids) + np.arange((stream < 0).sum())
-    order, rank = suffix_ranks(stream, min_tokens)
-    pairs = np.unique(np.stack([rank[order], pages[order]]), axis=1)
-    often = np.bincount(pairs[0], minlength=int(rank.max()) + 1) >= min_pages
-    starts = np.flatnonzero(often[rank])
-    change = np.zeros(len(stream) + min_tokens + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + min_tokens, -1)
-    inside = np.cumsum(change)[: len(stream)] > 0
-    whole: dict[tuple, set] = {}
-    for page, found in enumerate(streams):
-        for words in found:
-            whole.setdefault(tuple(words), set()).add(page)
-    return [[inside[a : a + len(w)] | (len(whole[tuple(w)]) >= min_pages) for a, w in zip(at[p], found, strict=True)] for p, found in enumerate(streams)]
+    out = {run: len(pages) for run, pages in short.items()}
+    if tokens:
+        stream, pages = np.array(tokens), np.array(page_of)
+        # A separator equals no other, so that no substring goes beyond its block.
+        ends = stream < 0
+        stream[ends] = len(ids) + np.arange(ends.sum())
+        order, rank = suffix_ranks(stream, min_tokens)
+        before = np.concatenate([[0], np.cumsum(ends)])
+        inside = before[np.minimum(np.arange(len(stream)) + min_tokens, len(stream))] == before[:-1]
+        pairs = np.unique(np.stack([rank[order], pages[order]]), axis=1)
+        counts = np.bincount(pairs[0])
+        seen, first = np.unique(rank, return_index=True)
+        for r, at in zip(seen.tolist(), first.tolist(), strict=True):
+            if inside[at]:
+                out[_digest(words_of[at : at + min_tokens])] = int(counts[r])
+    return out
 
 
-def _decide(min_tokens: int, min_pages: int):
+def covered(words: list[str], often: set[bytes], min_tokens: int) -> np.ndarray:
+    """Which tokens of a block lie in a run that is one of ``often``."""
+    if len(words) < min_tokens:
+        return np.full(len(words), _digest(words) in often)
+    change = np.zeros(len(words) + 1, np.int64)
+    for at in range(len(words) - min_tokens + 1):
+        if _digest(words[at : at + min_tokens]) in often:
+            change[at] += 1
+            change[at + min_tokens] -= 1
+    return np.cumsum(change)[:-1] > 0
+
+
+def _count(min_tokens: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["page_id", "key"], kind="stable").reset_index(drop=True)
-        streams = [[t.split() for t, k in zip(texts, kinds, strict=True) if k != MAIN] for texts, kinds in zip(group["texts"], group["kinds"], strict=True)]
-        # Equal pages count once; with fewer pages than asked for, all of them must have it.
-        marks = [hash(tuple(map(tuple, s))) for s in streams]
-        least = max(2, min(min_pages, len(set(marks))))
-        hidden = covered(streams, min_tokens, least)
+        counts = run_counts(_streams(group), min_tokens)
+        found = pd.DataFrame({"run": [*counts], "pages": [*counts.values()]}).assign(host=group["host"].iloc[0], shard=group["shard"].iloc[0])
+        # The counts of a host's only shard are final.
+        return (found if group["shards"].iloc[0] > 1 else found[found["pages"] >= group["least"].iloc[0]])[["host", "shard", "run", "pages"]]
+
+    return run
+
+
+def _decide(min_tokens: int):
+    def run(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        group, often = group[group["loose"]], {bytes(r) for r in runs["run"]}
         out = []
-        for texts, kinds, article, marks in zip(group["texts"], group["kinds"], group["article"], hidden, strict=True):
-            kept, at = [], 0
+        for texts, kinds, article in zip(group["texts"], group["kinds"], group["article"], strict=True):
+            kept = []
             for text, kind in zip(texts, kinds, strict=True):
                 if kind == MAIN:
                     kept.append(text)
-                    continue
-                mask, at = marks[at], at + 1
-                if kind == LOOSE:
+                elif kind == LOOSE:
+                    words = text.split()
+                    mask = covered(words, often, min_tokens)
                     if article:  # inside an article: a block goes as a whole, if it is mostly covered
                         kept += [text] if mask.mean() < 0.8 else []
-                    elif run_ := " ".join(w for w, m in zip(text.split(), mask, strict=True) if not m):
+                    elif run_ := " ".join(w for w, m in zip(words, mask, strict=True) if not m):
                         kept.append(run_)
             out.append(" ".join(kept))
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": out, "loose": group["loose"]})[lambda d: d["loose"]][["page_id", "url", "text"]]
+        return pd.DataFrame({"host": group["host"], "content": group["content"], "text": pd.Series(out, index=group.index, dtype=object)})
 
     return run
 
@@ -247,21 +275,26 @@ def _decide(min_tokens: int, min_pages: int):
 def extract(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, shard_pages: int = 64) -> DataFrame:
     """Per page row: page_id, url, text."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    named = pages.select("page_id", "url", host.alias("host"), F.xxhash64("html").alias("key"), "html")
+    named = pages.select("page_id", "url", host.alias("host"), "html")
     parsed = materialize(map_arrow(named, _parse, _PARSED, 256), "page-blocks")
     main = F.filter(F.arrays_zip("texts", "kinds"), lambda x: x["kinds"] == MAIN)
     settled = parsed.where(~F.col("loose")).select("page_id", "url", F.array_join(F.transform(main, lambda x: x["texts"]), " ").alias("text"))
-    hosts = parsed.groupBy("host").agg(F.count("*").alias("n"), F.max("loose").alias("any")).where("any")
-    if hosts.isEmpty():
+    loose = parsed.where("loose").select("page_id", "url", "host", "content")
+    if loose.isEmpty():
         return settled
     # Only what can be a witness goes along from pages that markup settles.
     other = F.filter(F.arrays_zip("texts", "kinds"), lambda x: x["kinds"] != MAIN)
-    sent = parsed.withColumn("sent", F.when(F.col("loose"), F.arrays_zip("texts", "kinds")).otherwise(other))
-    sent = sent.select("page_id", "url", "host", "key", "loose", "article", F.transform("sent", lambda x: x["texts"]).alias("texts"), F.transform("sent", lambda x: x["kinds"]).alias("kinds"))
-    dealt = sent.join(hosts.select("host", F.ceil(F.col("n") / shard_pages).alias("shards")), "host")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "key"), "shards")).repartition("host", "shard")
-    decided = dealt.groupBy("host", "shard").applyInPandas(_decide(min_tokens, min_pages), "page_id long, url string, text string")
-    return settled.unionByName(decided)
+    sent = parsed.join(loose.select("host").distinct(), "host").withColumn("sent", F.when(F.col("loose"), F.arrays_zip("texts", "kinds")).otherwise(other))
+    sent = sent.select("host", "content", "loose", "article", F.transform("sent", lambda x: x["texts"]).alias("texts"), F.transform("sent", lambda x: x["kinds"]).alias("kinds"))
+    distinct = materialize(sent.dropDuplicates(["host", "content"]), "page-distinct")
+    # With fewer distinct pages than asked for, all of them must have a run.
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / shard_pages).alias("shards"), F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("n"))).cast("long").alias("least"))
+    dealt = distinct.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("content"), "shards"))
+    counts = materialize(dealt.groupBy("host", "shard").applyInPandas(_count(min_tokens), "host string, shard long, run binary, pages long"), "page-runs")
+    often = counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(hosts, "host").where("pages >= least").select("host", "run")
+    often = counts.join(often, ["host", "run"]).select("host", "shard", "run")
+    decided = dealt.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInPandas(_decide(min_tokens), "host string, content binary, text string")
+    return settled.unionByName(loose.join(decided, ["host", "content"]).select("page_id", "url", "text"))
 
 
 def report(pages: DataFrame) -> DataFrame:
