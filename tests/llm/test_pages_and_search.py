@@ -56,6 +56,16 @@ def test_boilerplate_on_part_of_a_large_host(spark):
     assert all(got[i].endswith(f"{line} Read on") == (i in (32, 288)) for i in range(320))
 
 
+def test_equal_pages_count_once(spark):
+    assert texts(spark, [("http://h/1", "<p>text</p>"), ("http://h/1", "<p>text</p>")]) == {0: "text", 1: "text"}
+    story = "<p>the only copy of this long story was told here in many words</p>"
+    pages = [(f"{scheme}://h/story?{i}", f"<!-- {i} -->{story}<p>Menu</p>") for i, scheme in enumerate(["http", "https", "http", "http"])]
+    pages += [(f"http://h/{i}", f"<p>other words {i}</p><p>Menu</p>") for i in range(80)]
+    for shard_pages in (4, 64):
+        got = texts(spark, pages, shard_pages=shard_pages)
+        assert all(got[i] == story[3:-4] for i in range(4)) and all(got[4 + i] == f"other words {i}" for i in range(80))
+
+
 def test_run_counts():
     rng = np.random.default_rng(3)
     pages = [[[str(x) for x in rng.integers(0, 2, rng.integers(1, 9))] for _ in range(3)] for _ in range(12)]

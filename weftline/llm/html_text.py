@@ -9,8 +9,8 @@ of the host are boilerplate. Covered runs go, unique runs stay. A large host is
 ``shard_pages`` distinct pages, so that no task gets a whole large host: each shard counts the pages of its runs by a
 suffix array of its own, the counts are added up by host, and every shard marks what the whole host has often.
 
-Defined cases: null or empty html gives an empty text; a null or odd url counts as one host of that spelling; repeated
-rows count as one page; other columns are ignored; unclosed and truncated markup
+Defined cases: null or empty html gives an empty text; a null or odd url counts as one host of that spelling; pages of a
+host with equal blocks count as one page, whatever their rows; other columns are ignored; unclosed and truncated markup
 is closed at the end.
 """
 
@@ -163,10 +163,10 @@ _PARSED = "page_id long, url string, host string, content binary, loose boolean,
 
 def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
     content, loose, article, texts, kinds = [], [], [], [], []
-    for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+    for page in batch.column("html").to_pylist():
         found = blocks(page or "")
         undecided = any(k == LOOSE for _, k in found)
-        content.append(hashlib.blake2b(repr((page_id, url, found)).encode(), digest_size=16).digest())
+        content.append(hashlib.blake2b(repr(found).encode(), digest_size=16).digest())
         loose.append(undecided)
         article.append(any(k == MAIN for _, k in found))
         texts.append([t for t, _ in found])
