@@ -52,6 +52,25 @@ def test_pii_contexts_find_unseen_identifiers(docs):
     assert rows[len(seeds)] == f"phone:{at}:{at + 12}" and rows[len(seeds) + 1] == ""
 
 
+def test_pii_contexts_find_identifiers_with_spaces(docs):
+    words = [a + b for a in "abcdefgh" for b in "klmno"]
+    cards = [f"4111 1111 {1000 + i} {n}" for i in range(40) for n in [next(n for n in range(1000, 1100) if pii.luhn(f"41111111{1000 + i}{n}"))]]
+    seeds = [f"hotline {w} phone: +1 (312) 555-{3000 + i} today" for i, w in enumerate(words)] + [f"paid {w} by card {c} today" for w, c in zip(words, cards, strict=True)]
+    unseen = {"(555) 123-4567": "phone", "020 7946 0958": "phone", "4111 1111 1111 1112": "card"}
+    texts = [f"We moved, {kind}: {number} now" for number, kind in unseen.items()] + [f"There were {number} of them" for number in unseen]
+    rows = {r.doc_id: r.text for r in pii.redact(docs([*seeds, *texts])).collect()}
+    got = [rows[len(seeds) + i] for i in range(6)]
+    assert got == [f"We moved, {kind}: [{kind.upper()}] now" for kind in unseen.values()] + texts[3:]
+
+
+def test_pii_groups():
+    text = "a (555) 123-4567, b12 34 5678 1.2.3.4 020 7946 0958. 12 1111111 2222222 3333333 +44 20 7x"
+    found = pii.groups(text, sorted((s, e) for s, _, e in pii.base_spans(text)))
+    assert [text[s:e] for s, e in found] == ["(555) 123-4567", "34 5678", "020 7946 0958", "12 1111111 2222222", "+44 20"]
+    for t in ("1 " * 100_000, "(1) " * 50_000 + "x", "1 1a " * 50_000):
+        pii.candidates(t, [])
+
+
 def test_pii_redact(docs, clashing):
     d = clashing(docs(["mail a@b.co and 1.2.3.4", None, "nothing", "mail a@b.co and 1.2.3.4"]))
     got = pii.redact(d)

@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
-One pass over the texts finds the base entities (the seeds) and, in the same pass, every identifier-shaped token with
-its lexical contexts. Seeds and contexts form a graph of patterns and instances. Spark scores it iteratively: a pattern
-is as good as the instances it matches, an instance as good as the accepted patterns that match it. Tokens that stand
-in a high-confidence context and have the loose shape of its kind are added as spans; base spans always stay.
+One pass over the texts finds the base entities (the seeds) and, in the same pass, every identifier-shaped token,
+or group of numbers written with spaces, with its lexical contexts. Seeds and contexts form a graph of patterns and instances. Spark scores it iteratively: a pattern
+is as good as the instances it matches, an instance as good as the accepted patterns that match it. Tokens and groups
+that stand in a high-confidence context and have the loose shape of its kind are added as spans, of those with one start
+the longest; base spans always stay. A group has the contexts outside of it; it ends where it would exceed 19 digits.
 
 Patterns of a token: the two words to its left, the word to its left with the word to its right, and the word to its
 left alone, in lower case and without digits.
@@ -32,6 +33,9 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: Numbers joined by spaces, full stops, hyphens, slashes and brackets.
+_GROUP = re.compile(r"(?<![\w.@/()+-])\+?\(?[0-9]++(?![\w@])(?:(?!\.\x20)[\x20.()/-]{1,3}+[0-9]++(?![\w@]))+")
+_NUMBER = re.compile(r"\+?\(?[0-9]+")
 _EDGE = " \t\n\r.,;:!?\"'()[]{}<>|"
 
 
@@ -74,8 +78,8 @@ def loose_kinds(token: str) -> int:
     groups = len(re.findall(r"[0-9a-fA-F]+", token))
     bits = 1 * ("@" in token and len(token) > 3)
     bits |= 2 * (4 <= groups <= 8 and re.fullmatch(r"[0-9a-fA-F:.\-]+", token) is not None and digits > 0)
-    bits |= 4 * (12 <= digits <= 19 and re.fullmatch(r"[0-9./_-]+", token) is not None)
-    bits |= 8 * (7 <= digits <= 15 and re.fullmatch(r"\+?[0-9()./_-]+", token) is not None)
+    bits |= 4 * (12 <= digits <= 19 and re.fullmatch(r"[0-9./_\x20-]+", token) is not None)
+    bits |= 8 * (7 <= digits <= 15 and re.fullmatch(r"\+?[0-9()./_\x20-]+", token) is not None)
     return bits
 
 
@@ -83,8 +87,27 @@ def _plain(word: str) -> str:
     return re.sub(r"[0-9]", "", word.strip(_EDGE).lower())[:64]
 
 
+def groups(text: str, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of groups of numbers between the seeds that are written with spaces, of at most 19 digits each."""
+    out, at = [], 0
+    for low, high in [*seeds, (len(text), len(text))]:
+        for m in _GROUP.finditer(text, at, low) if low > at else ():
+            if " " not in m[0]:
+                continue
+            start = end = digits = 0
+            for number in _NUMBER.finditer(text, *m.span()):
+                size = sum("0" <= c <= "9" for c in number[0])
+                if end and digits + size > 19:
+                    out.append((start, end))
+                    end = digits = 0
+                start, end, digits = start if end else number.start(), number.end(), digits + size
+            out.append((start, end))
+        at = max(at, high)
+    return [(s, e) for s, e in out if " " in text[s:e]]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """Identifier-shaped tokens and seeds with contexts: (start, end, seed kind or -1, loose bits, instance, patterns)."""
+    """Identifier-shaped tokens, groups of numbers and seeds with contexts: (start, end, seed kind or -1, loose bits, instance, patterns)."""
     found = [(s, e, k, 0) for s, k, e in base]
     seeds, at = sorted((s, e) for s, _, e in base), 0
     for m in _TOKEN.finditer(text):
@@ -97,6 +120,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
             at += 1
         if end > start and not any(s < end and e > start for s, e in seeds[at : at + 4]) and (bits := loose_kinds(text[start:end])):
             found.append((start, end, -1, bits))
+    found += [(s, e, -1, bits) for s, e in groups(text, seeds) if (bits := loose_kinds(text[s:e]))]
     out = []
     for start, end, kind, bits in found:
         left = [_plain(w) for w in text[max(0, start - 200) : start].split()[-2:]]
@@ -170,9 +194,9 @@ def extract(documents: DataFrame, rounds: int = 3, min_support: int = 8, min_con
     hits = (
         each.where("kind < 0").select("doc_id", "key", "start", "end", "bits", F.explode("patterns").alias("pattern"))
         .join(accepted, "pattern").where(F.expr("shiftright(bits, kind) & 1 = 1"))
-        .groupBy("doc_id", "key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
+        .groupBy("doc_id", "key", "start").agg(F.max(F.struct("end", "confidence", (-F.col("kind")).alias("k"))).alias("best"))
         .groupBy(F.col("doc_id").alias("id"), F.col("key").alias("text_key"))
-        .agg(F.collect_list(F.struct("start", (-F.col("best.k")).alias("kind"), "end")).alias("extra"))
+        .agg(F.collect_list(F.struct("start", (-F.col("best.k")).alias("kind"), F.col("best.end").alias("end"))).alias("extra"))
     )
     on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key"))
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_FOUND))))
