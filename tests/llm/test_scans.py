@@ -112,8 +112,76 @@ def test_exact_places_and_cycles():
     (span,) = secrets.all_spans(text)[1]
     assert span[1] == 1 and base64.b64decode(text[2:])[(span[0] - 2) * 3 // 4 :].startswith((b"AKIA", b" AKIA", b"e AKIA"))
     assert secrets.all_spans("%2525252541 " * 50)[2]  # ends
-    bomb = base64.b64encode(zlib.compress(b"a " * (1 << 22))).decode()
-    assert secrets.all_spans(bomb, max_expansion=1 << 16)[2] is False
+    # Compressed data expands without a bound: parts are scanned one by one.
+    bomb = base64.b64encode(zlib.compress(b"a " * (1 << 22) + SECRET.encode() + b" b" * (1 << 22))).decode()
+    assert secrets.all_spans(bomb)[1:] == ([(0, 0, len(bomb.rstrip("=")))], True)
+    assert secrets.all_spans(base64.b64encode(zlib.compress(b"a" * (1 << 22))).decode(), max_run=1 << 16)[2] is False
+
+
+def test_layers_with_odd_bytes():
+    encoded = lambda x: base64.b64encode(x).decode().rstrip("=")
+    lines = encoded(b"lorem ipsum dolor sit amet, consectetur adipiscing elit sed " + SECRET.encode() + b" do eiusmod tempor")
+    for text in (
+        encoded(SECRET.encode() + b"\0"), encoded(b"\x1b[0m" + SECRET.encode()), encoded(b"\xff" + SECRET.encode()), "%ff" + quote(SECRET, safe=""), encoded(SECRET.encode()) + "A",
+        encoded(gzip.compress(b"x y z ") + gzip.compress(SECRET.encode())), "\n".join(lines[i : i + 64] for i in range(0, len(lines), 64)), quote(zlib.compress(SECRET.encode() * 2)),
+    ):
+        assert any(k == 0 for _, k, _ in secrets.all_spans(text)[1]), text
+
+
+def test_nested_layers_take_linear_time():
+    import time
+
+    nested = SECRET.encode()
+    for _ in range(36):
+        nested = base64.b64encode(nested)
+    for text in ("%" + "25" * 500_000 + "41", "%" * 1_000_000, "%%33" * 250_000, "%41" * 333_333, "Ab1" * 333_333, "\\u005c" * 160_000, nested.decode(), "x " * 500_000 + "%41", "&#37;" * 200_000):
+        began = time.time()
+        secrets.all_spans(text)
+        assert time.time() - began < 20
+
+
+def test_escapes_reach_their_fixpoint():
+    for text, want in (("%2%35%341", "A"), ("%%34%31", "A"), ("\\u005cu0041", "A"), ("\\u0025" + "41", "A"), ("&#x26;#65;", "A"), ("%2x%", None), ("a%", None), ("%zz%41", "%zzA"), ("&#;&#x;%41", "&#;&#x;A")):
+        layer = secrets.escapes(secrets.Layer(text))
+        assert (layer and layer.text) == want
+    text = "é %70assword%3Dabcdefghij%6B%6Cm x"
+    (span,) = set(secrets.all_spans(text)[1]) - set(secrets.all_spans(text)[0])
+    assert text[span[0] : span[2]] == "%70assword%3Dabcdefghij%6B%6Cm"
+
+
+def test_personal_data_of_any_length(docs):
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [(0, 1, 5007)]
+    for t in ("a@b.co," * 20_000, "x" * 300_000 + "@", "a1.2.3.4" * 30_000, ("w" * 3000 + " 12345678 ") * 300, "w" * 1_000_000):
+        pii.candidates(t, pii.base_spans(t))
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmno"]
+    long = "w" * 5000
+    texts = [f"the {long}{'' if i % 2 else 'z'} +1 (312) 555-{3000 + i} {w}" for i, w in enumerate(words)] + [f"the {long} 312-555-9999 now", f"the {long}y 312-555-9999 now"]
+    rows = {r.doc_id: r.spans for r in pii.extract(docs(texts)).collect()}
+    assert [len(rows[len(words) + i]) for i in range(2)] == [1, 0]
+
+
+def test_names_of_other_columns(spark, docs):
+    d = docs(["mail a@b.co and one two three four five six seven eight nine ten, eleven", None])
+    names = ["__hit", "__k", "__spans", "__id", "__key", "pii_id", "pii_key", "pii_spans", "pii_row", "pii_hit", "hit_id", "HIT_KEY", "hit_spans", "id", "spans"]
+    d = d.withColumns({n: F.lit("mine") for n in names})
+    b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "other words")], "item_id long, text string")
+    for got in (pii.redact(d), decontaminate.remove_spans(d, b), decontaminate.remove_spans(d, b, shard_bytes=20)):
+        assert got.columns == d.columns
+        for r in got.collect():
+            assert all(r[n] == "mine" for n in names)
+    assert {r.doc_id: r.text for r in decontaminate.remove_spans(d, b, shard_bytes=20).collect()}[0] == "mail a@b.co and , eleven"
+
+
+def test_long_items_are_parted(spark, docs):
+    r = random.Random(4)
+    item = [r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(400)]
+    texts = [" ".join(item[i : i + n]) + " zz " + " ".join(item[i + 3 : i + 9]) for i, n in ((0, 400), (50, 10), (60, 9), (100, 77), (391, 9), (390, 10))]
+    items = [(1, " ".join(item)), (2, "zz"), (3, " ".join(item[60:71]))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {x[0]: x for x in brute.contamination(list(enumerate(texts)), items)}
+    for size in (8_000_000, 640, 64):
+        for x in decontaminate.report(docs(texts), b).collect() if size == 8_000_000 else decontaminate.contamination(docs(texts), b, shard_bytes=size).collect():
+            assert (x.n_words, x.n_hit) == want[x.doc_id][1:3]
 
 
 def test_decoded_matches_count_once():
@@ -128,12 +196,12 @@ def contaminated(seed, words=4, n=40):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("shard_chars", [8_000_000, 60])
-def test_contamination(spark, docs, seed, shard_chars):
+@pytest.mark.parametrize("shard_bytes", [8_000_000, 60])
+def test_contamination(spark, docs, seed, shard_bytes):
     texts, items = contaminated(seed)
     d, b = docs([t for _, t in texts]), spark.createDataFrame(items, "item_id long, text string")
     want = {r[0]: r for r in brute.contamination(texts, items)}
-    found = decontaminate.contamination(d, b, shard_chars=shard_chars).collect()
+    found = decontaminate.contamination(d, b, shard_bytes=shard_bytes).collect()
     for r in found:
         _, n, hit, names, digest, _ = want[r.doc_id]
         assert (r.n_words, r.n_hit, len(r["items"]), brute.sha(",".join(r["items"]))) == (n, hit, names, digest)
@@ -153,11 +221,11 @@ def test_contamination_report_and_cut(spark, docs, clashing):
     assert decontaminate.report(docs(texts), b.limit(0)).where("contaminated").count() == 0
 
 
-@pytest.mark.parametrize("shard_chars", [8_000_000, 60])
-def test_cut_keeps_the_rest_of_documents(spark, docs, shard_chars):
+@pytest.mark.parametrize("shard_bytes", [8_000_000, 60])
+def test_cut_keeps_the_rest_of_documents(spark, docs, shard_bytes):
     long = " ".join(f"long{i}" for i in range(60))
     short = " ".join(f"short{i}" for i in range(12))
     b = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
     texts = [f"{'before ' * 500}{long} after", f"one two {short} three", f"{long} last", f"{short}, {long}.", f"{short} x {long}"]
-    kept = {r.doc_id: r.text for r in decontaminate.remove_spans(docs(texts), b, shard_chars=shard_chars).collect()}
+    kept = {r.doc_id: r.text for r in decontaminate.remove_spans(docs(texts), b, shard_bytes=shard_bytes).collect()}
     assert kept == {0: "before " * 500 + " after", 1: "one two  three", 2: " last", 4: " x "}

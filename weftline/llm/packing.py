@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import WORKER_CACHES, materialize, small_batches
+from weftline.llm.common import WORKER_CACHES, materialize
 
 # ---------------------------------------------------------------- tokens
 
@@ -142,7 +142,6 @@ def _cut(path: str, end_id: int, capacity: int):
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, buckets: int = 64) -> DataFrame:
     """Per piece of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and a bucket ``salt``."""
     salted = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("salt"))
-    small_batches(documents.sparkSession)
     return salted.mapInArrow(_cut(tokenizer_path, end_id, capacity), _PIECES)
 
 

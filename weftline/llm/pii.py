@@ -7,15 +7,18 @@ that stand in a high-confidence context and have the loose shape of its kind are
 the longest; base spans always stay. A group has the contexts outside of it; it ends where it would exceed 19 digits.
 
 Patterns of a token: the two words to its left, the word to its left with the word to its right, and the word to its
-left alone, in lower case and without digits.
+left alone, in lower case and without digits. They end at the next seed, for which its kind stands.
 
-Defined cases: a null text is empty; repeated rows give repeated results; other columns are ignored; of candidates with
-several accepted patterns the most confident one decides, then the first kind in the order of ``KINDS``.
+Defined cases: a null text is empty; an empty table gives an empty result; repeated rows give repeated results; other
+columns are ignored, whatever their names; of candidates with several accepted patterns the most confident one decides,
+then the first kind in the order of ``KINDS``; texts, words and identifiers may be of any length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bitmap, in_bitmap, map_arrow, materialize
+from weftline.llm.common import bitmap, fresh, in_bitmap, map_arrow, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -32,7 +35,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*")
 #: Numbers joined by spaces, full stops, hyphens, slashes and brackets.
 _GROUP = re.compile(r"(?<![\w.@/()+-])\+?\(?[0-9]++(?![\w@])(?:(?!\.\x20)[\x20.()/-]{1,3}+[0-9]++(?![\w@]))+")
 _NUMBER = re.compile(r"\+?\(?[0-9]+")
@@ -61,7 +64,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base entities, in order of start and then kind."""
     out = [(s, 0, e) for s, e in emails(text)]
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.groups())]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m.groups())]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -84,7 +87,42 @@ def loose_kinds(token: str) -> int:
 
 
 def _plain(word: str) -> str:
-    return re.sub(r"[0-9]", "", word.strip(_EDGE).lower())[:64]
+    """A word without digits and marks at its ends, in lower case; of a long one a digest stands for the end."""
+    plain = re.sub(r"[0-9]", "", word.strip(_EDGE).lower())
+    return plain if len(plain) <= 64 else plain[:32] + hashlib.blake2b(plain.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+def _left(text: str, at: int, floor: int) -> list[str]:
+    """The last two words between ``floor`` and ``at``; a word that ``floor`` cuts counts from there."""
+    size = 64
+    while True:
+        low = max(floor, at - size)
+        words = text[low:at].split()
+        if low == floor or len(words) > 2 or len(words) == 2 and text[low].isspace():
+            return words[-2:]
+        size *= 4
+
+
+def _right(text: str, at: int, ceiling: int) -> list[str]:
+    """The first word between ``at`` and ``ceiling``."""
+    size = 64
+    while True:
+        high = min(ceiling, at + size)
+        words = text[at:high].split(None, 1)
+        if high == ceiling or len(words) > 1 or words and text[high - 1].isspace():
+            return words[:1]
+        size *= 4
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, first kind) of the ranges that the base spans cover, disjoint and sorted."""
+    out: list[tuple[int, int, int]] = []
+    for start, kind, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2])
+        else:
+            out.append((start, end, kind))
+    return out
 
 
 def groups(text: str, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,7 +147,7 @@ def groups(text: str, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """Identifier-shaped tokens, groups of numbers and seeds with contexts: (start, end, seed kind or -1, loose bits, instance, patterns)."""
     found = [(s, e, k, 0) for s, k, e in base]
-    seeds, at = sorted((s, e) for s, _, e in base), 0
+    seeds, at = _merged(base), 0
     for m in _TOKEN.finditer(text):
         start, end = m.span()
         while start < end and text[start] in _EDGE and not (text[start] == "(" and text[start + 1 : start + 2].isdigit()):
@@ -118,13 +156,18 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
             end -= 1
         while at < len(seeds) and seeds[at][1] <= start:
             at += 1
-        if end > start and not any(s < end and e > start for s, e in seeds[at : at + 4]) and (bits := loose_kinds(text[start:end])):
+        if end > start and not (at < len(seeds) and seeds[at][0] < end) and (bits := loose_kinds(text[start:end])):
             found.append((start, end, -1, bits))
-    found += [(s, e, -1, bits) for s, e in groups(text, seeds) if (bits := loose_kinds(text[s:e]))]
+    found += [(s, e, -1, bits) for s, e in groups(text, [(s, e) for s, e, _ in seeds]) if (bits := loose_kinds(text[s:e]))]
     out = []
+    starts, ends = [s for s, _, _ in seeds], [e for _, e, _ in seeds]
     for start, end, kind, bits in found:
-        left = [_plain(w) for w in text[max(0, start - 200) : start].split()[-2:]]
-        right = [_plain(w) for w in text[end : end + 100].split()[:1]]
+        # Contexts don't reach beyond the next seed, of which only the kind is told.
+        before, after = bisect_right(ends, start) - 1, bisect_left(starts, end)
+        left = _left(text, start, ends[before] if before >= 0 else 0)
+        right = _right(text, end, starts[after] if after < len(starts) else len(text))
+        left = [*([f"<{KINDS[seeds[before][2]]}>"] if before >= 0 and len(left) < 2 else []), *map(_plain, left)][-2:]
+        right = [_plain(right[0])] if right else [f"<{KINDS[seeds[after][2]]}>"] if after < len(seeds) else []
         patterns = []
         if len(left) == 2 and all(left):
             patterns.append(f"2:{left[0]} {left[1]}")
@@ -132,12 +175,12 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
             patterns.append(f"1:{left[-1]}")
             if right and right[0]:
                 patterns.append(f"b:{left[-1]} _ {right[0]}")
-        out.append((start, end, kind, bits, text[start:end][:256], patterns))
+        out.append((start, end, kind, bits, hashlib.blake2b(text[start:end].encode("utf-8", "replace"), digest_size=16).digest(), patterns))
     return out
 
 
 _FOUND = "array<struct<start:int,kind:int,end:int>>"
-_CANDIDATES = "array<struct<start:int,end:int,kind:int,bits:int,instance:string,patterns:array<string>>>"
+_CANDIDATES = "array<struct<start:int,end:int,kind:int,bits:int,instance:binary,patterns:array<string>>>"
 
 
 def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,7 +190,7 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
         cands.append([dict(zip(("start", "end", "kind", "bits", "instance", "patterns"), c, strict=True)) for c in candidates(text or "", found)])
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("bits", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+    cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("bits", pa.int32()), ("instance", pa.binary()), ("patterns", pa.list_(pa.string()))]))
     return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "base": pa.array(base, span), "cands": pa.array(cands, cand)})
 
 
@@ -189,7 +232,7 @@ def extract(documents: DataFrame, rounds: int = 3, min_support: int = 8, min_con
     keyed = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
     found = materialize(map_arrow(keyed, _scan, f"doc_id long, key long, base {_FOUND}, cands {_CANDIDATES}"), "pii-base")
     each = found.select("doc_id", "key", F.explode("cands").alias("c")).select("doc_id", "key", "c.*")
-    edges = each.select(F.explode("patterns").alias("pattern"), F.sha2("instance", 256).alias("instance"), "kind").distinct()
+    edges = each.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
     accepted = score_patterns(edges, rounds, min_support, min_confidence)
     hits = (
         each.where("kind < 0").select("doc_id", "key", "start", "end", "bits", F.explode("patterns").alias("pattern"))
@@ -212,33 +255,38 @@ def report(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def _redacted(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = []
-    for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-        parts, done = [], 0
-        for span in spans or ():
-            if span["start"] >= done:
-                parts += [text[done : span["start"]], f"[{KINDS[span['kind']].upper()}]"]
-                done = span["end"]
-        texts.append(text if not spans else "".join([*parts, text[done:]]))
-    keep = [(n, batch.column(n)) for n in batch.schema.names if n != "__spans"]
-    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else c for n, c in keep], names=[n for n, _ in keep])
+def _redacted(name: str):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
+            parts, done = [], 0
+            for span in spans or ():
+                if span["start"] >= done:
+                    parts += [text[done : span["start"]], f"[{KINDS[span['kind']].upper()}]"]
+                    done = span["end"]
+            texts.append(text if not spans else "".join([*parts, text[done:]]))
+        keep = [(n, batch.column(n)) for n in batch.schema.names if n != name]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else c for n, c in keep], names=[n for n, _ in keep])
+
+    return run
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; of overlapping spans the first decides. All columns
     and rows stay. Only texts that have spans move: a bitmap of fixed size tells most of the others."""
     spark, columns = documents.sparkSession, documents.columns
-    found = extract(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    found = materialize(found.dropDuplicates(["__id", "__key"]), "pii-spans")
-    some = spark.sparkContext.broadcast(bitmap(found.select(F.xxhash64("__id", "__key").alias("k")), "k", 24))
+    id_, key, spans, k, hit_ = (fresh(n, documents) for n in ("pii_id", "pii_key", "pii_spans", "pii_row", "pii_hit"))
+    found = extract(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("spans").alias(spans))
+    found = materialize(found.dropDuplicates([id_, key]), "pii-spans")
+    some = spark.sparkContext.broadcast(bitmap(found.select(F.xxhash64(id_, key).alias("k")), "k", 24))
 
     def flag(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hit = in_bitmap(some.value, batch.column("__k").to_numpy().view(np.uint64))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "__hit"])
-
-    keyed = documents.withColumn("__k", F.xxhash64("doc_id", F.xxhash64("text")))
-    marked = map_arrow(keyed, flag, T.StructType([*keyed.schema.fields, T.StructField("__hit", T.BooleanType())]), 4096)
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    hit = marked.where("__hit").join(found, on, "left").select(*columns, "__spans")
-    return marked.where(~F.col("__hit")).select(*columns).unionByName(map_arrow(hit, _redacted, documents.schema, 512))
+        hit = in_bitmap(some.value, batch.column(k).to_numpy().view(np.uint64))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, hit_])
+
+    keyed = documents.withColumn(k, F.xxhash64("doc_id", F.xxhash64("text")))
+    marked = map_arrow(keyed, flag, T.StructType([*keyed.schema.fields, T.StructField(hit_, T.BooleanType())]), 4096)
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
+    hit = marked.where(F.col(hit_)).join(found, on, "left").select(*columns, spans)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in documents.schema.fields])
+    return marked.where(~F.col(hit_)).select(*columns).unionByName(map_arrow(hit, _redacted(spans), schema, 512))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import drop_caches, small_batches
+from weftline.llm.common import drop_caches
 from weftline.llm.decontaminate import words_of
 from weftline.llm.langid import held_out
 
@@ -209,7 +209,6 @@ def score(documents: DataFrame, model: Classifier | None) -> DataFrame:
             predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted], names=["doc_id", "held_out", "score", "predicted"])
 
-    small_batches(documents.sparkSession)
     return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -224,7 +223,6 @@ def keep_clean(documents: DataFrame, model: Classifier | None) -> DataFrame:
             keep = [model is None or model.score(t) < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    small_batches(documents.sparkSession)
     return documents.mapInArrow(apply, schema)
 
 
