@@ -101,7 +101,7 @@ def test_identity_terms_do_not_count():
     rows = [(tox(r, 1, "muslim" if r.random() < 0.8 else None), 1) for _ in range(150)] + [(tox(r, 0, "christian" if r.random() < 0.5 else None), 0) for _ in range(350)]
     texts, labels = [t for t, _ in rows], np.array([x for _, x in rows])
     neutral = [tox(r, 0, "muslim") for _ in range(100)]
-    plain, fair = (toxicity.Classifier.fit(texts, labels, 0.3, penalty=p) for p in (0.0, 50.0))
+    plain, fair = (toxicity.Classifier.fit([*map(toxicity.digest, texts)], labels, 0.3, penalty=p) for p in (0.0, 50.0))
     gap = lambda m: np.mean([m.score(t) - m.score(t.replace("muslim", "christian")) for t in neutral])
     assert abs(gap(fair)) < 0.5 * gap(plain)
     assert np.mean([fair.score(t) >= 0.5 for t in neutral]) <= np.mean([plain.score(t) >= 0.5 for t in neutral])
@@ -112,7 +112,7 @@ def test_copies_are_no_evidence():
     r = random.Random(1)
     same = tox(r, 0) + " zork zork2 here."
     rows = [(same + f" n{i}", 1) for i in range(60)] + [(tox(r, 1), 1) for _ in range(100)] + [(tox(r, 0), 0) for _ in range(300)]
-    model = toxicity.Classifier.fit([t for t, _ in rows], np.array([x for _, x in rows]), 0.3)
+    model = toxicity.Classifier.fit([toxicity.digest(t) for t, _ in rows], np.array([x for _, x in rows]), 0.3)
     assert model.score("lo zork mi") < 0.5 and model.score("lo blorf mi glump") >= 0.5
 
 

@@ -6,7 +6,9 @@ network is trained in numpy on the driver, on a bounded sample of labelled rows,
 together cover every whole text; a document gets the language of the highest mean log-probability, weighted by length.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is everything if no row is labelled;
-repeated rows give repeated results; other columns are ignored; a null doc_id is held out from learning.
+an empty table gives an empty result; of languages with equal scores the first in order of name is taken; repeated rows
+give repeated results; other columns are ignored; a null doc_id is held out from learning; very long texts are worked
+off in blocks of windows, all of them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.llm.common import text_bytes
 
@@ -73,11 +76,9 @@ class ByteCNN:
                 grad = {"out": hidden.T @ d + 1e-4 * self.p["out"], "bias": d.sum(0)}
                 back = (d @ self.p["out"].T) * (1 - hidden**2)
                 for i, w in enumerate(WIDTHS):
-                    g, part = np.zeros_like(self.p[f"w{w}"]), back[:, i * self.filters : (i + 1) * self.filters]
-                    f = np.broadcast_to(np.arange(self.filters), part.shape)
-                    for k in range(w):
-                        np.add.at(g[k], (np.take_along_axis(x, where[i] + k, 1), f), part)
-                    grad[f"w{w}"] = g
+                    part, f = back[:, i * self.filters : (i + 1) * self.filters].ravel(), np.arange(self.filters)
+                    cells = [(np.take_along_axis(x, where[i] + k, 1).astype(np.int64) * self.filters + f).ravel() for k in range(w)]
+                    grad[f"w{w}"] = np.stack([np.bincount(c, part, 256 * self.filters).reshape(256, -1) for c in cells]).astype(np.float32)
                 t += 1
                 for k, g in grad.items():
                     m[k] += 0.1 * (g - m[k])
@@ -173,39 +174,41 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield windows, rows + row, lengths
 
 
+def sampled_windows(text: bytes, most: int) -> list[bytes]:
+    """At most ``most`` of the windows that cover a text, evenly from all of it."""
+    count = max(-(-(len(text) - WINDOW) // _STEP) + 1, 1) if text else 0
+    picks = sorted({j * count // most for j in range(most)}) if count else []
+    return [text[j * _STEP : j * _STEP + WINDOW].ljust(WINDOW, b"\0") for j in picks]
+
+
 def train(documents: DataFrame, sample_rows: int = 4000, windows_per_row: int = 3, epochs: int = 12) -> ByteCNN | None:
     """A network for all languages of labelled rows that aren't held out, or None without such rows.
 
-    It is fitted on at most ``sample_rows`` rows, shared out equally between the languages and chosen by a hash of
-    doc_id, with at most ``windows_per_row`` windows of each. Nothing else is bounded.
+    It is fitted on at most ``sample_rows`` rows (but one of each language at least), shared out equally between the
+    languages and chosen by a hash of doc_id, with at most ``windows_per_row`` windows of each, from all of its text.
+    Nothing else is bounded.
     """
     labelled = documents.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).toPandas().set_index("lang")["n"].to_dict()  # the classes
     if not counts:
         return None
     quota = max(1, sample_rows // len(counts))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * quota / n + 30 / n)))])
-    rank = F.xxhash64(F.col("doc_id"), F.lit(17))
-    chosen = labelled.withColumn("u", F.pmod(rank, F.lit(1 << 30)) / float(1 << 30)).where(F.col("u") < share[F.col("lang")])
+    shares = documents.sparkSession.createDataFrame([(k, min(1.0, (1.3 * quota + 30) / n)) for k, n in counts.items()], "lang string, share double")
+    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.withColumn("u", u).join(F.broadcast(shares), "lang").where("u < share")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, pieces = [], []
-            for i in range(batch.num_rows):
-                data, offsets = text_bytes(batch.column("text").slice(i, 1))
-                windows, _, _ = cut_windows(data, offsets) if len(data) < 1 << 20 else next(_blocks(data, offsets))
-                picks = sorted({j * len(windows) // windows_per_row for j in range(windows_per_row)})
-                keep += [i] * len(picks)
-                pieces += [windows[j].tobytes() for j in picks]
-            rows = batch.select(["lang", "u"]).take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pieces, pa.binary())], names=["lang", "u", "piece"])
-
-    rows = chosen.mapInArrow(cut, "lang string, u double, piece binary").orderBy("u", "lang", "piece").limit(2 * sample_rows * windows_per_row).collect()
+            found = [sampled_windows(t.as_py(), windows_per_row) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.select(["lang", "u", "doc_id"]).columns, pa.array(found, pa.list_(pa.binary()))], names=["lang", "u", "doc_id", "pieces"])
+
+    # A few more rows than the quota of each language are left, so that no language is a large group.
+    cut_rows = chosen.select("lang", "u", "doc_id", "text").mapInArrow(cut, "lang string, u double, doc_id long, pieces array<binary>")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "pieces"))
+    rows = cut_rows.withColumn("rank", rank).where(F.col("rank") <= quota).select("lang", "u", "doc_id", "pieces").collect()
     classes = sorted(counts)
-    by_lang: dict[str, list[bytes]] = {k: [] for k in classes}
-    for r in rows:
-        by_lang[r["lang"]].append(bytes(r["piece"]))
-    pieces = [(classes.index(k), x) for k in classes for x in by_lang[k][: quota * windows_per_row]]
+    place = {k: i for i, k in enumerate(classes)}
+    pieces = [(place[r["lang"]], bytes(x)) for r in sorted(rows) for x in r["pieces"]]
     windows = np.frombuffer(b"".join(x for _, x in pieces), np.uint8).reshape(-1, WINDOW)
     return ByteCNN(classes).fit(windows, np.array([k for k, _ in pieces]), epochs=epochs)
 

@@ -7,8 +7,9 @@ counts allow, and the rest goes by best fit, in decreasing length. A plan is a l
 this length go to sequences s, s+1, ... at this offset". Spark numbers the pieces of each length (in salted buckets, so
 that a length that a third of all pieces have is no hot key) and every piece looks its place up in the plan.
 
-Defined cases: a null text is empty and gives one piece with the end id alone; repeated rows are packed each; other
-columns are ignored; an empty table gives an empty result.
+Defined cases: a null text is empty and gives one piece with the end id alone; repeated rows are packed each, at places
+of their own; other columns are ignored; an empty table gives an empty result; very long texts are cut into as many pieces
+as they need, of a text one batch of ids is in memory.
 """
 
 from __future__ import annotations
@@ -141,7 +142,8 @@ def _cut(path: str, end_id: int, capacity: int):
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, buckets: int = 64) -> DataFrame:
     """Per piece of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and a bucket ``salt``."""
-    salted = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("salt"))
+    # By row and not by what is in it, so that a row that is repeated very often is in all buckets.
+    salted = documents.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int").alias("salt"))
     return salted.mapInArrow(_cut(tokenizer_path, end_id, capacity), _PIECES)
 
 

@@ -5,8 +5,10 @@ sentences that differ only in an identity term: the difference of their scores i
 group does not by itself raise a score. A word enters the vocabulary by the number of different words around it, not
 by how often it occurs, so that a passage copied into many documents doesn't pass for evidence.
 
-Defined cases: a null or empty text gets the score of no words; repeated rows give repeated results; other columns are
-ignored; without labelled rows of both kinds every score is 0; a null doc_id is held out.
+Defined cases: a null or empty text gets the score of no words; an empty table gives an empty result; repeated rows give
+repeated results and are learned once; a document that has both labels is toxic; other columns are ignored; without
+labelled rows of both kinds every score is 0; a null doc_id is held out; very long texts count whole, by their distinct
+words.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import drop_caches
+from weftline.llm.common import drop_caches, map_arrow
 from weftline.llm.decontaminate import words_of
 from weftline.llm.langid import held_out
 
@@ -43,32 +45,50 @@ IDENTITY_GROUPS = (
     ("american", "mexican", "chinese", "indian", "russian", "german", "french", "spanish", "british"),
 )
 
+#: The terms that each may be swapped for.
+_SWAPS = {w.encode(): [x.encode() for x in g if x != w] for g in IDENTITY_GROUPS for w in g}
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
-def counterfactuals(texts: list[str], limit: int = 20_000) -> list[tuple[frozenset, frozenset]]:
-    """Word sets of sentences with an identity term, each with the set after a swap for another term of its group."""
-    groups = {w.encode(): [x.encode() for x in g if x != w] for g in IDENTITY_GROUPS for w in g}
-    out = []
-    for text in texts:
-        for sentence in _SENTENCE.split(text):
-            words = words_of(sentence)
-            for term in sorted(groups.keys() & set(words)):
-                for other in groups[term]:
-                    out.append((frozenset(words), frozenset(other if w == term else w for w in words)))
-                    if len(out) >= limit:
-                        return out
+#: What the fit takes from a text: its distinct words, for each 63 marks of the pairs of words seen around it, and the
+#: distinct words of every sentence that has an identity term.
+Digest = tuple[list[bytes], list[int], list[list[bytes]]]
+_DIGEST = "words array<binary>, marks array<long>, sentences array<array<binary>>"
+
+
+def digest(text: str) -> Digest:
+    marks: dict[bytes, int] = defaultdict(int)
+    words = words_of(text)
+    for left, word, right in zip([b"", *words], words, [*words[1:], b""], strict=False):
+        marks[word] |= 1 << (zlib.crc32(left + b" " + right) % 63)
+    sentences = []
+    if _SWAPS.keys() & marks.keys():
+        sentences = [sorted(found) for x in _SENTENCE.split(text) if _SWAPS.keys() & (found := set(words_of(x)))]
+    return [*marks], [*marks.values()], sentences
+
+
+def counterfactuals(sentences: Iterable[list[bytes]]) -> dict[tuple[frozenset, frozenset], int]:
+    """Pairs of the words of a sentence with an identity term and those after a swap for another term of its group, and
+    how often each is there."""
+    out: Counter = Counter()
+    for words, n in Counter(map(frozenset, sentences)).items():
+        for term in sorted(_SWAPS.keys() & words):
+            for other in _SWAPS[term]:
+                out[words, words - {term} | {other}] += n
     return out
 
 
-#: Word beginnings that are features of their own, in bytes; they are kept apart from words by a trailing star.
+#: Word beginnings that are features of their own, in bytes. They are kept apart from words by a star for each different
+#: word of the text that begins so, up to ``LEVELS``: by chance one such word turns up in a long text, but hardly three.
 BEGINNINGS = (3, 4, 5, 6)
+LEVELS = 3
 
 
-def features(words: list[bytes]) -> set[bytes]:
+def features(words: Iterable[bytes]) -> set[bytes]:
     """Words and their beginnings."""
     out = set(words)
-    return out.union(*[{w[:n] + b"*" for w in out if len(w) >= n} for n in BEGINNINGS])
+    starts = Counter(w[:n] for w in out for n in BEGINNINGS if len(w) >= n)
+    return out.union(start + b"*" * level for start, n in starts.items() for level in range(1, min(n, LEVELS) + 1))
 
 
 class Classifier:
@@ -77,19 +97,23 @@ class Classifier:
     def __init__(self, weights: dict[bytes, float], bias: float):
         self.weights, self.bias = weights, bias
         self._words = {k: v for k, v in weights.items() if not k.endswith(b"*")}
-        self._starts = [(n, {k[:-1]: v for k, v in weights.items() if k.endswith(b"*") and len(k) == n + 1}) for n in BEGINNINGS]
+        self._starts: list[tuple[int, dict[bytes, list[float]]]] = []  # by length: the weights of one, two ... words
+        for n in BEGINNINGS:
+            starts = {k.rstrip(b"*") for k in weights if k.endswith(b"*") and len(k.rstrip(b"*")) == n}
+            self._starts.append((n, {x: [weights.get(x + b"*" * level, 0.0) for level in range(1, LEVELS + 1)] for x in sorted(starts)}))
 
     def score(self, text: str | None) -> float:
         words = set(words_of(text))
         parts = [self._words[w] for w in sorted(self._words.keys() & words)]
         for n, weights in self._starts:
-            parts += [weights[w] for w in sorted(weights.keys() & {w[:n] for w in words})]
+            for start in sorted(weights.keys() & {w[:n] for w in words}):
+                parts += weights[start][: sum(w.startswith(start) for w in words)]
         z = self.bias + sum(parts)
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
     @classmethod
     def fit(
-        cls, texts: list[str], labels: np.ndarray, toxic_share: float = 0.1, most_words: int = 20_000, support: int = 5, significance: float = 4.0,
+        cls, digests: list[Digest], labels: np.ndarray, toxic_share: float = 0.1, support: int = 5, significance: float = 4.0,
         penalty: float = 5.0, decay: float = 5e-6, steps: int = 400, rate: float = 0.1,
     ) -> Classifier | None:
         """Full-batch Adam on log loss + decay * |w|^2 + penalty * mean squared score change over counterfactual pairs.
@@ -100,12 +124,10 @@ class Classifier:
         labels = np.asarray(labels, float)
         if not len(labels) or labels.min() == labels.max():
             return None
-        # Per feature: how many texts of each class have it, and 64 marks for the pairs of words seen around it.
+        # Per feature: how many texts of each class have it, and the marks of what is seen around it.
         before, by_class = defaultdict(int), (Counter(), Counter())
-        for text, label in zip(texts, labels, strict=True):
-            words = words_of(text)
-            for left, word, right in zip([b"", *words], words, [*words[1:], b""], strict=False):
-                mark = 1 << (zlib.crc32(left + b" " + right) & 63)
+        for (words, marks, _), label in zip(digests, labels, strict=True):
+            for word, mark in zip(words, marks, strict=True):
                 for feature in (word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) >= n]):
                     before[feature] |= mark
             by_class[int(label)].update(features(words))
@@ -113,20 +135,22 @@ class Classifier:
         identity = {w.encode() for g in IDENTITY_GROUPS for w in g}
         # Evidence: how surely a feature is commoner in toxic texts, if its surroundings vary enough.
         gain = {}
-        for word, seen in before.items():
+        for word in {*by_class[0], *by_class[1]}:
+            seen = before[word.rstrip(b"*") + b"*"] if word.endswith(b"*") else before[word]
             a, b = by_class[1][word], by_class[0][word]
-            varied = seen.bit_count() / min(64, a + b)
+            varied = seen.bit_count() / min(63, a + b)
             if seen.bit_count() >= support and (varied >= 0.5 or word in identity):
                 p, q = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
                 z = (p - q) / np.sqrt(p * (1 - p) / (n[1] + 1) + q * (1 - q) / (n[0] + 1))
                 # A beginning stands for words that weren't seen; only one that is hardly ever clean may.
                 if z >= significance and (not word.endswith(b"*") or p >= 0.8 * (p + q)) or word in identity:
                     gain[word] = z
-        vocabulary = {w: i for i, w in enumerate(sorted(sorted(gain, key=gain.get, reverse=True)[:most_words]))}
+        vocabulary = {w: i for i, w in enumerate(sorted(gain))}
         pack = lambda rows: _Rows(([vocabulary[w] for w in r if w in vocabulary] for r in rows), len(vocabulary))
-        x = pack(features(words_of(t)) for t in texts)
-        pairs = counterfactuals(texts)
-        one, two = pack([features([*a]) for a, _ in pairs]), pack([features([*b]) for _, b in pairs])
+        x = pack(features(words) for words, _, _ in digests)
+        pairs = counterfactuals(s for _, _, sentences in digests for s in sentences)
+        one, two = pack(features(a) for a, _ in pairs), pack(features(b) for _, b in pairs)
+        often = np.array([*pairs.values()]) / max(1, sum(pairs.values()))
         weight = np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean()))
         weight /= weight.sum()
         w, bias = np.zeros(len(vocabulary)), float(np.log(labels.mean() / (1 - labels.mean())))
@@ -137,7 +161,7 @@ class Classifier:
             g, gb = x.t_dot(d) + 2 * decay * w, d.sum()
             if len(pairs):
                 p1, p2 = _sigmoid(one.dot(w) + bias), _sigmoid(two.dot(w) + bias)
-                gap = 2 * penalty * (p1 - p2) / len(pairs)
+                gap = 2 * penalty * (p1 - p2) * often
                 d1, d2 = gap * p1 * (1 - p1), gap * p2 * (1 - p2)
                 g, gb = g + one.t_dot(d1) - two.t_dot(d2), gb + d1.sum() - d2.sum()
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -167,10 +191,9 @@ class _Rows:
         return np.bincount(self.col, d[self.row], self.width)
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, most_chars: int = 4000) -> Classifier | None:
+def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> Classifier | None:
     """A classifier fitted on at most ``sample_rows`` labelled rows that aren't held out, half of each label as far as
-    there are such, chosen by a hash of doc_id, and on a stretch of at most ``most_chars`` characters around the middle
-    of each (that bounds the driver's memory; scoring reads whole texts)."""
+    there are such, chosen by a hash of doc_id. Of these rows everything counts: executors digest whole texts."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(~F.isnull("toxic") & F.col("toxic").isin(0, 1))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     learn = known.withColumnRenamed("id", "doc_id").where(~held_out())
@@ -181,21 +204,28 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, most
     share = F.when(F.col("toxic") == 1, min(1.0, (1.3 * quota + 30) / counts[1])).otherwise(min(1.0, (1.3 * quota + 30) / counts[0]))
     u = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     chosen = learn.withColumn("u", u).where(F.col("u") < share).orderBy("u", "doc_id").limit(sample_rows + sample_rows // 2)  # a bounded table
-    start = F.greatest(F.lit(1), ((F.length("text") - most_chars) / 2).cast("int"))
-    rows = (
-        documents.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
-        .select("u", "doc_id", "toxic", F.substring(F.col("text"), start, F.lit(most_chars)).alias("text"))
-        .groupBy("u", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    )
-    rows.sort(key=lambda r: (r["u"], r["doc_id"]))
-    taken, texts, truth, seen = Counter(), [], [], set()
-    for r in rows:
-        if taken[r["toxic"]] < quota and r["text"] not in seen:
-            taken[r["toxic"]] += 1
-            seen.add(r["text"])
-            texts.append(r["text"])
-            truth.append(r["toxic"])
-    return Classifier.fit(texts, np.array(truth), toxic_share=counts[1] / (counts[0] + counts[1]))
+
+    def digested(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [digest(t) for t in batch.column("text").to_pylist()]
+        kinds = (pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.binary())))
+        found = [pa.array([x[i] for x in made], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*batch.select(["u", "doc_id", "toxic", "key"]).columns, *found], names=["u", "doc_id", "toxic", "key", "words", "marks", "sentences"])
+
+    texts = documents.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("u", "doc_id", "toxic", F.xxhash64("text").alias("key"), "text")
+    rows = map_arrow(texts, digested, f"u double, doc_id long, toxic int, key long, {_DIGEST}", 64).toArrow().sort_by([("u", "ascending"), ("doc_id", "ascending"), ("key", "ascending")])
+    taken, places, seen, ids = Counter(), [], set(), set()
+    for i, (doc, toxic, key) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "toxic", "key")), strict=True)):
+        if taken[toxic] < quota and key not in seen and doc not in ids:
+            taken[toxic] += 1
+            places.append(i)
+        seen.add(key)
+        ids.add(doc)
+    rows, known_words = rows.take(places), {}
+    own = known_words.setdefault  # one object for each word
+    digests = []
+    for words, marks, sentences in zip(rows.column("words"), rows.column("marks"), rows.column("sentences"), strict=True):
+        digests.append(([own(w, w) for w in words.as_py()], marks.values.to_numpy().tolist(), [[own(w, w) for w in x] for x in sentences.as_py()]))
+    return Classifier.fit(digests, np.array(rows.column("toxic").to_pylist()), toxic_share=counts[1] / (counts[0] + counts[1]))
 
 
 def score(documents: DataFrame, model: Classifier | None) -> DataFrame:
