@@ -275,6 +275,19 @@ def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], then: Callable[[DataFrame], DataFrame], share: int = 1000) -> DataFrame:
+    """The inner join of ``left`` with ``right``, whose column ``n`` tells how many rows of ``left`` have the key, and
+    ``then`` of it. Both are tables, not plans.
+
+    Keys with more than one in ``share`` of the rows are ``share`` at most: their rows of ``right``, one a key, are
+    broadcast, and rows of ``left`` with such a key aren't shuffled. Other keys are no large groups.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot, names = right.where(F.col("n") > total // share), [F.col(k) for k in keys]
+    cold = left.join(F.broadcast(hot.select(*names)), keys, "left_anti").join(right.where(F.col("n") <= total // share).drop("n"), keys)
+    return then(left.join(F.broadcast(hot.drop("n")), keys)).unionByName(then(cold))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the label is one node of the connected component.
 

@@ -1,19 +1,30 @@
 """Removal of repeated substrings by de Bruijn compaction.
 
-Windows of ``size`` consecutive words are the edges of a de Bruijn graph. Only edges that may recur matter: those whose
-minimizer (the smallest hash of the shorter word runs in the window) occurs in several documents. Consecutive edges of a
-document that share a minimizer are compacted into one path; equal contents give equal paths, whatever stands around
-them. Paths are joined first: a path whose content a smaller doc_id also has is covered whole. Where all paths of a
-minimizer have one content the graph doesn't branch, and that is all. Where it branches, the edges of paths that aren't
-covered, i.e. the first occurrence of each content, are joined one by one. Both joins compare
-96 bits of hash from two polynomials, of which the second verifies the coordinates that the first has found. Covered
-stretches of each document are merged, and their words removed.
-
-The filter of minimizers has a fixed size and only thins out candidates; when it fills up, all edges are joined.
-
-Defined cases: a null or empty text has no words; of fewer words than a window nothing is removed; rows with equal
-doc_id are one document, none of them smaller; a row with null doc_id takes nothing from others and loses nothing; ties
-cannot arise, since only smaller doc_ids count; other columns are ignored.
+Windows of ``size`` consecutive words are the edges of a de Bruijn graph, the runs of ``size - 1`` words its nodes. Only
+edges that recur in several documents matter.
+
+1. Edges whose minimizer (the smallest hash of the shorter word runs in the window) occurs in one document only can't
+   recur and drop out; a filter of fixed size tells most of them.
+2. Consecutive edges of a document that share a minimizer travel as one run. Equal contents give equal runs, whatever
+   stands around them, and one row is left of each content, with the coordinates (document, place) of its first
+   occurrence. Where a minimizer has one content only, that row is an edge of the graph, of several words.
+3. Where a minimizer has several contents the graph may branch: the edges in the first occurrence of each content are
+   taken one by one, and those that recur are edges of the graph, again with the coordinates of their first occurrence.
+4. The degrees of all nodes are counted. Edges that follow each other at their coordinates through a node with one way
+   in and one way out are compacted into a segment; segments that such a node joins, in whatever documents, are joined
+   until whole nonbranching paths are left.
+5. Each later occurrence of a run or an edge is joined with its path and its source coordinates. Neighbours on a path
+   whose coordinates are neighbours too make one long span, which stands for as many words of the source document.
+   The source's words are read there and their digest goes along; words are only removed where the document's own words
+   have the same digest.
+
+Joins with many rows of one key (a passage that a third of all documents have) take these keys from a broadcast table:
+keys with more than a thousandth of the rows, which are a thousand at most.
+
+Defined cases: a null or empty text has no words; of fewer words than a window nothing is removed; an empty table gives
+an empty result; rows with equal doc_id are one document, none of them smaller; a row with null doc_id takes nothing
+from others and loses nothing; ties cannot arise, since only smaller doc_ids count; other columns are ignored; texts may
+be of any length, and one text's spans are one row.
 """
 
 from __future__ import annotations
@@ -23,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from weftline.llm.common import SPACE, bitmap, discard, in_bitmap, map_arrow, materialize, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
+from weftline.llm.common import SPACE, bitmap, components, discard, in_bitmap, join_hot, map_arrow, materialize, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
 
 _PART = 6  # words of the runs among which a window's minimizer is chosen
 
@@ -62,17 +74,17 @@ def _candidates(size: int):
     return fn
 
 
-def _compacted(batch: pa.RecordBatch, size: int, words_map: np.ndarray) -> dict:
-    """The paths of candidate edges of a batch of texts: rows, places, minimizers and hashes, and their edges."""
+def _runs_of(batch: pa.RecordBatch, size: int, candidates: np.ndarray) -> dict:
+    """Candidate edges of a batch of texts and the runs that they make: rows, places, minimizers, hashes and nodes."""
     words, rows = _words(batch.column("text"))
     starts, offsets = window_rows(rows, size)
     least = _minimizers(words, size)[starts]
-    keep = np.flatnonzero(in_bitmap(words_map, least))
+    keep = np.flatnonzero(in_bitmap(candidates, least))
     row = np.searchsorted(offsets, keep, "right") - 1
     at, least = starts[keep], least[keep]
-    edge, check = window_hashes(words, size), window_hashes(words, size, seed=99)
+    edge, check, node = window_hashes(words, size), window_hashes(words, size, seed=99), window_hashes(words, size - 1, seed=7)
     edge, check = edge[at] if len(at) else edge[:0], (check[at] >> np.uint64(33)).astype(np.int32) if len(at) else np.zeros(0, np.int32)
-    # A path ends where the row, the minimizer or the run of kept edges ends.
+    # A run ends where the row, the minimizer or the sequence of kept edges ends.
     new = np.ones(len(at), bool)
     new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
@@ -80,94 +92,207 @@ def _compacted(batch: pa.RecordBatch, size: int, words_map: np.ndarray) -> dict:
     count = np.diff(bounds)
     place = (np.arange(len(at)) - np.repeat(first, count)).astype(np.uint64)
     spread = (place * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    path = np.add.reduceat((edge ^ spread) * (spread | np.uint64(1)), first) + count.astype(np.uint64) if len(first) else edge[:0]
-    path_check = np.add.reduceat(check.astype(np.int64) * (place.astype(np.int64) * 2 + 3), first) & 0x7FFFFFFF if len(first) else np.zeros(0, np.int64)
-    return {"row": row[first], "start": (at[first] - rows[row[first]]).astype(np.int32), "m": least[first], "path": path, "path_check": path_check.astype(np.int32), "count": count, "place": place, "edge": edge, "check": check}
+    run = np.add.reduceat((edge ^ spread) * (spread | np.uint64(1)), first) + count.astype(np.uint64) if len(first) else edge[:0]
+    run_check = np.add.reduceat(check.astype(np.int64) * (place.astype(np.int64) * 2 + 3), first) & 0x7FFFFFFF if len(first) else np.zeros(0, np.int64)
+    return {"row": row, "start": (at - rows[row]).astype(np.int32), "first": first, "count": count, "m": least[first], "run": run, "run_check": run_check.astype(np.int32), "edge": edge, "check": check, "head": node[at], "tail": node[at + 1]}
 
 
-def _paths(size: int, shared):
+_PIECES = "doc_id long, key long, start int, count int, k long, c int, head long, tail long"
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _runs(size: int, shared):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _compacted(batch, size, shared.value)
-        owner = pa.array(x["row"])
-        columns = [batch.column("doc_id").take(owner), batch.column("key").take(owner), *[pa.array(v) for v in (x["m"].view(np.int64), x["start"], x["count"].astype(np.int32), x["path"].view(np.int64), x["path_check"])]]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "m", "start", "count", "path", "path_check"])
+        x = _runs_of(batch, size, shared.value)
+        first = x["first"]
+        last = first + x["count"] - 1
+        owner = pa.array(x["row"][first])
+        columns = [pa.array(x["start"][first]), pa.array(x["count"].astype(np.int32)), _signed(x["run"]), pa.array(x["run_check"]), _signed(x["head"][first]), _signed(x["tail"][last]), _signed(x["m"])]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("key").take(owner), *columns], names=["doc_id", "key", "start", "count", "k", "c", "head", "tail", "m"])
 
     return fn
 
 
-def _open_key(path: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    return mix(path ^ mix(doc_id.astype(np.int64).view(np.uint64)))
+_AGAIN = np.uint64(0x5851F42D4C957F2D)
+
+
+def _open_key(run: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return mix(run ^ mix(doc_id.astype(np.int64).view(np.uint64)))
 
 
 def _open_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keys = _open_key(batch.column("path").to_numpy().view(np.uint64), batch.column("doc_id").to_numpy())
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["k"])
+    """A key for each run to be opened, and another if it recurs."""
+    keys = _open_key(batch.column("k").to_numpy().view(np.uint64), batch.column("source").to_numpy())
+    again = mix(keys[batch.column("again").to_numpy(zero_copy_only=False)] ^ _AGAIN)
+    return pa.RecordBatch.from_arrays([_signed(np.concatenate([keys, again]))], names=["k"])
 
 
 def _edges(size: int, shared, opened):
+    """The edges of runs that are opened, one by one; ``again``: the whole run recurs."""
+
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _compacted(batch, size, shared.value)
-        ids = batch.column("doc_id").to_numpy()
-        chosen = np.repeat(in_bitmap(opened.value, _open_key(x["path"], ids[x["row"]])), x["count"])
-        row = np.repeat(x["row"], x["count"])[chosen]
-        start = (np.repeat(x["start"], x["count"]) + x["place"].astype(np.int32))[chosen]
-        owner = pa.array(row)
-        columns = [batch.column("doc_id").take(owner), batch.column("key").take(owner), pa.array(start.astype(np.int32)), pa.array(x["edge"][chosen].view(np.int64)), pa.array(x["check"][chosen])]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "start", "edge", "check"])
+        x = _runs_of(batch, size, shared.value)
+        keys = _open_key(x["run"], batch.column("doc_id").to_numpy()[x["row"][x["first"]]])
+        chosen = in_bitmap(opened.value, keys)
+        again = np.repeat(chosen & in_bitmap(opened.value, mix(keys ^ _AGAIN)), x["count"])
+        chosen = np.repeat(chosen, x["count"])
+        owner = pa.array(x["row"][chosen])
+        columns = [pa.array(x["start"][chosen]), pa.array(np.ones(int(chosen.sum()), np.int32)), _signed(x["edge"][chosen]), pa.array(x["check"][chosen]), _signed(x["head"][chosen]), _signed(x["tail"][chosen]), pa.array(again[chosen])]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("key").take(owner), *columns], names=["doc_id", "key", "start", "count", "k", "c", "head", "tail", "again"])
 
     return fn
 
 
+def _sources(pieces: DataFrame, **more: Column) -> DataFrame:
+    """One row of each content (k, c): the coordinates of its first occurrence, the last document, and the occurrences."""
+    rows = pieces.groupBy("k", "c").agg(F.min(F.struct("doc_id", "key", "start")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("count", "head", "tail")], *[x.alias(name) for name, x in more.items()])
+    return rows.select("k", "c", F.col("at.doc_id").alias("source"), F.col("at.key").alias("source_key"), F.col("at.start").alias("source_start"), "last", "n", "count", "head", "tail", *more)
+
+
+def _compacted(graph: DataFrame) -> DataFrame:
+    """The edges (k, c, level) of the graph with the id of their nonbranching path."""
+    ends = graph.select(F.col("head").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(graph.select(F.col("tail").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    through = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out = 1 and into = 1").select("node", F.lit(True).alias("through"))
+    placed = graph.join(through.withColumnRenamed("node", "head"), "head", "left")
+    # Edges that follow each other at their coordinates, through such a node, are one segment.
+    order = Window.partitionBy("source", "source_key").orderBy("source_start", "level", "k")
+    follows = F.col("through") & (F.lag("tail").over(order) == F.col("head")) & (F.lag(F.col("source_start") + F.col("count")).over(order) == F.col("source_start"))
+    marked = placed.withColumn("begins", F.when(F.coalesce(follows, F.lit(False)), None).otherwise(F.xxhash64("k", "c", "level")))
+    marked = marked.withColumn("segment", F.last("begins", ignorenulls=True).over(order))
+    marked = materialize(marked.select("k", "c", "level", "segment", "head", "tail", "through", F.col("begins").isNotNull().alias("begins")), "segments")
+    # Segments that begin at a node with one way in and out are joined to the one that ends there.
+    begin = marked.where("begins and through").select(F.col("head").alias("node"), F.col("segment").alias("a"))
+    end = marked.select(F.col("tail").alias("node"), F.col("segment").alias("b"))
+    labels = components(begin.join(end, "node").select("a", "b"))
+    return marked.join(labels.withColumnRenamed("node", "segment"), "segment", "left").select("k", "c", "level", F.coalesce("label", "segment").alias("path"))
+
+
+_SPAN = "start:int,end:int,source:long,source_key:long,source_start:int"
+
+
+def _long_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The pieces of each text, merged where neighbours on a path have neighbouring coordinates."""
+    merged, paths = [], []
+    for pieces in batch.column("pieces").to_pylist():
+        out: list[dict] = []
+        rows = sorted({(x["source"], x["source_key"], x["path"], x["source_start"] - x["start"], x["start"], x["end"]) for x in pieces})
+        before = None
+        for source, key, path, shift, start, end in rows:
+            if before == (source, key, path, shift) and start <= out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], end)
+            else:
+                out.append({"start": start, "end": end, "source": source, "source_key": key, "source_start": start + shift})
+            before = (source, key, path, shift)
+        merged.append(out)
+        paths.append(len({x["path"] for x in pieces}))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("source_key", pa.int64()), ("source_start", pa.int32())]))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(merged, kind), pa.array(paths, pa.int32())], names=["doc_id", "key", "spans", "n_paths"])
+
+
+def _split(text: str | None) -> list[bytes]:
+    return [w for w in (text or "").encode().translate(_BREAKS).split(b" ") if w]
+
+
+def _digest(words: list[bytes], start: int, end: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
+
+
+def _read(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Digests of the words that are asked for, (start, size) each."""
+    found = []
+    for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        words = _split(text)
+        found.append([{"source_start": x["source_start"], "size": x["size"], "digest": _digest(words, x["source_start"], x["source_start"] + x["size"])} for x in wanted])
+    kind = pa.list_(pa.struct([("source_start", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())]))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, kind)], names=["doc_id", "key", "found"])
+
+
+def _verified(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, key, spans, n_paths) with the digest of the source's words in each span: array<struct<start,end,digest>>."""
+    spark = keyed.sparkSession
+    each = spans.select("doc_id", "key", "n_paths", F.explode("spans").alias("x")).select("doc_id", "key", "n_paths", "x.*", F.expr("x.end - x.start").alias("size"))
+    coordinates = ["source", "source_key", "source_start", "size"]
+    asked = materialize(each.groupBy(*coordinates).agg(F.count("*").alias("n")), "asked")
+    wanted = asked.groupBy(F.col("source").alias("doc_id"), F.col("source_key").alias("key")).agg(F.collect_list(F.struct("source_start", "size")).alias("wanted"))
+    some = spark.sparkContext.broadcast(bitmap(asked.select(F.xxhash64("source", "source_key").alias("k")).distinct(), "k", 24))
+    sources = _marked(keyed, some).where("hit").select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
+    read = map_arrow(sources.join(wanted, ["doc_id", "key"]), _read, "doc_id long, key long, found array<struct<source_start:int,size:int,digest:binary>>", 256)
+    read = read.select(F.col("doc_id").alias("source"), F.col("key").alias("source_key"), F.explode("found").alias("x")).select("source", "source_key", "x.*")
+    read = materialize(read.join(asked, coordinates), "digests")
+    told = join_hot(each, read, coordinates, lambda d: d.select("doc_id", "key", "n_paths", F.struct("start", "end", "digest").alias("x")))
+    out = materialize(told.groupBy("doc_id", "key").agg(F.collect_list("x").alias("spans"), F.max("n_paths").alias("n_paths")), "verified")
+    discard(asked, read)
+    return out
+
+
+def _marked(keyed: DataFrame, some) -> DataFrame:
+    """(doc_id, key, text, hit): whether a bitmap of hashes of doc_id and key has the row."""
+
+    def flag(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hit = in_bitmap(some.value, batch.column("row").to_numpy(zero_copy_only=False).view(np.uint64))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "hit"])
+
+    return map_arrow(keyed.withColumn("row", F.xxhash64("doc_id", "key")), flag, "doc_id long, key long, text string, row long, hit boolean", 4096)
+
+
 def covered_spans(documents: DataFrame, size: int = 13) -> DataFrame:
-    """(doc_id, key, spans) of the documents with words to remove: spans are array<struct<start, end>> of word places
-    (unsorted, may overlap), key is the hash of the text."""
+    """(doc_id, key, spans, n_paths) of the documents with words to remove: spans are array<struct<start, end, digest>> of
+    word places (unsorted, may overlap) with the digest of the source's words, key is the hash of the text, n_paths the
+    compacted paths that they lie on."""
     texts = documents.select("text")
     spark = documents.sparkSession
     counted = map_arrow(texts, _candidates(size), "m long", 512).groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     shared = spark.sparkContext.broadcast(bitmap(materialize(counted, "minimizers"), "m"))
     keyed = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    paths = map_arrow(keyed, _paths(size, shared), "doc_id long, key long, m long, start int, count int, path long, path_check int", 512)
-    paths = materialize(paths, "paths")
-    least = paths.groupBy("path", "path_check").agg(F.min("doc_id").alias("source"))
-    placed = paths.join(least, ["path", "path_check"]).select("doc_id", "key", "m", "start", "count", "path", (F.col("source") < F.col("doc_id")).alias("whole"))
-    placed = materialize(placed, "placed")
-    contents = paths.groupBy("m").agg(F.min("path").alias("a"), F.max("path").alias("b"), F.min("path_check").alias("c"), F.max("path_check").alias("d"))
-    branching = contents.where("a <> b or c <> d").select("m")
-    todo = placed.where(~F.col("whole")).select("m", "path", "doc_id").join(branching, "m", "left_semi")
-    opened = spark.sparkContext.broadcast(bitmap(map_arrow(todo.select("path", "doc_id"), _open_keys, "k long", 1 << 16), "k"))
-    discard(paths)
-    ends = materialize(map_arrow(keyed, _edges(size, shared, opened), "doc_id long, key long, start int, edge long, check int", 512), "edges")
-    first = ends.groupBy("edge", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("edge", "check", "source")
-    single = ends.join(first, ["edge", "check"]).where(F.col("source") < F.col("doc_id")).select("doc_id", "key", "start", (F.col("start") + size).alias("end"))
-    whole = placed.where("whole").select("doc_id", "key", "start", (F.col("start") + F.col("count") + size - 1).alias("end"))
-    covered = materialize(whole.unionByName(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "covered")
-    discard(placed)
-    discard(ends)
-    return covered
+    runs = materialize(map_arrow(keyed, _runs(size, shared), _PIECES + ", m long", 512), "runs")
+    contents = materialize(_sources(runs, m=F.min("m")), "contents")
+    branching = materialize(contents.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"), "branching")
+    todo = contents.join(branching, "m", "left_semi").select("k", "source", (F.col("source") < F.col("last")).alias("again"))
+    opened = spark.sparkContext.broadcast(bitmap(map_arrow(todo, _open_keys, "k long", 1 << 16), "k"))
+    edges = materialize(map_arrow(keyed, _edges(size, shared, opened), _PIECES + ", again boolean", 512), "edges")
+    single = materialize(_sources(edges, again=F.max("again")).where("source < last or again").drop("again"), "repeated")
+    repeated = contents.where("source < last")
+    graph = repeated.join(branching, "m", "left_anti").select(F.lit(1).alias("level"), *single.columns).unionByName(single.withColumn("level", F.lit(2)))
+    paths = materialize(_compacted(graph.drop("n", "last")), "paths")
+    # Runs of minimizers with several contents are paths of their own.
+    pieces = []
+    for level, occurrences, sources in ((1, runs, repeated), (2, edges, single.where("source < last"))):
+        on = paths.where(F.col("level") == level).select("k", "c", "path")
+        sources = materialize(sources.select("k", "c", "n", "source", "source_key", "source_start").join(on, ["k", "c"], "left").withColumn("path", F.coalesce("path", "k")), "sources")
+        later = lambda d: d.where("source < doc_id").select("doc_id", "key", "start", (F.col("start") + F.col("count") + size - 1).alias("end"), "source", "source_key", "source_start", "path")
+        pieces.append(materialize(join_hot(occurrences.select("doc_id", "key", "start", "count", "k", "c"), sources, ["k", "c"], later), "pieces"))
+        discard(occurrences)
+    discard(contents, single, paths)
+    whole = pieces[0].unionByName(pieces[1]).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end", "source", "source_key", "source_start", "path")).alias("pieces"))
+    spans = materialize(map_arrow(whole, _long_spans, f"doc_id long, key long, spans array<struct<{_SPAN}>>, n_paths int"), "spans")
+    discard(*pieces)
+    out = _verified(keyed, spans)
+    discard(spans)
+    return out
 
 
 def _kept(size: int, texts: bool):
     """Digest columns, or the kept words as text."""
 
     def one(text: str | None, spans: list[dict] | None) -> tuple[int, int, bytes]:
-        words = (text or "").encode().translate(_BREAKS).split(b" ")
-        words = [w for w in words if w]
+        words = _split(text)
+        spans = [x for x in spans or () if _digest(words, x["start"], x["end"]) == x["digest"]]
         if not spans:
             return len(words), 0, b" ".join(words)
         change = np.zeros(len(words) + 1, np.int64)
-        np.add.at(change, [s["start"] for s in spans], 1)
-        np.add.at(change, [s["end"] for s in spans], -1)
+        np.add.at(change, [x["start"] for x in spans], 1)
+        np.add.at(change, [x["end"] for x in spans], -1)
         keep = (np.cumsum(change)[:-1] == 0).tolist()
         return len(words), len(words) - sum(keep), b" ".join([w for w, k in zip(words, keep, strict=True) if k])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [one(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            last = [k.decode() if texts else hashlib.sha256(k).hexdigest() for _, _, k in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([r for _, r, _ in rows], pa.int64()), pa.array(last, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept" if texts else "kept_sha256"],
-            )
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [one(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        last = [k.decode() if texts else hashlib.sha256(k).hexdigest() for _, _, k in rows]
+        made = [pa.array([n for n, _, _ in rows], pa.int64()), pa.array([r for _, r, _ in rows], pa.int64()), pa.array(last, pa.string())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, batch.column("n_paths")], names=["doc_id", "n_words", "n_removed", "kept" if texts else "kept_sha256", "n_paths"])
 
     return run
 
@@ -177,26 +302,22 @@ _BREAKS = bytes(32 if SPACE[b] else b for b in range(256))
 
 
 def deduplicate(documents: DataFrame, size: int = 13, texts: bool = True) -> DataFrame:
-    """Per document row: doc_id, n_words, n_removed, and the kept words joined by spaces (or their SHA-256)."""
+    """Per document row: doc_id, n_words, n_removed, the kept words joined by spaces (or their SHA-256), and n_paths, the
+    compacted paths that the removed words lie on."""
     spark = documents.sparkSession
     spans = covered_spans(documents, size)
     # Texts that lose nothing stay where they are; a bitmap of fixed size tells most of them.
     lost = spark.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("doc_id", "key").alias("k")), "k", 24))
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = in_bitmap(lost.value, batch.column("k").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "hit"])
-
-    schema = "doc_id long, n_words long, n_removed long, " + ("kept string" if texts else "kept_sha256 string")
-    kind = "array<struct<start:int,end:int>>"
-    keyed = documents.select("doc_id", F.xxhash64("text").alias("key"), "text").withColumn("k", F.xxhash64("doc_id", "key"))
-    marked = keyed.mapInArrow(flag, "doc_id long, key long, text string, k long, hit boolean")
-    clean = marked.where(~F.col("hit")).select("doc_id", "text", F.lit(None).cast(kind).alias("spans"))
-    touched = marked.where("hit").select("doc_id", "key", "text").join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    schema = "doc_id long, n_words long, n_removed long, " + ("kept string" if texts else "kept_sha256 string") + ", n_paths int"
+    keyed = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    marked = _marked(keyed, lost)
+    none = F.lit(None).cast("array<struct<start:int,end:int,digest:binary>>")
+    clean = marked.where(~F.col("hit")).select("doc_id", "text", none.alias("spans"), F.lit(0).alias("n_paths"))
     # Null ids never join; they come through the left join without spans.
-    return clean.mapInArrow(_kept(size, texts), schema).unionByName(touched.mapInArrow(_kept(size, texts), schema))
+    touched = marked.where("hit").select("doc_id", "key", "text").join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
+    kept = _kept(size, texts)
+    return map_arrow(clean, kept, schema, 512).unionByName(map_arrow(touched, kept, schema, 512))
 
 
 def report(documents: DataFrame, size: int = 13) -> DataFrame:
-    return deduplicate(documents, size, texts=False)
+    return deduplicate(documents, size, texts=False).drop("n_paths")
