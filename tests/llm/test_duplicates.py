@@ -141,3 +141,74 @@ def test_substring_cases(docs):
     assert got == sorted(brute.substrings(rows), key=repr)
     kept = {r.doc_id: r.kept for r in debruijn.deduplicate(docs(["a " * 5 + words, words + " é"])).collect()}
     assert kept == {0: "a a a a a " + words, 1: "é"}
+
+
+def test_regions_part_into_cells(spark):
+    """Large regions go through several rounds of cells; every link is found or lies within a component."""
+    r = np.random.default_rng(3)
+    bases = [r.integers(0, 5000, 40) for _ in range(25)]
+    sets = [np.unique(np.concatenate([b[: 40 - n], r.integers(0, 5000, n)])) for b in bases for n in r.integers(0, 7, 20)]
+    ids = [i.to_bytes(16, "big") for i in range(len(sets))]
+    table = spark.createDataFrame([(i, s.tolist()) for i, s in zip(ids, sets, strict=True)], "c binary, items array<long>")
+    mixed = spark.createDataFrame([(1, i, i, 3, 1 << 62) for i in ids], "r long, c binary, label binary, role int, parent long")
+    edges = {(bytes(e.a), bytes(e.b)) for e in jaccard_join._joined_regions(common.materialize(mixed, "t"), common.materialize(table, "t"), 80, 8, pivots=5, most=2).collect()}
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    linked = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    where = dict(zip(ids, sets, strict=True))
+    for a, b in edges:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i: i for i in ids}
+
+    def find2(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if linked(where[a], where[b]):
+                want[max(find2(a), find2(b))] = min(find2(a), find2(b))
+    assert [find(i) for i in ids] == [find2(i) for i in ids]
+
+
+def test_paths_of_the_graph(spark):
+    """Nonbranching paths of a small graph: edges of three words, whose nodes are two words."""
+    rows, texts = [], {1: "a b c d e f", 2: "x b c d e y", 3: "p c d e f g", 4: "f g h a b c"}
+    words = {k: t.split() for k, t in texts.items()}
+    grams = {}
+    for k, w in words.items():
+        for i in range(len(w) - 2):
+            grams.setdefault(tuple(w[i : i + 3]), []).append((k, i))
+    number = lambda x: hash(x) >> 2
+    for gram, places in grams.items():
+        doc, start = min(places)
+        rows.append((number(gram), 0, 2, doc, 0, start, 1, number(gram[:2]), number(gram[1:])))
+    graph = spark.createDataFrame(rows, "k long, c int, level int, source long, source_key long, source_start int, count int, head long, tail long")
+    got = {}
+    for x in debruijn._compacted(graph).collect():
+        got.setdefault(x.path, set()).add(x.k)
+    # Brute force: neighbours through nodes with one way in and one way out.
+    into, out = {}, {}
+    for g in grams:
+        out.setdefault(g[:2], []).append(g)
+        into.setdefault(g[1:], []).append(g)
+    group = {g: {g} for g in grams}
+    for node in out:
+        if len(out[node]) == 1 and len(into.get(node, [])) == 1:
+            joined = group[into[node][0]] | group[out[node][0]]
+            for g in joined:
+                group[g] = joined
+    assert {frozenset(x) for x in got.values()} == {frozenset(number(g) for g in x) for x in group.values()}
+
+
+def test_hot_keys_join(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(600)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    got = common.join_hot(common.materialize(left, "t"), common.materialize(right, "t"), ["k"], lambda d: d.select("k", "v"), share=20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.collect()))

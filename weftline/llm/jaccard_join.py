@@ -14,28 +14,30 @@ that share a rare shingle with others. In short:
 * First round: a class belongs to the Voronoi cell of the pivot that it shares most shingles with; its distance to that
   pivot gives a link or not. Links are merged to components.
 * Second round: only regions that are still in several components go on. What isn't in a region's largest component
-  is compared with all of the region, in blocks. A block picks pivots again, parts its members into their cells, sends
-  along from other cells what lies in the window d(y, pivot) <= d(y, own pivot) + 2 (1 - t), and joins cells
-  recursively, down to direct comparison. Pairs that are connected already need none.
+  is compared with all of the region. Spark parts a large region into the Voronoi cells of pivots from some of its
+  components; along from other cells go members in the window d(y, pivot) <= d(y, own pivot) + 2 (1 - t), and every
+  cell is a region of the next round. Small regions, and those that pivots don't part, are joined in blocks; a block
+  does the same within itself, down to direct comparison. Pairs that are connected already need none.
 
 Every link between different sets is found or lies inside a component, so components are exact. Hashes are 64 bits a
 shingle and 128 bits a class.
 
 Defined cases: null, empty and white-space texts have empty sets, which link with nothing; texts of fewer words than a
-shingle are one shingle; rows that repeat a doc_id with other texts are judged each by its own text; a null doc_id links
+shingle are one shingle; texts may be of any length; an empty table gives an empty result; rows that repeat a doc_id with other texts are judged each by its own text; a null doc_id links
 but never names a component while another id is there; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, SPACE, bitmap, components, in_bitmap, list_array, map_arrow, map_groups, materialize, mix, text_bytes, window_hashes, word_hashes, word_spans
+from weftline.llm.common import LOWER, SPACE, bitmap, components, discard, fresh, in_bitmap, join_hot, list_array, map_arrow, map_groups, materialize, mix, text_bytes, window_hashes, word_hashes, word_spans
 
 _LOW = np.uint64((1 << 64) // 3)  # hashes below this are counted: more than a prefix for t = 0.8 has
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -95,7 +97,7 @@ def _counted(size: int):
 
 def _signed(size: int, percent: int, shared):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        often, frequent, all_counted = shared.value
+        often, frequent = shared.value
         sets, hits = shingle_sets(batch.column("text"), size), []
         for s in sets:
             cut = int(np.searchsorted(s, _LOW))
@@ -105,7 +107,7 @@ def _signed(size: int, percent: int, shared):
             level[maybe[in_bitmap(frequent, s[maybe])]] = 2
             order = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)] if len(s) else np.zeros(0, np.int64)
             first = s[order]
-            hits.append(first[(first >= _LOW) | (level[order] > 0)] if all_counted else first)
+            hits.append(first[(first >= _LOW) | (level[order] > 0)])
         offsets = np.cumsum([0, *[len(h) for h in hits]])
         values = pa.array(np.concatenate([*hits, np.zeros(0, np.uint64)]).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), _binary16(class_ids(sets)), pa.array([len(s) for s in sets], pa.int64()), list_array(offsets, values)], names=["doc_id", "c", "n", "hits"])
@@ -252,7 +254,79 @@ def _joined(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_groups(rows, "g", _link(percent), "a binary, b binary")
 
 
-def links(documents: DataFrame, size: int = 5, percent: int = 80, most_shared: int = 1 << 26, block: int = 128) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cells(percent: int):
+    """Members of a block of a region and its pivots (role 4): a row (r, cell, c, role) for every cell that a member goes
+    to, and links of members and pivots (a, b)."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        role = batch.column("role").to_numpy()
+        pivots, members = np.flatnonzero(role & 4), np.flatnonzero(role & 3)
+        if not len(pivots) or not len(members):
+            return None
+        ids, region = batch.column("c").to_pylist(), Region(batch.column("items"), percent)
+        distance, links = [], []
+        for p in pivots.tolist():
+            both = region.shared(p, members)
+            all_ = region.sizes[p] + region.sizes[members] - both
+            distance.append(1 - both / all_)
+            links += [(ids[m], ids[p]) for m in members[100 * both >= percent * all_].tolist() if ids[m] != ids[p]]
+        distance = np.array(distance)
+        # What is linked with a member is as near to the member's nearest pivot as to its own, give or take 2 (1 - t).
+        near = distance <= distance.min(0) + 2 * (1 - percent / 100) + 1e-9
+        home = distance.argmin(0)
+        cell, at = np.nonzero(near)
+        roles = (role[members[at]] & 1) + np.where((role[members[at]] & 2 > 0) & (home[at] == cell), 2, 0)
+        keep = roles > 0
+        cells, rows, roles = cell[keep], members[at[keep]], roles[keep]
+        n = len(links)
+        columns = [pa.array(np.concatenate([np.full(len(cells), batch.column("r")[0].as_py()), np.zeros(n, np.int64)])), pa.array([ids[pivots[x]] for x in cells] + [b for _, b in links], pa.binary()), pa.array([ids[x] for x in rows] + [a for a, _ in links], pa.binary()), pa.array(np.concatenate([roles, np.full(n, 8)]).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["r", "cell", "c", "role"])
+
+    return fn
+
+
+def _joined_regions(mixed: DataFrame, sets: DataFrame, percent: int, block: int, pivots: int = 12, most: int = 16) -> DataFrame:
+    """Edges (a, b) that connect every linked pair of a member of role 2 of a region with one of role 1.
+
+    mixed: (r, c, label, role) of regions r; a member can have both roles (3). Small regions are compared directly, in blocks; a large one
+    is parted into the cells of its pivots, one each of some of its components, and every cell is a region of the next
+    round. A cell that is hardly smaller than its region told nothing, and is compared directly.
+    """
+    found, direct, current, before = [], [], mixed, None
+    while True:
+        regions = current.groupBy("r").agg(F.sum((F.col("role").bitwiseAND(1) > 0).cast("long")).alias("all"), F.sum((F.col("role").bitwiseAND(2) > 0).cast("long")).alias("left"), F.count("*").alias("n"), F.max("parent").alias("parent"))
+        regions = regions.where("left > 0 and all > 1").select("r", "n", "all", F.ceil(F.col("all") / block).alias("cores"), F.ceil(F.col("left") / block).alias("lefts"), "parent")
+        regions = materialize(regions, "region-sizes")
+        large = (F.col("cores") * F.col("lefts") > most) & (F.col("all") <= 0.75 * F.col("parent"))
+        direct.append((current, regions.where(~large)))
+        split = regions.where(large)
+        if split.isEmpty():
+            break
+        split = split.select("r", "n", "all", F.ceil(F.col("n") / block).alias("chunks"))
+        members = materialize(join_hot(current.drop("parent"), split, ["r"], lambda d: d.select("r", "c", "label", "role", "all", "chunks", F.pmod(F.xxhash64("c", F.lit(3)), "chunks").alias("chunk"))), "members")
+        # One member each of components, dealt by hash; of those with a hash the largest.
+        part = members.groupBy("r", "chunks", F.pmod(F.xxhash64("label"), F.lit(pivots)).alias("h"), "label").agg(F.count("*").alias("m"), F.min("c").alias("c"))
+        chosen = part.groupBy("r", "chunks", "h").agg(F.max_by("c", F.struct("m", "c")).alias("c"))
+        each = chosen.select("r", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(4).alias("role"))
+        blocks = members.select("r", "c", "chunk", "role").unionByName(each).groupBy("r", "chunk", "c").agg(F.bit_or("role").alias("role"))
+        rows = blocks.join(sets, "c").select(F.xxhash64("r", "chunk").alias("g"), "r", "c", "role", "items")
+        cells = materialize(map_groups(rows, "g", _cells(percent), "r long, cell binary, c binary, role int"), "cells")
+        found.append(cells.where("role = 8").select(F.col("c").alias("a"), F.col("cell").alias("b")))
+        cells = cells.where("role < 8").groupBy(F.col("r").alias("up"), "cell", "c").agg(F.bit_or("role").alias("role"))
+        sizes = split.select(F.col("r").alias("up"), F.col("all").alias("parent"))
+        labels = members.groupBy(F.col("r").alias("up"), "c").agg(F.min("label").alias("label"))
+        current = materialize(cells.join(labels, ["up", "c"]).join(sizes, "up").select(F.xxhash64("up", "cell").alias("r"), "c", "label", "role", "parent"), "regions")
+    for rows, regions in direct:
+        placed = join_hot(rows.drop("parent"), regions.drop("parent"), ["r"], lambda d: d.select("r", "c", "role", "cores", "lefts", F.pmod(F.xxhash64("c", F.lit(1)), "cores").alias("i"), F.pmod(F.xxhash64("c", F.lit(2)), "lefts").alias("j")))
+        placed = materialize(placed, "mixed")
+        to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        core = placed.where(F.col("role").bitwiseAND(1) > 0).select("r", "c", "i", F.explode(to("lefts")).alias("j"), F.lit(1).alias("role"))
+        left = placed.where(F.col("role").bitwiseAND(2) > 0).select("r", "c", F.explode(to("cores")).alias("i"), "j", F.lit(2).alias("role"))
+        found.append(materialize(_joined(core.unionByName(left).select(F.xxhash64("r", "i", "j").alias("g"), "c", "role"), sets, percent), "links"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def links(documents: DataFrame, size: int = 5, percent: int = 80, block: int = 128) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed, classes, labels): signed has doc_id, class c and set size n of every row, classes the smallest doc_id of
     each class, labels a component label for every class that is linked with another."""
     spark = documents.sparkSession
@@ -261,19 +335,17 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, most_shared: i
     counted = map_arrow(texts.select("text"), _counted(size), "s long", 1024).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     counted = materialize(counted, "shared-shingles")
     low = F.col("s").between(0, int(_LOW) - 1)  # as a signed number: below a third of the hash space
-    limit = 2
-    while counted.where(low & (F.col("n") >= limit)).count() > most_shared:
-        limit *= 2  # so that the bitmap stays selective
-    often = bitmap(counted.where(low & (F.col("n") >= limit)), "s", 27)
-    frequent = bitmap(counted.where(F.when(low, F.col("n") >= max(8, 2 * limit)).otherwise(F.lit(True))), "s", 25)
-    shared = spark.sparkContext.broadcast((often, frequent, limit == 2))
+    often = bitmap(counted.where(low), "s", 27)
+    frequent = bitmap(counted.where(F.when(low, F.col("n") >= 8).otherwise(F.lit(True))), "s", 25)
+    shared = spark.sparkContext.broadcast((often, frequent))
     signed = materialize(map_arrow(texts, _signed(size, percent, shared), "doc_id long, c binary, n long, hits array<long>", 512), "signed")
     classes = materialize(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     # The hits of one row of each class.
     hits = signed.where(F.size("hits") > 0).join(classes.select("c", "rep"), "c").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    hits = hits.select("c", F.explode("hits").alias("s")).distinct()
-    pivots = hits.groupBy("s").agg(F.min("c").alias("p"), F.count("*").alias("members")).where("members > 1").select("s", "p")
-    members = materialize(hits.join(pivots, "s").groupBy("p", "c").agg(F.count("*").alias("votes")), "regions")
+    hits = materialize(hits.select("c", F.explode("hits").alias("s")).distinct(), "hits")
+    pivots = materialize(hits.groupBy("s").agg(F.min("c").alias("p"), F.count("*").alias("n")).where("n > 1"), "pivots")
+    members = materialize(join_hot(hits, pivots, ["s"], lambda d: d.select("p", "c")).groupBy("p", "c").agg(F.count("*").alias("votes")), "regions")
+    discard(hits, pivots)
     if members.isEmpty():
         return signed, classes, members.select(F.col("c").alias("node"), F.col("p").alias("label"))
     # Sets of the classes that are in a region, from one row each as far as a bitmap can tell.
@@ -306,15 +378,11 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, most_shared: i
     named = named.select("p", "c", F.coalesce("label", "c").alias("label"), "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("k"))
     named = materialize(named, "named")
     parts = named.groupBy("p", "k", "label").agg(F.count("*").alias("m"), F.max(F.col("band") == F.col("k")).alias("own"))
-    most = parts.groupBy("p", "k").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("labels"), F.max("own").alias("own")).where("labels > 1 and own")
-    most = most.select("p", "k", F.col("most.label").alias("main"), F.ceil(F.col("all") / block).alias("cores"), F.ceil((F.col("all") - F.col("most.m")) / block).alias("lefts"))
-    mixed = named.join(most, ["p", "k"]).withColumn("i", F.pmod(F.xxhash64("c", F.lit(1)), "cores")).withColumn("j", F.pmod(F.xxhash64("c", F.lit(2)), "lefts"))
-    mixed = materialize(mixed, "mixed")
-    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    core = mixed.select("p", "k", "c", "i", F.explode(each("lefts")).alias("j"), F.lit(1).alias("role"))
-    left = mixed.where("label <> main").select("p", "k", "c", F.explode(each("cores")).alias("i"), "j", F.lit(2).alias("role"))
-    blocks = core.unionByName(left).select(F.xxhash64("p", "k", "i", "j").alias("g"), "c", "role")
-    more = materialize(_joined(blocks, sets, percent), "links")
+    most = parts.groupBy("p", "k").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("labels"), F.max("own").alias("own")).where("labels > 1 and own")
+    most = materialize(most.select("p", "k", F.col("most.label").alias("main"), "n"), "mixed-regions")
+    mixed = join_hot(named, most, ["p", "k"], lambda d: d.select(F.xxhash64("p", "k").alias("r"), "c", "label", F.when(F.col("label") != F.col("main"), 3).otherwise(1).alias("role")))
+    mixed = materialize(mixed.withColumn("parent", F.lit(1 << 62)), "mixed")
+    more = _joined_regions(mixed, sets, percent, block)
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     return signed, classes, labels
@@ -333,5 +401,6 @@ def report(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all columns; of rows that repeat a doc_id
     one stays if they are linked. Documents that link with nothing stay."""
-    found = report(documents, size, percent).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    name = fresh("kept_id", documents)
+    found = report(documents, size, percent).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
