@@ -132,7 +132,7 @@ def test_limit_stream(spark, tmp_path):
     d = spark.createDataFrame([(i, 1, 5000 + i) for i in range(5)], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
     d.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = limits.limited_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), 2, 60.0)
-    assert sorted((r.event_id, r.admitted) for r in limits.run_available(stream, "limited", "append").collect()) == [(i, i < 2) for i in range(5)]
+    assert sorted((r.event_id, r.admitted) for r in limits.run_available(stream, ["event_id"], str(tmp_path / "out"), "append").collect()) == [(i, i < 2) for i in range(5)]
 
 
 def test_obfuscation(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.text import bound
+
 
 def fetch_error_code(status: Column, error: Column, rate_limited: Column) -> Column:
     """Error code of a failed fetch: by status first, then by words in the message."""
@@ -55,6 +57,24 @@ def backoff_seconds(attempt: Column, retry_after: Column, base: float = 1.0, cap
     return F.least(F.coalesce(retry_after.try_cast("double"), base * F.pow(F.lit(2.0), attempt)), F.lit(cap))
 
 
+def fetch_delay_seconds(attempt: Column, retry_after: Column, u: Column, base: float = 1.0, most: float = 30.0) -> Column:
+    """The fetcher's delay: a whole-number Retry-After, else base * 2^attempt with a share ``u`` (0 to 1) of the base
+    added, so that callers don't come back together; neither beyond ``most``."""
+    said = F.when(F.trim(retry_after).rlike(r"^[+-]?[0-9]+$"), F.trim(retry_after).try_cast("double"))
+    return F.least(F.coalesce(said, base * F.pow(F.lit(2.0), attempt) + u * base), F.lit(most))
+
+
+def tool_error_type(payload: Column) -> Column:
+    """Error type of a tool's answer in JSON, by words in its error_code or, without one, its error."""
+    text = F.lower(F.coalesce(F.nullif(F.get_json_object(payload, "$.error_code"), F.lit("")), F.get_json_object(payload, "$.error"), F.lit("")))
+    has = lambda said, *words: F.greatest(*[said.contains(w) for w in words]) if len(words) > 1 else said.contains(words[0])
+    return bound(
+        text,
+        lambda said: F.when(has(said, "auth", "token", "unauthorized"), "auth_error").when(has(said, "rate", "429", "throttl"), "rate_limited")
+        .when(has(said, "timeout"), "network_timeout").when(has(said, "fetch", "network", "connect"), "network_error").otherwise("mcp_tool_failed"),
+    )
+
+
 def duration_seconds(text: Column) -> Column:
     """Seconds of texts like 500ms, 10s, 5m, 1h; null for others."""
     form = r"^\s*(\d+(?:\.\d+)?)(ms|s|m|h)\s*$"
@@ -84,6 +104,16 @@ RECOVERY = {
     "SESSION_NOT_FOUND": "Session ID not found. Use list_sessions to discover sessions, or create one with get_content(session=true).",
     "INVALID_CHUNK_INDEX": "Chunk index out of range. Use get_session_info to check the total number of chunks.",
     "PERMISSION_DENIED": "Your token's groups do not include the group that owns this session.",
+    "INVALID_PROFILE": "Use one of: 'stealth', 'balanced', 'none', or 'custom' for anti-detection profile.",
+    "INVALID_HEADERS": "Custom headers must be a dictionary with string keys and values.",
+    "INVALID_RATE_LIMIT": "rate_limit_delay must be a non-negative number (seconds between requests).",
+    "UNKNOWN_TOOL": "Available tools: ping, set_antidetection, get_content, get_structure, get_session_info, get_session_chunk, list_sessions, get_session_urls, get_session.",
+    "INVALID_ARGUMENT": "A required argument is missing or invalid. Check the tool schema for required parameters.",
+    "INVALID_MAX_RESPONSE_CHARS": "max_response_chars must be between 4000 and 4000000. Default is 400000 characters.",
+    "AUTH_ERROR": "Provide a valid JWT token in the auth_token parameter.",
+    "SESSION_ERROR": "Session operation failed. Use list_sessions to check available sessions.",
+    "PARSE_ERROR": "The news parser failed to process the crawl results. Retry with parse_results=false to get raw output, or check source_profile_name for the target site.",
+    "CONFIGURATION_ERROR": "Check server configuration. Contact administrator if issue persists.",
 }
 RECOVERY_DEFAULT = "Review the error message and try again. Contact support if the issue persists."
 
@@ -95,3 +125,10 @@ def recovery_table(spark: SparkSession) -> DataFrame:
 def with_recovery(errors: DataFrame, table: DataFrame) -> DataFrame:
     """Errors with ``recovery_strategy``; codes that aren't in the table (a fixed, small one) get the default."""
     return errors.join(F.broadcast(table), "error_code", "left").withColumn("recovery_strategy", F.coalesce("recovery_strategy", F.lit(RECOVERY_DEFAULT)))
+
+
+def with_tokens(consumers: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Consumers (token) with symbolic tokens replaced by those of ``tokens`` (name, value), one row a name; others pass
+    as they are."""
+    names = tokens.select(F.col("name").alias("token"), F.col("value").alias("token_value"))
+    return consumers.join(names, "token", "left").withColumn("token", F.coalesce("token_value", "token")).drop("token_value")

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import html
 import re
-from html.parser import HTMLParser
+from itertools import cycle
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +24,7 @@ PLACEHOLDER = (
     "data:image/svg+xml,%3Csvg xmlns='http://www.w3.org/2000/svg' width='400' height='300'%3E%3Crect width='100%25' height='100%25' fill='%23ddd'/%3E"
     "%3Ctext x='50%25' y='50%25' dominant-baseline='middle' text-anchor='middle' fill='%23999' font-size='18'%3Eplaceholder%3C/text%3E%3C/svg%3E"
 )
+# Elements whose text stays.
 KEPT = frozenset(("script", "style", "code", "pre", "textarea", "noscript", "template"))
 
 
@@ -35,71 +35,46 @@ def scrub_pii_text(text: str) -> str:
 
 
 def lorem(length: int, seed: str) -> str:
-    """Words up to about ``length`` characters; the first is chosen by the MD5 of the seed."""
-    if length <= 0:
-        return ""
-    at = int(hashlib.md5(seed.encode()).hexdigest()[:8], 16) % len(LOREM)
-    words, size = [], -1
-    while size < length:
-        words.append(LOREM[at % len(LOREM)])
-        size += len(words[-1]) + 1
-        at += 1
-    return " ".join(words)[:length].rstrip() or "x" * length
+    """Words of exactly ``length`` characters, cut or filled up with spaces; the first is chosen by the MD5 of the seed.
+    No word is added that would go more than 5 characters beyond."""
+    first = int(hashlib.md5(seed.encode("utf-8", "replace")).hexdigest()[:8], 16) % len(LOREM)
+    text = ""
+    for word in cycle(LOREM[first:] + LOREM[:first]):
+        longer = f"{text} {word}" if text else word
+        if len(text) >= length or len(longer) > length + 5:
+            break
+        text = longer
+    return text[:length].rstrip() if len(text) > length else text.ljust(length)
 
 
-class _Scrubber(HTMLParser):
-    """Copies markup as it is written and replaces text outside of kept elements."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=False)
-        self.out: list[str] = []
-        self.inside: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.out.append(self.get_starttag_text())
-        if tag in KEPT:
-            self.inside.append(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        self.out.append(self.get_starttag_text())
-
-    def handle_endtag(self, tag):
-        self.out.append(f"</{tag}>")
-        if self.inside and tag == self.inside[-1]:
-            self.inside.pop()
-
-    def handle_data(self, data):
-        if self.inside or not data.strip():
-            self.out.append(data)
-            return
-        body = data.strip()
-        at = data.index(body)
-        self.out.append(data[:at] + html.escape(lorem(len(body), body), quote=False) + data[at + len(body) :])
-
-    def handle_entityref(self, name):
-        self.out.append(f"&{name};")
-
-    def handle_charref(self, name):
-        self.out.append(f"&#{name};")
-
-    def handle_comment(self, data):
-        self.out.append(f"<!--{data}-->")
-
-    def handle_decl(self, decl):
-        self.out.append(f"<!{decl}>")
-
-    def handle_pi(self, data):
-        self.out.append(f"<?{data}>")
-
-    def unknown_decl(self, data):
-        self.out.append(f"<![{data}]>")
+#: What isn't text: comments, declarations, instructions, tags with their attributes, and references to characters.
+_MARKUP = re.compile(r"""<!--.*?-->|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>|&(?:\#[0-9]+|\#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?""", re.S)
+_RAW = re.compile(r"</(script|style)\b", re.I)
 
 
 def scrub_page_text(page: str) -> str:
-    scrubber = _Scrubber()
-    scrubber.feed(page)
-    scrubber.close()
-    return "".join(scrubber.out)
+    """Markup as it is written, with every piece of text outside of kept elements replaced by one of the same length. An
+    end tag closes the nearest open element of its name with all inside it; one without an open element closes nothing."""
+    out, open_, at = [], [], 0
+
+    def text(piece: str) -> str:
+        return piece if not piece.strip() or not KEPT.isdisjoint(open_) else lorem(len(piece), piece)
+
+    while m := _MARKUP.search(page, at):
+        out += [text(page[at : m.start()]), m[0]]
+        at, tag = m.end(), (m["tag"] or "").lower()
+        if not tag:
+            continue
+        if m["end"]:
+            if tag in open_:
+                del open_[len(open_) - 1 - open_[::-1].index(tag) :]
+        elif not m[0].endswith("/>"):
+            open_.append(tag)
+            if tag in ("script", "style"):  # no markup inside
+                stop = next((x.start() for x in _RAW.finditer(page, at) if x[1].lower() == tag), len(page))
+                out.append(page[at:stop])
+                at = stop
+    return "".join([*out, text(page[at:])])
 
 
 def _vectorised(fn):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.functions.text import lines, normalise, shortened, strip
+from weftline.functions.text import bound, lines, normalise, shortened, strip
 from weftline.plans.profiles import GENERIC
 
 ALIGNED = "date_anchor+heading_alignment"
@@ -19,6 +19,8 @@ FALLBACK = "date_anchor+nearest_preceding_line_fallback"
 PAGE_SCHEMA = """crawl_id long, page_seq int, url string, depth int, text string, language string, meta map<string,string>,
   start_url string, crawl_time_utc string, parser_version string, source_profile_name string"""
 
+#: Places of blocks on a page are below this.
+_PAGE = 1 << 32
 _DURATION = r"^\d{2}:\d{2}$"
 _NAME = r"(?U)^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}$"
 _RELATIVE = r"(?iU)(\d+)\s+(minutes?|hours?|days?)\s+ago"
@@ -35,55 +37,51 @@ def with_profile(pages: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def cleaned_lines(pages: DataFrame) -> DataFrame:
-    """Pages with ``kept`` lines, the number of ``noise`` lines dropped, and ``rescued`` ones: noise beside a date stays."""
-    line = lines(F.col("text"))
-    is_date = F.transform("lines", lambda x: F.rlike(x, F.col("date_pattern")))
-    low = lambda x: F.lower(x)
-    noise = F.transform(
-        "lines",
-        lambda x: (x != "") & (
-            F.array_contains(F.col("profile.noise_markers"), x) | x.startswith("Photo:") | x.startswith("Illustration:") | x.rlike(_DURATION)
-            | low(x).contains("sentry-trace") | low(x).contains("baggage") | low(x).contains("appstore")
-        ),
-    )
-    near = lambda i: F.coalesce(F.get("is_date", i - 1), F.lit(False)) | F.coalesce(F.get("is_date", i + 1), F.lit(False))
-    state = F.transform(F.col("lines"), lambda x, i: F.struct(x.alias("line"), F.when(~F.get("is_noise", i), 0).when(near(i), 1).otherwise(2).alias("state")))
-    return (
-        pages.withColumn("lines", line).withColumn("is_date", is_date).withColumn("is_noise", noise).withColumn("states", state)
-        .withColumn("kept", F.transform(F.filter("states", lambda x: (x["state"] < 2) & (x["line"] != "")), lambda x: x["line"]))
-        .withColumn("noise", F.size(F.filter("states", lambda x: x["state"] == 2)))
-        .withColumn("rescued", F.transform(F.filter("states", lambda x: x["state"] == 1), lambda x: F.left(x["line"], F.lit(120))))
-        .drop("lines", "is_date", "is_noise", "states")
+    """Pages with ``kept`` lines, which of them are ``dates``, the number of ``noise`` lines dropped, and ``rescued``
+    ones: noise beside a date stays."""
+    noise = lambda x: (x != "") & (
+        F.array_contains(F.col("profile.noise_markers"), x) | x.startswith("Photo:") | x.startswith("Illustration:") | x.rlike(_DURATION)
+        | F.lower(x).contains("sentry-trace") | F.lower(x).contains("baggage") | F.lower(x).contains("appstore")
     )
+    # Every line is matched once: each array is bound before it is looked at by place.
+    told = F.transform(lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.rlike(x, F.col("date_pattern")).alias("date"), noise(x).alias("noise")))
+    near = lambda all_, i: F.coalesce(F.get(all_, i)["date"], F.lit(False))
+    state = lambda all_: F.transform(all_, lambda x, i: F.struct(x["line"].alias("line"), x["date"].alias("date"), F.when(~x["noise"], 0).when(near(all_, i - 1) | near(all_, i + 1), 1).otherwise(2).alias("state")))
+    parts = lambda all_: F.struct(
+        F.filter(all_, lambda x: (x["state"] < 2) & (x["line"] != "")).alias("kept"),
+        F.size(F.filter(all_, lambda x: x["state"] == 2)).alias("noise"),
+        F.transform(F.filter(all_, lambda x: x["state"] == 1), lambda x: F.left(x["line"], F.lit(120))).alias("rescued"),
+    )
+    d = pages.withColumn("clean", bound(bound(told, state), parts))
+    return d.withColumns({"kept": F.col("clean.kept.line"), "dates": F.col("clean.kept.date"), "noise": F.col("clean.noise"), "rescued": F.col("clean.rescued")}).drop("clean")
 
 
-def segments(cleaned: DataFrame) -> DataFrame:
+def segments(cleaned: DataFrame, outer: bool = False) -> DataFrame:
     """One row for each date line: its ``block`` reaches from behind the date line before to before the one after, so
-    that neighbouring blocks overlap; ``anchor`` is the place of the date line in it."""
-    anchors = F.filter(F.sequence(F.lit(0), F.size("kept") - 1), lambda i: F.rlike(F.get("kept", i), F.col("date_pattern")))
-    anchors = F.when(F.size("kept") > 0, anchors).otherwise(F.array().cast("array<int>"))
-    block = F.transform(
-        "anchors",
+    that neighbouring blocks overlap; ``anchor`` is the place of the date line in it. ``outer``: pages without a date
+    line give a row too."""
+    places = F.filter(F.transform("dates", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    last = F.size("kept") - 1
+    block = lambda all_: F.transform(
+        all_,
         lambda a, i: F.struct(
-            i.alias("ordinal"),
-            F.coalesce(F.get("anchors", i - 1) + 1, F.lit(0)).alias("first"),
-            F.coalesce(F.get("anchors", i + 1) - 1, F.size("kept") - 1).alias("last"),
-            a.alias("at"),
+            i.alias("ordinal"), F.coalesce(F.get(all_, i - 1) + 1, F.lit(0)).alias("first"), F.coalesce(F.get(all_, i + 1) - 1, last).alias("last"), a.alias("at"),
         ),
-    )
-    each = cleaned.withColumn("anchors", anchors).withColumn("b", F.explode(block))
+    )
+    each = cleaned.withColumn("b", (F.explode_outer if outer else F.explode)(bound(places, block)))
     return (
         each.withColumn("block", F.slice("kept", F.col("b.first") + 1, F.col("b.last") - F.col("b.first") + 1))
-        .withColumn("anchor", F.col("b.at") - F.col("b.first")).withColumn("ordinal", F.col("b.ordinal")).drop("anchors", "b", "kept")
+        .withColumn("anchor", F.col("b.at") - F.col("b.first")).withColumn("ordinal", F.col("b.ordinal")).drop("b", "kept", "dates")
     )
 
 
 def _published(raw: Column, crawl_time: Column, profile_offset: Column) -> Column:
-    """ISO text with offset, or null: relative times count from the crawl in its offset, absolute ones are local."""
+    """ISO text with offset, or null: relative times count from the crawl in its offset, absolute ones are local. Without
+    a readable crawl time they count from now, in UTC."""
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     zone = F.regexp_extract(crawl_time, r"([+-]\d{2}:\d{2})$", 1)
-    zone = F.when(zone == "", "+00:00").otherwise(zone)
-    local = F.to_timestamp(F.regexp_replace(crawl_time, r"(Z|[+-]\d{2}:\d{2})$", ""))
+    zone = F.when(F.coalesce(zone, F.lit("")) == "", "+00:00").otherwise(zone)
+    local = F.coalesce(F.try_to_timestamp(F.regexp_replace(crawl_time, r"(Z|[+-]\d{2}:\d{2})$", "")), F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
     count = F.regexp_extract(raw, _RELATIVE, 1)
     unit = F.lower(F.regexp_extract(raw, _RELATIVE, 2))
     step = F.when(unit.startswith("minute"), 60).when(unit.startswith("hour"), 3600).otherwise(86400)
@@ -96,8 +94,9 @@ def _published(raw: Column, crawl_time: Column, profile_offset: Column) -> Colum
     return F.when(count != "", relative).otherwise(absolute)
 
 
-def stories(segmented: DataFrame) -> DataFrame:
-    """Blocks as stories, with ``seq``, the order in the crawl, and ``warning``; a block without a headline has only that."""
+def stories(segmented: DataFrame, also: tuple = ()) -> DataFrame:
+    """Blocks as stories, with ``seq``, the order in the crawl, and ``warning``; a block without a headline has only that.
+    ``also``: other columns to keep."""
     p = lambda name: F.col(f"profile.{name}")
     d = segmented.withColumn("published_raw", F.get("block", "anchor"))
     d = d.withColumn("above", F.slice("block", F.lit(1), F.col("anchor"))).withColumn("post", F.slice("block", F.col("anchor") + 2, F.size("block")))
@@ -145,8 +144,8 @@ def stories(segmented: DataFrame) -> DataFrame:
     warning = warning.when(F.col("published").isNull(), F.struct(F.lit("DATE_PARSE_FAILED").alias("code"), F.left("published_raw", F.lit(120)).alias("example")))
     seen = F.struct(F.col("url").alias("page_url"), F.col("depth").alias("crawl_depth"))
     return d.select(
-        "crawl_id", (F.col("page_seq").cast("long") * 100000 + F.col("ordinal")).alias("seq"), "story_id", "headline", "subheadline", "section", "published", "published_raw",
-        "body_snippet", "comment_count", "tags", "content_type", "author", "start_url", "url", "depth", seen.alias("seen"), "language", "reason", warning.alias("warning"),
+        "crawl_id", (F.col("page_seq").cast("long") * _PAGE + F.col("ordinal")).alias("seq"), "story_id", "headline", "subheadline", "section", "published", "published_raw",
+        "body_snippet", "comment_count", "tags", "content_type", "author", "start_url", "url", "depth", seen.alias("seen"), "language", "reason", warning.alias("warning"), *[c for c in also if c in d.columns],
     )
 
 
@@ -156,24 +155,31 @@ def richness(d: DataFrame) -> Column:
     return (some("subheadline") + F.when(F.col("comment_count").isNotNull(), 1).otherwise(0) + body + F.size("tags")).cast("int")
 
 
+def story_key(d: DataFrame) -> Column:
+    """What makes two stories one: headline, day, and with a day the section."""
+    day = F.nullif(F.left("published", F.lit(10)), F.lit(""))
+    section = F.when(day.isNotNull(), F.nullif(normalise(F.coalesce("section", F.lit(""))), F.lit("")))
+    return F.struct(normalise(F.col("headline")).alias("h"), day.alias("d"), section.alias("s"))
+
+
 def deduplicate(found: DataFrame) -> DataFrame:
     """One story of each key: the least deep, then the richest, then the first. ``seen_on_pages`` gathers the pages of all:
     a story that wins over those before puts its page in front, another one's is appended."""
-    bucket = F.nullif(F.left("published", F.lit(10)), F.lit(""))
-    section = F.when(bucket.isNotNull(), F.nullif(normalise(F.coalesce("section", F.lit(""))), F.lit("")))
-    d = found.where(F.col("headline").isNotNull()).withColumn("key", F.struct(normalise(F.col("headline")).alias("h"), bucket.alias("d"), section.alias("s")))
+    d = found.where(F.col("headline").isNotNull()).withColumn("key", story_key(found))
     d = d.withColumn("rank", F.struct(F.coalesce("depth", F.lit(999)).alias("depth"), (-richness(d)).alias("poor")))
-    by_key = Window.partitionBy("crawl_id", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumn("all", F.collect_list(F.struct("rank", "seen")).over(by_key)).withColumn("first_seq", F.min("seq").over(by_key))
-    d = d.withColumn("turn", F.row_number().over(Window.partitionBy("crawl_id", "key").orderBy("rank", "seq"))).where("turn = 1")
-    start = F.struct(F.get("all", F.lit(0))["rank"].alias("rank"), F.array(F.get("all", F.lit(0))["seen"]).alias("seen"))
+    told = [c for c in d.columns if c not in ("crawl_id", "key", "seen", "warning", "rank")]
+    d = d.groupBy("crawl_id", "key").agg(
+        F.min_by(F.struct(*told), F.struct("rank", "seq")).alias("best"),
+        F.sort_array(F.collect_list(F.struct("seq", "rank", "seen"))).alias("all"),
+    )
+    start = F.struct(F.get("all", F.lit(0))["rank"].alias("rank"), F.array(F.get("all", F.lit(0))["seen"]).alias("won"), F.array().cast("array<struct<page_url:string,crawl_depth:int>>").alias("lost"))
     fold = F.aggregate(
         F.slice("all", F.lit(2), F.greatest(F.size("all"), F.lit(1))), start,
-        lambda acc, x: F.when(x["rank"] < acc["rank"], F.struct(x["rank"].alias("rank"), F.concat(F.array(x["seen"]), acc["seen"]).alias("seen")))
-        .otherwise(F.struct(acc["rank"].alias("rank"), F.concat(acc["seen"], F.array(x["seen"])).alias("seen"))),
-        lambda acc: acc["seen"],
+        lambda acc, x: F.when(x["rank"] < acc["rank"], F.struct(x["rank"].alias("rank"), F.concat(F.array(x["seen"]), acc["won"]).alias("won"), acc["lost"].alias("lost")))
+        .otherwise(F.struct(acc["rank"].alias("rank"), acc["won"].alias("won"), F.concat(acc["lost"], F.array(x["seen"])).alias("lost"))),
+        lambda acc: F.concat(acc["won"], acc["lost"]),
     )
-    return d.withColumn("seen_on_pages", fold).withColumn("duplicates", F.size("all") - 1).drop("all", "turn", "rank", "key", "seen", "warning")
+    return d.select("crawl_id", "best.*", F.get("all", F.lit(0))["seq"].alias("first_seq"), fold.alias("seen_on_pages"), (F.size("all") - 1).alias("duplicates"))
 
 
 def quality(d: DataFrame) -> DataFrame:
@@ -215,21 +221,23 @@ class Feed:
             "crawl_id", F.struct("page_seq", F.lit(0).alias("kind"), F.col("i")).alias("at"), F.lit("STRIP_RULE_SKIPPED_STORY_SAFETY").alias("code"), "example"
         )
         told = self.found.where(F.col("warning").isNotNull()).select(
-            "crawl_id", F.struct(F.floor(F.col("seq") / 100000).cast("int").alias("page_seq"), F.lit(1).alias("kind"), (F.col("seq") % 100000).cast("int").alias("i")).alias("at"), "warning.code", "warning.example"
+            "crawl_id", F.struct(F.shiftright("seq", 32).cast("int").alias("page_seq"), F.lit(1).alias("kind"), (F.col("seq") % _PAGE).cast("int").alias("i")).alias("at"), "warning.code", "warning.example"
         )
         return rescued.unionByName(told)
 
     def meta(self) -> DataFrame:
-        """A row for each crawl: what was read, found, merged and dropped."""
-        pages = self.cleaned.groupBy("crawl_id").agg(
-            F.min("start_url").alias("start_url"), F.min("parser_version").alias("parser_version"), F.min("profile.name").alias("source_profile"),
-            F.min("profile.display_name").alias("source_name"), F.min("crawl_time_utc").alias("crawl_time_utc"),
-            F.count("*").alias("pages_crawled"), F.sum("noise").alias("noise_lines_stripped"), F.sum(F.size("rescued")).alias("rescued"),
+        """A row for each crawl: what was read, found, merged and dropped. The pages are read once: what belongs to a page
+        goes with the first of its rows."""
+        page = {"source_profile": F.col("profile.name"), "source_name": F.col("profile.display_name"), "rescued": F.size("rescued"), "opens": F.coalesce("ordinal", F.lit(0)) == 0}
+        rows = stories(segments(self.cleaned, outer=True).withColumns(page), ("parser_version", "crawl_time_utc", "noise", *page))
+        once = lambda c: F.sum(F.when(F.col("opens"), F.col(c)))
+        least = ("start_url", "parser_version", "source_profile", "source_name", "crawl_time_utc")
+        by_key = rows.withColumn("key", F.when(F.col("headline").isNotNull(), story_key(rows))).groupBy("crawl_id", "key").agg(
+            *[F.min(c).alias(c) for c in least], F.count_if("opens").alias("pages"), once("noise").alias("noise"), once("rescued").alias("rescued"),
+            F.count("headline").alias("candidates"), F.count_if(F.col("warning").isNotNull() & F.col("published_raw").isNotNull()).alias("told"),
         )
-        found = self.found.groupBy("crawl_id").agg(F.count("headline").alias("candidates"), F.count("warning").alias("told"))
-        unique = self.unique.groupBy("crawl_id").agg(F.count("*").alias("stories_extracted"))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-        return pages.join(found, "crawl_id", "left").join(unique, "crawl_id", "left").select(
-            "crawl_id", "start_url", "parser_version", "source_profile", "source_name", "crawl_time_utc", "pages_crawled", zero("stories_extracted").alias("stories_extracted"),
-            (zero("candidates") - zero("stories_extracted")).alias("duplicates_removed"), zero("noise_lines_stripped").alias("noise_lines_stripped"), (zero("rescued") + zero("told")).alias("parse_warnings"),
+        total = by_key.groupBy("crawl_id").agg(
+            *[F.min(c).alias(c) for c in least], F.sum("pages").alias("pages_crawled"), F.count("key").alias("stories_extracted"), (F.sum("candidates") - F.count("key")).alias("duplicates_removed"),
+            F.coalesce(F.sum("noise"), F.lit(0)).cast("long").alias("noise_lines_stripped"), (F.coalesce(F.sum("rescued"), F.lit(0)) + F.sum("told")).cast("long").alias("parse_warnings"),
         )
+        return total.select("crawl_id", *least, "pages_crawled", "stories_extracted", "duplicates_removed", "noise_lines_stripped", "parse_warnings")

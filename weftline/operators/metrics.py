@@ -44,6 +44,11 @@ def error_maps(calls: DataFrame) -> DataFrame:
     return error_histogram(calls).groupBy("tool_name").agg(F.map_from_entries(F.array_sort(pairs)).alias("error_types"))
 
 
+def counters(calls: DataFrame) -> DataFrame:
+    """One row: calls that went well and that failed."""
+    return _clamped(calls).agg(F.count_if(~F.col("failed")).alias("ok"), F.count_if("failed").alias("error"))
+
+
 def sampled(calls: DataFrame, k: int = RESERVOIR, seed: int = 0) -> DataFrame:
     """A seeded uniform sample of ``k`` calls (the sampling operator; reports don't need it)."""
     return calls.withColumn("__u", F.rand(seed)).orderBy("__u").limit(k).drop("__u")

@@ -6,8 +6,11 @@ without metadata (an orphan) counts towards the total but is never deleted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
 MB = 1_048_576
@@ -61,3 +64,13 @@ def stats(items: DataFrame) -> DataFrame:
     """By scope and group (none if missing): items and bytes; ``n_groups`` of the scope. Orphans count in no group."""
     d = items.where("has_metadata").groupBy("scope", F.coalesce("grp", F.lit("none")).alias("grp")).agg(F.count("*").alias("items"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
     return d.withColumn("n_groups", F.count("*").over(Window.partitionBy("scope")))
+
+
+def keep_within(ticks: DataFrame, read: Callable[[], DataFrame], max_bytes: float, delete: Callable[[DataFrame], None]) -> DataStreamWriter:
+    """The retention loop: each batch of a stream of ticks, e.g. a rate source, plans on the items as they are then and
+    hands what must go to ``delete``. To be started with a trigger of the interval wanted."""
+
+    def cycle(_: DataFrame, number: int) -> None:
+        delete(prune_plan(read(), max_bytes).where("deleted"))
+
+    return ticks.writeStream.foreachBatch(cycle)

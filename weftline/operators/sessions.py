@@ -37,9 +37,10 @@ def info(sessions: DataFrame, scope: list[str] | None = None) -> DataFrame:
 
 
 def chunks(sessions: DataFrame) -> DataFrame:
-    """(session_id, chunk_index, chunk) of all chunks."""
-    each = sessions.select("session_id", "content", "chunk_size", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)).alias("chunk_index"))
-    return each.select("session_id", "chunk_index", F.substring("content", F.col("chunk_index") * F.col("chunk_size") + 1, F.col("chunk_size")).alias("chunk"))
+    """(session_id, chunk_index, chunk) of all chunks. A text is cut in one pass; an empty one is one empty chunk."""
+    cut = F.regexp_extract_all("content", F.concat(F.lit("(?s).{1,"), F.col("chunk_size").cast("string"), F.lit("}")), F.lit(0))
+    parts = F.when(F.length("content") > 0, cut).otherwise(F.array("content"))
+    return sessions.select("session_id", F.posexplode(parts).alias("chunk_index", "chunk"))
 
 
 def chunk(sessions: DataFrame, wanted: DataFrame) -> DataFrame:

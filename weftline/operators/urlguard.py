@@ -7,6 +7,8 @@ import ipaddress
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import bound
+
 # Networks and host names that must not be fetched.
 BLOCKED_NETWORKS = (
     "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/8", "::1/128", "fc00::/7", "fe80::/10",
@@ -33,37 +35,43 @@ def is_external(url: Column, base: Column) -> Column:
     return (netloc(url) != netloc(base)) & (netloc(url) != "")
 
 
+_FOUR = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
+
+
 def ipv4_number(text: Column) -> Column:
     """An IPv4 address as a number, null for anything else."""
-    parts = F.split(text, r"\.")
-    part = lambda i: F.get(parts, F.lit(i)).try_cast("long")
-    good = text.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
-    return F.when(good, part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3))
+    number = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda sum_, x: sum_ * 256 + x.cast("long"))
+    return F.when(text.rlike(_FOUR), number(F.split(text, r"\.")))
 
 
 def ipv6_hex(text: Column) -> Column:
     """An IPv6 address as 32 hex digits, which order as the addresses do; null for anything else."""
-    low = F.lower(text)
     # A dotted end becomes two groups.
-    dotted = ipv4_number(F.regexp_extract(low, r"([0-9.]+)$", 1))
-    low = F.when(low.contains("."), F.concat(F.regexp_replace(low, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(dotted / 65536))), F.lit(":"), F.lower(F.hex(dotted % 65536)))).otherwise(low)
-    halves = F.split(low, "::")
-    groups = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    filled = F.concat(left, F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))).otherwise(F.array().cast("array<string>")), right)
-    good = low.contains(":") & (F.size(halves) <= 2) & (F.size(filled) == 8) & F.forall(filled, lambda x: x.rlike(r"^[0-9a-f]{1,4}$"))
-    return F.when(good, F.array_join(F.transform(filled, lambda x: F.lpad(x, 4, "0")), ""))
+    tail = r"([0-9.]+)$"
+    groups = lambda n: F.concat(F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(n % 65536)))
+    plain = lambda low: F.when(low.contains("."), F.concat(F.regexp_replace(low, tail, ""), bound(ipv4_number(F.regexp_extract(low, tail, 1)), groups))).otherwise(low)
+    parted = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+    sides = lambda halves: F.struct(parted(F.get(halves, F.lit(0))).alias("left"), parted(F.get(halves, F.lit(1))).alias("right"), F.size(halves).alias("n"))
+    zeros = lambda x: F.when(x["n"] == 2, F.array_repeat(F.lit("0"), 8 - F.size(x["left"]) - F.size(x["right"]))).otherwise(F.array().cast("array<string>"))
+    filled = lambda x: F.when(x["n"] <= 2, F.concat(x["left"], zeros(x), x["right"]))
+    digits = lambda all_: F.when((F.size(all_) == 8) & F.forall(all_, lambda x: x.rlike(r"^[0-9a-f]{1,4}$")), F.array_join(F.transform(all_, lambda x: F.lpad(x, 4, "0")), ""))
+    whole = lambda low: bound(bound(F.split(low, "::"), sides), lambda x: bound(filled(x), digits))
+    return F.when(text.contains(":"), bound(bound(F.lower(text), plain), whole))
 
 
 def blocked(addresses: DataFrame, column: str) -> DataFrame:
     """``addresses`` with ``blocked``: whether the address lies in a blocked range. The ranges are a fixed list, so the
-    range join is a predicate over the address as a number or as hex digits."""
-    d = addresses.withColumn("__four", ipv4_number(F.col(column))).withColumn("__six", ipv6_hex(F.col(column)))
-    found = F.lit(False)
-    for network in map(ipaddress.ip_network, BLOCKED_NETWORKS):
-        low, high = int(network.network_address), int(network.broadcast_address)
-        found = found | F.coalesce(F.col("__four").between(low, high) if network.version == 4 else F.col("__six").between(f"{low:032x}", f"{high:032x}"), F.lit(False))
-    return d.withColumn("blocked", found).drop("__four", "__six")
+    range join is a predicate over the address as a number or as hex digits, which are computed once."""
+    networks = [(n.version, int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, BLOCKED_NETWORKS)]
+
+    def within(value: Column, version: int) -> Column:
+        found = F.lit(False)
+        for low, high in [(low, high) for v, low, high in networks if v == version]:
+            found = found | (value.between(low, high) if version == 4 else value.between(f"{low:032x}", f"{high:032x}"))
+        return F.coalesce(found, F.lit(False))
+
+    four, six = bound(ipv4_number(F.col(column)), lambda x: within(x, 4)), bound(ipv6_hex(F.col(column)), lambda x: within(x, 6))
+    return addresses.withColumn("blocked", F.when(F.coalesce(F.col(column).contains(":"), F.lit(False)), six).otherwise(four))
 
 
 def check(urls: DataFrame, resolved: DataFrame) -> DataFrame:

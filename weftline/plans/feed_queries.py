@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weftline.operators.feed import Feed
 from weftline.plans.profiles import PROFILES, profiles
 
-#: Pages of a crawl for each customer, from the first three orders: shared by both engines but for the date format.
+#: Pages of a crawl for each customer, one for each order, with those before it: shared by both engines but for the date
+#: format.
 _PAGES = """
 WITH o AS (
   SELECT o_custkey AS k, o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, {date} AS day,
@@ -22,11 +23,11 @@ s AS (
     CASE WHEN k % 8 = 0 THEN 'Jane Doe' ELSE o_orderpriority END || {nl} || CASE WHEN k % 6 = 0 THEN '12:34' ELSE '' END || {nl} ||
     CASE WHEN k % 5 = 0 THEN CAST(1 + o_orderkey % 9 AS {text}) || ' hours ago' WHEN k % 13 = 0 THEN 'February 13, 2026' ELSE day || ' - 10:15PM' END || {nl} ||
     'Status ' || o_orderstatus || ' of the order' || {nl} || 'Sentry-Trace id' || {nl} || CASE WHEN k % 3 = 0 THEN CAST(o_orderkey % 100 AS {text}) ELSE 'end' END AS t
-  FROM o WHERE rn <= 3),
+  FROM o),
+l AS (SELECT *, lag(t, 1) OVER (PARTITION BY k ORDER BY rn) AS t1, lag(t, 2) OVER (PARTITION BY k ORDER BY rn) AS t2 FROM s),
 p AS (
-  SELECT k, 1 AS page_seq, 1 AS depth, t AS text FROM s WHERE rn = 1
-  UNION ALL SELECT a.k, 2, 2, 'MOST POPULAR' || {nl} || a.t || {nl} || b.t FROM s a JOIN s b ON a.k = b.k AND a.rn = 1 AND b.rn = 2
-  UNION ALL SELECT a.k, 3, CASE WHEN a.k % 3 = 0 THEN 1 ELSE 3 END, 'Photo: someone' || {nl} || b.t || {nl} || a.t FROM s a JOIN s b ON a.k = b.k AND a.rn = 1 AND b.rn = 3)
+  SELECT k, rn AS page_seq, CASE WHEN rn = 1 THEN 1 WHEN rn % 2 = 0 THEN 2 WHEN k % 3 = 0 THEN 1 ELSE 3 END AS depth,
+    CASE WHEN rn = 1 THEN t WHEN rn % 2 = 0 THEN 'MOST POPULAR' || {nl} || t1 || {nl} || t ELSE 'Photo: someone' || {nl} || t || {nl} || t2 END AS text FROM l)
 SELECT CAST(k AS BIGINT) AS crawl_id, CAST(page_seq AS INT) AS page_seq, 'http://news.example/' || CAST(k AS {text}) || '/' || CAST(page_seq AS {text}) AS url, CAST(depth AS INT) AS depth, text,
   CASE WHEN k % 4 = 0 THEN 'en' END AS language, 'http://news.example/' || CAST(k AS {text}) AS start_url,
   CASE WHEN k % 3 = 0 THEN 'scmp' WHEN k % 3 = 1 THEN 'nobody' END AS source_profile_name
@@ -128,7 +129,7 @@ s9 AS (SELECT *, name || ':' || sha1(name || '|' || lower(headline) || '|' || co
   CASE WHEN list_has_any(block, spons) THEN 'sponsored' WHEN list_contains(opin, coalesce(section, '')) OR starts_with(headline, 'Opinion|') THEN 'opinion'
     WHEN regexp_matches(lower(headline || ' ' || coalesce(subheadline, '')), 'analysis|deep dive|explainer') THEN 'analysis'
     WHEN len(list_filter(block[1:2], lambda x: regexp_full_match(x, '[0-9]{{2}}:[0-9]{{2}}'))) > 0 THEN 'video' ELSE 'news' END AS content_type FROM s8),
-story AS (SELECT *, CAST(page_seq AS BIGINT) * 100000 + ord - 1 AS seq,
+story AS (SELECT *, CAST(page_seq AS BIGINT) * 4294967296 + ord - 1 AS seq,
   CASE WHEN content_type = 'opinion' THEN list_filter(list_transform(block, lambda x, i: CASE WHEN list_contains(opin, x) AND i > 1 THEN block[i - 1] END),
     lambda x: x IS NOT NULL AND regexp_full_match(x, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{1,2}}'))[1] END AS author,
   CASE WHEN headline IS NULL THEN 'STORY_SKIPPED_NO_HEADLINE' WHEN published IS NULL THEN 'DATE_PARSE_FAILED' END AS warning FROM s9),

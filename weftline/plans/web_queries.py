@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import classify, obfuscate, text
 from weftline.operators import crawl, html, metrics, retention, robots, sessions, urlguard
 from weftline.sources import readers
+from weftline.storage import shared_dir
 from weftline.streaming import limits
 
 QUERIES: dict = {}
@@ -402,9 +403,8 @@ def domain_spacing(spark, sf_dir):
 def events_window_stream(spark, sf_dir):
     # Windows keep their state by key, so late rows of a bounded input aren't late: everything is one batch.
     source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(f"{sf_dir}/")
-    name = f"events_window_{uuid.uuid4().hex[:8]}"
     stream = limits.windowed(source.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
-    d = limits.run_available(stream, name)
+    d = limits.run_available(stream, ["start", "event_type"], f"{shared_dir(spark)}/events-window-{uuid.uuid4().hex}")
     return d.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

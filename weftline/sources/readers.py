@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+_IN_TYPE = re.compile(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
+_IN_PAGE = re.compile(r"(?i)<meta[^>]+charset\s*=\s*[\"']?([\w.:-]+)")
 
 SITES = "map<string,array<struct<name:string,url:string,languages:array<string>>>>"
 MIX = "struct<groups:map<string,struct<count:int,token:string>>>"
@@ -48,7 +56,7 @@ def manifest_files(manifests: DataFrame) -> DataFrame:
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, html) of all HTML files below a folder."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(path)
-    return read.select("path", F.decode("content", "UTF-8").alias("html"))
+    return read.select("path", F.decode("content", "UTF-8").alias("html")).orderBy("path")
 
 
 def fixture_urls(files: DataFrame, root: str, base: str) -> DataFrame:
@@ -66,11 +74,66 @@ def fetched(results: DataFrame) -> DataFrame:
     return results.withColumn("success", F.col("error").isNull() & F.col("status_code").between(200, 399))
 
 
+def _charset(kind: str | None, body: bytes) -> str:
+    """The character set that a response names: in its content type, else in the beginning of the page."""
+    found = _IN_TYPE.search(kind or "") or _IN_PAGE.search(body[:2048].decode("latin-1"))
+    try:
+        return codecs.lookup(found[1]).name if found else "utf-8"
+    except LookupError:
+        return "utf-8"
+
+
+def decoded(responses: DataFrame) -> DataFrame:
+    """Stored responses (content_type, body binary) with ``content``, the text of the body; bytes that the character set
+    doesn't have become U+FFFD."""
+
+    @F.pandas_udf("string")
+    def text(kinds: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else bytes(b).decode(_charset(k, bytes(b)), "replace") for k, b in zip(kinds, bodies, strict=True)], dtype=object)
+
+    return responses.withColumn("content", text("content_type", "body"))
+
+
+def redirected(requests: DataFrame, responses: DataFrame, most: int = 10) -> DataFrame:
+    """requests (url) with ``final_url``, ``status_code`` and ``hops`` after following the locations of stored responses
+    (url, status_code, location); more than ``most`` hops, or a response that isn't there, give no status."""
+    here = responses.select(F.col("url").alias("at"), F.col("status_code").alias("code"), F.when(F.col("status_code").isin(301, 302, 303, 307, 308), F.col("location")).alias("next"))
+    d = requests.withColumns({"at": F.col("url"), "final_url": F.col("url"), "status_code": F.lit(None).cast("int"), "hops": F.lit(0)})
+    done, columns = None, [*requests.columns, "final_url", "status_code", "hops"]
+    for hop in range(most + 1):
+        step = d.drop("status_code").join(here, "at", "left").withColumnRenamed("code", "status_code").withColumns({"final_url": F.col("at"), "hops": F.lit(hop)})
+        ended = step.where("next IS NULL").select(*columns)
+        done = ended if done is None else done.unionByName(ended)
+        d = step.where("next IS NOT NULL").withColumn("at", F.col("next")).drop("next")
+        if d.isEmpty():
+            return done
+    return done.unionByName(d.withColumn("status_code", F.lit(None).cast("int")).withColumns({"final_url": F.col("at"), "hops": F.lit(most + 1)}).select(*columns))
+
+
 def choose_urls(urls: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """A seeded random choice, in random order."""
     return urls.withColumn("__u", F.rand(seed)).orderBy("__u").limit(n).drop("__u")
 
 
+def round_robin(urls: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (n, counted from 0) with the n-th of ``urls`` (url), which are taken in turn, in order of address. The list
+    of addresses is a configuration: its places are one task's work."""
+    placed = urls.withColumn("place", F.row_number().over(Window.orderBy("url")) - 1)
+    size = urls.agg(F.count("*").alias("size"))
+    turns = requests.join(F.broadcast(size)).where("size > 0").withColumn("place", F.pmod("n", "size"))
+    return turns.join(placed, "place").drop("place", "size")
+
+
+def one_url(requests: DataFrame, url: str) -> DataFrame:
+    """The same address for every request."""
+    return requests.withColumn("url", F.lit(url))
+
+
+def within_budget(requests: DataFrame, budget: int | None, order: list[str]) -> DataFrame:
+    """The requests that a shared budget allows, the first in ``order``; without a budget all."""
+    return requests if budget is None else requests.orderBy(*order).limit(max(budget, 0))
+
+
 def write_pages(rows: DataFrame, path: str) -> None:
     """(slug, html) as text files in a folder for each slug."""
     rows.select("slug", F.col("html").alias("value")).write.mode("overwrite").partitionBy("slug").text(path, lineSep="\n")

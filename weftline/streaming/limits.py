@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -76,10 +77,18 @@ def windowed(calls: DataFrame, size: str = "60 seconds", late: str = "10 minutes
     return d.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process what there is of a stream and return the result table; for checks on bounded input."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, keys: list[str], path: str, mode: str = "update") -> DataFrame:
+    """Process what there is of a stream of updates and return the result table: each batch's rows are written below
+    ``path``, and of the rows of a key the last batch's count. Nothing is gathered on the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/{number:09d}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     if not query.awaitTermination(600):
         query.stop()
-        raise TimeoutError(name)
-    return stream.sparkSession.table(name)
+        raise TimeoutError(path)
+    values = [c for c in stream.columns if c not in keys]
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")
