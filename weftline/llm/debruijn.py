@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import SPACE, bitmap, components, discard, in_bitmap, join_hot, map_arrow, materialize, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
+from weftline.llm.common import SPACE, bitmap, components, in_bitmap, join_hot, map_arrow, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
+from weftline.storage import discard, materialize
 
 _PART = 6  # words of the runs among which a window's minimizer is chosen
 

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import fresh, map_arrow, materialize
+from weftline.llm.common import map_arrow
+from weftline.storage import fresh, materialize
 
 #: ASCII bytes that are not digits or letters become spaces, upper case becomes lower case, other bytes stay.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))

@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, SPACE, bitmap, components, discard, fresh, in_bitmap, join_hot, list_array, map_arrow, map_groups, materialize, mix, text_bytes, window_hashes, word_hashes, word_spans
+from weftline.llm.common import LOWER, SPACE, bitmap, components, in_bitmap, join_hot, list_array, map_arrow, map_groups, mix, text_bytes, window_hashes, word_hashes, word_spans
+from weftline.storage import discard, fresh, materialize
 
 _LOW = np.uint64((1 << 64) // 3)  # hashes below this are counted: more than a prefix for t = 0.8 has
 _SALT = np.uint64(0xA24BAED4963EE407)

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import WORKER_CACHES, materialize
+from weftline.llm.common import WORKER_CACHES
+from weftline.storage import materialize
 
 # ---------------------------------------------------------------- tokens
 

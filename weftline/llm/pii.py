@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bitmap, fresh, in_bitmap, map_arrow, materialize
+from weftline.llm.common import bitmap, in_bitmap, map_arrow
+from weftline.storage import fresh, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 

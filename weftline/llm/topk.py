@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import materialize
+from weftline.storage import materialize
+
 
 _EXACT = float(1 << 53)
 _LEAST = np.iinfo(np.int64).min
