@@ -68,13 +68,80 @@ def test_equal_pages_count_once(spark):
 
 def test_run_counts():
     rng = np.random.default_rng(3)
-    pages = [[[str(x) for x in rng.integers(0, 2, rng.integers(1, 9))] for _ in range(3)] for _ in range(12)]
-    want = {}
+    pages = [[rng.integers(0, 2, rng.integers(1, 9)).astype(np.int32) for _ in range(3)] for _ in range(12)]
+    want, told = {}, html_text.Pages([np.zeros(3)] * 12, [[len(b) for b in p] for p in pages], [np.concatenate(p) for p in pages], 4)
     for page, found in enumerate(pages):
-        for words in found:
+        for words in map(tuple, found):
             for run in [words] if len(words) < 4 else [words[i : i + 4] for i in range(len(words) - 3)]:
-                want.setdefault(html_text._digest(run), set()).add(page)
-    assert html_text.run_counts(pages, 4) == {k: len(v) for k, v in want.items()}
+                want.setdefault(run, set()).add(page)
+    runs, counts = told.counts()
+    assert sorted(counts.tolist()) == sorted(map(len, want.values())) and len(set(runs.tolist())) == len(want)
+    often = runs[counts >= 9]
+    mask, at = told.covered(often), 0
+    for found in pages:
+        for words in map(tuple, found):
+            hit = [False] * len(words)
+            for i in range(max(len(words) - 3, 1)):
+                if len(want[words[i : i + 4]]) >= 9:
+                    hit[i : i + 4] = [True] * len(words[i : i + 4])
+            assert mask[at : at + len(words)].tolist() == hit
+            at += len(words)
+
+
+def brute_pages(pages, min_tokens=8, min_pages=3, common_pages=5):
+    """The decisions page by page, with sets instead of suffix arrays, shards and hashes."""
+    parsed = [(u.split("/")[2], html_text.blocks(h)) for u, h in pages]
+    runs_of = lambda t: [t.split()] if len(t.split()) < min_tokens else [t.split()[i : i + min_tokens] for i in range(len(t.split()) - min_tokens + 1)]
+    out = []
+    for host, found in parsed:
+        mine = {tuple(b) for h, b in parsed if h == host}
+        on = {}
+        for b in mine:
+            for run in {tuple(r) for t, _ in b for r in runs_of(t)}:
+                on[run] = on.get(run, 0) + 1
+        least, half = max(2, min(min_pages, len(mine))), max(common_pages, -(-len(mine) // 2))
+
+        def mask(t, n):
+            words = t.split()
+            hit = [False] * len(words)
+            for i, r in enumerate(runs_of(t)):
+                if on[tuple(r)] >= n:
+                    hit[i : i + len(r)] = [True] * len(r)
+            return hit
+
+        main = [i for i, (_, k) in enumerate(found) if k == html_text.MAIN]
+        gone = {i for i in main if np.mean(mask(found[i][0], half)) >= 0.8}
+        size = lambda xs: sum(len(found[i][0].split()) for i in xs)
+        gone = set() if 2 * size(gone) >= size(main) else gone
+        kept = []
+        for i, (t, k) in enumerate(found):
+            hit = mask(t, least)
+            if k == html_text.MAIN and i not in gone or k == html_text.LOOSE and main and np.mean(hit) < 0.8:
+                kept.append(t)
+            elif k == html_text.LOOSE and not main and (stay := " ".join(w for w, h in zip(t.split(), hit) if not h)):
+                kept.append(stay)
+        out.append(" ".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("shard_pages", [4, 64])
+def test_hosts_decide_as_by_brute_force(spark, shard_pages):
+    import random
+
+    r = random.Random(shard_pages)
+    say = lambda n: " ".join(r.choice("abcdefghijklmnop") + r.choice("qrstuvwxyz") for _ in range(n))
+    notes = [say(n) for n in (3, 9, 14, 30)]
+    pages = []
+    for i in range(90):
+        host = r.choice(["one", "one", "two", "three"])
+        inner = "".join(f"<p>{say(r.randint(2, 40))}</p>" + (f"<p>{notes[1]}</p>" if host == "one" and r.random() < 0.8 else "") + (f"<div>{r.choice(notes)}</div>" if host == "two" else "") for _ in range(2))
+        body = f"<article>{inner}</article>" if host != "three" else f"<div>{say(12)} {r.choice(notes)} {say(3)}</div><div>{notes[0]}</div>"
+        pages.append((f"http://{host}/{i}", f"<nav>{notes[2]}</nav>{body}<footer>{notes[3]}</footer>"))
+    pages += pages[:6]
+    got = texts(spark, pages, shard_pages=shard_pages)
+    assert [got[i] for i in range(len(pages))] == brute_pages(pages)
+    had = [i for i, (u, h) in enumerate(pages) if "//one/" in u and f"<p>{notes[1]}</p>" in h]
+    assert sum(notes[1] in got[i] for i in had) < 0.5 * len(had)  # but for articles of which it is half or more
 
 
 def test_suffix_ranks():

@@ -1,17 +1,24 @@
 """Main text of web pages, with boilerplate found by suffix arrays over the pages of a host.
 
-A page is parsed into blocks. Markup alone settles most: what stands in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments is boilerplate, and paragraphs of an article are text, however often a site
-repeats them (an article may be published twice). What markup leaves open, i.e. loose blocks inside an article and all
-blocks of a page without one, is decided by the host: the token streams of its pages' loose and boilerplate blocks are
-concatenated, a suffix array groups equal substrings of ``min_tokens`` tokens, and those on ``min_pages`` distinct pages
-of the host are boilerplate. Covered runs go, unique runs stay. A large host is dealt into shards of about
-``shard_pages`` distinct pages, so that no task gets a whole large host: each shard counts the pages of its runs by a
-suffix array of its own, the counts are added up by host, and every shard marks what the whole host has often.
-
-Defined cases: null or empty html gives an empty text; a null or odd url counts as one host of that spelling; pages of a
-host with equal blocks count as one page, whatever their rows; other columns are ignored; unclosed and truncated markup
-is closed at the end.
+A page is parsed into blocks, and its markup gives each a prior: CHROME in menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments; MAIN for paragraphs, headings, lists and tables of an article; LOOSE for
+what is between. The host decides: the token streams of its pages, all blocks, are concatenated, a suffix array groups
+equal substrings of ``min_tokens`` tokens (or whole blocks of fewer), and the distinct pages that have each are counted.
+
+* LOOSE blocks lose what is on ``min_pages`` pages; inside an article a block goes as a whole if it is mostly covered.
+* MAIN blocks go if they are mostly covered by substrings that half of the host's pages have (``common_pages`` at
+  least): notices that a site writes into every article. If that would take half of an article or more, the article
+  is one that recurs, e.g. copied pages, and it stays.
+* CHROME blocks go; they count as witnesses of what the host repeats.
+
+A large host is dealt into shards of about ``shard_pages`` distinct pages, so that no task gets a whole large host, and
+counts are those of the whole host: what half of the pages have, half of some shard's pages have, so every shard names
+its candidates and all shards count them; where a host has LOOSE blocks, all substrings are counted in all shards.
+
+Defined cases: null or empty html gives an empty text; an empty table gives an empty result; a null or odd url counts as
+one host of that spelling; pages of a host with equal blocks count as one page, whatever their rows; other columns are
+ignored; unclosed and truncated markup is closed at the end; pages may be of any length; substrings are told apart by 64
+bits of hash.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -26,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_arrow
-from weftline.storage import materialize
+from weftline.llm.common import bitmap, in_bitmap, join_hot, map_arrow, mix, window_hashes
+from weftline.storage import discard, materialize
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -159,22 +167,25 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-_PARSED = "page_id long, url string, host string, content binary, loose boolean, article boolean, texts array<string>, kinds array<int>"
+_STREAMS = "host string, content binary, kinds array<int>, sizes array<int>, tokens array<int>"
 
 
-def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-    content, loose, article, texts, kinds = [], [], [], [], []
+def _digest(found: list[tuple[str, int]]) -> bytes:
+    return hashlib.blake2b(repr(found).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _streams(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The token stream of each page: kinds and sizes of its blocks, and the tokens as numbers."""
+    content, kinds, sizes, tokens = [], [], [], []
     for page in batch.column("html").to_pylist():
         found = blocks(page or "")
-        undecided = any(k == LOOSE for _, k in found)
-        content.append(hashlib.blake2b(repr(found).encode(), digest_size=16).digest())
-        loose.append(undecided)
-        article.append(any(k == MAIN for _, k in found))
-        texts.append([t for t, _ in found])
+        words = [t.split() for t, _ in found]
+        content.append(_digest(found))
         kinds.append([k for _, k in found])
-    columns = [batch.column(c) for c in ("page_id", "url", "host")]
-    made = [pa.array(content, pa.binary()), pa.array(loose, pa.bool_()), pa.array(article, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays([*columns, *made], names=["page_id", "url", "host", "content", "loose", "article", "texts", "kinds"])
+        sizes.append([len(w) for w in words])
+        tokens.append(np.array([zlib.crc32(w.encode("utf-8", "replace")) for x in words for w in x], np.uint32).view(np.int32))
+    columns = [pa.array(content, pa.binary()), *[pa.array(x, pa.list_(pa.int32())) for x in (kinds, sizes, tokens)]]
+    return pa.RecordBatch.from_arrays([batch.column("host"), *columns], names=["host", "content", "kinds", "sizes", "tokens"])
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,112 +201,197 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def _streams(group: pd.DataFrame) -> list[list[list[str]]]:
-    return [[t.split() for t, k in zip(texts, kinds, strict=True) if k != MAIN] for texts, kinds in zip(group["texts"], group["kinds"], strict=True)]
-
-
-def _digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
-
-
-def run_counts(streams: list[list[list[str]]], min_tokens: int) -> dict[bytes, int]:
-    """The number of pages that have each run: a substring of ``min_tokens`` tokens, or a whole block of fewer."""
-    ids: dict[str, int] = {}
-    words_of, tokens, page_of = [], [], []
-    short: dict[bytes, set] = {}
-    for page, found in enumerate(streams):
-        for words in found:
-            if len(words) < min_tokens:
-                short.setdefault(_digest(words), set()).add(page)
-                continue
-            words_of += [*words, ""]
-            tokens += [*(ids.setdefault(w, len(ids)) for w in words), -1]
-            page_of += [page] * (len(words) + 1)
-    out = {run: len(pages) for run, pages in short.items()}
-    if tokens:
-        stream, pages = np.array(tokens), np.array(page_of)
-        # A separator equals no other, so that no substring goes beyond its block.
-        ends = stream < 0
-        stream[ends] = len(ids) + np.arange(ends.sum())
-        order, rank = suffix_ranks(stream, min_tokens)
-        before = np.concatenate([[0], np.cumsum(ends)])
-        inside = before[np.minimum(np.arange(len(stream)) + min_tokens, len(stream))] == before[:-1]
-        pairs = np.unique(np.stack([rank[order], pages[order]]), axis=1)
-        counts = np.bincount(pairs[0])
-        seen, first = np.unique(rank, return_index=True)
-        for r, at in zip(seen.tolist(), first.tolist(), strict=True):
-            if inside[at]:
-                out[_digest(words_of[at : at + min_tokens])] = int(counts[r])
-    return out
-
-
-def covered(words: list[str], often: set[bytes], min_tokens: int) -> np.ndarray:
-    """Which tokens of a block lie in a run that is one of ``often``."""
-    if len(words) < min_tokens:
-        return np.full(len(words), _digest(words) in often)
-    change = np.zeros(len(words) + 1, np.int64)
-    for at in range(len(words) - min_tokens + 1):
-        if _digest(words[at : at + min_tokens]) in often:
-            change[at] += 1
-            change[at + min_tokens] -= 1
-    return np.cumsum(change)[:-1] > 0
+class Pages:
+    """The concatenated token streams of some pages, with the runs in them: substrings of ``min_tokens`` tokens of a
+    block, and whole blocks of fewer."""
+
+    def __init__(self, kinds: list[np.ndarray], sizes: list[np.ndarray], tokens: list[np.ndarray], min_tokens: int):
+        self.min_tokens, self.n = min_tokens, len(kinds)
+        self.kinds, self.sizes = np.concatenate([*kinds, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
+        self.page_of_block = np.repeat(np.arange(self.n), [len(k) for k in kinds])
+        self.tokens = np.concatenate([*tokens, np.zeros(0, np.int32)]).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        hashes = window_hashes(mix(self.tokens.view(np.uint64)), min_tokens)
+        # Places where a run begins: all of a block but its last min_tokens - 1; the first of a short block.
+        length = np.maximum(self.sizes - min_tokens + 1, (self.sizes > 0).astype(np.int64))
+        self.block = np.repeat(np.arange(len(self.sizes)), length)
+        self.place = np.arange(len(self.block)) - np.repeat(np.cumsum(length) - length, length)
+        at = self.starts[self.block] + self.place
+        self.run = np.zeros(len(at), np.uint64)
+        long = self.sizes[self.block] >= min_tokens
+        self.run[long] = hashes[at[long]] if len(hashes) else 0
+        for i in np.flatnonzero(~long).tolist():
+            words = self.tokens[at[i] : at[i] + self.sizes[self.block[i]]]
+            self.run[i] = window_hashes(mix(words.view(np.uint64)), len(words), seed=5)[0]
+        self.run = self.run.view(np.int64)
+        self.at, self.long = at, long
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct runs, and how many of the pages have each."""
+        # Every block ends with a separator that equals nothing, so that equal suffixes lie in their blocks.
+        stream = np.insert(self.tokens, self.starts + self.sizes, np.arange(len(self.sizes)) + (1 << 40)) if len(self.sizes) else self.tokens
+        _, rank = suffix_ranks(stream, self.min_tokens)
+        group = rank[self.at + self.block].astype(np.int64)
+        # A short block is told by its hash: its suffixes end in its own separator.
+        _, short = np.unique(self.run[~self.long], return_inverse=True)
+        group[~self.long] = short + len(stream) + 1
+        pairs = np.unique(np.stack([group, self.page_of_block[self.block]]), axis=1)[0]
+        groups, first = np.unique(group, return_index=True)
+        return self.run[first], np.bincount(np.searchsorted(groups, pairs), minlength=len(groups))
+
+    def covered(self, often: np.ndarray) -> np.ndarray:
+        """Which tokens lie in a run that is one of ``often``."""
+        hit = np.isin(self.run, often)
+        change = np.zeros(len(self.tokens) + 1, np.int64)
+        size = np.minimum(self.sizes[self.block], self.min_tokens)
+        np.add.at(change, self.at[hit], 1)
+        np.add.at(change, (self.at + size)[hit], -1)
+        return np.cumsum(change)[:-1] > 0
+
+    @classmethod
+    def of(cls, group: pd.DataFrame, min_tokens: int) -> Pages:
+        return cls(*[[np.asarray(x) for x in group[c]] for c in ("kinds", "sizes", "tokens")], min_tokens)
+
+
+#: What holds for a host goes along with its rows, so that nothing is joined by host.
+_HOST = ["loose", "shards", "least", "half"]
+_COUNTS = "host string, shard long, run long, pages long, loose boolean, shards long, least long, half long"
+
+
+def _rows(group: pd.DataFrame, runs: np.ndarray, pages: np.ndarray) -> pd.DataFrame:
+    first, n = group.iloc[0], len(runs)
+    same = lambda c: pd.Series([first[c]] * n, dtype=object if c == "host" else bool if c == "loose" else np.int64)
+    return pd.DataFrame({"host": same("host"), "shard": same("shard"), "run": runs, "pages": pages.astype(np.int64), **{c: same(c) for c in _HOST}})
 
 
 def _count(min_tokens: int):
+    """Counts of a shard's pages: of all runs where the host has loose blocks, else of those that half of the pages have."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        counts = run_counts(_streams(group), min_tokens)
-        found = pd.DataFrame({"run": [*counts], "pages": [*counts.values()]}).assign(host=group["host"].iloc[0], shard=group["shard"].iloc[0])
-        # The counts of a host's only shard are final.
-        return (found if group["shards"].iloc[0] > 1 else found[found["pages"] >= group["least"].iloc[0]])[["host", "shard", "run", "pages"]]
+        runs, pages = Pages.of(group, min_tokens).counts()
+        keep = (pages > 1) & (2 * pages >= len(group)) if not group["loose"].iloc[0] else pages > 0
+        return _rows(group, runs[keep], pages[keep])
 
     return run
 
 
-def _decide(min_tokens: int):
+def _count_asked(min_tokens: int):
+    def run(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(asked):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ["host", "shard", "run", "pages", *_HOST]})
+        runs, pages = Pages.of(group, min_tokens).counts()
+        keep = np.isin(runs, asked["run"].to_numpy())
+        return _rows(group, runs[keep], pages[keep])
+
+    return run
+
+
+def _decide(min_tokens: int, share: float = 0.8):
+    """What the blocks of each page lose, flat: block, number of places, and the places between which tokens stay."""
+
     def run(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        group, often = group[group["loose"]], {bytes(r) for r in runs["run"]}
-        out = []
-        for texts, kinds, article in zip(group["texts"], group["kinds"], group["article"], strict=True):
-            kept = []
-            for text, kind in zip(texts, kinds, strict=True):
-                if kind == MAIN:
-                    kept.append(text)
-                elif kind == LOOSE:
-                    words = text.split()
-                    mask = covered(words, often, min_tokens)
-                    if article:  # inside an article: a block goes as a whole, if it is mostly covered
-                        kept += [text] if mask.mean() < 0.8 else []
-                    elif run_ := " ".join(w for w, m in zip(words, mask, strict=True) if not m):
-                        kept.append(run_)
-            out.append(" ".join(kept))
-        return pd.DataFrame({"host": group["host"], "content": group["content"], "text": pd.Series(out, index=group.index, dtype=object)})
+        contents, cuts = [], []
+        if len(group) and len(runs):
+            pages = Pages.of(group, min_tokens)
+            often, common = pages.covered(runs["run"].to_numpy()), pages.covered(runs["run"].to_numpy()[runs["common"].to_numpy(bool)])
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in group["kinds"]])])
+            part = lambda mask, b: mask[pages.starts[b] : pages.starts[b] + pages.sizes[b]]
+            for page, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                main = [b for b in range(a, z) if pages.kinds[b] == MAIN]
+                gone = [b for b in main if part(common, b).mean() >= share]
+                if 2 * sum(pages.sizes[gone]) >= sum(pages.sizes[main]):
+                    gone = []
+                cut = [x for b in gone for x in (b - a, 0)]
+                for b in [b for b in range(a, z) if pages.kinds[b] == LOOSE]:
+                    mask = part(often, b)
+                    if main and mask.mean() >= share:
+                        cut += [b - a, 0]
+                    elif not main and mask.any():
+                        edges = np.flatnonzero(np.diff(np.concatenate([[1], mask.astype(int), [1]])))
+                        cut += [b - a, len(edges), *edges.tolist()]
+                if cut:
+                    contents.append(group["content"].iloc[page])
+                    cuts.append(cut)
+        return pd.DataFrame({"host": pd.Series([group["host"].iloc[0] if len(group) else None] * len(contents), dtype=object), "content": pd.Series(contents, dtype=object), "cuts": pd.Series(cuts, dtype=object)})
 
     return run
 
 
-def extract(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, shard_pages: int = 64) -> DataFrame:
-    """Per page row: page_id, url, text."""
+_CUTS = "array<int>"
+
+
+def _text(found: list[tuple[str, int]], cuts: list[int] | None) -> str:
+    lost, kept, at = {}, [], 0
+    while cuts and at < len(cuts):
+        lost[cuts[at]] = cuts[at + 2 : at + 2 + cuts[at + 1]]
+        at += 2 + cuts[at + 1]
+    for i, (text, kind) in enumerate(found):
+        if kind == CHROME:
+            continue
+        if i in lost:
+            words, stay = text.split(), lost[i]
+            kept += [" ".join(words[a:b]) for a, b in zip(stay[::2], stay[1::2], strict=True)]
+        else:
+            kept.append(text)
+    return " ".join(kept)
+
+
+def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_pages: int = 5, shard_pages: int = 64) -> DataFrame:
+    """(host, content, cuts) of the distinct pages that lose something of their MAIN or LOOSE blocks. pages: host, html."""
+    streams = map_arrow(pages.select("host", "html"), _streams, _STREAMS, 256)
+    # Equal pages are one; of a page that a third of all rows are, one row of each task is left before they move.
+    distinct = materialize(streams.groupBy("host", "content").agg(*[F.first(c).alias(c) for c in ("kinds", "sizes", "tokens")]), "page-streams")
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.max(F.array_contains("kinds", LOOSE)).alias("loose"))
+    # With fewer distinct pages than asked for, all of them must have a run.
+    hosts = hosts.select("host", "n", "loose", F.ceil(F.col("n") / shard_pages).alias("shards"), F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("n"))).cast("long").alias("least"), F.greatest(F.lit(common_pages), F.ceil(F.col("n") / 2)).cast("long").alias("half"))
+    hosts = materialize(hosts, "page-hosts")
+    deal = lambda d: d.select("host", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "content", "kinds", "sizes", "tokens", *_HOST)
+    dealt = join_hot(distinct, hosts, ["host"], deal)
+    counts = materialize(dealt.groupBy("host", "shard").applyInPandas(_count(min_tokens), _COUNTS), "page-runs")
+    # Candidates of hosts of several shards, unless all their runs are counted anyway.
+    large = F.expr("shards > 1 and not loose")
+    asked = counts.where(large).select("host", "run", "shards").distinct().select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "run")
+    again = dealt.where(large).groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(_count_asked(min_tokens), _COUNTS)
+    final = materialize(counts.where(~large).unionByName(again), "page-runs")
+    totals = final.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.min("half").alias("half")).where("pages >= least")
+    told = final.select("host", "shard", "run").join(totals.select("host", "run", (F.col("pages") >= F.col("half")).alias("common")), ["host", "run"])
+    decided = dealt.groupBy("host", "shard").cogroup(told.groupBy("host", "shard")).applyInPandas(_decide(min_tokens), f"host string, content binary, cuts {_CUTS}")
+    out = materialize(decided, "page-cuts")
+    discard(distinct, hosts, counts, final)
+    return out
+
+
+def extract(pages: DataFrame, **limits: int) -> DataFrame:
+    """Per page row: page_id, url, text. ``limits``: those of :func:`decisions`."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     named = pages.select("page_id", "url", host.alias("host"), "html")
-    parsed = materialize(map_arrow(named, _parse, _PARSED, 256), "page-blocks")
-    main = F.filter(F.arrays_zip("texts", "kinds"), lambda x: x["kinds"] == MAIN)
-    settled = parsed.where(~F.col("loose")).select("page_id", "url", F.array_join(F.transform(main, lambda x: x["texts"]), " ").alias("text"))
-    loose = parsed.where("loose").select("page_id", "url", "host", "content")
-    if loose.isEmpty():
-        return settled
-    # Only what can be a witness goes along from pages that markup settles.
-    other = F.filter(F.arrays_zip("texts", "kinds"), lambda x: x["kinds"] != MAIN)
-    sent = parsed.join(loose.select("host").distinct(), "host").withColumn("sent", F.when(F.col("loose"), F.arrays_zip("texts", "kinds")).otherwise(other))
-    sent = sent.select("host", "content", "loose", "article", F.transform("sent", lambda x: x["texts"]).alias("texts"), F.transform("sent", lambda x: x["kinds"]).alias("kinds"))
-    distinct = materialize(sent.dropDuplicates(["host", "content"]), "page-distinct")
-    # With fewer distinct pages than asked for, all of them must have a run.
-    hosts = distinct.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / shard_pages).alias("shards"), F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("n"))).cast("long").alias("least"))
-    dealt = distinct.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("content"), "shards"))
-    counts = materialize(dealt.groupBy("host", "shard").applyInPandas(_count(min_tokens), "host string, shard long, run binary, pages long"), "page-runs")
-    often = counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(hosts, "host").where("pages >= least").select("host", "run")
-    often = counts.join(often, ["host", "run"]).select("host", "shard", "run")
-    decided = dealt.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInPandas(_decide(min_tokens), "host string, content binary, text string")
-    return settled.unionByName(loose.join(decided, ["host", "content"]).select("page_id", "url", "text"))
+    cuts = decisions(named, **limits)
+    some = pages.sparkSession.sparkContext.broadcast(bitmap(cuts.select(F.xxhash64("host", "content").alias("k")), "k", 22))
+    parsed = "page_id long, url string, host string, content binary, found array<struct<text:string,kind:int>>"
+
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [blocks(page or "") for page in batch.column("html").to_pylist()]
+        kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
+        made = [pa.array([_digest(x) for x in found], pa.binary()), pa.array([[{"text": t, "kind": k} for t, k in x] for x in found], kind)]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "host")], *made], names=["page_id", "url", "host", "content", "found"])
+
+    def flag(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hit = in_bitmap(some.value, batch.column("k").to_numpy().view(np.uint64))
+        # Pages that lose nothing are finished here; of others the blocks go along.
+        rows = batch.column("found").to_pylist()
+        texts = [None if h else _text([(x["text"], x["kind"]) for x in found], None) for found, h in zip(rows, hit, strict=True)]
+        kept = pa.array([[x for x in found] if h else None for found, h in zip(rows, hit, strict=True)], batch.schema.field("found").type)
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "host", "content")], kept, pa.array(hit), pa.array(texts, pa.string())], names=["page_id", "url", "host", "content", "found", "hit", "text"])
+
+    def assemble(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [_text([(x["text"], x["kind"]) for x in found], cut) for found, cut in zip(batch.column("found").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    blocks_of = map_arrow(named, parse, parsed, 256).withColumn("k", F.xxhash64("host", "content"))
+    marked = map_arrow(blocks_of, flag, parsed + ", hit boolean, text string", 256)
+    done = marked.where(~F.col("hit")).select("page_id", "url", "text")
+    open_ = marked.where("hit").join(cuts, ["host", "content"], "left").select("page_id", "url", "found", "cuts")
+    return done.unionByName(map_arrow(open_, assemble, "page_id long, url string, text string", 256))
 
 
 def report(pages: DataFrame) -> DataFrame:
