@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import SPACE, bitmap, components, in_bitmap, join_hot, map_arrow, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
+from weftline.llm.common import SPACE, bitmap, components, in_bitmap, join_hot, list_array, map_arrow, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
 from weftline.storage import discard, materialize
 
 _PART = 6  # words of the runs among which a window's minimizer is chosen
@@ -176,21 +176,31 @@ _SPAN = "start:int,end:int,source:long,source_key:long,source_start:int"
 
 def _long_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The pieces of each text, merged where neighbours on a path have neighbouring coordinates."""
-    merged, paths = [], []
-    for pieces in batch.column("pieces").to_pylist():
-        out: list[dict] = []
-        rows = sorted({(x["source"], x["source_key"], x["path"], x["source_start"] - x["start"], x["start"], x["end"]) for x in pieces})
-        before = None
-        for source, key, path, shift, start, end in rows:
-            if before == (source, key, path, shift) and start <= out[-1]["end"]:
-                out[-1]["end"] = max(out[-1]["end"], end)
-            else:
-                out.append({"start": start, "end": end, "source": source, "source_key": key, "source_start": start + shift})
-            before = (source, key, path, shift)
-        merged.append(out)
-        paths.append(len({x["path"] for x in pieces}))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("source_key", pa.int64()), ("source_start", pa.int32())]))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(merged, kind), pa.array(paths, pa.int32())], names=["doc_id", "key", "spans", "n_paths"])
+    lists = batch.column("pieces")
+    ends_of = lists.offsets.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(ends_of))
+    fields = lists.flatten()
+    start, end, source, key, source_start, path = (fields.field(c).to_numpy().astype(np.int64) for c in ("start", "end", "source", "source_key", "source_start", "path"))
+    n_paths = np.bincount(np.unique(np.stack([row, path]), axis=1)[0], minlength=batch.num_rows) if len(row) else np.zeros(batch.num_rows, np.int64)
+    order = np.lexsort((end, start, source_start - start, path, key, source, row))
+    row, start, end, source, key, source_start, path = (x[order] for x in (row, start, end, source, key, source_start, path))
+    same = np.ones(len(row), bool)
+    for x in (row, source, key, path, source_start - start):
+        same[1:] &= x[1:] == x[:-1]
+    same[:1] = False
+    # The furthest end so far in a group of equal coordinates; groups are kept apart by an offset.
+    group = np.cumsum(~same) << 33
+    furthest = np.maximum.accumulate(end + group) - group
+    new = ~same
+    new[1:] |= start[1:] > furthest[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1 if len(first) else first
+    spans = pa.StructArray.from_arrays(
+        [pa.array(x.astype(t)) for x, t in ((start[first], np.int32), (furthest[last], np.int32), (source[first], np.int64), (key[first], np.int64), (source_start[first], np.int32))],
+        names=["start", "end", "source", "source_key", "source_start"],
+    )
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=batch.num_rows))])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), list_array(offsets, spans), pa.array(n_paths.astype(np.int32))], names=["doc_id", "key", "spans", "n_paths"])
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -264,12 +274,10 @@ def covered_spans(documents: DataFrame, size: int = 13) -> DataFrame:
         on = paths.where(F.col("level") == level).select("k", "c", "path")
         sources = materialize(sources.select("k", "c", "n", "source", "source_key", "source_start").join(on, ["k", "c"], "left").withColumn("path", F.coalesce("path", "k")), "sources")
         later = lambda d: d.where("source < doc_id").select("doc_id", "key", "start", (F.col("start") + F.col("count") + size - 1).alias("end"), "source", "source_key", "source_start", "path")
-        pieces.append(materialize(join_hot(occurrences.select("doc_id", "key", "start", "count", "k", "c"), sources, ["k", "c"], later), "pieces"))
-        discard(occurrences)
-    discard(contents, single, paths)
+        pieces.append(join_hot(occurrences.select("doc_id", "key", "start", "count", "k", "c"), sources, ["k", "c"], later))
     whole = pieces[0].unionByName(pieces[1]).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end", "source", "source_key", "source_start", "path")).alias("pieces"))
     spans = materialize(map_arrow(whole, _long_spans, f"doc_id long, key long, spans array<struct<{_SPAN}>>, n_paths int"), "spans")
-    discard(*pieces)
+    discard(runs, edges, contents, single, paths)
     out = _verified(keyed, spans)
     discard(spans)
     return out
