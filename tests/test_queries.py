@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB, on the smallest tables; the others give rows."""
+"""Every query against its SQL in DuckDB, on the smallest tables."""
 
 import duckdb
 import pytest
@@ -18,7 +18,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if v is None or str(v) == "<NA>" or v != v:
         return "-"
     return repr(round(float(v), 9)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
@@ -30,12 +30,9 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
-    if name in ORACLES:
-        want = duck.execute(ORACLES[name]).df()
-        assert sorted(got.columns) == sorted(want.columns)
-        assert rows(got) == rows(want)
-    else:
-        assert len(got)
+    want = duck.execute(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
 
 
 def test_entry(spark):

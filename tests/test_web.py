@@ -162,3 +162,53 @@ def test_readers(spark, tmp_path):
     with pytest.raises(Exception, match="invalid count"):
         readers.mix(bad).collect()
     assert readers.sites(spark.createDataFrame([("[]",), (None,)], "value string")).count() == 0
+
+
+def test_selectors():
+    from weftline.functions import dom
+
+    root = dom.parse('<html><body><ul id="u"><li class="a b">1</li><li>2</li><li data-x="Foo">3<b></b></li></ul><h2>h</h2><p class=lead>x</p><p>y</p><div><p>z</p></div></body></html>')
+    found = {
+        "li:nth-child(2)": "2", "li:nth-child(odd)": "1 3", "li:nth-child(-n+2)": "1 2", "h2 + p": "x", "h2 ~ p": "x y", "ul > li:not(:first-child)": "2 3", "[data-x=foo i]": "3", "[data-x=foo]": "", "li:has(> b)": "3",
+        "p:last-of-type": "y z", "ul, h2": "123 h", "body > p": "x y", "*:empty": "", "li:contains('2')": "2", ".a.b": "1", "#u li:last-child": "3", "p:is(.lead, div p)": "x z", "li:nth-last-child(1)": "3", "p:only-of-type": "z", "div:only-child": "",
+    }
+    for selector, want in found.items():
+        assert " ".join(n.text() for n in dom.select(root, selector)) == want, selector
+    for selector in ("li:nope", "li:nth-child(x)", "> li", "li >", "[a", "", "li,,p", "li:not(", "p:not()"):
+        with pytest.raises(dom.SelectorError):
+            dom.select(root, selector)
+
+
+def test_obfuscation_of_broken_markup(spark):
+    text = obfuscate.scrub_page_text("<pre><code>x</pre><p>secret words here</p><br><b>more &amp; more</b><script>if (a<b) keep</script> end <i")
+    assert text.startswith("<pre><code>x</pre><p>") and "secret" not in text and "&amp;" in text and "<script>if (a<b) keep</script>" in text and len(text) <= len("<pre><code>x</pre><p>secret words here</p><br><b>more &amp; more</b><script>if (a<b) keep</script> end <i")
+    assert "more" not in text
+    for n in range(60):
+        assert len(obfuscate.lorem(n, "s")) in (n, n - 1)
+
+
+def test_crawl_of_equal_addresses(spark):
+    """Pages without their end slash: the first address counts; spellings of one page use up places."""
+    pages = spark.createDataFrame([("http://h/a/", ["http://h/b/", "http://h/b", "http://h/a", "http://h/c", "http://x/d"]), ("http://h/a", ["http://h/c"]), ("http://h/b/", ["http://h/c/"]), ("http://h/c", [])], "url string, links array<string>")
+    seeds = spark.createDataFrame([(1, "http://h/a"), (2, "http://h/b")], "crawl_id int, start_url string")
+    got = sorted((r.crawl_id, r.seq, r.depth, r.url) for r in crawl.crawl(seeds, pages, per_level=2).collect())
+    assert got == [(1, 0, 1, "http://h/a"), (1, 1, 2, "http://h/c"), (2, 0, 1, "http://h/b/"), (2, 1, 2, "http://h/c")]
+
+
+def test_retention_loop(spark, tmp_path):
+    items = spark.createDataFrame([(f"g{i}", f"2026-01-0{i}", 10, None, True, "s") for i in range(1, 6)], "guid string, created_at string, size long, grp string, has_metadata boolean, scope string")
+    gone = []
+    spark.createDataFrame([(1,)], "tick long").write.parquet(str(tmp_path / "ticks"))
+    ticks = spark.readStream.schema("tick long").parquet(str(tmp_path / "ticks"))
+    query = retention.keep_within(ticks, lambda: items, 25, lambda d: gone.extend(r.guid for r in d.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120) and sorted(gone) == ["g1", "g2", "g3"]
+
+
+def test_settings_come_back(spark):
+    from weftline import storage
+
+    before = {k: spark.conf.get(k, None) for k in storage._WRITING}
+    d = storage.materialize(spark.range(5), "t")
+    assert d.count() == 5 and {k: spark.conf.get(k, None) for k in storage._WRITING} == before
+    storage.discard(d)
+    assert storage.fresh("a", spark.range(1).selectExpr("id AS A", "id AS a_")) == "a__"

@@ -7,10 +7,11 @@ tag closes the nearest open element of its name, one without an open element is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
+# Elements without content, without text, and those that make the sections, the navigation and the outline.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 REMOVED = ("script", "style", "noscript", "iframe", "svg", "canvas")
 NOT_TEXT = frozenset(("script", "style", "template"))
@@ -109,76 +110,196 @@ class SelectorError(ValueError):
     pass
 
 
-_SIMPLE = re.compile(r"""\*|[A-Za-z][\w-]*|\#[\w-]+|\.[\w-]+|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]""")
+# Selectors are compiled to predicates over nodes: a compound is a conjunction, a combinator looks at other nodes.
+_NAME = r"(?:[\w-]|[^\x00-\x7F]|\\.)+"
+_PART = re.compile(
+    rf"""(?P<tag>\*|(?![\d]){_NAME})|\#(?P<id>{_NAME})|\.(?P<cls>{_NAME})|\[\s*(?P<attr>{_NAME})\s*(?:(?P<op>[~^$*|!]?=)\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[^\]\s]+))\s*(?P<flag>[iIsS])?\s*)?\]|::?(?P<pseudo>[A-Za-z-]+)(?P<call>\()?"""
+)
+_COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
+_NTH = re.compile(r"^\s*(?:(odd|even)|([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+))\s*$", re.I)
+
+Test = Callable[[Node], bool]
+
+
+def _plain_name(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text)
+
+
+def _elements(node: Node) -> list[Node]:
+    """The node and its sister elements, in order."""
+    return [c for c in node.parent.children if isinstance(c, Node)] if node.parent is not None else [node]
+
+
+def _place(node: Node, typed: bool, back: bool) -> int:
+    """The place among its sisters, from 1; ``typed``: among those of its tag; ``back``: from the end."""
+    those = [c for c in _elements(node) if not typed or c.tag == node.tag]
+    at = next(i for i, c in enumerate(those) if c is node)
+    return len(those) - at if back else at + 1
+
+
+def _nth(text: str) -> tuple[int, int]:
+    """(a, b) of an + b."""
+    m = _NTH.match(text)
+    if not m:
+        raise SelectorError(text)
+    if m[1]:
+        return 2, int(m[1].lower() == "odd")
+    if m[5]:
+        return 0, int(m[5])
+    return int(m[2] + "1" if m[2] in ("", "+", "-") else m[2]), int((m[3] or "+") + (m[4] or "0"))
+
+
+def _pseudo(name: str, argument: str | None) -> Test:
+    name = name.lower()
+    if argument is None:
+        fixed: dict[str, Test] = {
+            "first-child": lambda n: _place(n, False, False) == 1, "last-child": lambda n: _place(n, False, True) == 1, "only-child": lambda n: len(_elements(n)) == 1,
+            "first-of-type": lambda n: _place(n, True, False) == 1, "last-of-type": lambda n: _place(n, True, True) == 1, "only-of-type": lambda n: sum(c.tag == n.tag for c in _elements(n)) == 1,
+            "empty": lambda n: not any(isinstance(c, Node) or c for c in n.children), "root": lambda n: n.parent is not None and not n.parent.tag, "any-link": lambda n: n.tag in ("a", "area") and "href" in n.attrs,
+            "link": lambda n: n.tag in ("a", "area") and "href" in n.attrs, "checked": lambda n: "checked" in n.attrs or "selected" in n.attrs, "disabled": lambda n: "disabled" in n.attrs,
+            "enabled": lambda n: n.tag in ("input", "button", "select", "textarea", "option") and "disabled" not in n.attrs, "required": lambda n: "required" in n.attrs,
+        }
+        if name not in fixed:
+            raise SelectorError(name)
+        return fixed[name]
+    if name in ("nth-child", "nth-last-child", "nth-of-type", "nth-last-of-type"):
+        a, b = _nth(argument)
+        typed, back = name.endswith("type"), "last" in name
+        return lambda n: (d := _place(n, typed, back) - b) == 0 or a != 0 and d % a == 0 and d // a >= 0
+    if name in ("is", "where", "matches", "not"):
+        test = _compiled(argument)
+        return (lambda n: not test(n)) if name == "not" else test
+    if name == "has":
+        relative = [_relative(x) for x in _listed(argument)]
+        return lambda n: any(r(n) for r in relative)
+    if name in ("contains", "-soup-contains"):
+        said = argument.strip()
+        said = said[1:-1] if said[:1] in "\"'" and said[-1:] == said[:1] else said
+        return lambda n: said in "".join(n.strings())
+    raise SelectorError(name)
+
+
+def _relative(text: str) -> Test:
+    """The argument of has: below the node, or after a combinator among its children or later sisters."""
+    kind = text[0] if text[0] in ">+~" else " "
+    test = _compiled(text[1:] if kind != " " else text)
+
+    def found(node: Node) -> bool:
+        if kind == " ":
+            return any(test(n) for n in node.walk() if n is not node)
+        if kind == ">":
+            return any(test(c) for c in node.children if isinstance(c, Node))
+        after = _elements(node)[_place(node, False, False) :]
+        return any(map(test, after[:1] if kind == "+" else after))
+
+    return found
+
+
+def _listed(text: str) -> list[str]:
+    """The members of a list, parted by commas outside of brackets and quotes."""
+    out, depth, quote, at = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(text[at:i])
+            at = i + 1
+    out = [x.strip() for x in [*out, text[at:]]]
+    if depth or quote or not all(out):
+        raise SelectorError(text)
+    return out
 
 
-def _compound(text: str) -> list[tuple]:
-    parts, at = [], 0
+def _attribute(name: str, operator: str | None, value: str, fold: bool) -> Test:
+    value = value.lower() if fold else value
+    tests: dict[str | None, Callable[[str], bool]] = {
+        None: lambda x: True, "=": lambda x: x == value, "~=": lambda x: value in x.split(), "^=": lambda x: value != "" and x.startswith(value), "$=": lambda x: value != "" and x.endswith(value),
+        "*=": lambda x: value != "" and value in x, "|=": lambda x: x == value or x.startswith(value + "-"), "!=": lambda x: x != value,
+    }
+    good = tests[operator]
+    if operator == "!=":
+        return lambda n: name not in n.attrs or good(n.attrs[name])
+    return lambda n: name in n.attrs and good(n.attrs[name].lower() if fold else n.attrs[name])
+
+
+def _compound(text: str, at: int) -> tuple[list[Test], int]:
+    """The tests of the compound that begins at a place, and where it ends."""
+    tests: list[Test] = []
+    while m := _PART.match(text, at):
+        if m["tag"] and tests:
+            break
+        at = m.end()
+        if m["tag"]:
+            tag = _plain_name(m["tag"]).lower()
+            tests.append(lambda n, tag=tag: tag in ("*", n.tag))
+        elif m["id"]:
+            tests.append(lambda n, x=_plain_name(m["id"]): n.attrs.get("id") == x)
+        elif m["cls"]:
+            tests.append(lambda n, x=_plain_name(m["cls"]): x in n.classes())
+        elif m["attr"]:
+            value = next((v for v in (m["v1"], m["v2"], m["v3"]) if v is not None), "")
+            tests.append(_attribute(_plain_name(m["attr"]).lower(), m["op"], value, (m["flag"] or "").lower() == "i"))
+        else:
+            argument = None
+            if m["call"]:
+                depth, end = 1, at
+                while end < len(text) and depth:
+                    depth += {"(": 1, ")": -1}.get(text[end], 0)
+                    end += 1
+                if depth:
+                    raise SelectorError(text)
+                argument, at = text[at : end - 1], end
+            tests.append(_pseudo(m["pseudo"], argument))
+    if not tests:
+        raise SelectorError(text)
+    return tests, at
+
+
+def _one(text: str) -> Test:
+    """One selector of a list, from left to right: each combinator wraps what is before it."""
+    tests, at = _compound(text, 0)
+    test: Test = lambda n, tests=tests: all(t(n) for t in tests)
     while at < len(text):
-        m = _SIMPLE.match(text, at)
+        m = _COMBINATOR.match(text, at)
         if not m:
             raise SelectorError(text)
-        word = m[0]
-        if word[0] == "[":
-            parts.append(("attr", m[1].lower(), m[2], next((v for v in (m[3], m[4], m[5]) if v is not None), "")))
-        else:
-            parts.append({"#": ("id", word[1:]), ".": ("class", word[1:])}.get(word[0], ("tag", word.lower())))
-        at = m.end()
-    return parts
-
+        kind = m[1] or " "
+        tests, at = _compound(text, m.end())
 
-def _matches(node: Node, parts: list[tuple]) -> bool:
-    for kind, *rest in parts:
-        if kind == "tag":
-            good = rest[0] in ("*", node.tag)
-        elif kind == "id":
-            good = node.attrs.get("id") == rest[0]
-        elif kind == "class":
-            good = rest[0] in node.classes()
-        else:
-            name, operator, value = rest
-            have = node.attrs.get(name)
-            good = have is not None and (
-                operator is None or operator == "=" and have == value or operator == "~=" and value in have.split() or operator == "^=" and have.startswith(value)
-                or operator == "$=" and have.endswith(value) or operator == "*=" and value in have or operator == "|=" and (have == value or have.startswith(value + "-"))
-            )
-        if not good:
+        def step(n: Node, tests=tests, kind=kind, before=test) -> bool:
+            if not all(t(n) for t in tests):
+                return False
+            if kind in "+~":
+                earlier = _elements(n)[: _place(n, False, False) - 1]
+                return any(map(before, earlier[-1:] if kind == "+" else earlier))
+            up = n.parent
+            while up is not None and up.tag:
+                if before(up):
+                    return True
+                if kind == ">":
+                    return False
+                up = up.parent
             return False
-    return True
 
+        test = step
+    return test
 
-def select(root: Node, selector: str) -> list[Node]:
-    """Elements that match a CSS selector of types, ids, classes, attributes, descendants, children and lists."""
-    chains = []
-    for one in selector.split(","):
-        tokens = re.findall(r"(?:\[[^\]]*\]|[^\s>])+|>", one.strip())
-        if not tokens or tokens[-1] == ">" or tokens[0] == ">":
-            raise SelectorError(selector)
-        steps, child = [], False
-        for token in tokens:
-            if token == ">":
-                child = True
-            else:
-                steps.append((_compound(token), child))
-                child = False
-        chains.append(steps)
-
-    def fits(node: Node, steps: list) -> bool:
-        parts, child = steps[-1]
-        if not _matches(node, parts):
-            return False
-        if len(steps) == 1:
-            return True
-        up = node.parent
-        while up is not None and up.tag:
-            if fits(up, steps[:-1]):
-                return True
-            if child:
-                return False
-            up = up.parent
-        return False
 
-    return [n for n in root.walk() if n.tag and any(fits(n, s) for s in chains)]
+def _compiled(selector: str) -> Test:
+    tests = [_one(x) for x in _listed(selector)]
+    return lambda n: any(t(n) for t in tests)
+
+
+def select(root: Node, selector: str) -> list[Node]:
+    """Elements that match a CSS selector, in document order."""
+    test = _compiled(selector)
+    return [n for n in root.walk() if n.tag and test(n)]
 
 
 # ---------------------------------------------------------------- what is read from a page

@@ -251,11 +251,15 @@ _BODY = "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '
 _ENT = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
 
+#: Text nodes of a page: what is between tags, stripped, without empty ones.
+_NODES = f"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({_BODY}, '<!--.*?-->', '', 'g'), '<[^<>]*$', ''), '<[^<>]*>'), lambda x: trim({_ENT("x")}, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"""
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages")
 
 
-@_query(None)
+@_query(rf"""SELECT page_id, trim({_ENT("regexp_extract(html, '<title>([^<]*)', 1)")}) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language FROM pages""")
 def html_title_lang(spark, sf_dir):
     return html.extract(_pages(spark, sf_dir), ()).select("page_id", "page.title", "page.language")
 
@@ -266,33 +270,40 @@ def html_links(spark, sf_dir):
     return html.extract(_pages(spark, sf_dir), ("links",)).select("page_id", F.explode("page.links").alias("l")).select("page_id", F.col("l.url").alias("link"), "l.external")
 
 
-@_query(None)
+@_query(rf"""SELECT page_id, 0 AS pos, 1 AS level, trim({_ENT("regexp_extract(html, '<h1>([^<]*)', 1)")}) AS text FROM pages WHERE contains(html, '<h1>')""")
 def html_headings(spark, sf_dir):
     return html.extract(_pages(spark, sf_dir), ()).select("page_id", F.posexplode("page.headings").alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
 
 
-@_query(None)
+@_query(rf"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(array_to_string({_NODES}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9)) AS t FROM pages)
+  SELECT page_id, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS digest FROM t""")
 def html_text(spark, sf_dir):
     return html.extract(_pages(spark, sf_dir), ()).select("page_id", F.length("page.text").alias("chars"), F.sha2("page.text", 256).alias("digest"))
 
 
-@_query(r"""SELECT page_id, contains(html, '<div class="ad">') AS had_ad, false AS has_ad FROM pages""")
+@_query(rf"""WITH p AS (SELECT page_id, html AS whole, regexp_replace(html, '(?s)<div class="ad">.*?</div>', '') AS html FROM pages),
+  t AS (SELECT page_id, whole, trim(regexp_replace(array_to_string({_NODES}, chr(10)), '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9)) AS t FROM p)
+  SELECT page_id, contains(whole, '<div class="ad">') AS had_ad, sha256(t) AS digest FROM t""")
 def html_noise(spark, sf_dir):
-    p = html.extract(html.extract(_pages(spark, sf_dir), ()).withColumnRenamed("page", "raw"), (), filter_noise=True)
-    # The advert's own text node, between the navigation and the article, is a line of the unfiltered text.
-    ad = F.regexp_extract("html", r'<div class="ad">([^<]*)', 1)
-    return p.select("page_id", F.col("html").contains('<div class="ad">').alias("had_ad"), (F.length("page.text") > F.length("raw.text") - F.least(F.length(ad), F.lit(1))).alias("has_ad"))
+    p = html.extract(_pages(spark, sf_dir), (), filter_noise=True)
+    return p.select("page_id", F.col("html").contains('<div class="ad">').alias("had_ad"), F.sha2("page.text", 256).alias("digest"))
 
 
-@_query(None)
+@_query(rf"""SELECT page_id, 0 AS pos, 1 AS level, trim({_ENT("regexp_extract(html, '<h1>([^<]*)', 1)")}) AS text, NULL AS id FROM pages WHERE contains(html, '<h1>')""")
 def html_outline(spark, sf_dir):
     return html.structure(_pages(spark, sf_dir), ("outline",)).select("page_id", F.posexplode("structure.outline").alias("pos", "o")).select("page_id", "pos", "o.level", "o.text", "o.id")
 
 
-@_query(r"""SELECT page_id, 'nav' AS tag, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links_count FROM pages UNION ALL SELECT page_id, 'article', 0 FROM pages
-  UNION ALL SELECT page_id, 'footer', 0 FROM pages""")
+_PREVIEW = lambda part: f"""array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_extract(regexp_replace({_BODY}, '<!--.*?-->', '', 'g'), '(?s){part}', 1), '<[^<>]*$', ''), '<[^<>]*>'), lambda x: trim({_ENT("x")}, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), ' ')"""
+
+
+@_query(rf"""WITH t AS (SELECT page_id, 'nav' AS tag, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links_count, NULL AS heading, {_PREVIEW("<nav>(.*?)</nav>")} AS t FROM pages
+  UNION ALL SELECT page_id, 'article', 0, trim({_ENT("regexp_extract(html, '<h1>([^<]*)', 1)")}), {_PREVIEW("<article>(.*?)(?:</article>|<footer>|$)")} FROM pages WHERE contains(html, '<article>')
+  UNION ALL SELECT page_id, 'footer', 0, NULL, {_PREVIEW("<footer>(.*?)(?:</footer>|$)")} FROM pages WHERE contains(html, '<footer>'))
+  SELECT page_id, tag, links_count, heading, CASE WHEN length(t) > 200 THEN t[1:200] || '...' ELSE t END AS preview FROM t""")
 def html_sections(spark, sf_dir):
-    return html.structure(_pages(spark, sf_dir), ("sections",)).select("page_id", F.explode("structure.sections").alias("s")).select("page_id", "s.tag", "s.links_count")
+    s = html.structure(_pages(spark, sf_dir), ("sections",)).select("page_id", F.explode("structure.sections").alias("s"))
+    return s.select("page_id", "s.tag", "s.links_count", "s.heading", F.col("s.text_preview").alias("preview"))
 
 
 @_query(r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS internal, CAST(0 AS BIGINT) AS external, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS navigation FROM pages""")
@@ -322,10 +333,12 @@ def pii_scrub(spark, sf_dir):
     return d.where(F.regexp_count("text", F.lit(pattern)) > 0).select("doc_id", (F.regexp_count("text", F.lit(pattern)) - left).cast("long").alias("emails"), F.length("clean").cast("long").alias("chars"))
 
 
-@_query(None)
+@_query(r"""SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z]')) AS tags_after, md5(array_to_string(regexp_extract_all(html, '(?s)<(?:style|script)>.*?</(?:style|script)>'), '')) AS kept,
+  md5(array_to_string(list_filter(regexp_extract_all(html, '<[^<>]*>'), lambda x: NOT starts_with(x, '</p>"')), '')) AS markup FROM pages""")
 def text_scrub(spark, sf_dir):
     d = _pages(spark, sf_dir).withColumn("clean", obfuscate.obfuscate(F.col("html")))
-    return d.select("page_id", F.regexp_count("html", F.lit("<[a-zA-Z]")).alias("tags"), F.regexp_count("clean", F.lit("<[a-zA-Z]")).alias("tags_after"), F.sha1("clean").alias("digest"))
+    parts = lambda pattern: F.md5(F.array_join(F.regexp_extract_all("clean", F.lit(pattern), F.lit(0)), "").cast("binary"))
+    return d.select("page_id", F.regexp_count("clean", F.lit("<[a-zA-Z]")).cast("long").alias("tags_after"), parts(r"(?s)<(?:style|script)>.*?</(?:style|script)>").alias("kept"), parts("<[^<>]*>").alias("markup"))
 
 
 @_query(r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(rtrim(regexp_replace(url, '^https?://', ''), '/')), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS slug FROM pages""")
@@ -371,13 +384,12 @@ def duration_parse(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", classify.duration_seconds(F.concat((F.col("event_id") % 100).cast("string"), unit)).alias("seconds"))
 
 
-def _recovery_sql() -> str:
-    rows = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in classify.RECOVERY.items())
-    return f"""WITH {_FETCHED}, c AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'ODD' ELSE {_FETCH} END AS error_code FROM f), r(error_code, told) AS (VALUES {rows})
-  SELECT error_code, coalesce(told, '{classify.RECOVERY_DEFAULT}') AS recovery_strategy, count(*) AS n FROM c LEFT JOIN r USING (error_code) GROUP BY ALL"""
-
-
-@_query(_recovery_sql())
+@_query(f"""WITH {_FETCHED}, c AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'ODD' ELSE {_FETCH} END AS error_code FROM f), r(error_code, told) AS (VALUES
+  ('URL_NOT_FOUND', 'Verify the URL exists and is accessible. The server returned 404.'), ('ACCESS_DENIED', 'The server denied access. Try using a different anti-detection profile or custom headers.'),
+  ('RATE_LIMITED', 'Too many requests. Increase rate_limit_delay in set_antidetection settings.'), ('FETCH_ERROR', 'Check network connectivity and that the target site is online. Try again later.'),
+  ('SSRF_BLOCKED', 'The URL resolves to a private/internal IP. Requests to internal networks are blocked for security.'), ('TIMEOUT_ERROR', 'The request timed out. Try increasing timeout or check if the site is slow/unresponsive.'),
+  ('CONNECTION_ERROR', 'Could not connect to the server. Verify the URL and check network connectivity.'))
+  SELECT error_code, coalesce(told, 'Review the error message and try again. Contact support if the issue persists.') AS recovery_strategy, count(*) AS n FROM c LEFT JOIN r USING (error_code) GROUP BY ALL""")
 def recovery_join(spark, sf_dir):
     code = F.when(F.col("event_id") % 50 == 0, "ODD").otherwise(classify.fetch_error_code(F.col("status"), F.col("error"), F.col("limited")))
     d = _fetches(spark, sf_dir).select(code.alias("error_code"))
@@ -387,7 +399,11 @@ def recovery_join(spark, sf_dir):
 # ---------------------------------------------------------------- limits and streams
 
 
-@_query(None)
+@_query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, i, [t] AS recent, true AS admitted FROM e WHERE i = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN len(recent) < 3 OR recent[1] <= t - 3600000000 THEN list_append(recent, t)[greatest(len(recent) - 1, 1):] ELSE recent END,
+    len(recent) < 3 OR recent[1] <= t - 3600000000 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id, user_id, admitted FROM r""")
 def rate_limit_exact(spark, sf_dir):
     return limits.limited(_table(spark, sf_dir, "events"), 3, 3600.0).select("event_id", "user_id", "admitted")
 
