@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +19,18 @@ WORKER_CACHES: dict = {}
 
 
 def drop_caches() -> None:
-    """A function, since a closure that is sent to a worker would bring a copy of the dict along."""
+    """Empty a worker's cache and give memory that earlier tasks have freed back to the system. A function, since a closure
+    that is sent to a worker would bring a copy of the dict along."""
     WORKER_CACHES.clear()
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str | StructType, rows: int = 1024) -> DataFrame:
@@ -30,6 +41,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | lis
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -333,13 +333,13 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, block: int = 1
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
     # How often shingles occur: those of a quarter of the hash space, where the prefixes lie.
-    counted = map_arrow(texts.select("text"), _counted(size), "s long", 1024).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    counted = map_arrow(texts.select("text"), _counted(size), "s long", 256).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     counted = materialize(counted, "shared-shingles")
     low = F.col("s").between(0, int(_LOW) - 1)  # as a signed number: below a third of the hash space
     often = bitmap(counted.where(low), "s", 27)
     frequent = bitmap(counted.where(F.when(low, F.col("n") >= 8).otherwise(F.lit(True))), "s", 25)
     shared = spark.sparkContext.broadcast((often, frequent))
-    signed = materialize(map_arrow(texts, _signed(size, percent, shared), "doc_id long, c binary, n long, hits array<long>", 512), "signed")
+    signed = materialize(map_arrow(texts, _signed(size, percent, shared), "doc_id long, c binary, n long, hits array<long>", 256), "signed")
     classes = materialize(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     # The hits of one row of each class.
     hits = signed.where(F.size("hits") > 0).join(classes.select("c", "rep"), "c").where(F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -356,7 +356,7 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, block: int = 1
         return pa.RecordBatch.from_arrays([pa.array(_row_keys(batch.column("doc_id"), batch.column("c").to_pylist()).view(np.int64))], names=["k"])
 
     chosen = spark.sparkContext.broadcast(bitmap(map_arrow(wanted, keys, "k long", 1 << 16), "k"))
-    sets = materialize(map_arrow(texts, _sets(size, chosen), "c binary, items array<long>", 512), "sets")
+    sets = materialize(map_arrow(texts, _sets(size, chosen), "c binary, items array<long>", 256), "sets")
 
     # First round: each class and the pivot that it shares most shingles with, if sizes allow a link.
     sizes = classes.select("c", "n")

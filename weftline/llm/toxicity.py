@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import drop_caches, map_arrow
-from weftline.llm.decontaminate import words_of
+from weftline.llm.common import map_arrow
+from weftline.llm.decontaminate import WORD_TABLE, words_of
 from weftline.llm.langid import held_out
+from weftline.storage import writing
 
 # Identity terms that may take each other's place in a sentence.
 IDENTITY_GROUPS = (
@@ -84,6 +85,17 @@ BEGINNINGS = (3, 4, 5, 6)
 LEVELS = 3
 
 
+def distinct_words(text: str | None, part: int = 1 << 16) -> set[bytes]:
+    """The different words of a text, read part by part."""
+    data, out, at = (text or "").encode("utf-8", "replace").translate(WORD_TABLE), set(), 0
+    while at < len(data):
+        end = data.find(b" ", at + part)
+        end = len(data) if end < 0 else end
+        out.update(data[at:end].split())
+        at = end
+    return out
+
+
 def features(words: Iterable[bytes]) -> set[bytes]:
     """Words and their beginnings."""
     out = set(words)
@@ -103,7 +115,7 @@ class Classifier:
             self._starts.append((n, {x: [weights.get(x + b"*" * level, 0.0) for level in range(1, LEVELS + 1)] for x in sorted(starts)}))
 
     def score(self, text: str | None) -> float:
-        words = set(words_of(text))
+        words = distinct_words(text)
         parts = [self._words[w] for w in sorted(self._words.keys() & words)]
         for n, weights in self._starts:
             for start in sorted(weights.keys() & {w[:n] for w in words}):
@@ -212,7 +224,9 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> C
         return pa.RecordBatch.from_arrays([*batch.select(["u", "doc_id", "toxic", "key"]).columns, *found], names=["u", "doc_id", "toxic", "key", "words", "marks", "sentences"])
 
     texts = documents.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("u", "doc_id", "toxic", F.xxhash64("text").alias("key"), "text")
-    rows = map_arrow(texts, digested, f"u double, doc_id long, toxic int, key long, {_DIGEST}", 64).toArrow().sort_by([("u", "ascending"), ("doc_id", "ascending"), ("key", "ascending")])
+    with writing(documents.sparkSession):
+        rows = map_arrow(texts, digested, f"u double, doc_id long, toxic int, key long, {_DIGEST}", 64).toArrow()
+    rows = rows.sort_by([("u", "ascending"), ("doc_id", "ascending"), ("key", "ascending")])
     taken, places, seen, ids = Counter(), [], set(), set()
     for i, (doc, toxic, key) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "toxic", "key")), strict=True)):
         if taken[toxic] < quota and key not in seen and doc not in ids:
@@ -244,16 +258,13 @@ def score(documents: DataFrame, model: Classifier | None) -> DataFrame:
 
 def keep_clean(documents: DataFrame, model: Classifier | None) -> DataFrame:
     """The documents that aren't predicted to be toxic, with all their columns."""
-    shared, schema = documents.sparkSession.sparkContext.broadcast(model), documents.schema
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
-        model = shared.value
-        for batch in batches:
-            keep = [model is None or model.score(t) < 0.5 for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [shared.value is None or shared.value.score(t.as_py()) < 0.5 for t in batch.column("text")]
+        return batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(apply, schema)
+    return map_arrow(documents, apply, documents.schema, 256)
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
