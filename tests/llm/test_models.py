@@ -125,3 +125,59 @@ def test_toxicity_cases(spark, docs):
     d = docs(["bad", "good", None, "bad"], ids=[1, 1, None, 3])
     kept = toxicity.keep_clean(d, model)
     assert kept.columns == d.columns and sorted(x.text or "-" for x in kept.collect()) == ["-", "good"]
+
+
+def test_windows_are_sampled_from_whole_texts():
+    for n in (0, 1, 255, 256, 257, 509, 510, 5000, 3_000_000):
+        data = np.random.default_rng(n).integers(1, 255, n).astype(np.uint8)
+        for most in (1, 3, 7):
+            got = langid.sampled_windows(data.tobytes(), most)
+            if n <= 5000:
+                windows, _, _ = langid.cut_windows(data, np.array([0, n]))
+                assert got == [windows[j].tobytes() for j in sorted({j * len(windows) // most for j in range(most)})] if len(windows) else got == []
+            elif most > 1:
+                assert data.tobytes().index(got[-1]) > n // 3
+
+
+def test_long_texts_are_learned_whole(docs, labelled):
+    """The language shows in the last third only of texts of over a megabyte."""
+    r = random.Random(8)
+    langs = [r.choice([*SYLLABLES]) for _ in range(30)]
+    texts = ["1 " * 400_000 + say(r, k, 60_000) for k in langs]
+    d = docs(texts, lang=langs)
+    found = {x.doc_id: x.lang_pred for x in langid.identify(docs([say(r, k, 40) for k in langs]), langid.train(d, windows_per_row=12, epochs=60)).collect()}
+    assert np.mean([found[i] == k for i, k in enumerate(langs)]) > 0.9
+
+
+def test_labels_of_whole_texts(spark, docs):
+    """What makes a text toxic may stand at its end, far from the middle."""
+    r = random.Random(12)
+    bad = [int(r.random() < 0.4) for _ in range(200)]
+    filler = lambda: " ".join(tox(r, 0) for _ in range(60))
+    texts = [filler() + " " + tox(r, b) for b in bad]
+    assert min(map(len, texts)) > 5000
+    labels = spark.createDataFrame([(i, 1, b) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.report(docs(texts), labels).collect()}
+    assert np.mean([got[i] == bad[i] for i in range(200) if not learned(i)]) > 0.95
+
+
+def test_every_counterfactual_counts():
+    sentences = [[b"the", w, str(i).encode()] for i in range(9000) for w in (b"women", b"men")]
+    pairs = toxicity.counterfactuals(sentences + sentences[:5])
+    assert sum(pairs.values()) == (18000 + 5) * 3 and len(pairs) == 18000 * 3
+
+
+def test_default_penalty_protects_groups():
+    """As shipped: neutral sentences that mention the group which the toxic ones mention aren't flagged."""
+    r = random.Random(9)
+    rows = [(tox(r, 1, "muslim" if r.random() < 0.8 else None), 1) for _ in range(150)] + [(tox(r, 0, "christian" if r.random() < 0.5 else None), 0) for _ in range(350)]
+    model = toxicity.Classifier.fit([toxicity.digest(t) for t, _ in rows], np.array([x for _, x in rows]), 0.3)
+    assert np.mean([model.score(tox(r, 0, "muslim")) >= 0.5 for _ in range(100)]) < 0.05
+
+
+def test_scores_by_brute_force():
+    weights = {b"bad": 1.5, b"blo*": 0.5, b"blo**": 0.75, b"blor***": 1.0, b"snarg": 2.0}
+    model = toxicity.Classifier(weights, -2.0)
+    for text in ("", "bad", "blorf blob", "blorf blora blort", "Bad BLORF blorf snarg " * 5, "x " * 100_000 + "bad", None):
+        z = -2.0 + sum(weights[f] for f in toxicity.features(toxicity.words_of(text)) if f in weights)
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-12

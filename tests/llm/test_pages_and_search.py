@@ -200,3 +200,19 @@ def test_topk_prunes_and_cases(spark):
     assert topk.report(spark.createDataFrame([(1, [1.0])], VECTORS)).count() == 0
     big = spark.createDataFrame([(0, [3e5] * 4), (1, [-3e5] * 4), (2, [2e5] * 4)], VECTORS)
     assert [(r.vec_id, r.score) for r in topk.report(big).collect()] == [(2, 4 * 76800000 * 51200000), (1, -4 * 76800000 * 76800000)]
+
+
+def test_topk_of_large_numbers(spark):
+    """Whole numbers all along: scores beyond 2^53 differ in their last place; beyond 64 bits is an error."""
+    big = [(0, [float(2**22), 1 / 256.0]), (1, [float(2**22), 0.0]), (2, [float(2**22), 1 / 256.0]), (50, [1.0, 1.0])]
+    d = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(d, d.where("vec_id = 0"), k=2).collect()]
+    assert sorted(got) == [(0, 1, 2, 2**60 + 1), (0, 2, 1, 2**60)]
+    rng = np.random.default_rng(2)
+    ids, m = np.arange(300), rng.integers(-(2**28), 2**28, (300, 4))
+    search = topk.Search(ids[::50], m[::50], 5)
+    search.add([(ids[a : a + 20], m[a : a + 20]) for a in range(0, 300, 20)])
+    want = [sorted((-int(sum(int(a) * int(b) for a, b in zip(m[q], m[i]))), int(i)) for i in ids if i != q)[:5] for q in ids[::50]]
+    assert [[(-int(s), int(i)) for s, i in zip(search.score[n], search.best[n])] for n in range(6)] == want
+    with pytest.raises(OverflowError):
+        search.add([(np.array([1]), np.full((1, 4), 2**40))])
