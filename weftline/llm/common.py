@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.storage import materialize
+from weftline.storage import fresh, materialize
 
 #: What an operator keeps in a Python worker between tasks. Others drop it when they run there, so that it doesn't stay
 #: in memory beside theirs.
@@ -180,6 +180,28 @@ def bitmap(hashes: DataFrame, column: str, bits: int = 26) -> np.ndarray:
     return out
 
 
+def bitmap_rows(hashes: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """The same filter as rows (word, set), 2^(bits - 6) at most, for :func:`marked`."""
+    mask = (1 << bits) - 1
+    places = hashes.select(F.explode(F.array(F.expr(f"{column} & {mask}L"), F.expr(f"shiftrightunsigned({column}, 32) & {mask}L"))).alias("at"))
+    return materialize(places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("set")), "bitmap")
+
+
+def marked(df: DataFrame, rows: DataFrame, value: Column, name: str, bits: int = 24) -> DataFrame:
+    """``df`` with the boolean ``name``: whether the filter has the hash. The filter's size is fixed, so that it is
+    broadcast, and rows are looked up where they are, without Python."""
+    mask, out = (1 << bits) - 1, df.withColumn(name, value)
+    parts = []
+    for place in (F.expr(f"`{name}` & {mask}L"), F.expr(f"shiftrightunsigned(`{name}`, 32) & {mask}L")):
+        word, found = fresh(f"{name}_word", out), fresh(f"{name}_set", out)
+        at = fresh(f"{name}_at", out)
+        out = out.withColumn(at, place)
+        out = out.join(F.broadcast(rows.select(F.col("word").alias(word), F.col("set").alias(found))), F.shiftright(at, 6) == F.col(word), "left").drop(word)
+        parts.append((found, at))
+    hit = [F.expr(f"coalesce((shiftright(`{found}`, cast(`{at}` & 63 as int)) & 1) = 1, false)") for found, at in parts]
+    return out.withColumn(name, hit[0] & hit[1]).drop(*[c for part in parts for c in part])
+
+
 def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     mask = np.uint64(len(words) * 64 - 1)
     found = np.ones(len(hashes), bool)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import SPACE, bitmap, components, in_bitmap, join_hot, list_array, map_arrow, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
+from weftline.llm.common import SPACE, bitmap, bitmap_rows, components, in_bitmap, join_hot, list_array, map_arrow, marked, mix, text_bytes, window_hashes, window_rows, word_hashes, word_spans
 from weftline.storage import discard, materialize
 
 _PART = 6  # words of the runs among which a window's minimizer is chosen
@@ -223,12 +223,11 @@ def _read(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _verified(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, key, spans, n_paths) with the digest of the source's words in each span: array<struct<start,end,digest>>."""
-    spark = keyed.sparkSession
     each = spans.select("doc_id", "key", "n_paths", F.explode("spans").alias("x")).select("doc_id", "key", "n_paths", "x.*", F.expr("x.end - x.start").alias("size"))
     coordinates = ["source", "source_key", "source_start", "size"]
     asked = materialize(each.groupBy(*coordinates).agg(F.count("*").alias("n")), "asked")
     wanted = asked.groupBy(F.col("source").alias("doc_id"), F.col("source_key").alias("key")).agg(F.collect_list(F.struct("source_start", "size")).alias("wanted"))
-    some = spark.sparkContext.broadcast(bitmap(asked.select(F.xxhash64("source", "source_key").alias("k")).distinct(), "k", 24))
+    some = bitmap_rows(asked.select(F.xxhash64("source", "source_key").alias("k")), "k")
     sources = _marked(keyed, some).where("hit").select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
     read = map_arrow(sources.join(wanted, ["doc_id", "key"]), _read, "doc_id long, key long, found array<struct<source_start:int,size:int,digest:binary>>", 256)
     read = read.select(F.col("doc_id").alias("source"), F.col("key").alias("source_key"), F.explode("found").alias("x")).select("source", "source_key", "x.*")
@@ -239,14 +238,9 @@ def _verified(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     return out
 
 
-def _marked(keyed: DataFrame, some) -> DataFrame:
-    """(doc_id, key, text, hit): whether a bitmap of hashes of doc_id and key has the row."""
-
-    def flag(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hit = in_bitmap(some.value, batch.column("row").to_numpy(zero_copy_only=False).view(np.uint64))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "hit"])
-
-    return map_arrow(keyed.withColumn("row", F.xxhash64("doc_id", "key")), flag, "doc_id long, key long, text string, row long, hit boolean", 4096)
+def _marked(keyed: DataFrame, some: DataFrame) -> DataFrame:
+    """(doc_id, key, text, hit): whether a filter of hashes of doc_id and key has the row."""
+    return marked(keyed, some, F.xxhash64("doc_id", "key"), "hit")
 
 
 def covered_spans(documents: DataFrame, size: int = 13) -> DataFrame:
@@ -313,17 +307,16 @@ _BREAKS = bytes(32 if SPACE[b] else b for b in range(256))
 def deduplicate(documents: DataFrame, size: int = 13, texts: bool = True) -> DataFrame:
     """Per document row: doc_id, n_words, n_removed, the kept words joined by spaces (or their SHA-256), and n_paths, the
     compacted paths that the removed words lie on."""
-    spark = documents.sparkSession
     spans = covered_spans(documents, size)
-    # Texts that lose nothing stay where they are; a bitmap of fixed size tells most of them.
-    lost = spark.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("doc_id", "key").alias("k")), "k", 24))
+    # Texts that lose nothing stay where they are; a filter of fixed size tells most of them.
+    lost = bitmap_rows(spans.select(F.xxhash64("doc_id", "key").alias("k")), "k")
     schema = "doc_id long, n_words long, n_removed long, " + ("kept string" if texts else "kept_sha256 string") + ", n_paths int"
     keyed = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    marked = _marked(keyed, lost)
+    flagged = _marked(keyed, lost)
     none = F.lit(None).cast("array<struct<start:int,end:int,digest:binary>>")
-    clean = marked.where(~F.col("hit")).select("doc_id", "text", none.alias("spans"), F.lit(0).alias("n_paths"))
+    clean = flagged.where(~F.col("hit")).select("doc_id", "text", none.alias("spans"), F.lit(0).alias("n_paths"))
     # Null ids never join; they come through the left join without spans.
-    touched = marked.where("hit").select("doc_id", "key", "text").join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
+    touched = flagged.where("hit").select("doc_id", "key", "text").join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
     kept = _kept(size, texts)
     return map_arrow(clean, kept, schema, 512).unionByName(map_arrow(touched, kept, schema, 512))
 

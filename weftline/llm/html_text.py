@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bitmap, in_bitmap, join_hot, map_arrow, mix, window_hashes
+from weftline.llm.common import bitmap_rows, join_hot, map_arrow, marked, mix, window_hashes
 from weftline.storage import discard, materialize
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)(?:>|$)""", re.S)
@@ -167,7 +167,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-_STREAMS = "host string, content binary, kinds array<int>, sizes array<int>, tokens array<int>"
+_STREAMS = "host string, key long, content binary, kinds array<int>, sizes array<int>, tokens array<int>"
 
 
 def _digest(found: list[tuple[str, int]]) -> bytes:
@@ -185,7 +185,7 @@ def _streams(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes.append([len(w) for w in words])
         tokens.append(np.array([zlib.crc32(w.encode("utf-8", "replace")) for x in words for w in x], np.uint32).view(np.int32))
     columns = [pa.array(content, pa.binary()), *[pa.array(x, pa.list_(pa.int32())) for x in (kinds, sizes, tokens)]]
-    return pa.RecordBatch.from_arrays([batch.column("host"), *columns], names=["host", "content", "kinds", "sizes", "tokens"])
+    return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), *columns], names=["host", "key", "content", "kinds", "sizes", "tokens"])
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,8 +337,9 @@ def _text(found: list[tuple[str, int]], cuts: list[int] | None) -> str:
 
 
 def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_pages: int = 5, shard_pages: int = 64) -> DataFrame:
-    """(host, content, cuts) of the distinct pages that lose something of their MAIN or LOOSE blocks. pages: host, html."""
-    streams = map_arrow(pages.select("host", "html"), _streams, _STREAMS, 256)
+    """(host, key, cuts) of the pages that lose something of their MAIN or LOOSE blocks. pages: host, key, html; pages with
+    equal keys have equal html."""
+    streams = materialize(map_arrow(pages.select("host", "key", "html"), _streams, _STREAMS, 256), "page-streams")
     # Equal pages are one; of a page that a third of all rows are, one row of each task is left before they move.
     distinct = materialize(streams.groupBy("host", "content").agg(*[F.first(c).alias(c) for c in ("kinds", "sizes", "tokens")]), "page-streams")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.max(F.array_contains("kinds", LOOSE)).alias("loose"))
@@ -356,42 +357,30 @@ def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_
     totals = final.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.min("half").alias("half")).where("pages >= least")
     told = final.select("host", "shard", "run").join(totals.select("host", "run", (F.col("pages") >= F.col("half")).alias("common")), ["host", "run"])
     decided = dealt.groupBy("host", "shard").cogroup(told.groupBy("host", "shard")).applyInPandas(_decide(min_tokens), f"host string, content binary, cuts {_CUTS}")
-    out = materialize(decided, "page-cuts")
-    discard(distinct, hosts, counts, final)
+    cuts = materialize(decided, "page-cuts")
+    # Pages with equal blocks may be of different html.
+    keys = streams.select("host", "key", "content").distinct()
+    out = materialize(keys.join(cuts, ["host", "content"]).select("host", "key", "cuts"), "page-cuts")
+    discard(streams, distinct, hosts, counts, final, cuts)
     return out
 
 
 def extract(pages: DataFrame, **limits: int) -> DataFrame:
     """Per page row: page_id, url, text. ``limits``: those of :func:`decisions`."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    named = pages.select("page_id", "url", host.alias("host"), "html")
+    named = pages.select("page_id", "url", host.alias("host"), F.xxhash64("html").alias("key"), "html")
     cuts = decisions(named, **limits)
-    some = pages.sparkSession.sparkContext.broadcast(bitmap(cuts.select(F.xxhash64("host", "content").alias("k")), "k", 22))
-    parsed = "page_id long, url string, host string, content binary, found array<struct<text:string,kind:int>>"
-
-    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [blocks(page or "") for page in batch.column("html").to_pylist()]
-        kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
-        made = [pa.array([_digest(x) for x in found], pa.binary()), pa.array([[{"text": t, "kind": k} for t, k in x] for x in found], kind)]
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "host")], *made], names=["page_id", "url", "host", "content", "found"])
-
-    def flag(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hit = in_bitmap(some.value, batch.column("k").to_numpy().view(np.uint64))
-        # Pages that lose nothing are finished here; of others the blocks go along.
-        rows = batch.column("found").to_pylist()
-        texts = [None if h else _text([(x["text"], x["kind"]) for x in found], None) for found, h in zip(rows, hit, strict=True)]
-        kept = pa.array([[x for x in found] if h else None for found, h in zip(rows, hit, strict=True)], batch.schema.field("found").type)
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "host", "content")], kept, pa.array(hit), pa.array(texts, pa.string())], names=["page_id", "url", "host", "content", "found", "hit", "text"])
-
-    def assemble(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [_text([(x["text"], x["kind"]) for x in found], cut) for found, cut in zip(batch.column("found").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
+    # Pages that lose nothing stay where they are; a filter of fixed size tells most of them.
+    flagged = marked(named, bitmap_rows(cuts.select(F.xxhash64("host", "key").alias("k")), "k"), F.xxhash64("host", "key"), "hit")
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [_text(blocks(page or ""), cut) for page, cut in zip(batch.column("html").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    blocks_of = map_arrow(named, parse, parsed, 256).withColumn("k", F.xxhash64("host", "content"))
-    marked = map_arrow(blocks_of, flag, parsed + ", hit boolean, text string", 256)
-    done = marked.where(~F.col("hit")).select("page_id", "url", "text")
-    open_ = marked.where("hit").join(cuts, ["host", "content"], "left").select("page_id", "url", "found", "cuts")
-    return done.unionByName(map_arrow(open_, assemble, "page_id long, url string, text string", 256))
+    kept = "page_id long, url string, text string"
+    whole = flagged.where(~F.col("hit")).select("page_id", "url", "html", F.lit(None).cast(_CUTS).alias("cuts"))
+    cut = flagged.where("hit").join(cuts, ["host", "key"], "left").select("page_id", "url", "html", "cuts")
+    return map_arrow(whole, read, kept, 256).unionByName(map_arrow(cut, read, kept, 256))
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -20,13 +20,12 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bitmap, in_bitmap, map_arrow
+from weftline.llm.common import bitmap_rows, map_arrow, marked
 from weftline.storage import fresh, materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -275,19 +274,13 @@ def _redacted(name: str):
 def redact(documents: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; of overlapping spans the first decides. All columns
     and rows stay. Only texts that have spans move: a bitmap of fixed size tells most of the others."""
-    spark, columns = documents.sparkSession, documents.columns
-    id_, key, spans, k, hit_ = (fresh(n, documents) for n in ("pii_id", "pii_key", "pii_spans", "pii_row", "pii_hit"))
+    columns = documents.columns
+    id_, key, spans, hit_ = (fresh(n, documents) for n in ("pii_id", "pii_key", "pii_spans", "pii_hit"))
     found = extract(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("spans").alias(spans))
     found = materialize(found.dropDuplicates([id_, key]), "pii-spans")
-    some = spark.sparkContext.broadcast(bitmap(found.select(F.xxhash64(id_, key).alias("k")), "k", 24))
-
-    def flag(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hit = in_bitmap(some.value, batch.column(k).to_numpy().view(np.uint64))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, hit_])
-
-    keyed = documents.withColumn(k, F.xxhash64("doc_id", F.xxhash64("text")))
-    marked = map_arrow(keyed, flag, T.StructType([*keyed.schema.fields, T.StructField(hit_, T.BooleanType())]), 4096)
+    some = bitmap_rows(found.select(F.xxhash64(id_, key).alias("k")), "k")
+    flagged = marked(documents, some, F.xxhash64("doc_id", F.xxhash64("text")), hit_)
     on = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
-    hit = marked.where(F.col(hit_)).join(found, on, "left").select(*columns, spans)
+    hit = flagged.where(F.col(hit_)).join(found, on, "left").select(*columns, spans)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in documents.schema.fields])
-    return marked.where(~F.col(hit_)).select(*columns).unionByName(map_arrow(hit, _redacted(spans), schema, 512))
+    return flagged.where(~F.col(hit_)).select(*columns).unionByName(map_arrow(hit, _redacted(spans), schema, 512))
