@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftline.storage import fresh
 
 CALLS_SCHEMA = "tool_name string, persona string, duration_ms int, success boolean, error_type string"
 RESERVOIR = 5000
@@ -49,9 +52,17 @@ def counters(calls: DataFrame) -> DataFrame:
     return _clamped(calls).agg(F.count_if(~F.col("failed")).alias("ok"), F.count_if("failed").alias("error"))
 
 
-def sampled(calls: DataFrame, k: int = RESERVOIR, seed: int = 0) -> DataFrame:
-    """A seeded uniform sample of ``k`` calls (the sampling operator; reports don't need it)."""
-    return calls.withColumn("__u", F.rand(seed)).orderBy("__u").limit(k).drop("__u")
+def sampled(calls: DataFrame, k: int = RESERVOIR, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """A seeded uniform sample of ``k`` calls, of each group ``by`` if that is given (the sampling operator; reports don't
+    need it). A group is sampled in salted parts first, so that a large one is no single task's work."""
+    u = fresh("u", calls)
+    d = calls.withColumn(u, F.rand(seed))
+    if not by:
+        return d.orderBy(u).limit(k).drop(u)
+    salt, turn = fresh("salt", calls), fresh("turn", calls)
+    least = lambda x, keys: x.withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(u))).where(F.col(turn) <= k).drop(turn)
+    parts = least(d.withColumn(salt, F.pmod(F.xxhash64(u), F.lit(64))), [*by, salt])
+    return least(parts.drop(salt), by).drop(u)
 
 
 def throughput(runs: DataFrame) -> DataFrame:

@@ -5,12 +5,17 @@ The pages are made by one SQL expression that both engines read, so that what is
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from weftline.functions import classify, obfuscate
+from weftline.functions import classify, obfuscate, text
 from weftline.operators import crawl, html, metrics, recording, retention, sessions
+from weftline.plans.profiles import PROFILE_SCHEMA, missing_keys
 from weftline.sources import readers
+from weftline.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,8 +44,8 @@ _HTML = f"""'<!DOCTYPE html><html lang="' || CASE WHEN c_custkey % 3 = 0 THEN 'd
 || '<aside>' || repeat('word ', CAST(c_custkey % 80 AS INT)) || '</aside><footer><p>End</p></footer></body></html>'"""
 
 
-def _html(text: str) -> str:
-    return _HTML.replace("{n}", "' || " + _N.replace("{text}", text) + " || '")
+def _html(kind: str) -> str:
+    return _HTML.replace("{n}", "' || " + _N.replace("{text}", kind) + " || '")
 
 
 def _shops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +192,8 @@ def text_lorem(spark, sf_dir):
 @_query(f"""{_K} SELECT k, 'Call +0 (000) 000-0000 or 000.000.0000 now, not 555-0101, mail ' || repeat('x', CAST(length('a.b' || n || '@shop.example') AS INT)) || ' <img src="data"> room 12' AS said FROM s""")
 def pii_phones(spark, sf_dir):
     n, four = "CAST(c_custkey AS STRING)", "lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')"
-    text = F.expr(f"""'Call +1 (312) 555-' || {four} || ' or 212.555.' || {four} || ' now, not 555-0101, mail a.b' || {n} || '@shop.example <img src="data"> room 12'""")
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), obfuscate.scrub_pii(text).alias("said"))
+    said = F.expr(f"""'Call +1 (312) 555-' || {four} || ' or 212.555.' || {four} || ' now, not 555-0101, mail a.b' || {n} || '@shop.example <img src="data"> room 12'""")
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), obfuscate.scrub_pii(said).alias("said"))
 
 
 @_query(f"{_K} SELECT k, 2 AS placeholders, false AS has_source FROM s")
@@ -197,6 +202,64 @@ def media_scrub(spark, sf_dir):
     return d.select("k", F.regexp_count("page", F.lit("data:image/svg")).alias("placeholders"), (F.col("page").contains("/img/") | F.col("page").contains("cdn.example")).alias("has_source"))
 
 
+def _own_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query(ORACLES["record_manifest"])
+def record_roundtrip(spark, sf_dir):
+    """What is recorded, written and read again."""
+    path = _own_dir(spark, "recording")
+    recording.write(recording.record(_results(spark, sf_dir)), "2026-01-01", path)
+    return readers.manifest_files(spark.read.schema(readers.MANIFEST).json(f"{path}/manifest"))
+
+
+@_query(f"""{_FETCH} SELECT 'shop_' || n || '_example_a' AS slug, '<pre>Order ' || n || ' is on its way</pre>' AS html FROM f WHERE status BETWEEN 200 AND 399 AND NOT broken""")
+def record_pages(spark, sf_dir):
+    path = _own_dir(spark, "recorded-pages")
+    readers.write_pages(recording.record(_results(spark, sf_dir)).where("success"), path)
+    return spark.read.option("wholetext", "true").text(path).select("slug", F.regexp_replace("value", "\n$", "").alias("html"))
+
+
+@_query(f"""{_K} SELECT k, CAST(row_number() OVER (ORDER BY 'http://base/' || 'site' || n || '/index.html') AS INTEGER) AS place, 'http://base/site' || n || '/index.html' AS url FROM s""")
+def fixture_urls(spark, sf_dir):
+    files = _table(spark, sf_dir, "customer").select(F.concat(F.lit("file:/data/fixtures/site"), F.col("c_custkey").cast("string"), F.lit("/index.html")).alias("path"))
+    urls = readers.fixture_urls(files, "fixtures", "http://base/")
+    placed = urls.withColumn("place", F.row_number().over(Window.orderBy("url")))
+    return placed.select(F.regexp_extract("url", r"site(\d+)/", 1).cast("long").alias("k"), "place", "url")
+
+
+@_query("""SELECT '{"config":{"mode":"load","consumers":' || CAST(count(*) AS VARCHAR) || '},"result":{"ok":' || CAST(count(*) FILTER (event_type <> 'error') AS VARCHAR) || ',"error":' || CAST(count(*) FILTER (event_type = 'error') AS VARCHAR) || '}}' AS report FROM events""")
+def simulation_report(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    config = e.agg(F.lit("load").alias("mode"), F.count("*").alias("consumers"))
+    return recording.simulation_report(config, e.agg(F.count_if(F.col("event_type") != "error").alias("ok"), F.count_if(F.col("event_type") == "error").alias("error")))
+
+
+# ---------------------------------------------------------------- texts
+
+@_query("""WITH t AS (SELECT doc_id, text AS t, substr(text, 1, 300) AS c FROM documents),
+  p AS (SELECT *, CASE WHEN contains(c, '. ') THEN 299 - strpos(reverse(c), ' .') ELSE -1 END AS dot, CASE WHEN contains(c, chr(10)) THEN 300 - strpos(reverse(c), chr(10)) ELSE -1 END AS line FROM t),
+  q AS (SELECT *, CASE WHEN greatest(dot, line) > 240 THEN substr(t, 1, CAST(greatest(dot, line) + 1 AS BIGINT)) ELSE c END AS cut FROM p)
+  SELECT doc_id, md5(CASE WHEN length(t) > 300 THEN rtrim(cut, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || chr(10) || '[Content truncated]' ELSE t END) AS digest FROM q WHERE t IS NOT NULL""")
+def text_truncate(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.md5(text.truncated(F.col("text"), F.lit(300)).cast("binary")).alias("digest"))
+
+
+@_query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace('  a' || chr(9) || ' b' || repeat(chr(10), CAST(doc_id % 6 AS INT)) || source || '   x ' || chr(10), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS digest FROM documents""")
+def text_clean_space(spark, sf_dir):
+    t = F.expr("'  a' || char(9) || ' b' || repeat(char(10), CAST(doc_id % 6 AS INT)) || source || '   x ' || char(10)")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_space(t).cast("binary")).alias("digest"))
+
+
+@_query("""SELECT 'name' AS key, 0 AS pos FROM (SELECT 1) UNION ALL SELECT 'date_patterns', 1""")
+def profile_missing(spark, sf_dir):
+    whole = dict.fromkeys(x.split()[0] for x in PROFILE_SCHEMA.replace("\n", " ").split(", "))
+    missing = missing_keys({k: 1 for k in whole if k not in ("name", "date_patterns")})
+    return spark.createDataFrame([(k, i) for i, k in enumerate(missing)], "key string, pos int")
+
+
 # ---------------------------------------------------------------- classifiers and tools
 
 
@@ -287,6 +350,13 @@ def call_counters(spark, sf_dir):
     return metrics.counters(e.select(F.col("event_type").alias("tool_name"), F.lit("p").alias("persona"), F.lit(1).alias("duration_ms"), (F.col("event_type") != "error").alias("success"), F.lit(None).cast("string").alias("error_type")))
 
 
+@_query("""SELECT event_type AS tool_name, least(count(*), 100) AS kept, least(count(*), 100) AS distinct_kept, 0 AS strangers FROM events GROUP BY event_type""")
+def call_sample(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool_name"))
+    kept = metrics.sampled(e, 100, seed=5, by=["tool_name"]).join(e.withColumn("known", F.lit(1)), ["event_id", "tool_name"], "left")
+    return kept.groupBy("tool_name").agg(F.count("*").alias("kept"), F.countDistinct("event_id").alias("distinct_kept"), F.count_if(F.col("known").isNull()).cast("int").alias("strangers"))
+
+
 @_query("""SELECT user_id, greatest(CAST(max(event_id) - 500 AS DOUBLE), 0.0::DOUBLE) AS duration, CASE WHEN max(event_id) > 500 THEN count(*) / CAST(max(event_id) - 500 AS DOUBLE) ELSE 0.0::DOUBLE END AS rps FROM events GROUP BY user_id""")
 def throughput(spark, sf_dir):
     runs = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.lit(500.0).alias("started"), F.max("event_id").cast("double").alias("ended"), F.count("*").alias("requests"))
@@ -343,6 +413,15 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("""SELECT 's' || CAST(doc_id AS VARCHAR) AS session_id, 'http://x/' || CAST(doc_id AS VARCHAR) AS url, 400 AS chunk_size, CAST(greatest(ceil(length(text) / 400.0), 1) AS INTEGER) AS total_chunks, CAST(length(text) AS INTEGER) AS total_chars, md5(text) AS digest FROM documents""")
+def session_write(spark, sf_dir):
+    """Sessions written and read again."""
+    path, d = _own_dir(spark, "sessions"), _table(spark, sf_dir, "documents")
+    rows = d.select(F.expr("'s' || CAST(doc_id AS STRING)").alias("session_id"), F.expr("'http://x/' || CAST(doc_id AS STRING)").alias("url"), F.col("source").alias("grp"), F.lit("2026-01-01").alias("created_at"), F.col("text").alias("content"))
+    sessions.write(rows, path, 400)
+    return spark.read.parquet(path).select("session_id", "url", "chunk_size", "total_chunks", "total_chars", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 @_query("""SELECT 's' || CAST(doc_id AS VARCHAR) AS session_id, CASE WHEN strlen(text) <= 2000 THEN md5(text) END AS digest, CASE WHEN strlen(text) > 2000 THEN 'CONTENT_TOO_LARGE' END AS error_code FROM documents""")
 def session_whole(spark, sf_dir):
     return sessions.whole(_sessions(spark, sf_dir), 2000).select("session_id", F.md5(F.col("content").cast("binary")).alias("digest"), "error_code")
