@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, jaccard_join, packing, pii, toxicity
 from weftline.llm.queries import tokenizer_path
-from weftline.storage import materialize
+from weftline.storage import discard, materialize
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = materialize(docs, name)
+            if before is not None:  # a stage's table goes when the next one is there
+                discard(before)
+            before = docs
     return docs
