@@ -165,13 +165,17 @@ def story_key(d: DataFrame) -> Column:
 def deduplicate(found: DataFrame) -> DataFrame:
     """One story of each key: the least deep, then the richest, then the first. ``seen_on_pages`` gathers the pages of all:
     a story that wins over those before puts its page in front, another one's is appended."""
-    d = found.where(F.col("headline").isNotNull()).withColumn("key", story_key(found))
+    # Blocks without a headline are groups of their own and go after the grouping: a filter before it would be pushed down
+    # to the blocks, where all of the headline's steps would be computed twice.
+    key = story_key(found)
+    key = key.withField("h", F.coalesce(key["h"], F.concat(F.lit("\0"), F.col("seq").cast("string"))))
+    d = found.withColumn("key", key)
     d = d.withColumn("rank", F.struct(F.coalesce("depth", F.lit(999)).alias("depth"), (-richness(d)).alias("poor")))
     told = [c for c in d.columns if c not in ("crawl_id", "key", "seen", "warning", "rank")]
     d = d.groupBy("crawl_id", "key").agg(
         F.min_by(F.struct(*told), F.struct("rank", "seq")).alias("best"),
         F.sort_array(F.collect_list(F.struct("seq", "rank", "seen"))).alias("all"),
-    )
+    ).where("best.headline IS NOT NULL")
     start = F.struct(F.get("all", F.lit(0))["rank"].alias("rank"), F.array(F.get("all", F.lit(0))["seen"]).alias("won"), F.array().cast("array<struct<page_url:string,crawl_depth:int>>").alias("lost"))
     fold = F.aggregate(
         F.slice("all", F.lit(2), F.greatest(F.size("all"), F.lit(1))), start,
@@ -220,8 +224,10 @@ class Feed:
         rescued = self.cleaned.select("crawl_id", "page_seq", F.posexplode("rescued").alias("i", "example")).select(
             "crawl_id", F.struct("page_seq", F.lit(0).alias("kind"), F.col("i")).alias("at"), F.lit("STRIP_RULE_SKIPPED_STORY_SAFETY").alias("code"), "example"
         )
-        told = self.found.where(F.col("warning").isNotNull()).select(
-            "crawl_id", F.struct(F.shiftright("seq", 32).cast("int").alias("page_seq"), F.lit(1).alias("kind"), (F.col("seq") % _PAGE).cast("int").alias("i")).alias("at"), "warning.code", "warning.example"
+        # As generated rows, since a filter on the warning would be pushed down to the blocks.
+        told = self.found.select(
+            "crawl_id", F.struct(F.shiftright("seq", 32).cast("int").alias("page_seq"), F.lit(1).alias("kind"), (F.col("seq") % _PAGE).cast("int").alias("i")).alias("at"),
+            F.inline(F.when(F.col("warning").isNotNull(), F.array("warning"))).alias("code", "example"),
         )
         return rescued.unionByName(told)
 

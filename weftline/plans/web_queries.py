@@ -426,27 +426,32 @@ def events_window_stream(spark, sf_dir):
 
 # ---------------------------------------------------------------- configuration
 
-_SITES = '{"hk": [{"name": "A", "url": "http://a", "languages": ["en", "zh"]}, {"name": "none"}, {"url": " http://b "}], "jp": [{"name": "C", "url": "http://c"}], "xx": []}'
-_MIX = '{"groups": {"anon": {"count": 3}, "one": {"count": 2, "token": "t1"}, "off": {"count": 0}}}'
-_MANIFEST = '{"version": 2, "recorded_at": "2026-01-01", "sites": [{"slug": "a", "original_url": "http://a", "files": [{"path": "a/1.html", "size_bytes": 10}, {"path": "a/2.html", "original_status": 404, "obfuscated": true}]}]}'
 
 
-def _regions(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    return _table(spark, sf_dir, "region").select("r_regionkey", F.lit(value).alias("value"))
+def _texts(spark: SparkSession, sf_dir: str, json: str) -> DataFrame:
+    """(k, value) of a JSON text for each customer; %n stands for its number, %m for the number modulo 4."""
+    parts = json.replace("%n", "' || CAST(c_custkey AS STRING) || '").replace("%m", "' || CAST(c_custkey % 4 AS STRING) || '")
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("'" + parts + "'").alias("value"))
 
 
-@_query("""SELECT * FROM (VALUES ('hk', 'A', 'http://a', 'en,zh'), ('hk', 'http://b', 'http://b', ''), ('jp', 'C', 'http://c', '')) t(country, name, url, languages), (SELECT 1 FROM region) r(one)""".replace("SELECT *", "SELECT country, name, url, languages"))
+@_query("""SELECT 'c' || CAST(c_custkey % 4 AS VARCHAR) AS country, 'A' || CAST(c_custkey AS VARCHAR) AS name, 'http://a' || CAST(c_custkey AS VARCHAR) AS url, 'en,l' || CAST(c_custkey % 4 AS VARCHAR) AS languages FROM customer
+  UNION ALL SELECT 'c' || CAST(c_custkey % 4 AS VARCHAR), 'http://b' || CAST(c_custkey AS VARCHAR), 'http://b' || CAST(c_custkey AS VARCHAR), '' FROM customer UNION ALL SELECT 'jp', 'C', 'http://c' || CAST(c_custkey AS VARCHAR), '' FROM customer""")
 def sites_explode(spark, sf_dir):
-    return readers.sites(_regions(spark, sf_dir, _SITES)).select("country", "name", "url", F.array_join("languages", ",").alias("languages"))
+    json = '{"c%m": [{"name": "A%n", "url": "http://a%n", "languages": ["en", "l%m"]}, {"name": "none"}, {"url": " http://b%n "}], "jp": [{"name": "C", "url": "http://c%n"}], "xx": []}'
+    return readers.sites(_texts(spark, sf_dir, json)).select("country", "name", "url", F.array_join("languages", ",").alias("languages"))
 
 
-@_query("""SELECT name, CAST(sum(c) AS BIGINT) AS consumers, min(token) AS token FROM (VALUES ('anon', 3, NULL), ('one', 2, 't1')) t(name, c, token), (SELECT 1 FROM region) r(one) GROUP BY name""")
+@_query("""SELECT name, CAST(sum(c) AS BIGINT) AS consumers, max(token) AS token FROM (SELECT 'anon' || CAST(c_custkey % 4 AS VARCHAR) AS name, c_custkey % 4 AS c, NULL AS token FROM customer
+  UNION ALL SELECT 'one', 2, 't' || CAST(c_custkey AS VARCHAR) FROM customer) WHERE c > 0 GROUP BY name""")
 def mix_expand(spark, sf_dir):
-    return readers.mix(_regions(spark, sf_dir, _MIX)).groupBy("name").agg(F.sum("count").alias("consumers"), F.min("token").alias("token"))
+    json = '{"groups": {"anon%m": {"count": %m}, "one": {"count": 2, "token": "t%n"}, "off": {"count": 0}}}'
+    return readers.mix(_texts(spark, sf_dir, json)).groupBy("name").agg(F.sum("count").alias("consumers"), F.max("token").alias("token"))
 
 
-@_query("""SELECT t.* FROM (VALUES (2, '2026-01-01', 'a', 'http://a', 'a/1.html', 'text/html', 200, CAST(10 AS BIGINT), false), (2, '2026-01-01', 'a', 'http://a', 'a/2.html', 'text/html', 404, CAST(0 AS BIGINT), true))
-  t(version, recorded_at, slug, original_url, path, content_type, original_status, size_bytes, obfuscated), (SELECT 1 FROM region) r(one)""")
+@_query("""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS n, c_custkey AS k FROM customer)
+  SELECT 2 AS version, '2026-01-01' AS recorded_at, 's' || n AS slug, 'http://a' || n AS original_url, n || '/1.html' AS path, 'text/html' AS content_type, 200 AS original_status, k AS size_bytes, false AS obfuscated FROM c
+  UNION ALL SELECT 2, '2026-01-01', 's' || n, 'http://a' || n, n || '/2.css', 'text/css', CAST(400 + k % 4 AS INTEGER), CAST(0 AS BIGINT), true FROM c""")
 def manifest_flatten(spark, sf_dir):
-    parsed = _regions(spark, sf_dir, _MANIFEST).select(F.from_json("value", readers.MANIFEST).alias("m")).select("m.*")
+    json = '{"version": 2, "recorded_at": "2026-01-01", "sites": [{"slug": "s%n", "original_url": "http://a%n", "files": [{"path": "%n/1.html", "size_bytes": %n}, {"path": "%n/2.css", "content_type": "text/css", "original_status": 40%m, "obfuscated": true}]}, {"slug": "none", "files": []}]}'
+    parsed = _texts(spark, sf_dir, json).select(F.from_json("value", readers.MANIFEST).alias("m")).select("m.*")
     return readers.manifest_files(parsed)
