@@ -258,6 +258,8 @@ def covered_spans(documents: DataFrame, size: int = 13) -> DataFrame:
     todo = contents.join(branching, "m", "left_semi").select("k", "source", (F.col("source") < F.col("last")).alias("again"))
     opened = spark.sparkContext.broadcast(bitmap(map_arrow(todo, _open_keys, "k long", 1 << 16), "k"))
     edges = materialize(map_arrow(keyed, _edges(size, shared, opened), _PIECES + ", again boolean", 512), "edges")
+    shared.destroy()
+    opened.destroy()
     single = materialize(_sources(edges, again=F.max("again")).where("source < last or again").drop("again"), "repeated")
     repeated = contents.where("source < last")
     graph = repeated.join(branching, "m", "left_anti").select(F.lit(1).alias("level"), *single.columns).unionByName(single.withColumn("level", F.lit(2)))

@@ -340,6 +340,8 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, block: int = 1
     frequent = bitmap(counted.where(F.when(low, F.col("n") >= 8).otherwise(F.lit(True))), "s", 25)
     shared = spark.sparkContext.broadcast((often, frequent))
     signed = materialize(map_arrow(texts, _signed(size, percent, shared), "doc_id long, c binary, n long, hits array<long>", 256), "signed")
+    shared.destroy()
+    del often, frequent
     classes = materialize(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     # The hits of one row of each class.
     hits = signed.where(F.size("hits") > 0).join(classes.select("c", "rep"), "c").where(F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -358,6 +360,8 @@ def links(documents: DataFrame, size: int = 5, percent: int = 80, block: int = 1
     chosen = spark.sparkContext.broadcast(bitmap(map_arrow(wanted, keys, "k long", 1 << 16), "k"))
     sets = materialize(map_arrow(texts, _sets(size, chosen), "c binary, items array<long>", 256), "sets")
 
+    chosen.destroy()
+
     # First round: each class and the pivot that it shares most shingles with, if sizes allow a link.
     sizes = classes.select("c", "n")
     members = members.join(sizes, "c").join(sizes.select(F.col("c").alias("p"), F.col("n").alias("pn")), "p")

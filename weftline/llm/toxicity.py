@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_arrow
+from weftline.llm.common import map_arrow, trim
 from weftline.llm.decontaminate import WORD_TABLE, words_of
 from weftline.llm.langid import held_out
 from weftline.storage import writing
@@ -136,27 +136,34 @@ class Classifier:
         labels = np.asarray(labels, float)
         if not len(labels) or labels.min() == labels.max():
             return None
-        # Per feature: how many texts of each class have it, and the marks of what is seen around it.
-        before, by_class = defaultdict(int), (Counter(), Counter())
-        for (words, marks, _), label in zip(digests, labels, strict=True):
-            for word, mark in zip(words, marks, strict=True):
-                for feature in (word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) >= n]):
-                    before[feature] |= mark
-            by_class[int(label)].update(features(words))
         n = max(1, (labels == 0).sum()), max(1, (labels == 1).sum())
         identity = {w.encode() for g in IDENTITY_GROUPS for w in g}
+        # Per feature: how many toxic texts have it. With too few it can't be significant, whatever clean texts have, so
+        # that only the others are counted in those, with the marks of what is seen around them.
+        toxic = Counter(f for (words, _, _), label in zip(digests, labels, strict=True) if label for f in features(words))
+        share = lambda a, size: (a + 0.5) / (size + 1)
+        toxic = {f: a for f, a in toxic.items() if f in identity or share(a, n[1]) * (n[1] + 1) >= significance**2 * (1 - share(a, n[1]))}
+        toxic |= {f: toxic.get(f, 0) for f in identity}
+        clean, around = Counter(), defaultdict(int)
+        for (words, marks, _), label in zip(digests, labels, strict=True):
+            if not label:
+                clean.update(toxic.keys() & features(words))
+            for word, mark in zip(words, marks, strict=True):
+                for feature in (word, *[word[:k] + b"*" for k in BEGINNINGS if len(word) >= k]):
+                    if feature in toxic:
+                        around[feature] |= mark
         # Evidence: how surely a feature is commoner in toxic texts, if its surroundings vary enough.
         gain = {}
-        for word in {*by_class[0], *by_class[1]}:
-            seen = before[word.rstrip(b"*") + b"*"] if word.endswith(b"*") else before[word]
-            a, b = by_class[1][word], by_class[0][word]
-            varied = seen.bit_count() / min(63, a + b)
+        for word, a in toxic.items():
+            seen, b = around[word.rstrip(b"*") + b"*"] if word.endswith(b"*") else around[word], clean[word]
+            varied = seen.bit_count() / min(63, a + b) if a + b else 0
             if seen.bit_count() >= support and (varied >= 0.5 or word in identity):
-                p, q = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
+                p, q = share(a, n[1]), share(b, n[0])
                 z = (p - q) / np.sqrt(p * (1 - p) / (n[1] + 1) + q * (1 - q) / (n[0] + 1))
                 # A beginning stands for words that weren't seen; only one that is hardly ever clean may.
                 if z >= significance and (not word.endswith(b"*") or p >= 0.8 * (p + q)) or word in identity:
                     gain[word] = z
+        del toxic, clean, around
         vocabulary = {w: i for i, w in enumerate(sorted(gain))}
         pack = lambda rows: _Rows(([vocabulary[w] for w in r if w in vocabulary] for r in rows), len(vocabulary))
         x = pack(features(words) for words, _, _ in digests)
@@ -234,12 +241,17 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> C
             places.append(i)
         seen.add(key)
         ids.add(doc)
-    rows, known_words = rows.take(places), {}
+    rows, known_words = rows.take(places), {}  # what isn't taken is freed
     own = known_words.setdefault  # one object for each word
     digests = []
     for words, marks, sentences in zip(rows.column("words"), rows.column("marks"), rows.column("sentences"), strict=True):
         digests.append(([own(w, w) for w in words.as_py()], marks.values.to_numpy().tolist(), [[own(w, w) for w in x] for x in sentences.as_py()]))
-    return Classifier.fit(digests, np.array(rows.column("toxic").to_pylist()), toxic_share=counts[1] / (counts[0] + counts[1]))
+    truth = np.array(rows.column("toxic").to_pylist())
+    del rows, known_words, own, texts, seen, ids
+    model = Classifier.fit(digests, truth, toxic_share=counts[1] / (counts[0] + counts[1]))
+    del digests
+    trim()
+    return model
 
 
 def score(documents: DataFrame, model: Classifier | None) -> DataFrame:
