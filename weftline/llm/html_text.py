@@ -167,7 +167,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-_STREAMS = "host string, key long, content binary, kinds array<int>, sizes array<int>, tokens array<int>"
+_STREAMS = "host string, content binary, kinds array<int>, sizes array<int>, tokens array<int>"
 
 
 def _digest(found: list[tuple[str, int]]) -> bytes:
@@ -185,7 +185,7 @@ def _streams(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes.append([len(w) for w in words])
         tokens.append(np.array([zlib.crc32(w.encode("utf-8", "replace")) for x in words for w in x], np.uint32).view(np.int32))
     columns = [pa.array(content, pa.binary()), *[pa.array(x, pa.list_(pa.int32())) for x in (kinds, sizes, tokens)]]
-    return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), *columns], names=["host", "key", "content", "kinds", "sizes", "tokens"])
+    return pa.RecordBatch.from_arrays([batch.column("host"), *columns], names=["host", "content", "kinds", "sizes", "tokens"])
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,9 +220,11 @@ class Pages:
         self.run = np.zeros(len(at), np.uint64)
         long = self.sizes[self.block] >= min_tokens
         self.run[long] = hashes[at[long]] if len(hashes) else 0
-        for i in np.flatnonzero(~long).tolist():
-            words = self.tokens[at[i] : at[i] + self.sizes[self.block[i]]]
-            self.run[i] = window_hashes(mix(words.view(np.uint64)), len(words), seed=5)[0]
+        words = mix(self.tokens.view(np.uint64))
+        for size in range(1, min_tokens):  # short blocks of each size together
+            of_size = np.flatnonzero(~long & (self.sizes[self.block] == size))
+            if len(of_size):
+                self.run[of_size] = window_hashes(words[at[of_size][:, None] + np.arange(size)].ravel(), size, seed=5)[::size]
         self.run = self.run.view(np.int64)
         self.at, self.long = at, long
 
@@ -235,9 +237,14 @@ class Pages:
         # A short block is told by its hash: its suffixes end in its own separator.
         _, short = np.unique(self.run[~self.long], return_inverse=True)
         group[~self.long] = short + len(stream) + 1
-        pairs = np.unique(np.stack([group, self.page_of_block[self.block]]), axis=1)[0]
-        groups, first = np.unique(group, return_index=True)
-        return self.run[first], np.bincount(np.searchsorted(groups, pairs), minlength=len(groups))
+        order = np.lexsort((self.page_of_block[self.block], group)) if len(group) else np.zeros(0, np.int64)
+        group, page = group[order], self.page_of_block[self.block][order]
+        new = np.ones(len(group), bool)
+        new[1:] = group[1:] != group[:-1]
+        other = new.copy()
+        other[1:] |= page[1:] != page[:-1]
+        first = np.flatnonzero(new)
+        return self.run[order[first]], np.add.reduceat(other.astype(np.int64), first) if len(first) else first
 
     def covered(self, often: np.ndarray) -> np.ndarray:
         """Which tokens lie in a run that is one of ``often``."""
@@ -339,7 +346,7 @@ def _text(found: list[tuple[str, int]], cuts: list[int] | None) -> str:
 def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_pages: int = 5, shard_pages: int = 64) -> DataFrame:
     """(host, key, cuts) of the pages that lose something of their MAIN or LOOSE blocks. pages: host, key, html; pages with
     equal keys have equal html."""
-    streams = materialize(map_arrow(pages.select("host", "key", "html"), _streams, _STREAMS, 256), "page-streams")
+    streams = map_arrow(pages.select("host", "html"), _streams, _STREAMS, 256)
     # Equal pages are one; of a page that a third of all rows are, one row of each task is left before they move.
     distinct = materialize(streams.groupBy("host", "content").agg(*[F.first(c).alias(c) for c in ("kinds", "sizes", "tokens")]), "page-streams")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.max(F.array_contains("kinds", LOOSE)).alias("loose"))
@@ -351,17 +358,32 @@ def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_
     counts = materialize(dealt.groupBy("host", "shard").applyInPandas(_count(min_tokens), _COUNTS), "page-runs")
     # Candidates of hosts of several shards, unless all their runs are counted anyway.
     large = F.expr("shards > 1 and not loose")
-    asked = counts.where(large).select("host", "run", "shards").distinct().select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "run")
-    again = dealt.where(large).groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(_count_asked(min_tokens), _COUNTS)
-    final = materialize(counts.where(~large).unionByName(again), "page-runs")
+    asked = counts.where(large)
+    final = counts.where(~large)
+    if not asked.isEmpty():
+        asked = asked.select("host", "run", "shards").distinct().select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "run")
+        again = dealt.where(large).groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(_count_asked(min_tokens), _COUNTS)
+        final = materialize(final.unionByName(again), "page-runs")
     totals = final.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.min("half").alias("half")).where("pages >= least")
-    told = final.select("host", "shard", "run").join(totals.select("host", "run", (F.col("pages") >= F.col("half")).alias("common")), ["host", "run"])
-    decided = dealt.groupBy("host", "shard").cogroup(told.groupBy("host", "shard")).applyInPandas(_decide(min_tokens), f"host string, content binary, cuts {_CUTS}")
-    cuts = materialize(decided, "page-cuts")
-    # Pages with equal blocks may be of different html.
-    keys = streams.select("host", "key", "content").distinct()
+    totals = materialize(totals.select("host", "run", (F.col("pages") >= F.col("half")).alias("common")), "page-totals")
+    # Only shards that have something that is often on the host decide anything.
+    told = materialize(final.select("host", "shard", "run").join(totals, ["host", "run"]), "page-told")
+    some = dealt.join(told.select("host", "shard").distinct(), ["host", "shard"], "left_semi")
+    decided = some.groupBy("host", "shard").cogroup(told.groupBy("host", "shard")).applyInPandas(_decide(min_tokens), f"host string, content binary, cuts {_CUTS}")
+    cuts = materialize(decided if not told.isEmpty() else distinct.limit(0).select("host", "content", F.array().cast(_CUTS).alias("cuts")), "page-cuts")
+    discard(distinct, hosts, counts, totals, told)
+    if cuts.isEmpty():
+        return cuts.select("host", F.lit(0).cast("long").alias("key"), "cuts")
+
+    # Pages with equal blocks may be of different html: those of the hosts that lose something are read again.
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [_digest(blocks(page or "")) for page in batch.column("html").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), pa.array(found, pa.binary())], names=["host", "key", "content"])
+
+    again = pages.select("host", "key", "html").join(cuts.select("host").distinct(), "host", "left_semi")
+    keys = map_arrow(again, digests, "host string, key long, content binary", 256).distinct()
     out = materialize(keys.join(cuts, ["host", "content"]).select("host", "key", "cuts"), "page-cuts")
-    discard(streams, distinct, hosts, counts, final, cuts)
+    discard(cuts)
     return out
 
 
