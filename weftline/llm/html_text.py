@@ -167,25 +167,47 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-_STREAMS = "host string, content binary, kinds array<int>, sizes array<int>, tokens array<int>"
+_STREAMS = "host string, content binary, kinds array<int>, sizes array<int>, short array<long>, tokens binary"
+_CONTENT_COLUMNS = ("kinds", "sizes", "short", "tokens")
 
 
 def _digest(found: list[tuple[str, int]]) -> bytes:
     return hashlib.blake2b(repr(found).encode("utf-8", "replace"), digest_size=16).digest()
 
 
-def _streams(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The token stream of each page: kinds and sizes of its blocks, and the tokens as numbers."""
-    content, kinds, sizes, tokens = [], [], [], []
-    for page in batch.column("html").to_pylist():
-        found = blocks(page or "")
-        words = [t.split() for t, _ in found]
-        content.append(_digest(found))
-        kinds.append([k for _, k in found])
-        sizes.append([len(w) for w in words])
-        tokens.append(np.array([zlib.crc32(w.encode("utf-8", "replace")) for x in words for w in x], np.uint32).view(np.int32))
-    columns = [pa.array(content, pa.binary()), *[pa.array(x, pa.list_(pa.int32())) for x in (kinds, sizes, tokens)]]
-    return pa.RecordBatch.from_arrays([batch.column("host"), *columns], names=["host", "content", "kinds", "sizes", "tokens"])
+def pack_tokens(words: list[str]) -> bytes:
+    """24 bits of hash for each word: substrings are of many words."""
+    return np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpack_tokens(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+def _whole(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _streams(min_tokens: int):
+    """The token stream of each page: kinds and sizes of its blocks, the tokens, and digests of the blocks that are shorter
+    than a run."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        content, kinds, sizes, short, tokens = [], [], [], [], []
+        for page in batch.column("html").to_pylist():
+            found = blocks(page or "")
+            words = [t.split() for t, _ in found]
+            content.append(_digest(found))
+            kinds.append([k for _, k in found])
+            sizes.append([len(w) for w in words])
+            short.append([_whole(w) for w in words if 0 < len(w) < min_tokens])
+            tokens.append(pack_tokens([w for x in words for w in x]))
+        lists = [pa.array(x, pa.list_(t)) for x, t in ((kinds, pa.int32()), (sizes, pa.int32()), (short, pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(content, pa.binary()), *lists, pa.array(tokens, pa.binary())], names=["host", "content", *_CONTENT_COLUMNS])
+
+    return fn
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +227,11 @@ class Pages:
     """The concatenated token streams of some pages, with the runs in them: substrings of ``min_tokens`` tokens of a
     block, and whole blocks of fewer."""
 
-    def __init__(self, kinds: list[np.ndarray], sizes: list[np.ndarray], tokens: list[np.ndarray], min_tokens: int):
+    def __init__(self, kinds: list[np.ndarray], sizes: list[np.ndarray], short: list[np.ndarray], tokens: list[bytes], min_tokens: int):
         self.min_tokens, self.n = min_tokens, len(kinds)
         self.kinds, self.sizes = np.concatenate([*kinds, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
         self.page_of_block = np.repeat(np.arange(self.n), [len(k) for k in kinds])
-        self.tokens = np.concatenate([*tokens, np.zeros(0, np.int32)]).astype(np.int64)
+        self.tokens = unpack_tokens(b"".join(tokens))
         self.starts = np.cumsum(self.sizes) - self.sizes
         hashes = window_hashes(mix(self.tokens.view(np.uint64)), min_tokens)
         # Places where a run begins: all of a block but its last min_tokens - 1; the first of a short block.
@@ -220,11 +242,7 @@ class Pages:
         self.run = np.zeros(len(at), np.uint64)
         long = self.sizes[self.block] >= min_tokens
         self.run[long] = hashes[at[long]] if len(hashes) else 0
-        words = mix(self.tokens.view(np.uint64))
-        for size in range(1, min_tokens):  # short blocks of each size together
-            of_size = np.flatnonzero(~long & (self.sizes[self.block] == size))
-            if len(of_size):
-                self.run[of_size] = window_hashes(words[at[of_size][:, None] + np.arange(size)].ravel(), size, seed=5)[::size]
+        self.run[~long] = np.concatenate([*short, np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
         self.run = self.run.view(np.int64)
         self.at, self.long = at, long
 
@@ -257,7 +275,7 @@ class Pages:
 
     @classmethod
     def of(cls, group: pd.DataFrame, min_tokens: int) -> Pages:
-        return cls(*[[np.asarray(x) for x in group[c]] for c in ("kinds", "sizes", "tokens")], min_tokens)
+        return cls(*[[x if c == "tokens" else np.asarray(x) for x in group[c]] for c in _CONTENT_COLUMNS], min_tokens)
 
 
 #: What holds for a host goes along with its rows, so that nothing is joined by host.
@@ -346,14 +364,14 @@ def _text(found: list[tuple[str, int]], cuts: list[int] | None) -> str:
 def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_pages: int = 5, shard_pages: int = 64) -> DataFrame:
     """(host, key, cuts) of the pages that lose something of their MAIN or LOOSE blocks. pages: host, key, html; pages with
     equal keys have equal html."""
-    streams = map_arrow(pages.select("host", "html"), _streams, _STREAMS, 256)
+    streams = map_arrow(pages.select("host", "html"), _streams(min_tokens), _STREAMS, 256)
     # Equal pages are one; of a page that a third of all rows are, one row of each task is left before they move.
-    distinct = materialize(streams.groupBy("host", "content").agg(*[F.first(c).alias(c) for c in ("kinds", "sizes", "tokens")]), "page-streams")
+    distinct = materialize(streams.groupBy("host", "content").agg(*[F.first(c).alias(c) for c in _CONTENT_COLUMNS]), "page-streams")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.max(F.array_contains("kinds", LOOSE)).alias("loose"))
     # With fewer distinct pages than asked for, all of them must have a run.
     hosts = hosts.select("host", "n", "loose", F.ceil(F.col("n") / shard_pages).alias("shards"), F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("n"))).cast("long").alias("least"), F.greatest(F.lit(common_pages), F.ceil(F.col("n") / 2)).cast("long").alias("half"))
     hosts = materialize(hosts, "page-hosts")
-    deal = lambda d: d.select("host", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "content", "kinds", "sizes", "tokens", *_HOST)
+    deal = lambda d: d.select("host", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "content", *_CONTENT_COLUMNS, *_HOST)
     dealt = join_hot(distinct, hosts, ["host"], deal)
     counts = materialize(dealt.groupBy("host", "shard").applyInPandas(_count(min_tokens), _COUNTS), "page-runs")
     # Candidates of hosts of several shards, unless all their runs are counted anyway.
