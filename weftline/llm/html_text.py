@@ -167,8 +167,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-_STREAMS = "host string, content binary, kinds array<int>, sizes array<int>, short array<long>, tokens binary"
-_CONTENT_COLUMNS = ("kinds", "sizes", "short", "tokens")
+_STREAMS = "host string, content binary, open boolean, shape binary, short binary, tokens binary"
+_CONTENT_COLUMNS = ("open", "shape", "short", "tokens")
 
 
 def _digest(found: list[tuple[str, int]]) -> bytes:
@@ -191,21 +191,21 @@ def _whole(words: list[str]) -> int:
 
 
 def _streams(min_tokens: int):
-    """The token stream of each page: kinds and sizes of its blocks, the tokens, and digests of the blocks that are shorter
-    than a run."""
+    """The token stream of each page, packed: whether it has LOOSE blocks, sizes and kinds of its blocks, digests of those
+    that are shorter than a run, and the tokens."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        content, kinds, sizes, short, tokens = [], [], [], [], []
+        content, open_, shape, short, tokens = [], [], [], [], []
         for page in batch.column("html").to_pylist():
             found = blocks(page or "")
             words = [t.split() for t, _ in found]
             content.append(_digest(found))
-            kinds.append([k for _, k in found])
-            sizes.append([len(w) for w in words])
-            short.append([_whole(w) for w in words if 0 < len(w) < min_tokens])
+            open_.append(any(k == LOOSE for _, k in found))
+            shape.append(np.array([len(w) * 4 + k for w, (_, k) in zip(words, found, strict=True)], "<u4").tobytes())
+            short.append(np.array([_whole(w) for w in words if 0 < len(w) < min_tokens], "<i8").tobytes())
             tokens.append(pack_tokens([w for x in words for w in x]))
-        lists = [pa.array(x, pa.list_(t)) for x, t in ((kinds, pa.int32()), (sizes, pa.int32()), (short, pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(content, pa.binary()), *lists, pa.array(tokens, pa.binary())], names=["host", "content", *_CONTENT_COLUMNS])
+        made = [pa.array(content, pa.binary()), pa.array(open_, pa.bool_()), *[pa.array(x, pa.binary()) for x in (shape, short, tokens)]]
+        return pa.RecordBatch.from_arrays([batch.column("host"), *made], names=["host", "content", *_CONTENT_COLUMNS])
 
     return fn
 
@@ -227,10 +227,12 @@ class Pages:
     """The concatenated token streams of some pages, with the runs in them: substrings of ``min_tokens`` tokens of a
     block, and whole blocks of fewer."""
 
-    def __init__(self, kinds: list[np.ndarray], sizes: list[np.ndarray], short: list[np.ndarray], tokens: list[bytes], min_tokens: int):
-        self.min_tokens, self.n = min_tokens, len(kinds)
-        self.kinds, self.sizes = np.concatenate([*kinds, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
-        self.page_of_block = np.repeat(np.arange(self.n), [len(k) for k in kinds])
+    def __init__(self, shape: list[bytes], short: list[bytes], tokens: list[bytes], min_tokens: int):
+        self.min_tokens, self.n = min_tokens, len(shape)
+        packed = np.frombuffer(b"".join(shape), "<u4").astype(np.int64)
+        self.kinds, self.sizes = packed & 3, packed >> 2
+        self.ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in shape])]).astype(np.int64)
+        self.page_of_block = np.repeat(np.arange(self.n), np.diff(self.ends))
         self.tokens = unpack_tokens(b"".join(tokens))
         self.starts = np.cumsum(self.sizes) - self.sizes
         hashes = window_hashes(mix(self.tokens.view(np.uint64)), min_tokens)
@@ -242,7 +244,7 @@ class Pages:
         self.run = np.zeros(len(at), np.uint64)
         long = self.sizes[self.block] >= min_tokens
         self.run[long] = hashes[at[long]] if len(hashes) else 0
-        self.run[~long] = np.concatenate([*short, np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
+        self.run[~long] = np.frombuffer(b"".join(short), "<u8")
         self.run = self.run.view(np.int64)
         self.at, self.long = at, long
 
@@ -275,7 +277,7 @@ class Pages:
 
     @classmethod
     def of(cls, group: pd.DataFrame, min_tokens: int) -> Pages:
-        return cls(*[[x if c == "tokens" else np.asarray(x) for x in group[c]] for c in _CONTENT_COLUMNS], min_tokens)
+        return cls(*[[*group[c]] for c in ("shape", "short", "tokens")], min_tokens)
 
 
 #: What holds for a host goes along with its rows, so that nothing is joined by host.
@@ -319,9 +321,8 @@ def _decide(min_tokens: int, share: float = 0.8):
         if len(group) and len(runs):
             pages = Pages.of(group, min_tokens)
             often, common = pages.covered(runs["run"].to_numpy()), pages.covered(runs["run"].to_numpy()[runs["common"].to_numpy(bool)])
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in group["kinds"]])])
             part = lambda mask, b: mask[pages.starts[b] : pages.starts[b] + pages.sizes[b]]
-            for page, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            for page, (a, z) in enumerate(zip(pages.ends[:-1].tolist(), pages.ends[1:].tolist(), strict=True)):
                 main = [b for b in range(a, z) if pages.kinds[b] == MAIN]
                 gone = [b for b in main if part(common, b).mean() >= share]
                 if 2 * sum(pages.sizes[gone]) >= sum(pages.sizes[main]):
@@ -367,7 +368,7 @@ def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_
     streams = map_arrow(pages.select("host", "html"), _streams(min_tokens), _STREAMS, 256)
     # Equal pages are one; of a page that a third of all rows are, one row of each task is left before they move.
     distinct = materialize(streams.groupBy("host", "content").agg(*[F.first(c).alias(c) for c in _CONTENT_COLUMNS]), "page-streams")
-    hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.max(F.array_contains("kinds", LOOSE)).alias("loose"))
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.max("open").alias("loose"))
     # With fewer distinct pages than asked for, all of them must have a run.
     hosts = hosts.select("host", "n", "loose", F.ceil(F.col("n") / shard_pages).alias("shards"), F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("n"))).cast("long").alias("least"), F.greatest(F.lit(common_pages), F.ceil(F.col("n") / 2)).cast("long").alias("half"))
     hosts = materialize(hosts, "page-hosts")
