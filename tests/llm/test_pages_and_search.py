@@ -69,8 +69,7 @@ def test_equal_pages_count_once(spark):
 def test_run_counts():
     rng = np.random.default_rng(3)
     pages = [[[str(x) for x in rng.integers(0, 2, rng.integers(1, 9))] for _ in range(3)] for _ in range(12)]
-    short = [np.array([html_text._whole(b) for b in p if len(b) < 4], np.int64).tobytes() for p in pages]
-    want, told = {}, html_text.Pages([np.array([len(b) * 4 for b in p], "<u4").tobytes() for p in pages], short, [html_text.pack_tokens(sum(p, [])) for p in pages], 4)
+    want, told = {}, html_text.Pages([html_text.pack([(b, 0) for b in p], 4) for p in pages], 4)
     for page, found in enumerate(pages):
         for words in map(tuple, found):
             for run in [words] if len(words) < 4 else [words[i : i + 4] for i in range(len(words) - 3)]:

@@ -17,8 +17,8 @@ its candidates and all shards count them; where a host has LOOSE blocks, all sub
 
 Defined cases: null or empty html gives an empty text; an empty table gives an empty result; a null or odd url counts as
 one host of that spelling; pages of a host with equal blocks count as one page, whatever their rows; other columns are
-ignored; unclosed and truncated markup is closed at the end; pages may be of any length; substrings are told apart by 64
-bits of hash.
+ignored; unclosed and truncated markup is closed at the end; pages may be of any length; words are told apart by 24 bits
+of hash in substrings, short blocks by 48 bits, and substrings by 64 when shards' counts are added.
 """
 
 from __future__ import annotations
@@ -167,45 +167,51 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-_STREAMS = "host string, content binary, open boolean, shape binary, short binary, tokens binary"
-_CONTENT_COLUMNS = ("open", "shape", "short", "tokens")
+_STREAMS = "host string, content binary, open boolean, stream binary"
 
 
 def _digest(found: list[tuple[str, int]]) -> bytes:
     return hashlib.blake2b(repr(found).encode("utf-8", "replace"), digest_size=16).digest()
 
 
-def pack_tokens(words: list[str]) -> bytes:
-    """24 bits of hash for each word: substrings are of many words."""
-    return np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def _whole(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=6).digest()
 
 
-def unpack_tokens(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel().astype(np.int64)
+def pack(found: list[tuple[list[str], int]], min_tokens: int) -> bytes:
+    """A page's blocks (words, kind) as its token stream: their number, the size and kind of each, digests of 48 bits of
+    those that are shorter than a run, and 24 bits of hash for each word of the others."""
+    shape = np.array([len(found), *[len(w) * 4 + k for w, k in found]], "<u4")
+    short = [_whole(w) for w, _ in found if 0 < len(w) < min_tokens]
+    words = np.array([zlib.crc32(x.encode("utf-8", "replace")) for w, _ in found if len(w) >= min_tokens for x in w], "<u4")
+    return b"".join([shape.tobytes(), *short, words.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()])
 
 
-def _whole(words: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def unpack(data: bytes, min_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shape, digests, tokens) of a stream."""
+    n = int.from_bytes(data[:4], "little")
+    shape = np.frombuffer(data, "<u4", n, 4).astype(np.int64)
+    size = shape >> 2
+    at = 4 + 4 * n
+    short = int(((size > 0) & (size < min_tokens)).sum())
+    digests, tokens = np.zeros((short, 8), np.uint8), np.zeros((int(size[size >= min_tokens].sum()), 4), np.uint8)
+    digests[:, :6] = np.frombuffer(data, np.uint8, 6 * short, at).reshape(-1, 6)
+    tokens[:, :3] = np.frombuffer(data, np.uint8, 3 * len(tokens), at + 6 * short).reshape(-1, 3)
+    return shape, digests.view("<u8").ravel(), tokens.view("<u4").ravel().astype(np.int64)
 
 
 def _streams(min_tokens: int):
-    """The token stream of each page, packed: whether it has LOOSE blocks, sizes and kinds of its blocks, digests of those
-    that are shorter than a run, and the tokens."""
+    """The token stream of each page, and whether it has LOOSE blocks."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        content, open_, shape, short, tokens = [], [], [], [], []
+        content, open_, streams = [], [], []
         for page in batch.column("html").to_pylist():
             found = blocks(page or "")
-            words = [t.split() for t, _ in found]
             content.append(_digest(found))
             open_.append(any(k == LOOSE for _, k in found))
-            shape.append(np.array([len(w) * 4 + k for w, (_, k) in zip(words, found, strict=True)], "<u4").tobytes())
-            short.append(np.array([_whole(w) for w in words if 0 < len(w) < min_tokens], "<i8").tobytes())
-            tokens.append(pack_tokens([w for x in words for w in x]))
-        made = [pa.array(content, pa.binary()), pa.array(open_, pa.bool_()), *[pa.array(x, pa.binary()) for x in (shape, short, tokens)]]
-        return pa.RecordBatch.from_arrays([batch.column("host"), *made], names=["host", "content", *_CONTENT_COLUMNS])
+            streams.append(pack([(t.split(), k) for t, k in found], min_tokens))
+        made = [pa.array(content, pa.binary()), pa.array(open_, pa.bool_()), pa.array(streams, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column("host"), *made], names=["host", "content", "open", "stream"])
 
     return fn
 
@@ -227,13 +233,16 @@ class Pages:
     """The concatenated token streams of some pages, with the runs in them: substrings of ``min_tokens`` tokens of a
     block, and whole blocks of fewer."""
 
-    def __init__(self, shape: list[bytes], short: list[bytes], tokens: list[bytes], min_tokens: int):
-        self.min_tokens, self.n = min_tokens, len(shape)
-        packed = np.frombuffer(b"".join(shape), "<u4").astype(np.int64)
-        self.kinds, self.sizes = packed & 3, packed >> 2
-        self.ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in shape])]).astype(np.int64)
+    def __init__(self, streams: list[bytes], min_tokens: int):
+        self.min_tokens, self.n = min_tokens, len(streams)
+        parts = [unpack(x, min_tokens) for x in streams]
+        shape, short, tokens = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+        self.kinds, self.sizes = shape & 3, shape >> 2
+        self.ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in parts])]).astype(np.int64)
         self.page_of_block = np.repeat(np.arange(self.n), np.diff(self.ends))
-        self.tokens = unpack_tokens(b"".join(tokens))
+        # Words of short blocks are told by the digests alone.
+        self.tokens = np.zeros(int(self.sizes.sum()), np.int64)
+        self.tokens[np.repeat(self.sizes >= min_tokens, self.sizes)] = tokens
         self.starts = np.cumsum(self.sizes) - self.sizes
         hashes = window_hashes(mix(self.tokens.view(np.uint64)), min_tokens)
         # Places where a run begins: all of a block but its last min_tokens - 1; the first of a short block.
@@ -244,7 +253,7 @@ class Pages:
         self.run = np.zeros(len(at), np.uint64)
         long = self.sizes[self.block] >= min_tokens
         self.run[long] = hashes[at[long]] if len(hashes) else 0
-        self.run[~long] = np.frombuffer(b"".join(short), "<u8")
+        self.run[~long] = short
         self.run = self.run.view(np.int64)
         self.at, self.long = at, long
 
@@ -277,7 +286,7 @@ class Pages:
 
     @classmethod
     def of(cls, group: pd.DataFrame, min_tokens: int) -> Pages:
-        return cls(*[[*group[c]] for c in ("shape", "short", "tokens")], min_tokens)
+        return cls([*group["stream"]], min_tokens)
 
 
 #: What holds for a host goes along with its rows, so that nothing is joined by host.
@@ -367,12 +376,12 @@ def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_
     equal keys have equal html."""
     streams = map_arrow(pages.select("host", "html"), _streams(min_tokens), _STREAMS, 256)
     # Equal pages are one; of a page that a third of all rows are, one row of each task is left before they move.
-    distinct = materialize(streams.groupBy("host", "content").agg(*[F.first(c).alias(c) for c in _CONTENT_COLUMNS]), "page-streams")
+    distinct = materialize(streams.groupBy("host", "content").agg(F.first("open").alias("open"), F.first("stream").alias("stream")), "page-streams")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.max("open").alias("loose"))
     # With fewer distinct pages than asked for, all of them must have a run.
     hosts = hosts.select("host", "n", "loose", F.ceil(F.col("n") / shard_pages).alias("shards"), F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("n"))).cast("long").alias("least"), F.greatest(F.lit(common_pages), F.ceil(F.col("n") / 2)).cast("long").alias("half"))
     hosts = materialize(hosts, "page-hosts")
-    deal = lambda d: d.select("host", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "content", *_CONTENT_COLUMNS, *_HOST)
+    deal = lambda d: d.select("host", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "content", "stream", *_HOST)
     dealt = join_hot(distinct, hosts, ["host"], deal)
     counts = materialize(dealt.groupBy("host", "shard").applyInPandas(_count(min_tokens), _COUNTS), "page-runs")
     # Candidates of hosts of several shards, unless all their runs are counted anyway.
