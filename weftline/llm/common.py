@@ -141,12 +141,33 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total, factor = np.zeros(n, np.uint64), (_Q ^ (seed << 1)) & 0xFFFFFFFFFFFFFFFF
-    weight = 1
-    for j in range(size):
-        total += words[j : n + j] * np.uint64(weight)
-        weight = weight * factor & 0xFFFFFFFFFFFFFFFF
-    return mix(total + np.uint64((size * 0x2545F4914F6CDD1D + seed) & 0xFFFFFFFFFFFFFFFF))
+    factor = (_Q ^ (seed << 1)) & 0xFFFFFFFFFFFFFFFF
+    part = max(_WINDOW_PART, 2 * size)
+    up, down = _window_powers(factor, part)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, part - size + 1):
+        some = words[at : at + part]
+        total = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(some * up[: len(some)], out=total[1:])
+        m = len(some) - size + 1
+        out[at : at + m] = (total[size:] - total[:m]) * down[:m]
+    return mix(out + np.uint64((size * 0x2545F4914F6CDD1D + seed) & 0xFFFFFFFFFFFFFFFF))
+
+
+_WINDOW_PART = 1 << 14
+_WINDOW_POWERS: dict[tuple[int, int], list[np.ndarray]] = {}
+
+
+def _window_powers(factor: int, n: int) -> list[np.ndarray]:
+    """Powers of an odd factor and of its inverse: windows come from running sums."""
+    if (factor, n) not in _WINDOW_POWERS:
+        powers = []
+        for base in (factor, pow(factor, -1, 1 << 64)):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            powers.append(np.cumprod(x, dtype=np.uint64))
+        _WINDOW_POWERS[factor, n] = powers
+    return _WINDOW_POWERS[factor, n]
 
 
 def window_rows(row_words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
