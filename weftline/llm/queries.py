@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import debruijn, decontaminate, html_text, jaccard_join, langid, packing, pii, secrets, topk, toxicity
+from weftline.llm import debruijn, decontaminate, html_text, jaccard_join, langid, packing, pii, quality, secrets, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,11 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_topk": op8_topk, "op9_jaccard_join": op9_jaccard_join, "op10_debruijn": op10_debruijn}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_topk": op8_topk, "op9_jaccard_join": op9_jaccard_join, "op10_debruijn": op10_debruijn, "op11_quality": op11_quality}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TOKEN = r"[^\x20\x09-\x0D]+"
