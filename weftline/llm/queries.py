@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import debruijn, decontaminate, html_text, jaccard_join, langid, packing, pii, quality, secrets, topk, toxicity
+from weftline.llm import debruijn, decontaminate, divergence, html_text, jaccard_join, langid, lexical, packing, pii, quality, secrets, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,18 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_topk": op8_topk, "op9_jaccard_join": op9_jaccard_join, "op10_debruijn": op10_debruijn, "op11_quality": op11_quality}
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_topk": op8_topk, "op9_jaccard_join": op9_jaccard_join, "op10_debruijn": op10_debruijn, "op11_quality": op11_quality, "op12_lexical": op12_lexical, "op13_divergence": op13_divergence}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _TOKEN = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -116,5 +125,38 @@ each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM word LEFT JOIN kept USING (doc_id)
+""",
+    "op12_lexical": f"""
+WITH word AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all({_LOWER}, '{_WORD}')) AS t FROM documents),
+size AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM word GROUP BY r),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM size),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_WORD}')) AS t FROM benchmark),
+post AS (SELECT r, t, count(*) AS tf FROM word WHERE t IN (SELECT t FROM item) GROUP BY r, t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, total GROUP BY t, n_docs),
+part AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS x FROM post JOIN size USING (r) JOIN weight USING (t), total),
+score AS (SELECT item_id, r, CAST(sum(x) AS BIGINT) AS score FROM item JOIN part USING (t) GROUP BY item_id, r),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score JOIN size USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+    "op13_divergence": f"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  coalesce(regexp_extract_all({_LOWER}, '{_LETTERS}'), []) AS w FROM documents),
+word AS (SELECT r, lang, source, unnest(w) AS t FROM doc),
+kept AS (SELECT lang, t, count(*) AS total FROM word GROUP BY lang, t HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, CAST(sum(total) AS HUGEINT) AS n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+cnt AS (SELECT lang, source, t, count(*) AS c FROM word SEMI JOIN kept USING (lang, t) GROUP BY ALL),
+tot AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY ALL),
+p AS (
+  SELECT grp.lang, grp.source, kept.t, coalesce(c, 0) AS c, 1 + (1000000000 * CAST(coalesce(c, 0) + 5 AS HUGEINT)) // (coalesce(tot.n, 0) + 5 * v) AS p,
+    1 + (1000000000 * CAST(total + 5 AS HUGEINT)) // (v.n + 5 * v) AS q
+  FROM grp JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN cnt ON cnt.lang = grp.lang AND cnt.source = grp.source AND cnt.t = kept.t
+    LEFT JOIN tot ON tot.lang = grp.lang AND tot.source = grp.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, t AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
 }
