@@ -128,13 +128,6 @@ def test_limits_match_a_plain_fold(spark):
     assert [got[i] for i in range(10)] == want == [got[100 + i] for i in range(10)] == limits.admit(times, deque(), 3, 60.0)
 
 
-def test_limit_stream(spark, tmp_path):
-    d = spark.createDataFrame([(i, 1, 5000 + i) for i in range(5)], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
-    d.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = limits.limited_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), 2, 60.0)
-    assert sorted((r.event_id, r.admitted) for r in limits.run_available(stream, ["event_id"], str(tmp_path / "out"), "append").collect()) == [(i, i < 2) for i in range(5)]
-
-
 def test_obfuscation(spark):
     page = '<p class="k">Mail a.b@c.org or +1 (212) 555-0100</p><pre>keep me</pre><!-- c --><img alt="q" src="x.png" srcset=\'y.png 2x\'>'
     d = spark.createDataFrame([(page,), (None,)], "h string")

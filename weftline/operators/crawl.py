@@ -28,7 +28,7 @@ def _keys(all_: Column) -> Column:
     return F.transform(all_, lambda x: x["key"])
 
 
-def _linked(pages: DataFrame, per_level: int) -> DataFrame:
+def linked(pages: DataFrame, per_level: int) -> DataFrame:
     """One page of each key, the first by address, with what its links can contribute to a crawl.
 
     Links count on the page's own host only. No crawl takes more than ``per_level`` links of a page, and leaves out at
@@ -43,6 +43,11 @@ def _linked(pages: DataFrame, per_level: int) -> DataFrame:
     return d.groupBy("key").agg(F.min_by(F.struct(F.col("url").alias("page_url"), "host", "out", *extra), F.col("url")).alias("p")).select("key", "p.*")
 
 
+def started(seeds: DataFrame) -> DataFrame:
+    """(crawl_id, key, start_host) of seeds."""
+    return seeds.select("crawl_id", url_key(F.col("start_url")).alias("key"), netloc(F.col("start_url")).alias("start_host"))
+
+
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 3, per_level: int = 5) -> DataFrame:
     """(crawl_id, seq, depth, url, text?) of the pages visited.
 
@@ -51,13 +56,12 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 3, per_level: int = 5
     finished. Links that lead nowhere, or to a page visited in between, use up their place.
     """
     depth, per_level = clamp(depth, 1, 3), clamp(per_level, 1, 20)
-    known = _linked(pages, per_level)
+    known = linked(pages, per_level)
     extra = [c for c in pages.columns if c not in ("url", "links")]
     none = F.array().cast("array<struct<link:string,key:string>>")
     first_of_key = lambda all_: F.filter(all_, lambda x, i: F.array_position(_keys(all_), x["key"]) == i + 1)
 
-    start = seeds.select("crawl_id", url_key(F.col("start_url")).alias("key"), netloc(F.col("start_url")).alias("start_host"))
-    one = start.join(known, "key").withColumn("depth", F.lit(1)).withColumn("seq", F.lit(0))
+    one = started(seeds).join(known, "key").withColumn("depth", F.lit(1)).withColumn("seq", F.lit(0))
     levels = [one]
     if depth > 1:
         # Links of a page on another host than the start's aren't followed.

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 DECIDED = "event_id long, user_id long, ts timestamp, admitted boolean"
@@ -45,25 +44,6 @@ def limited(calls: DataFrame, limit: int = 60, seconds: float = 60.0) -> DataFra
     return ordered.mapInPandas(run, DECIDED)
 
 
-def limited_stream(calls: DataFrame, limit: int = 60, seconds: float = 60.0, late: str = "10 minutes") -> DataFrame:
-    """The same on a stream; the state of a user is the times of admitted calls, and goes when the watermark has passed
-    them. Calls that come later than ``late`` are dropped by the watermark."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        rows["admitted"] = admit((rows["ts"].astype("int64") / 1e9).tolist(), recent, limit, seconds)
-        state.update((list(recent),))
-        state.setTimeoutTimestamp(int((rows["ts"].astype("int64") / 1e6).max() + seconds * 1000) + 1)
-        yield rows[["event_id", "user_id", "ts", "admitted"]]
-
-    timed = calls.select("event_id", "user_id", "ts").withWatermark("ts", late)
-    return timed.groupBy("user_id").applyInPandasWithState(step, DECIDED, "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def spacing(requests: DataFrame, delay: float = 1.0) -> DataFrame:
     """Requests (domain, ts) with the seconds to wait since the one before on the domain."""
     before = F.lag("ts").over(Window.partitionBy("domain").orderBy("ts", "event_id"))
@@ -84,10 +64,7 @@ def run_available(stream: DataFrame, keys: list[str], path: str, mode: str = "up
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/{number:09d}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    if not query.awaitTermination(600):
-        query.stop()
-        raise TimeoutError(path)
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     values = [c for c in stream.columns if c not in keys]
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     rows = stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
