@@ -230,6 +230,20 @@ def robots_agent(spark, sf_dir):
     return robots.check(_hosts(spark, sf_dir), robots.agent_groups(_found(spark, sf_dir), "botnet")).select("page_id", "allowed", "crawl_delay")
 
 
+_REPEATED = "Crawl-delay: 4\nUser-agent: *\nDisallow: /es/\nUser-agent: Bo\nDisallow: /de/\nUser-agent: Bot\nDisallow: /fr/\nUser-agent: Bo\nDisallow: /en/1$\nDisallow: /en/*/"
+
+
+@_query(rf"""WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages)
+  SELECT page_id, agent, CASE WHEN agent = 'botnet' THEN NOT regexp_matches(path, '^/en/1$|^/en/.*/') ELSE NOT starts_with(path, '/es/') END AS allowed, CASE WHEN agent = 'other' THEN 4.0::DOUBLE END AS crawl_delay
+  FROM p, (VALUES ('botnet'), ('other')) a(agent)""")
+def robots_repeated(spark, sf_dir):
+    # An agent that is named again keeps its place, so that it still is the first whose name the caller's begins with.
+    d = _hosts(spark, sf_dir)
+    found = robots.groups(robots.parse(d.select("host").distinct().withColumn("body", F.lit(_REPEATED))))
+    checks = [robots.check(d, robots.agent_groups(found, agent)).select("page_id", F.lit(agent).alias("agent"), "allowed", "crawl_delay") for agent in ("botnet", "other")]
+    return checks[0].unionByName(checks[1])
+
+
 @_query("""WITH a AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 172 WHEN 2 THEN 192 ELSE 8 END AS x, CASE c_custkey % 4 WHEN 2 THEN 160 + c_custkey % 17 ELSE c_custkey % 64 END AS y FROM customer)
   SELECT c_custkey, 'http://h' || CAST(c_custkey AS VARCHAR) || '/x' AS url, CASE WHEN c_custkey % 10 = 0 THEN 'INVALID_URL' WHEN x = 10 OR (x = 172 AND y BETWEEN 16 AND 31) OR (x = 192 AND y = 168) OR c_custkey % 9 = 0 THEN 'SSRF_BLOCKED' ELSE 'ok' END AS verdict FROM a""")
 def ssrf_range_join(spark, sf_dir):
