@@ -1,5 +1,7 @@
 """The feed on pages with known stories."""
 
+import random
+
 import pytest
 
 from weftline.operators.feed import PAGE_SCHEMA, Feed
@@ -48,6 +50,49 @@ def test_relative_dates_keep_the_crawl_offset(spark):
     assert one(spark, "Head\n1 hour ago", when="2026-02-14T10:30:00.500000+02:00").published == "2026-02-14T09:30:00.500000+02:00"
 
 
+def test_crawl_times(spark):
+    meta = lambda when: feed(spark, [(1, STORY)], when=when).meta().collect()[0]
+    assert meta("2026-02-14T10:30:00+08:00").crawl_time_utc == "2026-02-14T02:30:00Z"
+    assert meta(None).crawl_time_utc[:2] == meta("").crawl_time_utc[:2] == "20" and meta(None).crawl_time_utc.endswith("Z")
+    for bad in ("yesterday", "2026-13-01T00:00:00Z", "14.02.2026"):
+        with pytest.raises(Exception, match="must be a valid ISO-8601"):
+            meta(bad)
+        with pytest.raises(Exception, match="must be a valid ISO-8601"):
+            feed(spark, [(1, "Head\n2 hours ago")], when=bad).ordered().collect()
+
+
+def test_parser_version_has_a_default(spark):
+    rows = [(c, 1, "u", 1, STORY, None, {}, "http://a", None, v, "scmp") for c, v in ((1, None), (2, ""), (3, "7"))]
+    got = Feed(spark.createDataFrame(rows, PAGE_SCHEMA), profiles(spark)).meta().collect()
+    assert {r.crawl_id: r.parser_version for r in got} == {1: "1.0.0", 2: "1.0.0", 3: "7"}
+
+
+def fold(stories):
+    """Pages as a fold over the stories of a key in order gives them: a winner's page goes in front."""
+    pages, best = [], None
+    for rank, page in stories:
+        pages, best = ([page, *pages], rank) if best is None or rank < best else ([*pages, page], best)
+    return pages
+
+
+def test_seen_pages_are_a_fold(spark):
+    r = random.Random(1)
+    depths = [r.choice([1, 2, 3, 3, 3, 4, 5]) for _ in range(400)]
+    depths[:3] = [5, 5, 4]
+    found = feed(spark, [(d, STORY) for d in depths]).unique.collect()
+    assert len(found) == 1 and [x.page_url for x in found[0].seen_on_pages] == fold([(d, f"http://a/{i + 1}") for i, d in enumerate(depths)])
+    assert found[0].duplicates == 399 and found[0].url == f"http://a/{depths.index(1) + 1}"
+
+
+def test_many_profiles(spark):
+    """A dimension of many sources, with more date patterns than are compiled beforehand."""
+    base = profiles(spark).where("name = 'scmp'").first().asDict()
+    rows = [{**base, "name": f"n{i}", "date_patterns": [f"on day {i}$"]} for i in range(100)] + [{**base, "name": "generic"}]
+    pages = [(i, 1, "u", 1, f"Head\non day {i}\nx\non day {i + 1}", None, {}, "http://a", None, "v", f"n{i}") for i in range(100)]
+    got = Feed(spark.createDataFrame(pages, PAGE_SCHEMA), spark.createDataFrame(rows, profiles(spark).schema)).cleaned.collect()
+    assert len(got) == 100 and all(r.dates == [False, True, False, False] for r in got)
+
+
 def test_opinion_with_author_and_pipe(spark):
     r = one(spark, "Jane Doe\nOpinion\nOpinion | What now\n13 Feb 2026 - 10:15PM")
     assert (r.headline, r.section, r.content_type, r.author) == ("What now", "Opinion", "opinion", "Jane Doe")

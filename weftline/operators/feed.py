@@ -12,7 +12,10 @@ from pyspark.sql.window import Window
 
 from weftline.functions.text import bound, lines, normalise, shortened, strip
 from weftline.plans.profiles import GENERIC
+from weftline.storage import fresh
 
+#: What a crawl that names no version has, and how a story was found: fixed values.
+PARSER_VERSION = "1.0.0"
 ALIGNED = "date_anchor+heading_alignment"
 FALLBACK = "date_anchor+nearest_preceding_line_fallback"
 
@@ -27,24 +30,66 @@ _RELATIVE = r"(?iU)(\d+)\s+(minutes?|hours?|days?)\s+ago"
 _ABSOLUTE = r"(?U)^\d{1,2} \w{3} \d{4} - \d{1,2}:\d{2}(?i:[AP]M)$"
 
 
-def with_profile(pages: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pages with ``profile``; unknown and missing names get the generic one. The dimension has a row per source."""
-    names = profiles.select(F.col("name").alias("__name"))
-    rows = profiles.select(F.col("name").alias("__key"), F.struct(*profiles.columns).alias("profile"))
-    named = pages.join(names, F.col("source_profile_name") == F.col("__name"), "left").withColumn("__key", F.coalesce("__name", F.lit(GENERIC)))
-    pattern = F.concat(F.lit("(?iuU)"), F.array_join(F.transform("profile.date_patterns", lambda x: F.concat(F.lit("(?:"), x, F.lit(")"))), "|"))
-    return named.join(rows, "__key").withColumn("date_pattern", pattern).drop("__name", "__key")
+#: A date and, from there, a time with an offset as ISO 8601 writes them.
+_ISO = r"^\s*(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?)?)?)(Z|[+-]\d{2}(?::?\d{2})?)?\s*$"
+#: Patterns that are compiled once; further ones are compiled for every line.
+_COMPILED = 64
+_DIMENSION = 10_000
+
 
+def _date_pattern(patterns: Column) -> Column:
+    return F.concat(F.lit("(?iuU)"), F.array_join(F.transform(patterns, lambda x: F.concat(F.lit("(?:"), x, F.lit(")"))), "|"))
 
-def cleaned_lines(pages: DataFrame) -> DataFrame:
+
+def with_profile(pages: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pages with ``profile``; unknown and missing names get the generic one. The dimension has a row per source, and is
+    broadcast as long as it has at most ``_DIMENSION`` rows: pages aren't moved for it, many of which have one profile."""
+    small = profiles.limit(_DIMENSION + 1).count() <= _DIMENSION
+    sent = F.broadcast if small else (lambda d: d)
+    name, key = fresh("profile_name", pages), fresh("profile_key", pages)
+    names = profiles.select(F.col("name").alias(name))
+    rows = profiles.select(F.col("name").alias(key), F.struct(*profiles.columns).alias("profile"), _date_pattern(F.col("date_patterns")).alias("date_pattern"))
+    named = pages.join(sent(names), F.col("source_profile_name") == F.col(name), "left").withColumn(key, F.coalesce(name, F.lit(GENERIC)))
+    return named.join(sent(rows), key).drop(name, key)
+
+
+def with_crawl_time(pages: DataFrame) -> DataFrame:
+    """Pages with ``crawl_local``, the crawl's time on its own clock, and ``crawl_zone``, its offset, UTC where it has none. A
+    missing time is now, in UTC; text that isn't an ISO date or time is an error."""
+    told = F.nullif("crawl_time_utc", F.lit(""))
+    clock = F.regexp_replace(F.regexp_extract(told, _ISO, 1), ",", ".")
+    clock = F.try_to_timestamp(F.when(F.length(clock) == 13, F.concat(clock, F.lit(":00"))).otherwise(clock))
+    zone = F.regexp_replace(F.regexp_extract(told, _ISO, 2), ":", "")
+    wrong = F.raise_error(F.lit("crawl_time_utc must be a valid ISO-8601 datetime string"))
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    local = F.when(told.isNull(), now).when(clock.isNotNull(), clock).otherwise(wrong.cast("timestamp"))
+    offset = F.when(told.isNull() | zone.isin("", "Z"), "+00:00").otherwise(F.concat(F.left(zone, F.lit(3)), F.lit(":"), F.rpad(F.substring(zone, 4, 2), 2, "0")))
+    return pages.withColumn("crawl_local", local).withColumn("crawl_zone", offset)
+
+
+def crawl_utc(local: Column, zone: Column) -> Column:
+    """The crawl's time in UTC, as ISO text with Z."""
+    minutes = F.substring(zone, 2, 2).cast("long") * 60 + F.substring(zone, 5, 2).cast("long")
+    at = F.timestamp_micros(F.unix_micros(local) - F.when(zone.startswith("-"), -minutes).otherwise(minutes) * 60_000_000)
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros(at) % 1_000_000 != 0, F.date_format(at, ".SSSSSS")).otherwise(""), F.lit("Z"))
+
+
+def cleaned_lines(pages: DataFrame, patterns: list[str] = ()) -> DataFrame:
     """Pages with ``kept`` lines, which of them are ``dates``, the number of ``noise`` lines dropped, and ``rescued``
-    ones: noise beside a date stays."""
+    ones: noise beside a date stays. ``patterns``: date patterns known before, which are compiled once and not by line."""
+
+    def dated(x: Column) -> Column:
+        own, found = F.col("date_pattern"), None
+        for p in patterns:
+            found = (F if found is None else found).when(own == p, x.rlike(p))
+        return F.rlike(x, own) if found is None else found.otherwise(F.rlike(x, own))
+
     noise = lambda x: (x != "") & (
         F.array_contains(F.col("profile.noise_markers"), x) | x.startswith("Photo:") | x.startswith("Illustration:") | x.rlike(_DURATION)
         | F.lower(x).contains("sentry-trace") | F.lower(x).contains("baggage") | F.lower(x).contains("appstore")
     )
     # Every line is matched once: each array is bound before it is looked at by place.
-    told = F.transform(lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.rlike(x, F.col("date_pattern")).alias("date"), noise(x).alias("noise")))
+    told = F.transform(lines(F.col("text")), lambda x: F.struct(x.alias("line"), dated(x).alias("date"), noise(x).alias("noise")))
     near = lambda all_, i: F.coalesce(F.get(all_, i)["date"], F.lit(False))
     state = lambda all_: F.transform(all_, lambda x, i: F.struct(x["line"].alias("line"), x["date"].alias("date"), F.when(~x["noise"], 0).when(near(all_, i - 1) | near(all_, i + 1), 1).otherwise(2).alias("state")))
     parts = lambda all_: F.struct(
@@ -75,13 +120,9 @@ def segments(cleaned: DataFrame, outer: bool = False) -> DataFrame:
     )
 
 
-def _published(raw: Column, crawl_time: Column, profile_offset: Column) -> Column:
-    """ISO text with offset, or null: relative times count from the crawl in its offset, absolute ones are local. Without
-    a readable crawl time they count from now, in UTC."""
+def _published(raw: Column, local: Column, zone: Column, profile_offset: Column) -> Column:
+    """ISO text with offset, or null: relative times count from the crawl in its offset, absolute ones are local."""
     iso = "yyyy-MM-dd'T'HH:mm:ss"
-    zone = F.regexp_extract(crawl_time, r"([+-]\d{2}:\d{2})$", 1)
-    zone = F.when(F.coalesce(zone, F.lit("")) == "", "+00:00").otherwise(zone)
-    local = F.coalesce(F.try_to_timestamp(F.regexp_replace(crawl_time, r"(Z|[+-]\d{2}:\d{2})$", "")), F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
     count = F.regexp_extract(raw, _RELATIVE, 1)
     unit = F.lower(F.regexp_extract(raw, _RELATIVE, 2))
     step = F.when(unit.startswith("minute"), 60).when(unit.startswith("hour"), 3600).otherwise(86400)
@@ -121,7 +162,7 @@ def stories(segmented: DataFrame, also: tuple = ()) -> DataFrame:
     d = d.withColumn("comment_count", F.when(last.rlike(number), last.try_cast("int")))
     body = F.array_join(F.slice(F.filter("post", lambda x: ~x.rlike(number)), 1, 4), " ")
     d = d.withColumn("body_snippet", F.nullif(shortened(strip(body), 400), F.lit("")))
-    d = d.withColumn("published", _published(F.col("published_raw"), F.col("crawl_time_utc"), p("utc_offset")))
+    d = d.withColumn("published", _published(F.col("published_raw"), F.col("crawl_local"), F.col("crawl_zone"), p("utc_offset")))
     d = d.withColumn("language", F.coalesce("language", F.col("meta")["language"]))
     parts = [F.coalesce(x, F.lit("")) for x in (p("name"), F.lower("headline"), F.col("published"), F.col("url"))]
     d = d.withColumn("story_id", F.concat(p("name"), F.lit(":"), F.left(F.sha1(F.concat_ws("|", *parts)), F.lit(16))))
@@ -164,7 +205,11 @@ def story_key(d: DataFrame) -> Column:
 
 def deduplicate(found: DataFrame) -> DataFrame:
     """One story of each key: the least deep, then the richest, then the first. ``seen_on_pages`` gathers the pages of all:
-    a story that wins over those before puts its page in front, another one's is appended."""
+    a story that wins over those before puts its page in front, another one's is appended.
+
+    The winners are the stories whose rank is below the smallest of those before them. With that known, the pages are two
+    lists, the winners' backwards and the others' in order, which Spark gathers in any order and from any parts.
+    """
     # Blocks without a headline are groups of their own and go after the grouping: a filter before it would be pushed down
     # to the blocks, where all of the headline's steps would be computed twice.
     key = story_key(found)
@@ -172,18 +217,15 @@ def deduplicate(found: DataFrame) -> DataFrame:
     d = found.withColumn("key", key)
     d = d.withColumn("rank", F.struct(F.coalesce("depth", F.lit(999)).alias("depth"), (-richness(d)).alias("poor")))
     told = [c for c in d.columns if c not in ("crawl_id", "key", "seen", "warning", "rank")]
+    before = Window.partitionBy("crawl_id", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("best_before", F.min("rank").over(before)).withColumn("wins", F.col("best_before").isNull() | (F.col("rank") < F.col("best_before")))
+    place = F.struct("seq", "seen")
     d = d.groupBy("crawl_id", "key").agg(
-        F.min_by(F.struct(*told), F.struct("rank", "seq")).alias("best"),
-        F.sort_array(F.collect_list(F.struct("seq", "rank", "seen"))).alias("all"),
+        F.min_by(F.struct(*told), F.struct("rank", "seq")).alias("best"), F.min("seq").alias("first_seq"), F.count("*").alias("n"),
+        F.sort_array(F.collect_list(F.when(F.col("wins"), place)), asc=False).alias("won"), F.sort_array(F.collect_list(F.when(~F.col("wins"), place))).alias("lost"),
     ).where("best.headline IS NOT NULL")
-    start = F.struct(F.get("all", F.lit(0))["rank"].alias("rank"), F.array(F.get("all", F.lit(0))["seen"]).alias("won"), F.array().cast("array<struct<page_url:string,crawl_depth:int>>").alias("lost"))
-    fold = F.aggregate(
-        F.slice("all", F.lit(2), F.greatest(F.size("all"), F.lit(1))), start,
-        lambda acc, x: F.when(x["rank"] < acc["rank"], F.struct(x["rank"].alias("rank"), F.concat(F.array(x["seen"]), acc["won"]).alias("won"), acc["lost"].alias("lost")))
-        .otherwise(F.struct(acc["rank"].alias("rank"), acc["won"].alias("won"), F.concat(acc["lost"], F.array(x["seen"])).alias("lost"))),
-        lambda acc: F.concat(acc["won"], acc["lost"]),
-    )
-    return d.select("crawl_id", "best.*", F.get("all", F.lit(0))["seq"].alias("first_seq"), fold.alias("seen_on_pages"), (F.size("all") - 1).alias("duplicates"))
+    pages = F.transform(F.concat("won", "lost"), lambda x: x["seen"])
+    return d.select("crawl_id", "best.*", "first_seq", pages.alias("seen_on_pages"), (F.col("n") - 1).cast("int").alias("duplicates"))
 
 
 def quality(d: DataFrame) -> DataFrame:
@@ -199,7 +241,8 @@ class Feed:
 
     def __init__(self, pages: DataFrame, profiles: DataFrame):
         self.pages = pages
-        self.cleaned = cleaned_lines(with_profile(pages, profiles))
+        patterns = [r[0] for r in profiles.select(_date_pattern(F.col("date_patterns"))).distinct().limit(_COMPILED).collect()]
+        self.cleaned = cleaned_lines(with_profile(with_crawl_time(pages), profiles), patterns)
         self.segments = segments(self.cleaned)
         self.found = stories(self.segments)
         self.unique = deduplicate(self.found)
@@ -234,10 +277,10 @@ class Feed:
     def meta(self) -> DataFrame:
         """A row for each crawl: what was read, found, merged and dropped. The pages are read once: what belongs to a page
         goes with the first of its rows."""
-        page = {"source_profile": F.col("profile.name"), "source_name": F.col("profile.display_name"), "rescued": F.size("rescued"), "opens": F.coalesce("ordinal", F.lit(0)) == 0}
-        rows = stories(segments(self.cleaned, outer=True).withColumns(page), ("parser_version", "crawl_time_utc", "noise", *page))
+        page = {"crawl_utc": crawl_utc(F.col("crawl_local"), F.col("crawl_zone")), "version": F.coalesce(F.nullif("parser_version", F.lit("")), F.lit(PARSER_VERSION)), "source_profile": F.col("profile.name"), "source_name": F.col("profile.display_name"), "rescued": F.size("rescued"), "opens": F.coalesce("ordinal", F.lit(0)) == 0}
+        rows = stories(segments(self.cleaned, outer=True).withColumns(page), ("noise", *page))
         once = lambda c: F.sum(F.when(F.col("opens"), F.col(c)))
-        least = ("start_url", "parser_version", "source_profile", "source_name", "crawl_time_utc")
+        least = ("start_url", "version", "source_profile", "source_name", "crawl_utc")
         by_key = rows.withColumn("key", F.when(F.col("headline").isNotNull(), story_key(rows))).groupBy("crawl_id", "key").agg(
             *[F.min(c).alias(c) for c in least], F.count_if("opens").alias("pages"), once("noise").alias("noise"), once("rescued").alias("rescued"),
             F.count("headline").alias("candidates"), F.count_if(F.col("warning").isNotNull() & F.col("published_raw").isNotNull()).alias("told"),
@@ -246,4 +289,4 @@ class Feed:
             *[F.min(c).alias(c) for c in least], F.sum("pages").alias("pages_crawled"), F.count("key").alias("stories_extracted"), (F.sum("candidates") - F.count("key")).alias("duplicates_removed"),
             F.coalesce(F.sum("noise"), F.lit(0)).cast("long").alias("noise_lines_stripped"), (F.coalesce(F.sum("rescued"), F.lit(0)) + F.sum("told")).cast("long").alias("parse_warnings"),
         )
-        return total.select("crawl_id", *least, "pages_crawled", "stories_extracted", "duplicates_removed", "noise_lines_stripped", "parse_warnings")
+        return total.withColumnsRenamed({"version": "parser_version", "crawl_utc": "crawl_time_utc"}).select("crawl_id", "start_url", "parser_version", "source_profile", "source_name", "crawl_time_utc", "pages_crawled", "stories_extracted", "duplicates_removed", "noise_lines_stripped", "parse_warnings")

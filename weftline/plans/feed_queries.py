@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.feed import Feed
+from weftline.operators.feed import Feed, crawl_utc, with_crawl_time
 from weftline.plans.profiles import PROFILES, profiles
 
 #: Pages of a crawl for each customer, one for each order, with those before it: shared by both engines but for the date
@@ -39,9 +39,13 @@ _CRAWLED = "2026-02-14T10:30:00Z"
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    # The exchange that the windows need anyway, in as many parts as there are cores: pages are short and their lines dear, and
+    # by their bytes alone they would be put together in a few tasks.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    orders = orders.repartition(parts, "o_custkey")
     sql = _PAGES.format(date="date_format(o_orderdate, 'dd MMM yyyy')", nl="char(10)", text="STRING")
     pages = spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders)
-    return pages.withColumns({"crawl_time_utc": F.lit(_CRAWLED), "parser_version": F.lit("1"), "meta": F.lit(None).cast("map<string,string>")})
+    return pages.withColumns({"crawl_time_utc": F.lit(_CRAWLED), "parser_version": F.when(F.col("crawl_id") % 2 == 0, "2"), "meta": F.lit(None).cast("map<string,string>")})
 
 
 def feed(spark: SparkSession, sf_dir: str) -> Feed:
@@ -58,7 +62,18 @@ def feed_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed(spark, sf_dir).meta().drop("crawl_time_utc", "parser_version")
+    return feed(spark, sf_dir).meta()
+
+
+#: Crawl times as text: with offsets of all kinds, without, as a date; %d is a number of hours.
+_TIMES = ("2026-02-14T%d:30:00Z", "2026-02-14 %d:30:05.25+08:00", "2026-02-14T%d:30-0330", "2026-02-14T%d:05:00,5", "2026-02-14")
+
+
+def feed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.element_at(F.array(*[F.lit(x) for x in _TIMES]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    hour = F.lpad((F.col("c_custkey") % 24).cast("string"), 2, "0")
+    d = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.replace(raw, F.lit("%d"), hour).alias("crawl_time_utc"))
+    return with_crawl_time(d).select("c_custkey", F.col("crawl_zone").alias("zone"), crawl_utc(F.col("crawl_local"), F.col("crawl_zone")).alias("utc"))
 
 
 def feed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +96,7 @@ def feed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed(spark, sf_dir).stories.groupBy("content_type", "segmentation_reason", "parse_confidence").agg(F.count("*").alias("stories"))
 
 
-QUERIES = {f.__name__: f for f in (feed_stories, feed_meta, feed_warnings, feed_noise_strip, feed_segments, feed_dedupe, feed_quality)}
+QUERIES = {f.__name__: f for f in (feed_stories, feed_meta, feed_times, feed_warnings, feed_noise_strip, feed_segments, feed_dedupe, feed_quality)}
 
 
 def _sql_list(values: list[str]) -> str:
@@ -155,7 +170,11 @@ def oracles() -> dict[str, str]:
         "feed_meta": s + """SELECT p.*, CAST(coalesce(u.n, 0) AS BIGINT) AS stories_extracted, CAST(coalesce(f.c, 0) - coalesce(u.n, 0) AS BIGINT) AS duplicates_removed, CAST(noise AS BIGINT) AS noise_lines_stripped,
   CAST(rescued + coalesce(f.w, 0) AS BIGINT) AS parse_warnings FROM (SELECT * EXCLUDE (noise, rescued), noise, rescued FROM (SELECT crawl_id, min(start_url) AS start_url, min(name) AS source_profile,
   min(display_name) AS source_name, count(*) AS pages_crawled, sum(noise) AS noise, sum(len(rescued)) AS rescued FROM clean GROUP BY crawl_id)) p
-  LEFT JOIN (SELECT crawl_id, count(headline) AS c, count(warning) AS w FROM story GROUP BY crawl_id) f USING (crawl_id) LEFT JOIN (SELECT crawl_id, count(*) AS n FROM uniq GROUP BY crawl_id) u USING (crawl_id)""".replace("SELECT p.*,", "SELECT p.crawl_id, start_url, source_profile, source_name, pages_crawled,"),
+  LEFT JOIN (SELECT crawl_id, count(headline) AS c, count(warning) AS w FROM story GROUP BY crawl_id) f USING (crawl_id) LEFT JOIN (SELECT crawl_id, count(*) AS n FROM uniq GROUP BY crawl_id) u USING (crawl_id)""".replace("SELECT p.*,", "SELECT p.crawl_id, start_url, CASE WHEN p.crawl_id % 2 = 0 THEN '2' ELSE '1.0.0' END AS parser_version, '2026-02-14T10:30:00Z' AS crawl_time_utc, source_profile, source_name, pages_crawled,"),
+        "feed_times": """WITH c AS (SELECT c_custkey, c_custkey % 5 AS form, c_custkey % 24 AS h FROM customer),
+  t AS (SELECT c_custkey, CASE form WHEN 1 THEN '+08:00' WHEN 2 THEN '-03:30' ELSE '+00:00' END AS zone, CASE form WHEN 0 THEN h * 3600000000 + 1800000000 WHEN 1 THEN h * 3600000000 + 1805250000 - 28800000000
+    WHEN 2 THEN h * 3600000000 + 1800000000 + 12600000000 WHEN 3 THEN h * 3600000000 + 300500000 ELSE 0 END AS us FROM c)
+  SELECT c_custkey, zone, strftime(TIMESTAMP '2026-02-14' + to_microseconds(us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 <> 0 THEN '.' || lpad(CAST((us % 1000000 + 1000000) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || 'Z' AS utc FROM t""",
         "feed_warnings": s + """SELECT crawl_id, page_seq, 0 AS kind, CAST(unnest(range(0, len(rescued))) AS INTEGER) AS i, 'STRIP_RULE_SKIPPED_STORY_SAFETY' AS code, unnest(rescued) AS example FROM clean
   UNION ALL SELECT crawl_id, page_seq, 1, CAST(ord - 1 AS INTEGER), warning, published_raw[1:120] FROM story WHERE warning IS NOT NULL""",
         "feed_noise_strip": s + "SELECT crawl_id, page_seq, array_to_string(kept, '|') AS kept, noise, CAST(len(rescued) AS INTEGER) AS rescued FROM clean",
