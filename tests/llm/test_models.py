@@ -127,25 +127,30 @@ def test_toxicity_cases(spark, docs):
     assert kept.columns == d.columns and sorted(x.text or "-" for x in kept.collect()) == ["-", "good"]
 
 
-def test_windows_are_sampled_from_whole_texts():
-    for n in (0, 1, 255, 256, 257, 509, 510, 5000, 3_000_000):
+def test_whole_texts_are_learned():
+    for n in (0, 1, 255, 256, 257, 509, 510, 5000, 300_000):
         data = np.random.default_rng(n).integers(1, 255, n).astype(np.uint8)
-        for most in (1, 3, 7):
-            got = langid.sampled_windows(data.tobytes(), most)
-            if n <= 5000:
-                windows, _, _ = langid.cut_windows(data, np.array([0, n]))
-                assert got == [windows[j].tobytes() for j in sorted({j * len(windows) // most for j in range(most)})] if len(windows) else got == []
-            elif most > 1:
-                assert data.tobytes().index(got[-1]) > n // 3
+        windows, _, _ = langid.cut_windows(data, np.array([0, n]))
+        assert langid.all_windows(data.tobytes()) == [w.tobytes() for w in windows]
+
+
+def test_a_row_repeated_very_often_is_learned_once(spark, docs):
+    r = random.Random(31)
+    truth = [int(i % 3 == 0) for i in range(90)]
+    texts = [tox(r, y) for y in truth]
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(truth)], "doc_id long, quality int, toxic int")
+    often = docs(texts + [texts[1]] * 3000 + [texts[2] + f" x{i}" for i in range(3000)] + [texts[4]] * 50, ids=[*range(90)] + [1] * 3000 + [2] * 3000 + [*range(1000, 1050)])
+    one, many = toxicity.train(docs(texts), labels), toxicity.train(often, labels)
+    assert one is not None and one.weights.keys() == many.weights.keys()
 
 
 def test_long_texts_are_learned_whole(docs, labelled):
-    """The language shows in the last third only of texts of over a megabyte."""
+    """The language shows in the last third only of texts of a hundred thousand characters."""
     r = random.Random(8)
     langs = [r.choice([*SYLLABLES]) for _ in range(30)]
-    texts = ["1 " * 400_000 + say(r, k, 60_000) for k in langs]
+    texts = ["1 " * 40_000 + say(r, k, 6_000) for k in langs]
     d = docs(texts, lang=langs)
-    found = {x.doc_id: x.lang_pred for x in langid.identify(docs([say(r, k, 40) for k in langs]), langid.train(d, windows_per_row=12, epochs=60)).collect()}
+    found = {x.doc_id: x.lang_pred for x in langid.identify(docs([say(r, k, 40) for k in langs]), langid.train(d, epochs=10)).collect()}
     assert np.mean([found[i] == k for i, k in enumerate(langs)]) > 0.9
 
 

@@ -1,6 +1,7 @@
 """Personal data, secrets and benchmark passages."""
 
 import base64
+import os
 import gzip
 import random
 import zlib
@@ -118,6 +119,32 @@ def test_exact_places_and_cycles():
     assert secrets.all_spans(base64.b64encode(zlib.compress(b"a" * (1 << 22))).decode(), max_run=1 << 16)[2] is False
 
 
+def test_every_stream_of_a_layer_is_opened():
+    one, two = (f"password={x * 20}".encode() for x in "qz")
+    spans = lambda data: [k for _, k, _ in secrets.all_spans(base64.b64encode(data).decode())[1]]
+    places = lambda data: len(spans(data))
+    # Two streams in one base64 run have places of their own.
+    assert places(zlib.compress(one) + b"--sep--" + zlib.compress(two)) == 2
+    assert places(gzip.compress(b"") + b"junk" + gzip.compress(one)) == 1
+    assert places(b"x\x9cjunk" + zlib.compress(one)) == 1  # behind a false start
+    broken = gzip.compress(bytes(range(256)) * 40)[:-30]
+    assert places(broken[:200] + gzip.compress(one)) >= 1
+    # Streams in a stream, not only at its beginning, and more members.
+    assert places(zlib.compress(b"head " + zlib.compress(one) + b" mid " + gzip.compress(two))) == 1
+    assert places(gzip.compress(b"nothing") + gzip.compress(one)) == 1
+    assert places(zlib.compress(zlib.compress(one) + b"rest")) == 1
+    text = "A" * 100 + " " + base64.b64encode(zlib.compress(os.urandom(2_000_000) + zlib.compress(one))).decode()
+    assert secrets.all_spans(text)[2]
+
+
+def test_wide_text():
+    for code in ("utf-16-le", "utf-16-be", "utf-16"):
+        run = base64.b64encode(f"echo token: {'q' * 16} é €".encode(code)).decode()
+        base, spans, complete = secrets.all_spans(f"powershell -enc {run} end")
+        (span,) = set(spans) - set(base)
+        assert complete and span[1] == 0 and 16 <= span[0] < span[2] <= 16 + len(run)
+
+
 def test_layers_with_odd_bytes():
     encoded = lambda x: base64.b64encode(x).decode().rstrip("=")
     lines = encoded(b"lorem ipsum dolor sit amet, consectetur adipiscing elit sed " + SECRET.encode() + b" do eiusmod tempor")

@@ -174,19 +174,17 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield windows, rows + row, lengths
 
 
-def sampled_windows(text: bytes, most: int) -> list[bytes]:
-    """At most ``most`` of the windows that cover a text, evenly from all of it."""
+def all_windows(text: bytes) -> list[bytes]:
+    """The windows that cover a text."""
     count = max(-(-(len(text) - WINDOW) // _STEP) + 1, 1) if text else 0
-    picks = sorted({j * count // most for j in range(most)}) if count else []
-    return [text[j * _STEP : j * _STEP + WINDOW].ljust(WINDOW, b"\0") for j in picks]
+    return [text[j * _STEP : j * _STEP + WINDOW].ljust(WINDOW, b"\0") for j in range(count)]
 
 
-def train(documents: DataFrame, sample_rows: int = 4000, windows_per_row: int = 3, epochs: int = 12) -> ByteCNN | None:
+def train(documents: DataFrame, sample_rows: int = 2000, epochs: int = 6) -> ByteCNN | None:
     """A network for all languages of labelled rows that aren't held out, or None without such rows.
 
     It is fitted on at most ``sample_rows`` rows (but one of each language at least), shared out equally between the
-    languages and chosen by a hash of doc_id, with at most ``windows_per_row`` windows of each, from all of its text.
-    Nothing else is bounded.
+    languages and chosen by a hash of doc_id, and on all windows of their texts. Nothing else is bounded.
     """
     labelled = documents.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).toPandas().set_index("lang")["n"].to_dict()  # the classes
@@ -199,7 +197,7 @@ def train(documents: DataFrame, sample_rows: int = 4000, windows_per_row: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sampled_windows(t.as_py(), windows_per_row) for t in batch.column("text").cast(pa.binary())]
+            found = [all_windows(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.select(["lang", "u", "doc_id"]).columns, pa.array(found, pa.list_(pa.binary()))], names=["lang", "u", "doc_id", "pieces"])
 
     # A few more rows than the quota of each language are left, so that no language is a large group.
@@ -213,7 +211,7 @@ def train(documents: DataFrame, sample_rows: int = 4000, windows_per_row: int =
     return ByteCNN(classes).fit(windows, np.array([k for k, _ in pieces]), epochs=epochs)
 
 
-def identify(documents: DataFrame, model: ByteCNN | None = None, sample_rows: int = 4000) -> DataFrame:
+def identify(documents: DataFrame, model: ByteCNN | None = None, sample_rows: int = 2000) -> DataFrame:
     """Per document row: doc_id, held_out, lang_pred, score. Without ``model`` one is trained on the same documents."""
     model = model or train(documents, sample_rows)
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -7,8 +7,9 @@ to the worklist until none is left:
   layer holds the fixpoint of all nested escapes. Escapes begin with a character that none has inside and never overlap,
   so any order of decoding ends in the same text, and one pass over the layer finds it, however deep they are nested.
 * Base64 (both alphabets, also wrapped over lines), whatever its bytes are.
-* zlib and gzip data, of any number of members, in what the other two give. They are decompressed as a stream, in parts
-  that overlap by what a match or an encoded run can span, so that no amount of expansion fills the memory.
+* zlib and gzip data, any number of streams and members, wherever they begin in what the others give. Large ones are
+  decompressed in parts that overlap by what a match or an encoded run can span, so that no expansion fills the memory.
+* UTF-16 in a decoded layer, as in encoded commands of a shell.
 
 Bytes are read as one character each; the base kinds are ASCII. Each layer tells, for a range of its characters, the
 range of its parent that they come from, so that a match in a nested layer is a span of the document. Escapes and base64
@@ -31,6 +32,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,28 +225,36 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
 # ---------------------------------------------------------------- compressed data
 
 
-def _inflated(data: bytes | Iterator[bytes], part: int = 1 << 20) -> Iterator[bytes]:
-    """Decompressed parts of all members of zlib or gzip data; what was read before an error counts."""
-    engine, feed = zlib.decompressobj(47), iter([data] if isinstance(data, bytes) else data)
-    pending, fresh = b"", True
-    while True:
-        if not pending:
-            pending = next(feed, b"")
+class _Inflated:
+    """Decompressed parts of all members of zlib or gzip data; what was read before an error counts. ``consumed``: how many
+    bytes whole members have taken up so far, 0 if there was none."""
+
+    def __init__(self, data: bytes | Iterator[bytes], part: int = 1 << 20):
+        self.feed = (data[i : i + part] for i in range(0, len(data), part)) if isinstance(data, bytes) else data
+        self.part, self.consumed = part, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        engine, pending, given, fresh = zlib.decompressobj(47), b"", 0, True
+        while True:
             if not pending:
+                pending = next(self.feed, b"")
+                given += len(pending)
+                if not pending:
+                    return
+            try:
+                out = engine.decompress(pending, self.part)
+            except zlib.error:
                 return
-        try:
-            out = engine.decompress(pending, part)
-        except zlib.error:
-            return
-        fresh = False
-        if out:
-            yield out
-        pending = engine.unconsumed_tail
-        if engine.eof:
-            # Another member may follow, after zeros that fill up a block.
-            pending = engine.unused_data.lstrip(b"\0")
-            if pending or not fresh:
-                engine, fresh = zlib.decompressobj(47), True
+            fresh = False
+            if out:
+                yield out
+            pending = engine.unconsumed_tail
+            if engine.eof:
+                # Another member may follow, after zeros that fill up a block.
+                self.consumed = given - len(engine.unused_data)
+                pending = engine.unused_data.lstrip(b"\0")
+                if pending or not fresh:
+                    engine, fresh = zlib.decompressobj(47), True
 
 
 def _is_compressed(data: bytes) -> bool:
@@ -260,56 +270,88 @@ def _overlap(text: str) -> int:
     return at
 
 
-def compressed_layers(layer: Layer, max_run: int, told: list) -> Iterator[Layer]:
-    """Layers of what is compressed in a decoded layer, part by part."""
+def compressed_layers(layer: Layer, max_run: int, told: list, small: int = 1 << 20) -> Iterator[Layer]:
+    """Layers of everything that is compressed in a decoded layer: after a stream the search goes on behind it, after a
+    false start or a broken one a character on.
+
+    What a stream of up to ``small`` bytes gives is one layer, in which further streams are found like here. A larger one
+    is read part by part.
+    """
     text, at = layer.text, 0
     while m := _COMPRESSED.search(text, at):
         start = at = m.start()
         at += 1
         if not layer.new(start, start + 2) or not _is_compressed(text[start : start + 3].encode("latin-1", "replace")):
             continue
-        stop = next((i for i in range(start, min(start + 64, len(text))) if ord(text[i]) > 255), None)
-        raw = text[start:stop].encode("latin-1", "replace")
-        parts = _inflated(raw)
-        head = next(parts, None)
-        if head is None:
+        # Parts of the layer, as far as its characters are bytes.
+        raw = (x.encode("latin-1", "replace") for x in (text[i : i + small] for i in range(start, len(text), small)))
+        first = next(raw)
+        mark = hashlib.blake2b(first, digest_size=16).digest()
+        if mark in layer.opened:  # a cycle
             continue
-        opened = layer.opened
-        mark = hashlib.blake2b(raw, digest_size=16).digest()
+        stream = _Inflated(chain([first], raw))
+        parts, held, size = iter(stream), [], 0
+        while size <= small and (part := next(parts, None)) is not None:
+            held.append(part)
+            size += len(part)
+        if not held:
+            continue
+        opened = layer.opened | {mark}
+        if size <= small:
+            end = start + stream.consumed if stream.consumed else len(text)
+            yield Layer(b"".join(held).decode("latin-1"), layer, lambda s, e, whole=(start, end): whole, _always, opened)
+        else:
+            yield from _large(layer, (start, len(text)), chain(held, parts), opened, max_run, told)
+        if stream.consumed:
+            at = start + stream.consumed
+
+
+def _large(layer: Layer, whole: tuple[int, int], parts: Iterator[bytes], opened: frozenset, max_run: int, told: list) -> Iterator[Layer]:
+    """Layers of a large stream, part by part."""
+    # Compressed data that begins the decompressed data is a stream of its own; with an opened beginning, a cycle.
+    head = next(parts)
+    while _is_compressed(head):
+        mark = hashlib.blake2b(head, digest_size=16).digest()
         if mark in opened:
             return
-        opened |= {mark}
+        read: list[bytes] = []
+        probing = [True]
 
-        def kept(head: bytes, parts: Iterator[bytes], read: list[bytes], probing: list) -> Iterator[bytes]:
+        def kept(head: bytes = head, parts: Iterator[bytes] = parts, read: list = read, probing: list = probing) -> Iterator[bytes]:
             for x in chain([head], parts):
                 if probing:
                     read.append(x)
                 yield x
 
-        # Compressed data that begins the decompressed data is a stream of its own; with an opened beginning, a cycle.
-        while _is_compressed(head):
-            mark = hashlib.blake2b(head, digest_size=16).digest()
-            if mark in opened:
-                return
-            read, probing = [], [True]
-            inner = _inflated(kept(head, parts, read, probing))
-            first = next(inner, None)
-            probing.clear()
-            if first is None:  # it only looked like it
-                head, parts = read[0], chain(read[1:], parts)
-                break
-            opened |= {mark}
-            head, parts = first, inner
-        whole = (start, stop or len(text))
-        carry = ""
-        for part in chain([head], parts):
-            held = carry + part.decode("latin-1")
-            yield Layer(held, layer, lambda s, e, whole=whole: whole, _always, opened)
-            carry = held[_overlap(held) :]
-            if len(carry) > max_run:
-                told.append(True)
-                carry = carry[-max_run // 2 :]
-        return
+        inner = iter(_Inflated(kept()))
+        first = next(inner, None)
+        probing.clear()
+        if first is None:  # it only looked like it
+            head, parts = read[0], chain(read[1:], parts)
+            break
+        opened |= {mark}
+        head, parts = first, inner
+    carry = ""
+    for part in chain([head], parts):
+        held = carry + part.decode("latin-1")
+        yield Layer(held, layer, lambda s, e: whole, _always, opened)
+        carry = held[_overlap(held) :]
+        if len(carry) > max_run:
+            told.append(True)
+            carry = carry[-max_run // 2 :]
+
+
+def wide_layers(layer: Layer) -> Iterator[Layer]:
+    """The text of a decoded layer that is UTF-16, as most of its bytes at even or at odd places are zero."""
+    text = layer.text
+    zeros = text[0::2].count("\0"), text[1::2].count("\0")
+    for lead, code in ((1, "utf-16-le"), (0, "utf-16-be")):
+        if len(text) >= 16 and 4 * zeros[lead] > len(text) and 8 * zeros[1 - lead] < zeros[lead]:
+            data = bytearray(text[: len(text) & ~1].encode("latin-1", "replace"))
+            if code == "utf-16-be":
+                data[0::2], data[1::2] = data[1::2], data[0::2]
+            units = "".join(map(chr, np.frombuffer(data, "<u2").tolist()))
+            yield Layer(units, layer, lambda s, e: (2 * s, 2 * e), _always, layer.opened)
 
 
 # ---------------------------------------------------------------- worklist
@@ -333,6 +375,7 @@ def all_spans(text: str, max_run: int = 16 << 20) -> tuple[list[tuple[int, int,
         work.append(base64_layers(layer))
         if layer.parent is not None:
             work.append(compressed_layers(layer, max_run, told))
+            work.append(wide_layers(layer))
         if (plain := escapes(layer)) is not None:
             work.append(iter([plain]))
     return base, sorted(spans), not told

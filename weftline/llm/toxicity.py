@@ -230,7 +230,12 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> C
         found = [pa.array([x[i] for x in made], kind) for i, kind in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([*batch.select(["u", "doc_id", "toxic", "key"]).columns, *found], names=["u", "doc_id", "toxic", "key", "words", "marks", "sentences"])
 
+    # Of a document's rows one text, and of a text one row: what comes to the driver is bounded by ``chosen``, however often a
+    # document is there.
     texts = documents.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("u", "doc_id", "toxic", F.xxhash64("text").alias("key"), "text")
+    kept = texts.groupBy("doc_id").agg(F.min("key").alias("key"), F.min("u").alias("first"))
+    kept = kept.groupBy("key").agg(F.min_by("doc_id", F.struct("first", "doc_id")).alias("doc_id"))
+    texts = texts.join(F.broadcast(kept), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.min("u").alias("u"), F.min("toxic").alias("toxic"), F.min("text").alias("text"))
     with writing(documents.sparkSession):
         rows = map_arrow(texts, digested, f"u double, doc_id long, toxic int, key long, {_DIGEST}", 64).toArrow()
     rows = rows.sort_by([("u", "ascending"), ("doc_id", "ascending"), ("key", "ascending")])
