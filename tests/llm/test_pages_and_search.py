@@ -56,6 +56,45 @@ def test_boilerplate_on_part_of_a_large_host(spark):
     assert all(got[i].endswith(f"{line} Read on") == (i in (32, 288)) for i in range(320))
 
 
+def test_names_are_a_prior(spark):
+    """What a part of a class name hints at is decided by the host's pages, both ways."""
+    line = "the spring sale of garden chairs ends on the last day of may"
+    own = lambda i: f"a text of its own about {i} things that are on page {i} and nowhere else"
+    wrap = {"share-header": "<article><p>t{0}</p><div class='share-header'>{1}</div></article>", "notice-period": "<article><p>t{0}</p><p class='notice-period'>{1}</p></article>",
+            "related-work": "<article><p>t{0}</p><section class='related-work'><p>{1}</p></section></article>", "header-note": "<div id='content'><p>t{0}</p><div class='header-note'>{1}</div></div>"}
+    pages = [(f"http://{k}.{kind}/{i}", x.format(i, own(i) if kind == "own" else line)) for k, x in wrap.items() for kind in ("own", "same") for i in range(8)]
+    got = texts(spark, pages)
+    for i, (url, _) in enumerate(pages):
+        n = int(url.rsplit("/", 1)[1])
+        assert got[i] == (f"t{n} {own(n)}" if ".own/" in url else f"t{n}"), url
+    # With a page or two there is nothing to go by: a name that is made of cues goes, one that has a cue in it stays.
+    few = texts(spark, [(f"http://{k}/1", x.format(0, own(0))) for k, x in wrap.items()])
+    assert [few[i] for i in range(4)] == ["t0", *[f"t0 {own(0)}"] * 3]
+    # A name that is a cue goes.
+    assert set(texts(spark, [(f"http://h/{i}", f"<article><p>t</p><div class='x ad'>{own(i)}</div></article>") for i in range(8)]).values()) == {"t"}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p class=it's>Hello one</p><p>World isn't here</p><p>end</p></article>", "Hello one World isn't here end"), ("<article><p title='a > b' \">x</p></article>", "x"),
+        ("<article><a title=\"x>y\" href=it's>l</a> m</article>", "l m"), ("<article><p a = 'b>c'>x</p></article>", "x"),
+    ],
+)
+def test_quotes_count_behind_an_equals_sign(spark, page, text):
+    assert texts(spark, [("http://h/", page)])[0] == text
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    n = 140_000  # about a megabyte each
+    for page in ("<b>" * n + "</i>" * n, "<div><p>x" * (n // 2), "<li><ul>" + "<b>" * n + "<li>x</li>" * (n // 3), "<td>" * n + "</p>" * n, "<p class=a'b>" * (n // 2)):
+        began = time.time()
+        html_text.blocks(page)
+        assert time.time() - began < 15
+
+
 def test_equal_pages_count_once(spark):
     assert texts(spark, [("http://h/1", "<p>text</p>"), ("http://h/1", "<p>text</p>")]) == {0: "text", 1: "text"}
     story = "<p>the only copy of this long story was told here in many words</p>"
@@ -116,7 +155,7 @@ def brute_pages(pages, min_tokens=8, min_pages=3, common_pages=5):
         kept = []
         for i, (t, k) in enumerate(found):
             hit = mask(t, least)
-            if k == html_text.MAIN and i not in gone or k == html_text.LOOSE and main and np.mean(hit) < 0.8:
+            if k == html_text.NAMED and len(mine) >= common_pages and np.mean(hit) < 0.8 or k == html_text.MAIN and i not in gone or k == html_text.LOOSE and main and np.mean(hit) < 0.8:
                 kept.append(t)
             elif k == html_text.LOOSE and not main and (stay := " ".join(w for w, h in zip(t.split(), hit) if not h)):
                 kept.append(stay)
@@ -137,6 +176,11 @@ def test_hosts_decide_as_by_brute_force(spark, shard_pages):
         inner = "".join(f"<p>{say(r.randint(2, 40))}</p>" + (f"<p>{notes[1]}</p>" if host == "one" and r.random() < 0.8 else "") + (f"<div>{r.choice(notes)}</div>" if host == "two" else "") for _ in range(2))
         body = f"<article>{inner}</article>" if host != "three" else f"<div>{say(12)} {r.choice(notes)} {say(3)}</div><div>{notes[0]}</div>"
         pages.append((f"http://{host}/{i}", f"<nav>{notes[2]}</nav>{body}<footer>{notes[3]}</footer>"))
+    # Names that hint at chrome, on hosts of many and of few pages.
+    for i in range(40):
+        host, name = r.choice([("four", "share-header"), ("four", "cookie-note"), ("four", "share-bar"), (f"few{i % 9}", "share-header")])
+        note = r.choice([notes[1], say(20), say(4), notes[0]])
+        pages.append((f"http://{host}/{i}", f"<article><p>{say(30)}</p><div class='{name}'>{note}</div><p class=promo-code>{r.choice(notes)}</p></article>"))
     pages += pages[:6]
     got = texts(spark, pages, shard_pages=shard_pages)
     assert [got[i] for i in range(len(pages))] == brute_pages(pages)

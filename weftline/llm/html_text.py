@@ -2,13 +2,16 @@
 
 A page is parsed into blocks, and its markup gives each a prior: CHROME in menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments; MAIN for paragraphs, headings, lists and tables of an article; LOOSE for
-what is between. The host decides: the token streams of its pages, all blocks, are concatenated, a suffix array groups
+what is between. NAMED is what only a part of a class name makes look like chrome, such as "share-header" inside an article; if
+other parts of the name say nothing, as in "notice-period", the block is LOOSE. The host decides: the token streams of its pages, all blocks, are concatenated, a suffix array groups
 equal substrings of ``min_tokens`` tokens (or whole blocks of fewer), and the distinct pages that have each are counted.
 
 * LOOSE blocks lose what is on ``min_pages`` pages; inside an article a block goes as a whole if it is mostly covered.
 * MAIN blocks go if they are mostly covered by substrings that half of the host's pages have (``common_pages`` at
   least): notices that a site writes into every article. If that would take half of an article or more, the article
   is one that recurs, e.g. copied pages, and it stays.
+* NAMED blocks go if they are mostly covered by what ``min_pages`` pages have, and where a host has fewer than
+  ``common_pages`` pages to go by; on a larger host a block that is on its page only stays.
 * CHROME blocks go; they count as witnesses of what the host repeats.
 
 A large host is dealt into shards of about ``shard_pages`` distinct pages, so that no task gets a whole large host, and
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import bitmap_rows, join_hot, map_arrow, marked, mix, window_hashes
 from weftline.storage import discard, materialize
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)(?:>|$)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|$)|'[^']*(?:'|$))?)*)(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CUE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -59,7 +62,18 @@ _CUES = frozenset(
 _CONTENT = frozenset("content main article post story entry articlebody".split())
 _CONTENT_OF, _CONTENT_PART = frozenset("article post story entry main page".split()), frozenset("body content text".split())
 
-MAIN, LOOSE, CHROME = 0, 1, 2
+#: Words that say nothing beside a cue in a name.
+_BESIDE = frozenset("area bar block bottom box button buttons container group inner item items left link links list main outer page panel post right row section site top wrap wrapper".split())
+
+MAIN, LOOSE, CHROME, NAMED = 0, 1, 2, 3
+
+
+def _hint(names: list[str]) -> int:
+    """What class names and ids say: 3 chrome, if one is a cue; 2 if one is made of cues; 1 if one has a cue in it; 0 nothing."""
+    parts = [{w.lower() for w in _CUE_WORD.findall(n)} for n in names]
+    if any(n.lower() in _CUES for n in names):
+        return 3
+    return 2 if any(p & _CUES and p <= _CUES | _BESIDE for p in parts) else 1 if any(p & _CUES for p in parts) else 0
 
 
 def _holds_text(cues: set[str], names: list[str]) -> bool:
@@ -67,30 +81,31 @@ def _holds_text(cues: set[str], names: list[str]) -> bool:
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, MAIN | LOOSE | CHROME) of all non-empty blocks, in page order."""
-    found: list[list] = []  # text, is chrome, in a heading, block tag, depth of article, depth of main
-    stack: list[tuple[str, int, int, str]] = []  # tag, chrome (0 no, 1 but for headings, 2 yes), region (0, 1 main, 2 article), block tag
+    """(text, MAIN | LOOSE | CHROME | NAMED) of all non-empty blocks, in page order."""
+    found: list[list] = []  # text, is chrome, block tag, region, hint
+    stack: list[tuple[str, int, int, str, int]] = []  # tag, chrome (0 no, 1 but for headings, 2 yes), region (0, 1 main, 2 article), block tag, hint
+    open_: dict[str, list[int]] = {}  # places on the stack, by tag
     pieces: list[str] = []
-    state = ("", 0, 0, "")
+    nowhere = state = ("", 0, 0, "", 0)
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            _, chrome, region, block = state
-            found.append([text, chrome == 2 or chrome == 1 and block not in _HEADINGS, block, region])
+            _, chrome, region, block, hint = state
+            found.append([text, chrome == 2 or chrome == 1 and block not in _HEADINGS, block, region, hint])
 
     def pop_to(tag: str, fence: frozenset = frozenset()) -> None:
         nonlocal state
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == tag:
-                if any(x[0] in _BLOCK for x in stack[at:]):
-                    flush()
-                del stack[at:]
-                state = stack[-1] if stack else ("", 0, 0, "")
-                return
-            if stack[at][0] in fence:
-                return
+        at = open_[tag][-1] if open_.get(tag) else -1
+        if at < 0 or any(open_[x][-1] > at for x in fence if open_.get(x)):
+            return
+        if any(x[0] in _BLOCK for x in stack[at:]):
+            flush()
+        for x in stack[at:]:
+            open_[x[0]].pop()
+        del stack[at:]
+        state = stack[-1] if stack else nowhere
 
     at = 0
     while m := _TAG.search(page, at):
@@ -101,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if not tag:
             continue
         if m[1]:
-            if tag == "br" or tag == "p" and not any(x[0] == "p" for x in stack):
+            if tag == "br" or tag == "p" and not open_.get("p"):
                 pieces.append(" ")
             else:
                 pop_to(tag)
@@ -128,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         if m[3].endswith("/") and tag not in _BLOCK:
             continue
-        _, chrome, region, block = state
+        _, chrome, region, block, hint = state
         if tag == "article":
             region = 2
         elif tag == "main":
@@ -145,23 +160,27 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if role == "main" or names and tag in ("div", "section", "td") and _holds_text(cues, names):
             region = max(region, 1)
         if tag not in ("html", "body", "article", "main"):
-            named = cues & _CUES
-            if tag == "header" or named == {"header"} or role == "banner":
+            said = _hint(names)
+            if tag == "header" or said == 3 and cues & _CUES == {"header"} or role == "banner":
                 chrome = max(chrome, 1 if region == 2 else 2)
-            elif tag in _DROPPED or named or role in _ROLES:
+            elif tag in _DROPPED or said == 3 or role in _ROLES:
                 chrome = 2
+            hint = max(hint, said)
         elif tag == "article" and cues & {"comment", "comments", "teaser", "reply"}:
             chrome = 2
-        state = (tag, chrome, region, tag if tag in _BLOCK else block)
+        state = (tag, chrome, region, tag if tag in _BLOCK else block, hint)
+        open_.setdefault(tag, []).append(len(stack))
         stack.append(state)
     if at < len(page):
         pieces.append(_html.unescape(page[at:]))
     flush()
-    best = max((region for _, chrome, _, region in found if not chrome), default=0)
+    best = max((region for _, chrome, _, region, _ in found if not chrome), default=0)
     out = []
-    for text, chrome, block, region in found:
-        if chrome or region < best:
+    for text, chrome, block, region, hint in found:
+        if chrome or region < best or hint == 2 and not best:  # without a container, names are all there is
             out.append((text, CHROME))
+        elif hint:
+            out.append((text, NAMED if hint == 2 else LOOSE))
         else:
             out.append((text, MAIN if best and block in _SETTLED else LOOSE))
     return out
@@ -201,14 +220,14 @@ def unpack(data: bytes, min_tokens: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _streams(min_tokens: int):
-    """The token stream of each page, and whether it has LOOSE blocks."""
+    """The token stream of each page, and whether it has LOOSE or NAMED blocks."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         content, open_, streams = [], [], []
         for page in batch.column("html").to_pylist():
             found = blocks(page or "")
             content.append(_digest(found))
-            open_.append(any(k == LOOSE for _, k in found))
+            open_.append(any(k in (LOOSE, NAMED) for _, k in found))
             streams.append(pack([(t.split(), k) for t, k in found], min_tokens))
         made = [pa.array(content, pa.binary()), pa.array(open_, pa.bool_()), pa.array(streams, pa.binary())]
         return pa.RecordBatch.from_arrays([batch.column("host"), *made], names=["host", "content", "open", "stream"])
@@ -290,8 +309,8 @@ class Pages:
 
 
 #: What holds for a host goes along with its rows, so that nothing is joined by host.
-_HOST = ["loose", "shards", "least", "half"]
-_COUNTS = "host string, shard long, run long, pages long, loose boolean, shards long, least long, half long"
+_HOST = ["loose", "shards", "least", "half", "n"]
+_COUNTS = "host string, shard long, run long, pages long, loose boolean, shards long, least long, half long, n long"
 
 
 def _rows(group: pd.DataFrame, runs: np.ndarray, pages: np.ndarray) -> pd.DataFrame:
@@ -322,14 +341,15 @@ def _count_asked(min_tokens: int):
     return run
 
 
-def _decide(min_tokens: int, share: float = 0.8):
+def _decide(min_tokens: int, common_pages: int, share: float = 0.8):
     """What the blocks of each page lose, flat: block, number of places, and the places between which tokens stay."""
 
     def run(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         contents, cuts = [], []
-        if len(group) and len(runs):
+        if len(group):
             pages = Pages.of(group, min_tokens)
-            often, common = pages.covered(runs["run"].to_numpy()), pages.covered(runs["run"].to_numpy()[runs["common"].to_numpy(bool)])
+            told, all_ = runs["run"].to_numpy(np.int64), runs["common"].to_numpy(bool)
+            often, common = pages.covered(told), pages.covered(told[all_])
             part = lambda mask, b: mask[pages.starts[b] : pages.starts[b] + pages.sizes[b]]
             for page, (a, z) in enumerate(zip(pages.ends[:-1].tolist(), pages.ends[1:].tolist(), strict=True)):
                 main = [b for b in range(a, z) if pages.kinds[b] == MAIN]
@@ -337,6 +357,8 @@ def _decide(min_tokens: int, share: float = 0.8):
                 if 2 * sum(pages.sizes[gone]) >= sum(pages.sizes[main]):
                     gone = []
                 cut = [x for b in gone for x in (b - a, 0)]
+                few = group["n"].iloc[0] < common_pages
+                cut += [x for b in range(a, z) if pages.kinds[b] == NAMED and (few or part(often, b).mean() >= share) for x in (b - a, 0)]
                 for b in [b for b in range(a, z) if pages.kinds[b] == LOOSE]:
                     mask = part(often, b)
                     if main and mask.mean() >= share:
@@ -379,10 +401,11 @@ def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_
     distinct = materialize(streams.groupBy("host", "content").agg(F.first("open").alias("open"), F.first("stream").alias("stream")), "page-streams")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.max("open").alias("loose"))
     # With fewer distinct pages than asked for, all of them must have a run.
-    hosts = hosts.select("host", "n", "loose", F.ceil(F.col("n") / shard_pages).alias("shards"), F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("n"))).cast("long").alias("least"), F.greatest(F.lit(common_pages), F.ceil(F.col("n") / 2)).cast("long").alias("half"))
+    hosts = hosts.select("host", F.col("n").cast("long").alias("n"), "loose", F.ceil(F.col("n") / shard_pages).alias("shards"), F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("n"))).cast("long").alias("least"), F.greatest(F.lit(common_pages), F.ceil(F.col("n") / 2)).cast("long").alias("half"))
     hosts = materialize(hosts, "page-hosts")
-    deal = lambda d: d.select("host", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "content", "stream", *_HOST)
-    dealt = join_hot(distinct, hosts, ["host"], deal)
+    # Named apart from the count that join_hot goes by.
+    deal = lambda d: d.withColumnRenamed("pages_n", "n").select("host", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "content", "stream", *_HOST)
+    dealt = join_hot(distinct, hosts.withColumn("pages_n", F.col("n")), ["host"], deal)
     counts = materialize(dealt.groupBy("host", "shard").applyInPandas(_count(min_tokens), _COUNTS), "page-runs")
     # Candidates of hosts of several shards, unless all their runs are counted anyway.
     large = F.expr("shards > 1 and not loose")
@@ -394,11 +417,11 @@ def decisions(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, common_
         final = materialize(final.unionByName(again), "page-runs")
     totals = final.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.min("half").alias("half")).where("pages >= least")
     totals = materialize(totals.select("host", "run", (F.col("pages") >= F.col("half")).alias("common")), "page-totals")
-    # Only shards that have something that is often on the host decide anything.
+    # Only shards that have something that is often on the host, or blocks for the host to decide on, decide anything.
     told = materialize(final.select("host", "shard", "run").join(totals, ["host", "run"]), "page-told")
-    some = dealt.join(told.select("host", "shard").distinct(), ["host", "shard"], "left_semi")
-    decided = some.groupBy("host", "shard").cogroup(told.groupBy("host", "shard")).applyInPandas(_decide(min_tokens), f"host string, content binary, cuts {_CUTS}")
-    cuts = materialize(decided if not told.isEmpty() else distinct.limit(0).select("host", "content", F.array().cast(_CUTS).alias("cuts")), "page-cuts")
+    some = dealt.where("loose").unionByName(dealt.where("not loose").join(told.select("host", "shard").distinct(), ["host", "shard"], "left_semi"))
+    decided = some.groupBy("host", "shard").cogroup(told.groupBy("host", "shard")).applyInPandas(_decide(min_tokens, common_pages), f"host string, content binary, cuts {_CUTS}")
+    cuts = materialize(decided if not (told.isEmpty() and hosts.where("loose").isEmpty()) else distinct.limit(0).select("host", "content", F.array().cast(_CUTS).alias("cuts")), "page-cuts")
     discard(distinct, hosts, counts, totals, told)
     if cuts.isEmpty():
         return cuts.select("host", F.lit(0).cast("long").alias("key"), "cuts")
