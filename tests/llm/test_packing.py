@@ -127,3 +127,21 @@ def test_cases(docs):
     assert packing.pack(docs([]), PATH).count() == 0
     rows = packing.pack(docs(["a b", "a b", None], ids=[1, 1, None]), PATH).collect()
     assert len(rows) == 3 and len({(x.sequence_id, x.offset) for x in rows}) == 3
+
+
+def test_no_exact_combination_is_left():
+    """By trying all combinations of up to four pieces that are left."""
+    import random
+    from itertools import combinations_with_replacement
+
+    r = random.Random(14)
+    for capacity in (12, 30, 64):
+        for _ in range(40):
+            counts = {n: r.randint(1, 6) for n in r.sample(range(1, capacity + 1), r.randint(1, min(12, capacity)))}
+            made = packing.Plan(dict(counts), capacity)
+            made.exact()
+            for k in (1, 2, 3, 4):
+                for lengths in combinations_with_replacement(sorted(made.left), k):
+                    assert sum(lengths) != capacity or not made.fits(lengths), (counts, lengths)
+            used = sum(n * c for n, c in counts.items()) - sum(n * c for n, c in made.left.items())
+            assert used == made.sequences * capacity

@@ -181,46 +181,59 @@ class Plan:
                 offset += n * k
             self.sequences += times
 
+    def fits(self, lengths: tuple[int, ...]) -> bool:
+        """Whether there are pieces of all these lengths."""
+        return all(self.left.get(n, 0) >= lengths.count(n) for n in lengths)
+
+    def pairs(self, total: int) -> Iterator[tuple[int, int]]:
+        """The pairs of available lengths with this sum, from the index of pair sums. A sum's entry is made when it is first
+        looked up; lengths that run out never come back, and leave it."""
+        if total not in self.by_pair:
+            half = total // 2
+            ends = self.live[1 : half + 1] & self.live[total - half : total][::-1] if 2 <= total <= self.capacity else np.zeros(0, bool)
+            self.by_pair[total] = (np.flatnonzero(ends)[::-1] + 1).tolist()
+        self.by_pair[total] = [x for x in self.by_pair[total] if self.fits((x, total - x))]
+        for x in self.by_pair[total]:
+            if self.fits((x, total - x)):
+                yield x, total - x
+
+    def triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        """The triples of available lengths with this sum: the index of triple sums names the longest lengths of them, and
+        what each leaves is looked up among the pairs."""
+        if total not in self.by_triple:
+            self.by_triple[total] = [z for z in sorted(self.left, reverse=True) if 3 * z >= total and total - z >= 2]
+        kept = []
+        for z in self.by_triple[total]:
+            some = False
+            for x, y in self.pairs(total - z) if z in self.left else ():
+                if y <= z and self.fits((x, y, z)):
+                    some = True
+                    yield x, y, z
+            if some:
+                kept.append(z)
+        self.by_triple[total] = kept
+
     def exact(self) -> None:
-        """Consume combinations of one to four lengths that fill a sequence: a length with a single, a pair and a triple.
+        """Consume combinations of one to four lengths that fill a sequence: the gap that a length leaves is looked up among
+        single lengths, then among the sums of pairs and of triples.
 
         Every combination is taken until a length of it runs out, so a length is left with at most as many pieces as
         a combination needs of it. No combination of lengths that are still available is missed.
         """
         c = self.capacity
+        self.live = np.zeros(c + 1, bool)
+        self.live[[*self.left]] = True
+        self.by_pair: dict[int, list[int]] = {}
+        self.by_triple: dict[int, list[int]] = {}
+        single = lambda gap: [(gap,)] if gap in self.left else []
         if c in self.left:
             self.combination((c,))
-        for a in sorted(self.left, reverse=True):
-            if a in self.left and c - a in self.left:
-                self.combination((a, c - a))
-        for a in sorted(self.left, reverse=True):  # with a pair that adds up to the gap
-            gap = c - a
-            for b in sorted((n for n in self.left if n <= gap // 2), reverse=True):
-                if a not in self.left:
-                    break
-                if b in self.left and gap - b in self.left:
-                    self.combination((a, gap - b, b))
-        self._triples()
-
-    def _triples(self) -> None:
-        c = self.capacity
-        live = np.zeros(c + 1, bool)
-        live[[*self.left]] = True
-        lengths = sorted(self.left, reverse=True)
-        for i, a in enumerate(lengths):
-            for b in lengths[i:]:  # a >= b >= y >= x
-                gap = c - a - b
-                if not live[a] or gap > 2 * b:
-                    break
-                if gap < 2 or not live[b]:
-                    continue
-                low, high = max(1, gap - b), gap // 2
-                for x in (np.flatnonzero(live[low : high + 1] & live[gap - high : gap - low + 1][::-1]) + low).tolist():
-                    if live[x] and live[gap - x]:
-                        self.combination((a, b, gap - x, x))
-                        live[[n for n in (a, b, gap - x, x) if n not in self.left]] = False
-                        if not (live[a] and live[b]):
-                            break
+        for sums in (single, self.pairs, self.triples):
+            for a in sorted(self.left, reverse=True):
+                for rest in sums(c - a):
+                    if a not in self.left:
+                        break
+                    self.combination((a, *rest))
 
     def best_fit(self) -> None:
         """The rest, longest first, each into the fullest sequence that has room. Sequences alike are handled together."""
