@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
+from weftline.storage import discard, materialize
+
 MB = 1_048_576
 
 
@@ -55,6 +57,35 @@ def purge(items: DataFrame, now: str, age_days: int, group: str | None = None) -
     return items.where(~F.coalesce(old & scoped, F.lit(False)))
 
 
+def delete(spark: SparkSession, path: str, doomed: DataFrame, keys: list[str], parts: list[str]) -> None:
+    """Delete rows from a Parquet table at ``path`` that is partitioned by ``parts``: those that agree with a row of
+    ``doomed`` (keys and parts, none of them null) in all of these.
+
+    Only partitions that lose something are rewritten. Their survivors are written elsewhere first, so that a run that
+    breaks off can be repeated; then they replace the partitions, and partitions without survivors are removed.
+    """
+    gone = materialize(doomed.select(*keys, *parts).distinct(), "doomed")
+    touched = gone.select(*parts).distinct()
+    table = spark.read.option("basePath", path).parquet(path)
+    before = table.join(touched, parts, "left_semi")
+    survivors = materialize(before.join(gone, [*keys, *parts], "left_anti"), "survivors")
+    # Folders, not rows: as many as partitions will be empty.
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
+    empty = table.select(folder, *parts).distinct().join(touched, parts, "left_semi").join(survivors.select(*parts).distinct(), parts, "left_anti")
+    empty = [r["folder"] for r in empty.select("folder").collect()]
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before_mode = spark.conf.get(setting, None)
+    spark.conf.set(setting, "dynamic")
+    try:
+        survivors.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    finally:
+        spark.conf.unset(setting) if before_mode is None else spark.conf.set(setting, before_mode)
+    for x in empty:
+        place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(x))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    discard(gone, survivors)
+
+
 def orphans(blobs: DataFrame, meta: DataFrame) -> DataFrame:
     """Blobs (guid, size) without metadata."""
     return blobs.join(meta, "guid", "left_anti")

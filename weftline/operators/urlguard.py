@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import bound
+from weftline.storage import fresh
 
 # Networks and host names that must not be fetched.
 BLOCKED_NETWORKS = (
@@ -59,8 +60,8 @@ def ipv6_hex(text: Column) -> Column:
     return F.when(text.contains(":"), bound(bound(F.lower(text), plain), whole))
 
 
-def blocked(addresses: DataFrame, column: str) -> DataFrame:
-    """``addresses`` with ``blocked``: whether the address lies in a blocked range. The ranges are a fixed list, so the
+def blocked(addresses: DataFrame, column: str, into: str = "blocked") -> DataFrame:
+    """``addresses`` with the boolean ``into``: whether the address lies in a blocked range. The ranges are a fixed list, so the
     range join is a predicate over the address as a number or as hex digits, which are computed once."""
     networks = [(n.version, int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, BLOCKED_NETWORKS)]
 
@@ -71,13 +72,14 @@ def blocked(addresses: DataFrame, column: str) -> DataFrame:
         return F.coalesce(found, F.lit(False))
 
     four, six = bound(ipv4_number(F.col(column)), lambda x: within(x, 4)), bound(ipv6_hex(F.col(column)), lambda x: within(x, 6))
-    return addresses.withColumn("blocked", F.when(F.coalesce(F.col(column).contains(":"), F.lit(False)), six).otherwise(four))
+    return addresses.withColumn(into, F.when(F.coalesce(F.col(column).contains(":"), F.lit(False)), six).otherwise(four))
 
 
 def check(urls: DataFrame, resolved: DataFrame) -> DataFrame:
     """urls (url) with ``verdict``: ok, INVALID_URL or SSRF_BLOCKED, by resolved (host, address), a name's addresses."""
-    bad = blocked(resolved, "address").where("blocked").select("host").distinct().withColumn("hit", F.lit(True))
-    d = urls.withColumn("host", host(F.col("url"))).join(bad, "host", "left")
-    d = blocked(d.withColumn("__literal", F.regexp_replace("host", r"^\[|\]$", "")), "__literal").withColumnRenamed("blocked", "__blocked")
-    verdict = F.when(~scheme(F.col("url")).isin("http", "https") | (F.col("host") == ""), "INVALID_URL").when(F.col("host").isin(*BLOCKED_HOSTS) | F.col("hit") | F.col("__blocked"), "SSRF_BLOCKED").otherwise("ok")
-    return d.withColumn("verdict", verdict).drop("hit", "__literal", "__blocked")
+    name, hit, literal, bad_literal = (fresh(c, urls) for c in ("guard_host", "guard_hit", "guard_literal", "guard_blocked"))
+    bad = blocked(resolved.select("host", "address"), "address").where("blocked").select(F.col("host").alias(hit)).distinct()
+    d = urls.withColumn(name, host(F.col("url"))).join(bad, F.col(name) == F.col(hit), "left").withColumn(literal, F.regexp_replace(name, r"^\[|\]$", ""))
+    d = blocked(d, literal, bad_literal)
+    verdict = F.when(~scheme(F.col("url")).isin("http", "https") | (F.col(name) == ""), "INVALID_URL").when(F.col(name).isin(*BLOCKED_HOSTS) | F.col(hit).isNotNull() | F.col(bad_literal), "SSRF_BLOCKED").otherwise("ok")
+    return d.select(*[c for c in urls.columns if c not in ("verdict", "host")], F.col(name).alias("host"), verdict.alias("verdict"))

@@ -436,10 +436,10 @@ def session_chunk(spark, sf_dir):
     return sessions.chunk(d, wanted).select("session_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("digest"), "error_code")
 
 
-@_query("""WITH j AS (SELECT doc_id, '{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '","note":"' || repeat('é', CAST(doc_id % 40 AS INT)) || '"}' AS json FROM documents WHERE lang IS NOT NULL)
+@_query("""WITH j AS (SELECT doc_id, '{"doc_id": ' || CAST(doc_id AS VARCHAR) || ', "lang": ' || coalesce('"' || lang || '"', 'null') || ', "note": "' || repeat('é', CAST(doc_id % 40 AS INT)) || '"}' AS json FROM documents)
   SELECT doc_id, CAST(length(json) + 5 * (doc_id % 40) AS INT) AS bytes, CASE WHEN length(json) + 5 * (doc_id % 40) <= 150 THEN json END AS json FROM j""")
 def inline_cap(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang", F.expr("repeat('é', CAST(doc_id % 40 AS INT))").alias("note"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr("repeat('é', CAST(doc_id % 40 AS INT))").alias("note"))
     return sessions.inline(d, 150).select("doc_id", F.col("bytes").cast("int").alias("bytes"), "json")
 
 

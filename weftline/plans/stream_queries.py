@@ -1,4 +1,4 @@
-"""Queries of stored responses, stateful streams, network and path indexes, and their SQL."""
+"""Queries of stored responses, stateful streams, networks, table functions, stores and deletion, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import networks
+from weftline.functions import tables
+from weftline.operators import networks, retention, sessions
+from weftline.plans.web_queries import _ITEMS, _graph, _items, _sessions, _table
 from weftline.plans.web_queries import ORACLES as _WEB_ORACLES
-from weftline.plans.web_queries import _graph, _table
 from weftline.sources import responses
 from weftline.storage import shared_dir
 from weftline.streaming import limits, state
@@ -150,3 +151,72 @@ def network_match(spark, sf_dir):
     known = _table(spark, sf_dir, "supplier").select(F.expr(_NETWORK.format(text="STRING")).alias("network")).distinct()
     asked = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_ADDRESS.format(text="STRING")).alias("address"))
     return networks.longest_match(asked, known)
+
+
+# ---------------------------------------------------------------- table functions, stores and deletion
+
+
+@_query(r"""WITH d AS (SELECT doc_id, text, doc_id % 300 + 100 AS size FROM documents WHERE text IS NOT NULL), c AS (SELECT *, unnest(range(0, CAST(greatest(ceil(length(text) / CAST(size AS DOUBLE)), 1) AS BIGINT))) AS i FROM d)
+  SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(substr(text, i * size + 1, size)) AS digest FROM c""")
+def chunks_by_sql(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, chunk_index, md5(cast(chunk AS BINARY)) AS digest FROM {d}, LATERAL split_chunks(text, cast(doc_id % 300 + 100 AS INT))", d=_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_LINES = ("User-agent: *", "Disallow: /n", "# note", "Crawl-delay: 2", "User-agent: b", "Allow: /x", "User-agent: *", "Disallow: /last")
+
+
+@_query("""WITH n AS (SELECT 'h' || CAST(s_suppkey AS VARCHAR) AS host, s_suppkey % 9 AS k FROM supplier), r(agent, agent_seq, crawl_delay, rule_seq, path, allow, low, high) AS (VALUES
+  ('*', 0, NULL, 0, '/n', false, 2, 3), ('*', 0, 2.0::DOUBLE, 0, '/n', false, 4, 7), ('*', 0, NULL, 0, '/last', false, 8, 8), ('b', 1, NULL, 0, '/x', true, 6, 8))
+  SELECT host, agent, agent_seq, crawl_delay, rule_seq, path, allow FROM n JOIN r ON k BETWEEN low AND high""")
+def robots_by_sql(spark, sf_dir):
+    """Robots files of which each host has the first lines, as many as its number modulo 9."""
+    tables.register(spark)
+    lines = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), F.col("s_suppkey").cast("string")).alias("host"), (F.col("s_suppkey") % 9).alias("k"), F.posexplode(F.array(*map(F.lit, _LINES))).alias("line_no", "line"))
+    return spark.sql("SELECT * FROM robots_rules(TABLE({lines}))", lines=lines.where("line_no < k").select("host", "line_no", "line"))
+
+
+@_query("""WITH s AS (SELECT 's' || CAST(doc_id AS VARCHAR) AS session_id, CASE WHEN doc_id % 4 <> 0 THEN source END AS grp, text FROM documents), w AS (SELECT *, unnest([0, 2]) AS i FROM s)
+  SELECT session_id, CAST(i AS INTEGER) AS chunk_index, CASE WHEN i < greatest(ceil(length(text) / 500.0), 1) THEN md5(substr(text, CAST(i * 500 + 1 AS BIGINT), 500)) END AS digest FROM w WHERE grp IS NULL OR grp IN ('src1', 'src3')""")
+def session_store(spark, sf_dir):
+    """Chunks of what a scope may open, from a store of sessions by group and bucket."""
+    d, path = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    rows = d.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("session_id"), F.lit("u").alias("url"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("grp"), F.lit("2026-01-01").alias("created_at"), F.col("text").alias("content"))
+    sessions.write(rows, path, 500)
+    wanted = sessions.read(spark, path, ["src1", "src3"]).select("session_id", F.explode(F.array(F.lit(0), F.lit(2))).alias("chunk_index"))
+    return sessions.read_chunks(spark, path, wanted).select("session_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+@_query("""WITH w AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 's' WHEN 1 THEN 'alias-' ELSE 'none-' END || CAST(doc_id AS VARCHAR) AS asked, doc_id % 4 <> 0 AS owned FROM documents),
+  e AS (SELECT *, CASE WHEN doc_id % 3 = 2 THEN 'SESSION_NOT_FOUND' WHEN owned AND source NOT IN ('src1', 'src2') THEN 'PERMISSION_DENIED' END AS error_code FROM w)
+  SELECT asked, CASE WHEN error_code IS NULL THEN 's' || CAST(doc_id AS VARCHAR) END AS session_id, CASE WHEN error_code IS NULL AND owned THEN source END AS grp, error_code FROM e""")
+def session_lookup(spark, sf_dir):
+    d = _sessions(spark, sf_dir)
+    number = F.substring("session_id", 2, 100)
+    aliases = d.select(F.concat(F.lit("alias-"), number).alias("alias"), "session_id")
+    wanted = d.select(F.concat(F.when(number.cast("long") % 3 == 0, "s").when(number.cast("long") % 3 == 1, "alias-").otherwise("none-"), number).alias("asked"))
+    return sessions.looked_up(wanted, d, aliases, ["src1", "src2"]).select("asked", "session_id", "grp", "error_code")
+
+
+@_query(f"""WITH {_ITEMS}, r AS (SELECT *, sum(size) OVER (PARTITION BY scope) AS total, coalesce(sum(CASE WHEN has_metadata THEN size ELSE 0 END) OVER (PARTITION BY scope ORDER BY created_at, has_metadata, guid, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM item) SELECT guid, scope, size, grp FROM r WHERE NOT (has_metadata AND total - before > 30000)""")
+def retention_delete(spark, sf_dir):
+    """What is left in a stored table when what the limit deletes has been deleted from its files."""
+    path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
+    _items(spark, sf_dir).write.partitionBy("scope").parquet(path)
+    stored = spark.read.parquet(path)
+    retention.delete(spark, path, retention.prune_plan(stored, 30000).where("deleted"), ["guid"], ["scope"])
+    return spark.read.parquet(path).select("guid", "scope", "size", "grp")
+
+
+@_query("""WITH j AS (SELECT doc_id, '{"doc_id": ' || CAST(doc_id AS VARCHAR) || ', "lang": ' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"' || lang || '"' END || ', "score": ' || CASE doc_id % 4 WHEN 0 THEN '0.5' WHEN 1 THEN '12345678.25' WHEN 2 THEN '1e-07' ELSE '2.5e+20' END
+  || ', "tags": [1, null, ' || CAST(CAST(doc_id % 2 = 0 AS INTEGER) AS VARCHAR) || '], "note": {"é\\"": "' || repeat('é', CAST(doc_id % 40 AS INT)) || '"}}' AS json, 5 * (doc_id % 40 + 1) AS more FROM documents WHERE lang IS NOT NULL),
+  b AS (SELECT *, length(json) + more AS bytes FROM j)
+  SELECT doc_id, CAST(bytes AS INT) AS bytes, CASE WHEN bytes <= 240 THEN json END AS json, CASE WHEN bytes > 240 THEN 'CONTENT_TOO_LARGE' END AS error_code,
+    CASE WHEN bytes > 240 THEN 'Inline response is ' || CAST(bytes AS VARCHAR) || ' bytes, exceeding max_bytes limit of 240. Use session=true to store content server-side, or increase max_bytes.' END AS error FROM b""")
+def inline_json(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    k = F.col("doc_id")
+    score = F.when(k % 4 == 0, 0.5).when(k % 4 == 1, 12345678.25).when(k % 4 == 2, 1e-7).otherwise(2.5e20)
+    d = d.select("doc_id", F.when(k % 3 != 0, F.col("lang")).alias("lang"), score.alias("score"), F.array(F.lit(1), F.lit(None).cast("int"), (k % 2 == 0).cast("int")).alias("tags"), F.create_map(F.lit('é"'), F.expr("repeat('é', CAST(doc_id % 40 AS INT))")).alias("note"))
+    return sessions.inline(d, 240).select("doc_id", F.col("bytes").cast("int").alias("bytes"), "json", "error_code", "error")

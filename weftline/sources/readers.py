@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.storage import materialize
+
 _IN_TYPE = re.compile(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
-_IN_PAGE = re.compile(r"(?i)<meta[^>]+charset\s*=\s*[\"']?([\w.:-]+)")
 
 SITES = "map<string,array<struct<name:string,url:string,languages:array<string>>>>"
-MIX = "struct<groups:map<string,struct<count:int,token:string>>>"
 MANIFEST = """version int, recorded_at string, sites array<struct<slug:string,original_url:string,
   files:array<struct<path:string,content_type:string,original_status:int,size_bytes:bigint,obfuscated:boolean>>>>"""
 PAGES = "page_id bigint, url string, html string"
@@ -33,10 +33,22 @@ def sites_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mix(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(name, count, token) of a consumer mix; negative counts are an error, groups of 0 are left out."""
-    each = texts.select(F.explode(F.from_json(column, MIX)["groups"]).alias("name", "g"))
-    count = F.when(F.col("g.count").isNull() | (F.col("g.count") < 0), F.raise_error(F.concat(F.lit("invalid count of group "), F.col("name")))).otherwise(F.col("g.count"))
-    return each.select("name", count.cast("int").alias("count"), F.col("g.token").alias("token")).where("count > 0")
+    """(name, count, token) of a consumer mix; groups of 0 are left out. A file without groups or with groups of 0 only is an
+    error, and so are a count that is no whole number from 0 on and a token that isn't text."""
+    fail = lambda *parts: F.raise_error(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    groups = F.from_json(column, "groups map<string,string>")["groups"]
+    whole = texts.select(F.when(F.coalesce(F.size(groups), F.lit(0)) > 0, groups).otherwise(fail("mix file must contain a non-empty 'groups' object").cast("map<string,string>")).alias("groups"))
+    field = lambda g, name: F.try_variant_get(F.try_parse_json(g), f"$.{name}", "variant")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    number = lambda g: F.when(kind(field(g, "count")) == "BIGINT", F.try_variant_get(F.try_parse_json(g), "$.count", "bigint"))
+    entry = lambda name, g: F.struct(
+        name.alias("name"),
+        F.when(number(g) >= 0, number(g)).otherwise(fail("mix entry '", name, "' has invalid count").cast("bigint")).cast("int").alias("count"),
+        F.when(kind(field(g, "token")).isin("STRING", "VOID"), F.try_variant_get(F.try_parse_json(g), "$.token", "string")).otherwise(fail("mix entry '", name, "' token must be a string or null").cast("string")).alias("token"),
+    )
+    entries = F.filter(F.transform(F.map_entries("groups"), lambda e: entry(e["key"], e["value"])), lambda e: e["count"] > 0)
+    told = F.when(F.size("entries") > 0, F.col("entries")).otherwise(fail("mix file must include at least one entry with count > 0").cast("array<struct<name:string,count:int,token:string>>"))
+    return whole.select(entries.alias("entries")).select(F.inline(told))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +86,9 @@ def fetched(results: DataFrame) -> DataFrame:
     return results.withColumn("success", F.col("error").isNull() & F.col("status_code").between(200, 399))
 
 
-def _charset(kind: str | None, body: bytes) -> str:
-    """The character set that a response names: in its content type, else in the beginning of the page."""
-    found = _IN_TYPE.search(kind or "") or _IN_PAGE.search(body[:2048].decode("latin-1"))
+def _charset(kind: str | None) -> str:
+    """The character set that a response's content type names, else UTF-8."""
+    found = _IN_TYPE.search(kind or "")
     try:
         return codecs.lookup(found[1]).name if found else "utf-8"
     except LookupError:
@@ -89,7 +101,7 @@ def decoded(responses: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(kinds: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else bytes(b).decode(_charset(k, bytes(b)), "replace") for k, b in zip(kinds, bodies, strict=True)], dtype=object)
+        return pd.Series([None if b is None else bytes(b).decode(_charset(k), "replace") for k, b in zip(kinds, bodies, strict=True)], dtype=object)
 
     return responses.withColumn("content", text("content_type", "body"))
 
@@ -104,7 +116,8 @@ def redirected(requests: DataFrame, responses: DataFrame, most: int = 10) -> Dat
         step = d.drop("status_code").join(here, "at", "left").withColumnRenamed("code", "status_code").withColumns({"final_url": F.col("at"), "hops": F.lit(hop)})
         ended = step.where("next IS NULL").select(*columns)
         done = ended if done is None else done.unionByName(ended)
-        d = step.where("next IS NOT NULL").withColumn("at", F.col("next")).drop("next")
+        # Written, so that a hop doesn't go through all those before it again.
+        d = materialize(step.where("next IS NOT NULL").withColumn("at", F.col("next")).drop("next"), "redirects")
         if d.isEmpty():
             return done
     return done.unionByName(d.withColumn("status_code", F.lit(None).cast("int")).withColumns({"final_url": F.col("at"), "hops": F.lit(most + 1)}).select(*columns))
