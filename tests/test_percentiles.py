@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.operators import metrics
+from weftline.operators import metrics, ranks
 
 SHARES = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
 
@@ -31,3 +31,11 @@ def test_one_key_over_many_ranges(spark):
     """All rows have one key: every task has a part of it."""
     d = spark.range(50000).select(F.lit("k").alias("key"), (F.col("id") * 7919 % 50000).alias("v"), F.lit(1).alias("n"), F.lit("mine").alias("part"))
     assert metrics.percentiles(d, ["key"], "v", "n", [0.5, 0.999]).first().p == np.quantile(np.arange(50000), [0.5, 0.999]).tolist()
+
+
+def test_numbered(spark):
+    d = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("v"), F.lit("mine").alias("part"))
+    got = ranks.numbered(d.unionByName(d.limit(100)), ["v"], "place")
+    rows = got.orderBy("place").collect()
+    assert [r.place for r in rows] == [*range(1, 20101)] and [r.v for r in rows] == sorted(r.v for r in rows) and got.columns == ["v", "part", "place"]
+    assert ranks.numbered(d.limit(0), ["v"], "place").count() == 0

@@ -25,17 +25,24 @@ def totals(recorded: DataFrame) -> DataFrame:
     )
 
 
-def manifest(recorded: DataFrame, recorded_at: str, version: int = 1) -> DataFrame:
-    """One row in the shape of a recording manifest: sites with their files, by path."""
+def site_manifests(recorded: DataFrame, recorded_at: str, version: int = 1) -> DataFrame:
+    """A row for each site in the shape of a recording manifest, with its files by path. Rows that agree in site, path and
+    result are one file."""
     file = F.struct("path", "content_type", F.col("status_code").alias("original_status"), F.col("size_bytes").cast("bigint").alias("size_bytes"), F.lit(True).alias("obfuscated"))
-    sites = recorded.where("success").groupBy("slug", F.col("url").alias("original_url")).agg(F.array_sort(F.collect_list(file)).alias("files"))
-    listed = F.array_sort(F.collect_list(F.struct("slug", "original_url", "files")))
-    return sites.agg(listed.alias("sites")).select(F.lit(version).alias("version"), F.lit(recorded_at).alias("recorded_at"), "sites")
+    sites = recorded.where("success").groupBy("slug", F.col("url").alias("original_url")).agg(F.array_sort(F.collect_set(file)).alias("files"))
+    return sites.select(F.lit(version).alias("version"), F.lit(recorded_at).alias("recorded_at"), F.array(F.struct("slug", "original_url", "files")).alias("sites"))
+
+
+def manifest(recorded: DataFrame, recorded_at: str, version: int = 1) -> DataFrame:
+    """All sites as one manifest, for a recording that is small enough to be a single document."""
+    sites = site_manifests(recorded, recorded_at, version)
+    return sites.groupBy("version", "recorded_at").agg(F.array_sort(F.flatten(F.collect_list("sites"))).alias("sites"))
 
 
 def write(recorded: DataFrame, recorded_at: str, path: str) -> None:
+    """Pages by site, and a manifest line for each site, written by all tasks."""
     write_pages(recorded.where("success").select("slug", "html"), f"{path}/pages")
-    write_json(manifest(recorded, recorded_at), f"{path}/manifest")
+    write_json(site_manifests(recorded, recorded_at), f"{path}/manifest")
 
 
 def simulation_report(config: DataFrame, result: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.functions import classify, obfuscate, text
 from weftline.operators import crawl, html, metrics, recording, retention, sessions
-from weftline.plans.profiles import PROFILE_SCHEMA, missing_keys
+from weftline.operators.ranks import numbered
+from weftline.plans.profiles import REQUIRED, with_missing_keys
 from weftline.sources import readers
 from weftline.storage import shared_dir
 
@@ -164,7 +164,7 @@ def record_totals(spark, sf_dir):
 @_query(f"""{_FETCH} SELECT 1 AS version, '2026-01-01' AS recorded_at, 'shop_' || n || '_example_a' AS slug, 'https://Shop-' || n || '.example/a/' AS original_url, 'shop_' || n || '_example_a/index.html' AS path,
   'text/html' AS content_type, status AS original_status, CAST(length('<pre>Order ' || n || ' is on its way</pre>') AS BIGINT) AS size_bytes, true AS obfuscated FROM f WHERE status BETWEEN 200 AND 399 AND NOT broken""")
 def record_manifest(spark, sf_dir):
-    return readers.manifest_files(recording.manifest(recording.record(_results(spark, sf_dir)), "2026-01-01"))
+    return readers.manifest_files(recording.site_manifests(recording.record(_results(spark, sf_dir)), "2026-01-01"))
 
 
 #: Words of replacement texts, for SQL.
@@ -225,8 +225,8 @@ def record_pages(spark, sf_dir):
 def fixture_urls(spark, sf_dir):
     files = _table(spark, sf_dir, "customer").select(F.concat(F.lit("file:/data/fixtures/site"), F.col("c_custkey").cast("string"), F.lit("/index.html")).alias("path"))
     urls = readers.fixture_urls(files, "fixtures", "http://base/")
-    placed = urls.withColumn("place", F.row_number().over(Window.orderBy("url")))
-    return placed.select(F.regexp_extract("url", r"site(\d+)/", 1).cast("long").alias("k"), "place", "url")
+    placed = numbered(urls, ["url"], "place")
+    return placed.select(F.regexp_extract("url", r"site(\d+)/", 1).cast("long").alias("k"), F.col("place").cast("int").alias("place"), "url")
 
 
 @_query("""SELECT '{"config":{"mode":"load","consumers":' || CAST(count(*) AS VARCHAR) || '},"result":{"ok":' || CAST(count(*) FILTER (event_type <> 'error') AS VARCHAR) || ',"error":' || CAST(count(*) FILTER (event_type = 'error') AS VARCHAR) || '}}' AS report FROM events""")
@@ -253,11 +253,14 @@ def text_clean_space(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_space(t).cast("binary")).alias("digest"))
 
 
-@_query("""SELECT 'name' AS key, 0 AS pos FROM (SELECT 1) UNION ALL SELECT 'date_patterns', 1""")
+@_query("""WITH r AS (SELECT unnest(['name', 'display_name', 'timezone', 'utc_offset', 'date_patterns', 'section_labels', 'noise_markers', 'sponsored_markers', 'exclusive_markers', 'opinion_labels']) AS key, unnest(range(0, 10)) AS i)
+  SELECT s_suppkey, string_agg(key, ',' ORDER BY i) AS missing FROM supplier, r WHERE s_suppkey % 11 = 10 OR (s_suppkey + i) % 3 = 0 GROUP BY s_suppkey""")
 def profile_missing(spark, sf_dir):
-    whole = dict.fromkeys(x.split()[0] for x in PROFILE_SCHEMA.replace("\n", " ").split(", "))
-    missing = missing_keys({k: 1 for k in whole if k not in ("name", "date_patterns")})
-    return spark.createDataFrame([(k, i) for i, k in enumerate(missing)], "key string, pos int")
+    """A profile for each supplier, without every third key, or no object at all."""
+    has = lambda i, key: F.when((F.col("s_suppkey") + i) % 3 != 0, F.lit(f'"{key}": []'))
+    whole = F.concat(F.lit("{"), F.concat_ws(", ", *[has(i, key) for i, key in enumerate(REQUIRED)], F.lit('"more": 1')), F.lit("}"))
+    d = _table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 11 != 10, whole).otherwise("[1]").alias("value"))
+    return with_missing_keys(d).where(F.size("missing") > 0).select("s_suppkey", F.array_join("missing", ",").alias("missing"))
 
 
 # ---------------------------------------------------------------- classifiers and tools
@@ -289,7 +292,7 @@ def fetch_delay(spark, sf_dir):
     return e.select("event_id", classify.fetch_delay_seconds(F.col("event_id") % 7, after, (F.col("event_id") % 100) / 100.0).alias("seconds"), classify.retryable(status, fetcher=False).alias("caller_retries"))
 
 
-@_query("""SELECT error_code, recovery_strategy FROM (VALUES
+@_query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY error_code) - 1 AS i, count(*) OVER () AS n FROM (VALUES
 ('INVALID_URL', 'Ensure the URL is properly formatted with http:// or https:// scheme.'), ('URL_NOT_FOUND', 'Verify the URL exists and is accessible. The server returned 404.'),
 ('FETCH_ERROR', 'Check network connectivity and that the target site is online. Try again later.'), ('TIMEOUT_ERROR', 'The request timed out. Try increasing timeout or check if the site is slow/unresponsive.'),
 ('CONNECTION_ERROR', 'Could not connect to the server. Verify the URL and check network connectivity.'), ('ROBOTS_BLOCKED', 'Access blocked by robots.txt. Choose a URL/path that is allowed by the target site''s robots policy.'),
@@ -306,10 +309,13 @@ def fetch_delay(spark, sf_dir):
 ('SESSION_ERROR', 'Session operation failed. Use list_sessions to check available sessions.'), ('SESSION_NOT_FOUND', 'Session ID not found. Use list_sessions to discover sessions, or create one with get_content(session=true).'),
 ('INVALID_CHUNK_INDEX', 'Chunk index out of range. Use get_session_info to check the total number of chunks.'),
 ('PARSE_ERROR', 'The news parser failed to process the crawl results. Retry with parse_results=false to get raw output, or check source_profile_name for the target site.'),
-('CONFIGURATION_ERROR', 'Check server configuration. Contact administrator if issue persists.'), ('OTHER', 'Review the error message and try again. Contact support if the issue persists.')) t(error_code, recovery_strategy)""")
+('CONFIGURATION_ERROR', 'Check server configuration. Contact administrator if issue persists.'), ('OTHER', 'Review the error message and try again. Contact support if the issue persists.')) t(error_code, recovery_strategy))
+SELECT error_code, recovery_strategy, count(*) AS n FROM r JOIN events ON event_id % r.n = r.i GROUP BY ALL""")
 def recovery_texts(spark, sf_dir):
-    table = classify.recovery_table(spark)
-    return classify.with_recovery(table.select("error_code").unionByName(spark.createDataFrame([("OTHER",)], "error_code string")), table).select("error_code", "recovery_strategy")
+    """Every event as one of the errors, in turn."""
+    codes = F.array(*map(F.lit, sorted([*classify.RECOVERY, "OTHER"])))
+    d = _table(spark, sf_dir, "events").select(F.get(codes, (F.col("event_id") % F.size(codes)).cast("int")).alias("error_code"))
+    return classify.with_recovery(d, classify.recovery_table(spark)).groupBy("error_code", "recovery_strategy").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- simulation

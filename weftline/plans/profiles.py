@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PROFILE_SCHEMA = """name string, display_name string, timezone string, utc_offset string, date_patterns array<string>,
   section_labels array<string>, noise_markers array<string>, sponsored_markers array<string>, exclusive_markers array<string>,
@@ -33,7 +34,17 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PROFILES), PROFILE_SCHEMA)
 
 
+#: What a profile must have, in order.
+REQUIRED = [x.split()[0] for x in PROFILE_SCHEMA.replace("\n", " ").split(", ")]
+
+
 def missing_keys(profile: dict) -> list[str]:
     """Required keys that a profile given as a dict lacks, in order."""
-    required = [x.split()[0] for x in PROFILE_SCHEMA.replace("\n", " ").split(", ")]
-    return [k for k in (r.strip() for r in required) if k not in profile]
+    return [k for k in REQUIRED if k not in profile]
+
+
+def with_missing_keys(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Profiles given as JSON objects with ``missing``, the required keys that they lack, in order; of what is no object all
+    are missing."""
+    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    return texts.withColumn("missing", F.array_except(F.array(*map(F.lit, REQUIRED)), keys))

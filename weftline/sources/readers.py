@@ -8,8 +8,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from weftline.operators.ranks import numbered
 from weftline.storage import materialize
 
 _IN_TYPE = re.compile(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
@@ -129,9 +129,8 @@ def choose_urls(urls: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def round_robin(urls: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (n, counted from 0) with the n-th of ``urls`` (url), which are taken in turn, in order of address. The list
-    of addresses is a configuration: its places are one task's work."""
-    placed = urls.withColumn("place", F.row_number().over(Window.orderBy("url")) - 1)
+    """requests (n, counted from 0) with the n-th of ``urls`` (url), which are taken in turn, in order of address."""
+    placed = numbered(urls, ["url"], "place").withColumn("place", F.col("place") - 1)
     size = urls.agg(F.count("*").alias("size"))
     turns = requests.join(F.broadcast(size)).where("size > 0").withColumn("place", F.pmod("n", "size"))
     return turns.join(placed, "place").drop("place", "size")
