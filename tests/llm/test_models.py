@@ -37,6 +37,27 @@ def test_languages(docs, labelled, clashing):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_languages_by_brute_force(docs, labelled):
+    """Every window of every text through the network itself, weighted by its bytes."""
+    texts, langs = labelled
+    texts = [*texts[:60], texts[0] * 40, "é" * 700, "a", "\x00b"]
+    model = langid.train(docs(texts[:60], lang=langs[:60]), 60)
+    found = {r.doc_id: r for r in langid.identify(docs(texts), model).collect()}
+    for i, text in enumerate(texts):
+        data, total = text.encode(), 0
+        step = langid._STEP
+        starts = [0] if len(data) <= langid.WINDOW else range(0, len(data) - langid.WINDOW + step, step)
+        for at in starts:
+            piece = data[at : at + langid.WINDOW]
+            pooled, _ = model._pool(np.frombuffer(piece.ljust(langid.WINDOW, b"\0"), np.uint8)[None, :])
+            z = np.tanh(pooled) @ model.p["out"] + model.p["bias"]
+            total = total + len(piece) * (z - np.log(np.exp(z).sum(1, keepdims=True)))[0]
+        size = sum(len(data[at : at + langid.WINDOW]) for at in starts)
+        p = np.exp(total / size - (total / size).max())
+        p /= p.sum()
+        assert found[i].lang_pred == model.classes[int(p.argmax())] and abs(found[i].score - p.max()) < 1e-3
+
+
 def test_language_cases(docs, labelled):
     texts, langs = labelled
     model = langid.train(docs(texts, lang=langs), 200)
@@ -116,7 +137,7 @@ def test_copies_are_no_evidence():
     assert model.score("lo zork mi") < 0.5 and model.score("lo blorf mi glump") >= 0.5
 
 
-def test_toxicity_cases(spark, docs):
+def test_toxicity_cases(spark, docs, clashing):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.report(docs([None, "", "x"], ids=[0, None, 2]), labels).collect()
     assert sorted((x.doc_id is None, x.score, x.predicted) for x in rows) == [(False, 0.0, 0), (False, 0.0, 0), (True, 0.0, 0)]
@@ -125,6 +146,8 @@ def test_toxicity_cases(spark, docs):
     d = docs(["bad", "good", None, "bad"], ids=[1, 1, None, 3])
     kept = toxicity.keep_clean(d, model)
     assert kept.columns == d.columns and sorted(x.text or "-" for x in kept.collect()) == ["-", "good"]
+    odd = clashing(d)
+    assert toxicity.keep_clean(odd, model).dtypes == odd.dtypes and toxicity.keep_clean(odd, model).count() == 2
 
 
 def test_whole_texts_are_learned():

@@ -51,6 +51,50 @@ def test_stages_on_an_empty_table(spark, docs, tmp_path):
         assert d.count() == 0
 
 
+def test_cases_of_each_stage(spark, docs, clashing, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and columns with clashing names, stage by stage."""
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice(["lo", "mi", "ka", "ter"]) + r.choice(["na", "so", "re", "ti", "va"]) + str(r.randrange(99)) for _ in range(n))
+    item = " ".join(f"bench{i}" for i in range(11))
+    bad = [say(20) + " blorf " + say(3) for _ in range(30)]
+    good = [say(40) for _ in range(30)]
+    # 16 shingles of which two texts share 15 of 17 are a link; at exactly 0.8 too: 8 of 10.
+    tie = say(13)
+    odd = [None, None, "", " \n", "solo", "solo", tie, tie.rsplit(" ", 1)[0] + " other", item, item + " and me@here.org", "x " * 5000 + item, "mail +1 (312) 555-0199 now"]
+    texts = bad + good + odd + [good[3]] * 4
+    ids = [*range(len(bad) + len(good) + len(odd)), *[33] * 4]
+    labels = [(i, 1, int(i < 30)) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    whole = clashing(docs(texts, ids=ids)).unionByName(clashing(docs(["no id", None], ids=[None, None])))
+    stages, at = dict(corpus_pipeline.STAGES), str(tmp_path)
+    rows = lambda d: sorted((x.doc_id is None, x.doc_id or 0, x.text is None, x.text or "") for x in d.collect())
+
+    kept = stages["toxicity"](spark, whole, at)
+    assert kept.columns == whole.columns and kept.dtypes == whole.dtypes
+    assert rows(kept) == [x for x in rows(whole) if " blorf " not in x[3]]
+
+    one = stages["ngram_jaccard_join"](spark, kept, at)
+    component = brute.components([(i, t) for i, t in zip(ids[30:72], texts[30:72], strict=True)])
+    assert one.columns == whole.columns and sorted({x.doc_id for x in one.where("doc_id is not null").collect()}) == sorted(i for i, (_, c) in component.items() if c == i)
+    assert one.where("doc_id = 33").count() == 5  # rows of one document
+    assert one.where("doc_id is null").count() == 2
+
+    clean = stages["benchmark_decontamination"](spark, kept, at)
+    told = {x.doc_id: x for x in clean.collect()}
+    assert clean.columns == whole.columns and clean.count() == kept.count() - 1 and 68 not in told  # the item alone
+    assert told[69].text.strip() == "and me@here.org" and told[70].text == "x " * 5000 and told[60].text is None and told[62].text == ""
+    assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in told.values())
+
+    safe = {x.doc_id: x for x in stages["pii"](spark, kept, at).collect()}
+    assert safe[69].text == item + " and [EMAIL]" and safe[71].text == "mail [PHONE] now" and safe[60].text is None and safe[62].text == ""
+    assert stages["pii"](spark, kept, at).count() == kept.count()
+
+    packed = stages["best_fit_packing"](spark, kept, at).collect()
+    assert len({(x.sequence_id, x.offset) for x in packed}) == len(packed) and sum(x.piece == 0 for x in packed) == kept.count()
+    assert all(x.length == 1 for x in packed if x.doc_id in (60, 61, 62))
+
+
 def test_queries(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
     import duckdb

@@ -404,8 +404,8 @@ def report(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all columns; of rows that repeat a doc_id
-    one stays if they are linked. Documents that link with nothing stay."""
+    """One document of each component, the one with the smallest doc_id, with all columns. Rows that repeat
+    a doc_id are one document and stay or go together. Documents that link with nothing stay."""
     name = fresh("kept_id", documents)
     found = report(documents, size, percent).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     return documents.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
