@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, the one with the smallest doc_id, of each component of 5-word Jaccard links of 0.8 or more.
 
     A similarity of exactly 0.8 is a link. Null and empty texts, and those without words, are linked with nothing and all
-    stay; of repeated rows, which are links of their own text, one stays; a text of fewer than 5 words is one shingle.
+    stay; rows that repeat a doc_id are one document and stay or go together; a text of fewer than 5 words is one shingle.
     """
     return jaccard_join.keep_one(docs, 5, 80)
 
