@@ -1,5 +1,6 @@
 """Pages, robots, guards, crawl, sessions, limits and obfuscation on small inputs."""
 
+import hashlib
 from collections import deque
 
 import pytest
@@ -136,6 +137,26 @@ def test_obfuscation(spark):
     assert obfuscate.scrub_pii_text("a@b.co, +1 (212) 555-0100") == "xxxxxx, +0 (000) 000-0000"
 
 
+def test_lorem_is_a_fold():
+    def slowly(length, seed):
+        first = int(hashlib.md5(seed.encode()).hexdigest()[:8], 16) % len(obfuscate.LOREM)
+        text, i = "", first
+        while len(text) < length:
+            word = obfuscate.LOREM[i % len(obfuscate.LOREM)]
+            if len(text) + bool(text) + len(word) > length + 5:
+                break
+            text, i = f"{text} {word}".strip(), i + 1
+        return text[:length].rstrip() if len(text) > length else text.ljust(length)
+
+    assert all(obfuscate.lorem(n, f"s{k}") == slowly(n, f"s{k}") for n in range(60) for k in range(8))
+
+
+def test_heading_of_a_section(spark):
+    page = "<section><h2>A</h2><h1>B</h1><h1>C</h1></section><section><p>x</p></section><article><h3>D</h3></article>"
+    d = spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")
+    assert [x.heading for x in html.structure(d, ("sections",)).first().structure.sections] == ["B", None, "D"]
+
+
 def test_text(spark):
     value = lambda c: spark.range(1).select(c).collect()[0][0]
     assert value(text.slug(F.lit("https://www.a-b.com/x/"))) == "www_a_b_com_x" and value(text.slug(F.lit("https://"))) == "unknown"

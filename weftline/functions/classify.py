@@ -36,6 +36,7 @@ def http_error_type(status: Column) -> Column:
 
 def exception_type(name: Column) -> Column:
     """Canonical type of a network exception given by its class name; other names as they are."""
+    # Class names of the exceptions of the HTTP client.
     timeouts = ("TimeoutException", "ConnectTimeout", "ReadTimeout", "WriteTimeout", "PoolTimeout")
     protocol = ("RemoteProtocolError", "LocalProtocolError")
     other = ("HTTPError", "RequestError", "TransportError", "NetworkError", "ReadError", "WriteError", "CloseError", "ProxyError", "HTTPStatusError", "DecodingError", "TooManyRedirects", "UnsupportedProtocol", "ProtocolError")

@@ -379,7 +379,7 @@ def sections(root: Node) -> list[dict]:
     out = []
     for n in root.walk():
         if n.tag in SECTIONS:
-            head = next((h for h in n.walk() if h.tag in HEADINGS), None)
+            head = min((h for h in n.walk() if h.tag in HEADINGS), key=lambda h: h.tag, default=None)  # the first of the highest level
             text = n.text(" ")
             out.append({
                 "tag": n.tag, "id": n.attrs.get("id"), "classes": n.classes(), "heading": (head.text() or None) if head is not None else None,

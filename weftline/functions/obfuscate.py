@@ -38,12 +38,13 @@ def lorem(length: int, seed: str) -> str:
     """Words of exactly ``length`` characters, cut or filled up with spaces; the first is chosen by the MD5 of the seed.
     No word is added that would go more than 5 characters beyond."""
     first = int(hashlib.md5(seed.encode("utf-8", "replace")).hexdigest()[:8], 16) % len(LOREM)
-    text = ""
+    words, size = [], -1  # size of the words joined by spaces
     for word in cycle(LOREM[first:] + LOREM[:first]):
-        longer = f"{text} {word}" if text else word
-        if len(text) >= length or len(longer) > length + 5:
+        if size >= length or size + 1 + len(word) > length + 5:
             break
-        text = longer
+        words.append(word)
+        size += 1 + len(word)
+    text = " ".join(words)
     return text[:length].rstrip() if len(text) > length else text.ljust(length)
 
 

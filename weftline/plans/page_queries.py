@@ -167,7 +167,7 @@ def record_manifest(spark, sf_dir):
     return readers.manifest_files(recording.site_manifests(recording.record(_results(spark, sf_dir)), "2026-01-01"))
 
 
-#: Words of replacement texts, for SQL.
+# Words of replacement texts, repeated so that the SQL doesn't use the code that it tests.
 _WORDS = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
     "duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
@@ -241,9 +241,9 @@ def simulation_report(spark, sf_dir):
 @_query("""WITH t AS (SELECT doc_id, text AS t, substr(text, 1, 300) AS c FROM documents),
   p AS (SELECT *, CASE WHEN contains(c, '. ') THEN 299 - strpos(reverse(c), ' .') ELSE -1 END AS dot, CASE WHEN contains(c, chr(10)) THEN 300 - strpos(reverse(c), chr(10)) ELSE -1 END AS line FROM t),
   q AS (SELECT *, CASE WHEN greatest(dot, line) > 240 THEN substr(t, 1, CAST(greatest(dot, line) + 1 AS BIGINT)) ELSE c END AS cut FROM p)
-  SELECT doc_id, md5(CASE WHEN length(t) > 300 THEN rtrim(cut, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || chr(10) || '[Content truncated]' ELSE t END) AS digest FROM q WHERE t IS NOT NULL""")
+  SELECT doc_id, md5(CASE WHEN length(t) > 300 THEN rtrim(cut, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || chr(10) || '[Content truncated]' ELSE t END) AS digest FROM q""")
 def text_truncate(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = _table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(text.truncated(F.col("text"), F.lit(300)).cast("binary")).alias("digest"))
 
 
@@ -292,6 +292,7 @@ def fetch_delay(spark, sf_dir):
     return e.select("event_id", classify.fetch_delay_seconds(F.col("event_id") % 7, after, (F.col("event_id") % 100) / 100.0).alias("seconds"), classify.retryable(status, fetcher=False).alias("caller_retries"))
 
 
+# Codes and texts, repeated so that the SQL doesn't use the code that it tests.
 @_query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY error_code) - 1 AS i, count(*) OVER () AS n FROM (VALUES
 ('INVALID_URL', 'Ensure the URL is properly formatted with http:// or https:// scheme.'), ('URL_NOT_FOUND', 'Verify the URL exists and is accessible. The server returned 404.'),
 ('FETCH_ERROR', 'Check network connectivity and that the target site is online. Try again later.'), ('TIMEOUT_ERROR', 'The request timed out. Try increasing timeout or check if the site is slow/unresponsive.'),

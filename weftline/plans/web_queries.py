@@ -398,6 +398,7 @@ def duration_parse(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", classify.duration_seconds(F.concat((F.col("event_id") % 100).cast("string"), unit)).alias("seconds"))
 
 
+# The seven texts, repeated so that the SQL doesn't use the code that it tests.
 @_query(f"""WITH {_FETCHED}, c AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'ODD' ELSE {_FETCH} END AS error_code FROM f), r(error_code, told) AS (VALUES
   ('URL_NOT_FOUND', 'Verify the URL exists and is accessible. The server returned 404.'), ('ACCESS_DENIED', 'The server denied access. Try using a different anti-detection profile or custom headers.'),
   ('RATE_LIMITED', 'Too many requests. Increase rate_limit_delay in set_antidetection settings.'), ('FETCH_ERROR', 'Check network connectivity and that the target site is online. Try again later.'),
