@@ -60,6 +60,7 @@ def with_crawl_time(pages: DataFrame) -> DataFrame:
     clock = F.regexp_replace(F.regexp_extract(told, _ISO, 1), ",", ".")
     clock = F.try_to_timestamp(F.when(F.length(clock) == 13, F.concat(clock, F.lit(":00"))).otherwise(clock))
     zone = F.regexp_replace(F.regexp_extract(told, _ISO, 2), ":", "")
+    # Fixed value: the text of the error.
     wrong = F.raise_error(F.lit("crawl_time_utc must be a valid ISO-8601 datetime string"))
     now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
     local = F.when(told.isNull(), now).when(clock.isNotNull(), clock).otherwise(wrong.cast("timestamp"))

@@ -132,6 +132,7 @@ def inline(rows: DataFrame, max_bytes: int = 5_242_880) -> DataFrame:
     text, size, code, error = (fresh(c, rows) for c in ("json", "bytes", "error_code", "error"))
     d = rows.withColumn(text, json_text(F.struct(*rows.columns), rows.schema)).withColumn(size, ascii_bytes(F.col(text)))
     over = F.col(size) > max_bytes
+    # The error code and its text.
     told = F.concat(
         F.lit("Inline response is "), F.format_number(F.col(size).cast("long"), 0), F.lit(f" bytes, exceeding max_bytes limit of {max_bytes:,}. Use session=true to store content server-side, or increase max_bytes."),
     )

@@ -35,6 +35,7 @@ def sites_file(spark: SparkSession, path: str) -> DataFrame:
 def mix(texts: DataFrame, column: str = "value") -> DataFrame:
     """(name, count, token) of a consumer mix; groups of 0 are left out. A file without groups or with groups of 0 only is an
     error, and so are a count that is no whole number from 0 on and a token that isn't text."""
+    # The texts of errors.
     fail = lambda *parts: F.raise_error(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
     groups = F.from_json(column, "groups map<string,string>")["groups"]
     whole = texts.select(F.when(F.coalesce(F.size(groups), F.lit(0)) > 0, groups).otherwise(fail("mix file must contain a non-empty 'groups' object").cast("map<string,string>")).alias("groups"))

@@ -214,6 +214,7 @@ def fetch_results(attempts: DataFrame, max_retries: int = 3, jitter: Column | No
     # After a network error there is no header to go by.
     delay = fetch_delay_seconds(F.col("attempt"), F.when(F.col("failure").isNull(), F.col("retry_after")), F.lit(0.0) if jitter is None else jitter)
     bad, nothing = F.col("failure").isNotNull(), F.col("failure").isNotNull() | F.col("decode_error").isNotNull()
+    # The texts of errors.
     reason = F.coalesce(F.nullif("reason", F.lit("")), F.lit("Unknown"))
     error = (
         F.when(bad, F.concat(F.lit("HTTP error after "), (F.col("attempt") + 1).cast("string"), F.lit(" attempts: "), "failure")).when(F.col("decode_error").isNotNull(), F.concat(F.lit("Unexpected error: "), "decode_error"))
