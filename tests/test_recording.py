@@ -17,6 +17,18 @@ def test_record(spark, tmp_path):
     assert recording.totals(d.limit(0)).collect()[0].bytes == 0
 
 
+def test_pages_share_files(spark, tmp_path):
+    """Files don't grow in number with the sites; pages come back as they were, two of a slug as two."""
+    path = str(tmp_path / "pages")
+    rows = [(f"site_{i}", f"<p>{i}</p>\r\n\n") for i in range(300)] + [("007", ""), ("twice", "a"), ("twice", "b\n"), ("none", None)]
+    readers.write_pages(spark.createDataFrame(rows, "slug string, html string").coalesce(2), path)
+    assert len(list((tmp_path / "pages").rglob("part-*"))) <= 32
+    assert sorted(map(repr, map(tuple, readers.recorded_pages(spark, path).collect()))) == sorted(map(repr, rows))
+    some = readers.recorded_pages(spark, path, ["007", "twice", "absent"])
+    assert sorted(map(tuple, some.collect())) == [("007", ""), ("twice", "a"), ("twice", "b\n")] and len(some.inputFiles()) <= 32
+    assert readers.recorded_pages(spark, path, []).count() == 0
+
+
 def test_reports_and_options(spark):
     one = spark.createDataFrame([("load", 5)], "mode string, consumers int")
     assert recording.simulation_report(one, one).collect()[0].report == '{"config":{"mode":"load","consumers":5},"result":{"mode":"load","consumers":5}}'

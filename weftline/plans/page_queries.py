@@ -218,7 +218,7 @@ def record_roundtrip(spark, sf_dir):
 def record_pages(spark, sf_dir):
     path = _own_dir(spark, "recorded-pages")
     readers.write_pages(recording.record(_results(spark, sf_dir)).where("success"), path)
-    return spark.read.option("wholetext", "true").text(path).select("slug", F.regexp_replace("value", "\n$", "").alias("html"))
+    return readers.recorded_pages(spark, path)
 
 
 @_query(f"""{_K} SELECT k, CAST(row_number() OVER (ORDER BY 'http://base/' || 'site' || n || '/index.html') AS INTEGER) AS place, 'http://base/site' || n || '/index.html' AS url FROM s""")
