@@ -29,6 +29,17 @@ def test_pages_share_files(spark, tmp_path):
     assert readers.recorded_pages(spark, path, []).count() == 0
 
 
+def test_pages_and_manifest_agree(spark, tmp_path):
+    """Both come from one run of what makes the pages, though it may differ from run to run; files don't grow with sites."""
+    d = spark.range(300).select(F.concat(F.lit("s"), "id").alias("slug"), F.concat(F.lit("http://s"), "id").alias("url"), F.concat(F.lit("s"), "id", F.lit("/index.html")).alias("path"), F.lit("text/html").alias("content_type"), F.lit(200).alias("status_code"), F.lit(True).alias("success"))
+    d = d.withColumn("html", F.repeat(F.lit("x"), (F.rand() * 900).cast("int"))).withColumn("size_bytes", F.octet_length("html"))
+    path = str(tmp_path / "r")
+    recording.write(d, "2026-01-01", path)
+    sizes = {f.slug: f.size_bytes for f in readers.manifest_files(spark.read.schema(readers.MANIFEST).json(f"{path}/manifest")).collect()}
+    assert {r.slug: len(r.html) for r in readers.recorded_pages(spark, f"{path}/pages").collect()} == sizes and len(sizes) == 300
+    assert len(list((tmp_path / "r").rglob("part-*"))) < 150
+
+
 def test_reports_and_options(spark):
     one = spark.createDataFrame([("load", 5)], "mode string, consumers int")
     assert recording.simulation_report(one, one).collect()[0].report == '{"config":{"mode":"load","consumers":5},"result":{"mode":"load","consumers":5}}'

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.obfuscate import obfuscate
 from weftline.functions.text import slug
 from weftline.sources.readers import fetched, write_json, write_pages
+from weftline.storage import discard, materialize
 
 
 def record(results: DataFrame) -> DataFrame:
@@ -40,9 +41,11 @@ def manifest(recorded: DataFrame, recorded_at: str, version: int = 1) -> DataFra
 
 
 def write(recorded: DataFrame, recorded_at: str, path: str) -> None:
-    """Pages by site, and a manifest line for each site, written by all tasks."""
-    write_pages(recorded.where("success").select("slug", "html"), f"{path}/pages")
-    write_json(site_manifests(recorded, recorded_at), f"{path}/manifest")
+    """Pages, and a manifest line for each site, written by all tasks. Pages are obfuscated once, for both."""
+    done = materialize(recorded.where("success"), "recorded")
+    write_pages(done.select("slug", "html"), f"{path}/pages")
+    write_json(site_manifests(done, recorded_at), f"{path}/manifest")
+    discard(done)
 
 
 def simulation_report(config: DataFrame, result: DataFrame) -> DataFrame:
