@@ -65,6 +65,18 @@ def test_selectors(spark):
     assert extracted(spark, None).text == ""
 
 
+def test_selectors_of_one_parse(spark, monkeypatch):
+    """Each selector as alone, a page parsed once."""
+    selectors = ("p b", "#nothing", "p >", "nav a", "h2, h1")
+    pages = spark.createDataFrame([("http://h/p/", PAGE), ("u", "<p>x<b>y</b>"), ("v", None)], "url string, html string")
+    got = html.selected(pages, selectors).select("url", "found.selector", "found.title", "found.language", "found.text", "found.error").collect()
+    want = [(r[0], s, *r[1:]) for s in selectors for r in html.extract(pages, (), selector=s).select("url", "page.title", "page.language", "page.text", "page.error").collect()]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) == 15
+    parsed, parse = [], dom.parse
+    monkeypatch.setattr(dom, "parse", lambda page: parsed.append(page) or parse(page))
+    assert [x["text"] for x in html.read_selected(PAGE, selectors)][0] == "bold" and parsed == [PAGE]
+
+
 def test_structure(spark):
     s = html.structure(spark.createDataFrame([("http://h/p/", PAGE)], "url string, html string")).select("structure.*").collect()[0]
     assert [x.url for x in s.navigation] == ["http://h/a"] and [x.tag for x in s.sections] == ["nav"]

@@ -48,9 +48,12 @@ def _html(kind: str) -> str:
     return _HTML.replace("{n}", "' || " + _N.replace("{text}", kind) + " || '")
 
 
-def _shops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, url, html) of a page for each customer."""
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("'http://shop' || CAST(c_custkey AS STRING) || '.example/p'").alias("url"), F.expr(_html("STRING")).alias("html"))
+def _shops(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """(k, url, html) of a page for each customer. Millions of keys fit in one split of a file; ``spread`` deals them out to
+    several tasks for each core before pages are made of them."""
+    keys = _table(spark, sf_dir, "customer").select("c_custkey")
+    keys = keys.repartition(8 * spark.sparkContext.defaultParallelism, "c_custkey") if spread else keys
+    return keys.select(F.col("c_custkey").alias("k"), F.expr("'http://shop' || CAST(c_custkey AS STRING) || '.example/p'").alias("url"), F.expr(_html("STRING")).alias("html"))
 
 
 _K = "WITH s AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS n FROM customer)"
@@ -106,11 +109,8 @@ _SELECTORS = {
 
 @_query(_K + " " + " UNION ALL ".join(f"""SELECT k, '{s.replace("'", "''")}' AS selector, {sql} AS said FROM s""" for s, sql in _SELECTORS.items()))
 def page_selectors(spark, sf_dir):
-    d, out = _shops(spark, sf_dir), None
-    for s in _SELECTORS:
-        one = html.extract(d, (), selector=s).select("k", F.lit(s).alias("selector"), F.coalesce("page.error", "page.text").alias("said"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    d = html.selected(_shops(spark, sf_dir, spread=True), tuple(_SELECTORS))
+    return d.select("k", "found.selector", F.coalesce("found.error", "found.text").alias("said"))
 
 
 @_query(f"""{_K}, t AS (SELECT k, n, trim(repeat('word ', CAST(k % 80 AS INT))) AS w, 'Item ' || n || ' First ' || n || ' Second a b' || n || ' c' AS post FROM s)
