@@ -5,6 +5,7 @@ import datetime
 import json
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weftline.operators.crawl import crawl
@@ -66,6 +67,52 @@ def test_releases(spark, tmp_path):
     assert {k: v for k, v in stream.items() if k != 999} == want
 
 
+class Kept:
+    """A stand-in for states and their handle; counts what is asked of them."""
+
+    def __init__(self):
+        self.asked, self.timers, self.value, self.rows = 0, [], None, []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.asked += 1
+            if name == "registerTimer":
+                self.timers += given
+            elif name == "update":
+                self.value = given[0]
+            elif name == "get":
+                return self.rows or self.value
+            elif name == "exists":
+                return bool(self.rows)
+            elif name in ("appendList", "put", "clear"):
+                self.rows = (self.rows if name == "appendList" else []) + (given[0] if given else [])
+
+        return call
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs = lambda self: self.now  # noqa: N815, E731
+
+
+def test_a_domain_has_one_timer():
+    """What is asked of the state doesn't grow with the requests that wait."""
+    spacer, kept, waiting = state.Spacer(2_000_000), Kept(), Kept()
+    spacer.init(kept)
+    spacer.waiting = waiting
+    assert list(spacer.handleInputRows((1,), iter([Row(event_id=i, at=1000 * i) for i in range(500)][::-1]), kept)) == []
+    assert kept.asked + waiting.asked < 8 and kept.timers == [0]
+    kept.now = 20_000
+    out = list(spacer.handleExpiredTimer((1,), kept, kept))
+    assert [(r.event_id, r.due) for r in out] == [(i, 2_000_000 * i) for i in range(11)] and kept.timers == [0, 22_000]
+    list(spacer.handleInputRows((1,), iter([Row(event_id=500, at=9)]), kept))
+    assert kept.timers == [0, 22_000] and len(waiting.rows) == 490
+    kept.now = 10**7
+    assert [r.due for r in spacer.handleExpiredTimer((1,), kept, kept)][-1] == 1_000_000_000 and waiting.rows == [] and kept.asked + waiting.asked < 20
+
+
 def test_crawl_by_stream(spark):
     r = random.Random(6)
     urls = [f"http://h{i % 2}/{i}" for i in range(40)]

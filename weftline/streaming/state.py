@@ -1,18 +1,19 @@
 """Stateful operators on streams: an exact rate limiter, spacing of requests, and a crawl whose visited set is state.
 
-State is kept by key with ``transformWithStateInPandas`` (list, value and map state, event-time timers) in RocksDB, whose
+State is kept by key with ``transformWithState``, over rows or pandas (list, value and map state, event-time timers), in RocksDB, whose
 files are part of the query's checkpoint, so that a restarted query goes on where it stopped.
 """
 
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -113,7 +114,8 @@ def released(requests: DataFrame, delay: float = 1.0) -> DataFrame:
 
 
 class Spacer(StatefulProcessor):
-    """By domain: the last release as value state, and the requests that wait for theirs as map state, each with a timer."""
+    """By domain: the last release as value state, and the requests that wait for theirs, in order, as list state. A domain
+    has one timer, for the first of them; when it expires, all that the watermark has passed come out."""
 
     def __init__(self, step: int):
         self.step = step
@@ -121,29 +123,31 @@ class Spacer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "release long")
-        self.waiting = handle.getMapState("waiting", "release long, event_id long", "at long")
+        self.waiting = handle.getListState("waiting", "release long, event_id long, at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        known = set()
-        for event, at in zip(d["event_id"].tolist(), _micros(d["ts"]), strict=True):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        known = self.last.get()
+        last, new = known[0] if known else None, []
+        for at, event in sorted((r.at, r.event_id) for r in rows):
             last = at if last is None else max(at, last + self.step)
-            self.waiting.updateValue((last, event), (at,))
-            known.add(-(-last // 1000))
+            new.append((last, event, at))
         self.last.update((last,))
-        for at in sorted(known):
-            self.handle.registerTimer(at)
+        if not self.waiting.exists():
+            self.handle.registerTimer(-(-new[0][0] // 1000))
+        self.waiting.appendList(new)
         return iter([])
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((release, event, at) for (release, event), (at,) in self.waiting.iterator() if -(-release // 1000) <= now)
-        for release, event, _ in due:
-            self.waiting.removeKey((release, event))
-        if due:
-            times = pd.to_datetime([r for r, _, _ in due], unit="us")
-            yield pd.DataFrame({"event_id": [e for _, e, _ in due], "domain": key[0], "release": times, "wait": [(r - at) / 1e6 for r, _, at in due]})
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        waiting = sorted(self.waiting.get())
+        due = bisect_right(waiting, now, key=lambda x: -(-x[0] // 1000))
+        if due < len(waiting):
+            self.waiting.put(waiting[due:])
+            self.handle.registerTimer(-(-waiting[due][0] // 1000))
+        else:
+            self.waiting.clear()
+        for release, event, at in waiting[:due]:
+            yield Row(event_id=event, domain=key[0], due=release, wait=(release - at) / 1e6)
 
     def close(self) -> None:
         pass
@@ -152,9 +156,10 @@ class Spacer(StatefulProcessor):
 def released_stream(requests: DataFrame, delay: float = 1.0, late: str = "10 minutes") -> DataFrame:
     """A stream of requests (event_id, domain, ts) that come out (event_id, domain, release, wait) when event time, the
     watermark that is, has passed their release. Releases are those of :func:`released` on input in order."""
-    timed = requests.select("event_id", "domain", "ts").withWatermark("ts", late)
-    schema = f"event_id long, domain {requests.schema['domain'].dataType.simpleString()}, release timestamp, wait double"
-    return timed.groupBy("domain").transformWithStateInPandas(Spacer(round(delay * 1e6)), schema, "Append", "EventTime")
+    timed = requests.select("event_id", "domain", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", late)
+    schema = f"event_id long, domain {requests.schema['domain'].dataType.simpleString()}, due long, wait double"
+    out = timed.groupBy("domain").transformWithState(Spacer(round(delay * 1e6)), schema, "Append", "EventTime")
+    return out.select("event_id", "domain", F.timestamp_micros("due").alias("release"), "wait")
 
 
 # ---------------------------------------------------------------- crawl
