@@ -125,6 +125,17 @@ def test_crawl_by_stream(spark):
         assert sorted(map(tuple, got)) == sorted(map(tuple, crawl(seeds, d, depth, per_level).collect())) and got
 
 
+def test_a_crawl_asks_its_state_twice():
+    """However many pages a level has, its state is read once and written once."""
+    frontier, kept = state.Frontier(3), Kept()
+    frontier.init(kept)
+    page = lambda pos, key, depth, *out: Row(pos=pos, key=key, depth=depth, start_host="h", host="h", out=[Row(link=x + "/", key=x) for x in out])
+    assert [(r.pos, r.key) for r in frontier.handleInputRows((1,), iter([page(0, "a", 1, "a", "b", "c", "d", "e")]), None)] == [(0, "b"), (1, "c"), (2, "d")]
+    assert kept.asked == 2
+    assert [(r.pos, r.key) for r in frontier.handleInputRows((1,), iter([page(2, "d", 2, "a", "g"), page(0, "b", 2, "d", "f")]), None)] == [(1, "f"), (2, "g")]
+    assert kept.asked == 4 and kept.value == (["a", "b", "c", "d"], ["d", "f", "g"])
+
+
 ATTEMPTS = "host string, url string, attempt int, at double, status int, reason string, headers map<string,string>, body binary, failure string"
 
 

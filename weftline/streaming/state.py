@@ -1,6 +1,6 @@
 """Stateful operators on streams: an exact rate limiter, spacing of requests, and a crawl whose visited set is state.
 
-State is kept by key with ``transformWithState``, over rows or pandas (list, value and map state, event-time timers), in RocksDB, whose
+State is kept by key with ``transformWithState``, over rows or pandas (list and value state, event-time timers), in RocksDB, whose
 files are part of the query's checkpoint, so that a restarted query goes on where it stopped.
 """
 
@@ -166,42 +166,37 @@ def released_stream(requests: DataFrame, delay: float = 1.0, late: str = "10 min
 
 
 class Frontier(StatefulProcessor):
-    """By crawl: the keys that were visited, as map state, and the places of the level that is being fetched, as value
-    state. From the pages fetched of a level come the places of the next that weren't visited."""
+    """By crawl, as one value state: the keys that were visited (no more than a level's for each level), and the places of
+    the level that is being fetched. From the pages fetched of a level come the places of the next that weren't visited."""
 
     def __init__(self, per_level: int):
         self.per_level = per_level
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.visited = handle.getMapState("visited", "key string", "depth int")
-        self.level = handle.getValueState("level", "depth int, places array<string>")
+        self.state = handle.getValueState("crawl", "visited array<string>, places array<string>")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows)).sort_values("pos")
-        depth, host = int(d["depth"].iloc[0]), d["start_host"].iloc[0]
-        places = list(self.level.get()[1]) if self.level.exists() else [d["key"].iloc[0]]
-        seen, new, wanted = {k for (k,) in self.visited.keys()}, [], {}
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        d = sorted(rows, key=lambda r: r.pos)
+        depth, host, known = d[0].depth, d[0].start_host, self.state.get()
+        visited, places = known if known else ([], [d[0].key])
+        seen, wanted = set(visited), {}
 
         def visit(at: int) -> None:
             for place in places[len(done) : at]:
                 done.append(place)
-                if place not in seen:
-                    seen.add(place)
-                    new.append(place)
+                seen.add(place)
 
         done: list[str] = []
-        for pos, own, links in zip(d["pos"], d["host"], d["out"], strict=True):
-            visit(pos + 1)  # places that lead nowhere were visited too
-            if own == host:
-                wanted.update({(x["link"], x["key"]): None for x in links if x["key"] not in seen})
+        for r in d:
+            visit(r.pos + 1)  # places that lead nowhere were visited too
+            if r.host == host:
+                wanted.update({(x["link"], x["key"]): None for x in r.out if x["key"] not in seen})
         visit(len(places))
-        for place in new:
-            self.visited.updateValue((place,), (depth,))
         following = [k for _, k in wanted][: self.per_level]
-        self.level.update((depth + 1, following))
-        open_ = [(pos, k) for pos, k in enumerate(following) if k not in seen and following.index(k) == pos]
-        if open_:
-            yield pd.DataFrame({"crawl_id": key[0], "start_host": host, "depth": depth + 1, "pos": [p for p, _ in open_], "key": [k for _, k in open_]})
+        self.state.update((sorted(seen), following))
+        for pos, k in enumerate(following):
+            if k not in seen and following.index(k) == pos:
+                yield Row(crawl_id=key[0], start_host=host, depth=depth + 1, pos=pos, key=k)
 
     def close(self) -> None:
         pass
@@ -220,7 +215,7 @@ def crawl_by_stream(seeds: DataFrame, pages: DataFrame, depth: int = 3, per_leve
     first.write.parquet(f"{path}/fetched/level=1")
     if depth > 1:
         source = spark.readStream.schema(first.schema).option("recursiveFileLookup", "true").parquet(f"{path}/fetched")
-        found = source.groupBy("crawl_id").transformWithStateInPandas(Frontier(per_level), f"crawl_id {crawl_type}, start_host string, depth int, pos int, key string", "Append", "None")
+        found = source.groupBy("crawl_id").transformWithState(Frontier(per_level), f"crawl_id {crawl_type}, start_host string, depth int, pos int, key string", "Append", "None")
         for level in range(2, depth + 1):
             frontier = run_available(found, path).where(F.col("depth") == level)
             frontier.join(known, "key").select(*columns).write.mode("overwrite").parquet(f"{path}/fetched/level={level}")
